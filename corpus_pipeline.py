@@ -1,11 +1,61 @@
-"""Corpus pipeline; its stages follow as their operators do."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, benchmark decontamination and packing of `documents`."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import _common as C
+from tessera.llm import decontaminate, langid, line_dedup, near_dedup, packing
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language the classifier rejects. It learns from the labels of the stage's own input."""
+    return langid.identify(docs, langid.fit(docs)).where("not rejected").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later copies of line runs; a document that loses every line it had is gone. n_chars follows the text."""
+    cut = line_dedup.dedup_lines(docs).where("text is null or n_removed = 0 or text != ''")
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each near-duplicate class."""
+    return near_dedup.keep_one(docs).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    return decontaminate.decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences and offsets."""
+    return packing.pack_documents(docs, packing.tokenizer_path())
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", one_of_each),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: Learned weights, signatures and tokenizers are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            path = C.new_folder(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

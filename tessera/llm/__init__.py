@@ -8,9 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import langid, media_tiff, packing, sharding, substring_dedup
-
-    return {f.__name__: f for f in (substring_dedup.op1_substring_dedup, media_tiff.op2_tiff_pages, packing.op3_best_fit_packing, sharding.op4_stratified_shards, langid.op5_language_id)}
+    from . import decontaminate, langid, line_dedup, media_tiff, near_dedup, packing, sharding, substring_dedup, url_filter, warc
+
+    found = (
+        substring_dedup.op1_substring_dedup,
+        media_tiff.op2_tiff_pages,
+        packing.op3_best_fit_packing,
+        sharding.op4_stratified_shards,
+        langid.op5_language_id,
+        url_filter.op6_url_filters,
+        line_dedup.op7_line_dedup,
+        warc.op8_warc,
+        near_dedup.op9_bagminhash_near_dedup,
+        decontaminate.op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -90,7 +90,7 @@ def _cut_segments(min_words: int, hot: bool):
                 words = C.WORD.findall(text.as_py())
                 for p in own.as_py():
                     s, e = p["start"], p["start"] + p["n"] + min_words - 1
-                    if p["hot"] != hot or e > len(words):
+                    if e > len(words):
                         continue
                     if hot:
                         for i in range(s, s + p["n"]):
@@ -219,18 +219,21 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments:
     own = _keyed(docs).where("doc_id is not null")
     points = own.mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int")
     shared = points.groupBy("key").agg(F.sum("seen").alias("total")).where("total > 1").select("key", (F.col("total") > group_segments).alias("hot"))
-    by_doc = points.drop("seen").join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("points"))
+    shared = C.checkpoint(shared)
 
     def cut(hot: bool) -> DataFrame:
-        with_points = own.join(by_doc.where(F.exists("points", lambda p: p["hot"] == F.lit(hot))), "doc_id")
-        return with_points.select("doc_id", "text", "points").mapInArrow(_cut_segments(min_words, hot), "key long, doc_id long, start int, words string, window binary")
+        mine = points.drop("seen").join(shared.where("hot" if hot else "not hot").select("key"), "key")
+        by_doc = mine.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("points"))
+        return own.join(by_doc, "doc_id").select("doc_id", "text", "points").mapInArrow(_cut_segments(min_words, hot), "key long, doc_id long, start int, words string, window binary")
 
     cold = cut(False).select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
-    cold = cold.mapInArrow(_later_copies(min_words), "doc_id long, start int, n int")
-    windows = cut(True).select("window", "doc_id", "start")
+    spans = cold.mapInArrow(_later_copies(min_words), "doc_id long, start int, n int")
+    if shared.where("hot").isEmpty():
+        return spans
+    windows = C.checkpoint(cut(True).select("window", "doc_id", "start"))
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hot = windows.join(earliest, "window").where("doc_id != least.doc_id or start != least.start").select("doc_id", "start", F.lit(min_words).alias("n"))
-    return cold.unionAll(hot)
+    return spans.unionAll(hot)
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
