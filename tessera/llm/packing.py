@@ -14,8 +14,8 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +27,121 @@ from . import _common as C
 MAX_TOKENS = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 1_000_000
-_CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Distinct pieces whose ids a Python worker remembers (some 150 bytes each) before it starts anew.
+REMEMBERED_PIECES = 600_000
 
 
 class WordIds:
-    """Token ids of texts, by way of their distinct space-separated words.
+    """Token ids of texts by way of their distinct pieces, each given to the tokenizer once.
 
-    Right for tokenizers whose tokens never span white space and whose normaliser works on each character of a word.
+    Pieces are what the tokenizer's own pattern splits: runs of letters, single digits, runs of other characters, and the endings
+    's 't 're 've 'm 'll 'd. They are found here for ASCII and Latin-1 letters, whose lower case and composed form are plain;
+    a space-separated word with any other character, or with the mark of a special token, goes to the tokenizer whole. The
+    vocabulary closes each piece with a token that carries an end mark, by which the ids of joined pieces are told apart.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS) -> None:
+    SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.place = remembered, {}
-        self.ids, self.starts = [np.zeros(0, np.uint32)], [0]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > self.remembered:
-            self.place, self.ids, self.starts = {}, [np.zeros(0, np.uint32)], [0]
-        for at in range(0, len(words), 2000):
-            for word, code in zip(words[at : at + 2000], self.tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)):
-                self.place[word] = len(self.starts) - 1
-                self.ids.append(np.asarray(code.ids, np.uint32))
-                self.starts.append(self.starts[-1] + len(code.ids))
-        self.ids = [np.concatenate(self.ids)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_CHUNK.findall(t) for t in texts]
-        distinct = set().union(*words)
-        if new := [w for w in distinct if w not in self.place]:
-            self._learn(new)
-            if missing := [w for w in distinct if w not in self.place]:
-                self._learn(missing)
-        starts = np.asarray(self.starts, np.int64)
-        out = []
-        for own in words:
-            place = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
-            n = starts[place + 1] - starts[place]
-            out.append(self.ids[0][np.repeat(starts[place], n) + C.spread(n)])
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kind = np.full(256, self.OTHER, np.uint8)
+        self.kind[[9, 10, 11, 12, 13, 32]] = self.SPACE
+        self.kind[48:58] = self.DIGIT
+        self.kind[97:123] = self.kind[65:91] = self.kind[128:] = self.LETTER
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.starts = np.zeros(0, np.uint16 if len(self.closes) <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, plain: list[bytes], whole: list[bytes]) -> None:
+        ids, sizes = [], []
+        for at in range(0, len(plain), 4000):
+            got = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(plain[at : at + 4000]).decode()], add_special_tokens=False)[0].ids)
+            ids.append(got)
+            sizes.append(np.diff(np.flatnonzero(self.closes[got]), prepend=-1))
+        for at in range(0, len(whole), 4000):
+            codes = self.tokenizer.encode_batch_fast([w.decode() for w in whole[at : at + 4000]], add_special_tokens=False)
+            ids += [np.asarray(c.ids, np.int64) for c in codes]
+            sizes.append(np.array([len(c.ids) for c in codes]))
+        known = len(self.starts) - 1
+        self.place.update(zip([*plain, *whole], range(known, known + len(plain) + len(whole))))
+        self.ids = np.concatenate([self.ids, *(x.astype(self.ids.dtype) for x in ids)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes without white space and in lower case, piece starts there, whether a byte belongs to a word that stays whole)."""
+        n = len(data)
+        after, before = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        after[:-1], before[1:] = data[1:], data[:-1]
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        kind = self.kind[data]
+        fresh = np.zeros(n, bool)
+        fresh[0] = fresh[inner] = True
+        previous = np.zeros(n, np.uint8)
+        previous[1:] = kind[:-1]
+        previous[fresh] = self.SPACE
+        high = data >= 128
+        tail = high & (before == 0xC3)
+        odd = high & ~tail & (data != 0xC3) | tail & ((data == 0x97) | (data == 0xB7)) | (data < 32) & (kind != self.SPACE) | (data == 127) | (data == 60) & (after == 124)
+        low = np.where((data >= 65) & (data <= 90) | tail & (data <= 0x9E), data | np.uint8(32), data)
+        solid = kind != self.SPACE
+        word_starts = np.flatnonzero(solid & (previous == self.SPACE))
+        whole = np.zeros(n, bool)
+        if odd.any():
+            word = np.cumsum(solid & (previous == self.SPACE)) - 1
+            stays = np.zeros(len(word_starts), bool)
+            stays[word[odd]] = True
+            whole = solid & stays[np.maximum(word, 0)]
+        start = solid & ((kind != previous) | (kind == self.DIGIT))
+        marks = np.flatnonzero((data == 39) & (previous != self.OTHER))
+        if len(marks):
+            pad = np.r_[low, np.zeros(3, np.uint8)]
+            edge = np.r_[fresh | ~solid, np.ones(3, bool)]
+            one, two = pad[marks + 1], pad[marks + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & ~edge[marks + 1]
+            long = ((one == 114) & (two == 101) | (one == 118) & (two == 101) | (one == 108) & (two == 108)) & ~edge[marks + 1] & ~edge[marks + 2]
+            start[marks[short | long] + 1] = False
+            for ends, width in ((marks[short], 2), (marks[long], 3)):
+                ends = ends[ends + width < n] + width
+                start[ends[solid[ends]]] = True
+        start = np.where(whole, False, start)
+        start[word_starts] = True
+        out = np.where(whole, data, low)
+        return out[solid], np.flatnonzero(start[solid]), whole[solid]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids of some rows end to end, bounds of each row's ids), chunk by chunk."""
+        for row, end, data, offsets in C.text_chunks(texts, 4 * C.CHUNK_BYTES):
+            if not len(data):
+                yield row, np.zeros(0, np.uint32), np.zeros(end - row + 1, np.int64)
+                continue
+            solid_before = np.r_[0, np.cumsum(self.kind[data] != self.SPACE)][offsets]
+            out, starts, whole = self._pieces(data, offsets)
+            bounds = np.r_[starts, len(out)].astype(np.int64)
+            column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(out))])
+            coded = column.dictionary_encode()
+            distinct, where = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            first = np.zeros(len(distinct), np.int64)
+            first[where[::-1]] = np.arange(len(where))[::-1]
+            stays = whole[starts[first]] if len(starts) else np.zeros(0, bool)
+            if len(self.place) > self.remembered:
+                self._forget()
+            known = list(map(self.place.get, distinct))
+            new = [i for i, k in enumerate(known) if k is None]
+            if new:
+                self._learn([distinct[i] for i in new if not stays[i]], [distinct[i] for i in new if stays[i]])
+                known = list(map(self.place.__getitem__, distinct))
+            place = np.array(known, np.int64)[where] if len(where) else np.zeros(0, np.int64)
+            n = self.starts[place + 1] - self.starts[place]
+            ids = self.ids[np.repeat(self.starts[place], n) + C.spread(n)]
+            yield row, ids, np.r_[0, np.cumsum(n)][np.searchsorted(starts, solid_before)]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -82,19 +155,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS,
     def run(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < C.CHUNK_BYTES):
-                    size += len(texts[end] or "")
-                    end += 1
+            docs_of = batch.column(0).to_pylist()
+            for row, ids, bounds in encoder.encode(batch.column(1)):
                 rows = []
-                for doc, tokens in zip(ids[at:end], encoder.encode([t or "" for t in texts[at:end]])):
-                    tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                    rows += [(doc, k, s, min(max_tokens, len(tokens) - s), zlib.crc32(tokens[s : s + max_tokens].tobytes())) for k, s in enumerate(range(0, len(tokens), max_tokens))]
+                for i in range(len(bounds) - 1):
+                    tokens = np.append(ids[bounds[i] : bounds[i + 1]], ids.dtype.type(end_id)).astype("<u4")
+                    rows += [(docs_of[row + i], k, s, min(max_tokens, len(tokens) - s), zlib.crc32(tokens[s : s + max_tokens].tobytes())) for k, s in enumerate(range(0, len(tokens), max_tokens))]
                 yield C.batch_of(_PIECES, list(zip(*rows)))
-                at = end
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
