@@ -24,7 +24,7 @@ from . import _common as C
 BUCKETS = 1 << 15
 DIMS = 16
 GRAMS = (2, 3, 4)
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 EPOCHS = 6
 RATE = 20.0
 REJECT_QUANTILE = 0.001
@@ -155,8 +155,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     n = labelled.count()
     share = min(1.0, rows / max(1, n))
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).mapInArrow(_counts, "lang string, doc_id long, buckets array<int>, weights array<float>").limit(rows)
-    found = sorted(drawn.collect(), key=lambda r: (r["doc_id"], r["lang"]))
-    return train([(r["lang"], np.asarray(r["buckets"]), np.asarray(r["weights"], np.float32)) for r in found])
+    found = drawn.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    buckets, weights = (found.column(c).combine_chunks() for c in ("buckets", "weights"))
+    numbers = [(a.values.to_numpy(), a.offsets.to_numpy()) for a in (buckets, weights)]
+    return train([(lang, *(x[o[i] : o[i + 1]] for x, o in numbers)) for i, lang in enumerate(found.column("lang").to_pylist())])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
