@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, policies
+from . import answers, policies, series, texts
 
-_MODULES = (policies, answers)
+_MODULES = (policies, answers, texts, series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

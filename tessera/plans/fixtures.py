@@ -132,7 +132,10 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as tool calls: episode, turn, role, tool, allowed, label, rendering."""
-    own = table(spark, sf_dir, "conversations")
+    return turns_of(table(spark, sf_dir, "conversations"))
+
+
+def turns_of(own: DataFrame) -> DataFrame:
     size = F.length(F.coalesce("text", F.lit("")))
     tool = F.when(F.col("role") != "assistant", F.lit(None)).when(size % 4 == 0, "respond").when(size % 4 == 1, "execute").when(size % 4 == 2, "lookup").otherwise("invalid")
     conv = F.col("conv_id")
