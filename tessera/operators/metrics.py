@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INSTANCE = ["world_id", "assignment", "instance"]
+RATES = ("accuracy", "deny_to_allow", "allow_to_deny", "refusal", "abstain", "parse_failure")
 
 
 def answer_predicates() -> dict[str, Column]:

@@ -46,8 +46,10 @@ def interval(means: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
 
 
 def two_sided_p(means: DataFrame, by: list[str]) -> DataFrame:
+    """Twice the smaller share of replicates on one side of zero; sums that differ from zero by rounding alone are zero."""
     share = lambda c: F.avg(c.cast("double"))
-    return means.groupBy(*by).agg(F.least(F.lit(1.0), 2 * F.least(share(F.col("mean") <= 0), share(F.col("mean") >= 0))).alias("p"))
+    mean = F.round("mean", 12)
+    return means.groupBy(*by).agg(F.least(F.lit(1.0), 2 * F.least(share(mean <= 0), share(mean >= 0))).alias("p"))
 
 
 def sign_permutation(values: DataFrame, by: list[str], value: str, unit: str, permutations: int, seed: int) -> DataFrame:
@@ -84,7 +86,7 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman(points: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by.., n, rho): rank correlation with average ranks, null for fewer than three points or a constant side."""
     ranked = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y")).alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))).alias("rho"))
 
 
 def exact_mcnemar(b: Column, c: Column) -> Column:

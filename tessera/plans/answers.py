@@ -9,7 +9,7 @@ from ..operators import metrics as M
 from ..operators import stats as S
 from . import fixtures as X
 
-_RATES = list(M.answer_predicates())
+_RATES = list(M.RATES)
 REPLICATES = 200
 SEED = 20261010
 _R = lambda c, name=None: F.round(c, 6).alias(name or (c if isinstance(c, str) else "x"))
@@ -190,7 +190,7 @@ def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = M.macro(worlds, ["rendering"], ["accuracy"])
     top = rates.agg(F.max("accuracy").alias("top"))
     both = rates.join(F.broadcast(top))  # one row
-    gap = F.col("top") - F.col("accuracy")
+    gap = F.round(F.col("top") - F.col("accuracy"), 6)
     return both.select("rendering", _R(gap, "gap"), F.when(F.col("accuracy_worlds") < 20, "INCOMPLETE").when(gap >= 0.05, "FAIL").otherwise("PASS").alias("gate"))
 
 
@@ -254,10 +254,10 @@ FROM ans x JOIN ans y USING (world_id, assignment, instance) WHERE x.rendering !
 SELECT rendering, round(avg(j), 6) AS joint, round(avg(c), 6) AS conditional FROM v GROUP BY rendering""",
     "rendering_contrasts": f"{_BASE}, c AS (SELECT rendering, accuracy - (sum(accuracy) OVER p - accuracy) / (count(accuracy) OVER p - 1) AS d FROM w WINDOW p AS (PARTITION BY world_id)) SELECT rendering, round(avg(d), 6) AS contrast, count(d) AS worlds FROM c GROUP BY rendering",
     "boot_ci_rates": f"{_BASE}, {_DRAWS}, b AS (SELECT rendering, replicate, sum(deny_to_allow * weight) / sum(weight) AS m FROM w JOIN draws USING (world_id) WHERE deny_to_allow IS NOT NULL GROUP BY ALL) SELECT rendering, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b GROUP BY rendering",
-    "boot_gap_p": f"{_BASE}, {_GAP}, {_DRAWS}, b AS (SELECT replicate, sum(diff * weight) / sum(weight) AS m FROM gap JOIN draws USING (world_id) WHERE diff IS NOT NULL GROUP BY replicate) SELECT best, worst, round(least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END))), 6)::DOUBLE AS p, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b, ends GROUP BY best, worst",
+    "boot_gap_p": f"{_BASE}, {_GAP}, {_DRAWS}, b AS (SELECT replicate, sum(diff * weight) / sum(weight) AS m FROM gap JOIN draws USING (world_id) WHERE diff IS NOT NULL GROUP BY replicate) SELECT best, worst, round(least(1.0, 2 * least(avg(CASE WHEN round(m, 12) <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN round(m, 12) >= 0 THEN 1.0 ELSE 0 END))), 6)::DOUBLE AS p, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b, ends GROUP BY best, worst",
     "contrast_tests": f"""{_BASE}, {_DRAWS}, c AS (SELECT rendering, world_id, accuracy - (sum(accuracy) OVER p - accuracy) / (count(accuracy) OVER p - 1) AS d FROM w WINDOW p AS (PARTITION BY world_id)),
 b AS (SELECT rendering, replicate, sum(d * weight) / sum(weight) AS m FROM c JOIN draws USING (world_id) GROUP BY ALL),
-t AS (SELECT rendering, least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END)))::DOUBLE AS p FROM b GROUP BY rendering),
+t AS (SELECT rendering, least(1.0, 2 * least(avg(CASE WHEN round(m, 12) <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN round(m, 12) >= 0 THEN 1.0 ELSE 0 END)))::DOUBLE AS p FROM b GROUP BY rendering),
 r AS (SELECT *, row_number() OVER (ORDER BY p, rendering) AS r, count(*) OVER () AS m FROM t)
 SELECT rendering, round(p, 6) AS p, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r), 6) AS p_holm, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS q FROM r""",
     "sign_permutation": f"""WITH {X.answers_sql()}, a AS (SELECT rendering, world_id, {_avg("category = 'correct'", "assignment = 'orig'")} - {_avg("category = 'correct'", "assignment = 'swap'")} AS diff FROM ans GROUP BY ALL),
@@ -285,7 +285,7 @@ SELECT rendering, CAST(sum(n) AS BIGINT) AS queries, round(sum(coalesce(t, 0)) /
     "garbage_in": f"""{_READ}, v AS (SELECT rendering, world_id, {_avg("category != 'correct'", "other NOT IN ('correct', 'parse_failure')")} AS a, {_avg("category != 'correct'", "other = 'correct'")} AS b,
   {_avg("category = 'correct' AND other != 'correct'")} AS c, {_avg("category != 'correct' AND other != 'correct'")} AS d, {_avg("other = 'parse_failure'")} AS e FROM both_ GROUP BY ALL)
 SELECT rendering, round(avg(a), 6) AS wrong_given_misread, round(avg(b), 6) AS wrong_given_read, round(avg(c), 6) AS right_though_misread, round(avg(d), 6) AS wrong_and_misread, round(avg(e), 6) AS unread FROM v GROUP BY rendering""",
-    "threshold_gate": f"{_BASE}, m AS (SELECT rendering, avg(accuracy) AS a, count(accuracy) AS n FROM w GROUP BY rendering) SELECT rendering, round(max(a) OVER () - a, 6) AS gap, CASE WHEN n < 20 THEN 'INCOMPLETE' WHEN max(a) OVER () - a >= 0.05 THEN 'FAIL' ELSE 'PASS' END AS gate FROM m",
+    "threshold_gate": f"{_BASE}, m AS (SELECT rendering, avg(accuracy) AS a, count(accuracy) AS n FROM w GROUP BY rendering) SELECT rendering, round(max(a) OVER () - a, 6) AS gap, CASE WHEN n < 20 THEN 'INCOMPLETE' WHEN round(max(a) OVER () - a, 6) >= 0.05 THEN 'FAIL' ELSE 'PASS' END AS gate FROM m",
     "rescore_changes": f'{_TWO} SELECT category AS "from", other AS "to", count(*) AS n FROM both_ GROUP BY ALL',
     "harm_rescue": f"""{_TWO}, v AS (SELECT rendering, world_id, {_avg("other != 'correct'", "category = 'correct'")} AS h, {_avg("other = 'correct'", "category != 'correct'")} AS r FROM both_ GROUP BY ALL)
 SELECT rendering, round(avg(h), 6) AS harm, round(avg(r), 6) AS rescue FROM v GROUP BY rendering""",

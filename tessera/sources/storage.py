@@ -24,7 +24,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, sha256, git_sha1) of every file below a folder. A file is read whole by one task."""
+    """(path, bytes, sha256, git_sha1) of every file below a folder. A file is read whole by one task; empty files are left out, as Spark's sources do."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     blob = F.concat(F.encode(F.concat(F.lit("blob "), F.col("length").cast("string")), "UTF-8"), F.unhex(F.lit("00")), F.col("content"))
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha1(blob).alias("git_sha1"))
