@@ -23,7 +23,8 @@ N = 10
 BROADCAST_WINDOWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same with capitals as letters, for texts as they are.
+_GAP_ANY_CASE, _LETTERS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -90,8 +91,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, remove: str = "
     found = _judged(docs, items, n)
     if remove == "documents":
         return found.where(F.size("_places") == 0).select(*docs.columns)
-    gaps = F.split("text", _LETTERS)
-    kept = F.array_remove(F.split("text", _GAP), "")
+    gaps = F.split("text", _LETTERS_ANY_CASE)
+    kept = F.array_remove(F.split("text", _GAP_ANY_CASE), "")
     pieces = F.transform(kept, lambda w, i: F.when(F.array_contains("_places", i + 1), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get(gaps, i + 1), F.lit("")))))
     cut = F.concat(F.coalesce(F.get(gaps, F.lit(0)), F.lit("")), F.array_join(pieces, ""))
     return found.withColumn("text", F.when(F.size("_places") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
