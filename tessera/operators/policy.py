@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: Rules up to which the rule table is broadcast (about 1 KB each).
 BROADCAST_RULES = 20_000
 OPERATORS = ("==", "!=", "<", "<=", ">", ">=")
@@ -42,13 +44,14 @@ def with_groups(entities: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 def in_scope(scope: Column, key: Column, kind: Column, groups: Column) -> Column:
     """Whether an entity (key, type, groups with itself) is within a scope."""
-    target = F.concat_ws("::", scope["entity"]["type"], scope["entity"]["id"])
+    target = F.concat(scope["entity"]["type"], F.lit("::"), scope["entity"]["id"])
+    name = scope["kind"]
     return (
-        F.when(scope["kind"] == "any", F.lit(True))
-        .when(scope["kind"] == "eq", key == target)
-        .when(scope["kind"] == "is", kind == scope["type"])
-        .when(scope["kind"] == "in", F.array_contains(groups, target))
-        .when(scope["kind"] == "is_in", (kind == scope["type"]) & F.array_contains(groups, target))
+        F.when(name == "any", F.lit(True))
+        .when(name == "eq", key == target)
+        .when(name == "is", kind == scope["type"])
+        .when(name == "in", F.array_contains(groups, target))
+        .when(name == "is_in", (kind == scope["type"]) & F.array_contains(groups, target))
     )
 
 
@@ -98,7 +101,8 @@ def evaluate(requests: DataFrame, rules: DataFrame) -> DataFrame:
         return in_scope(r["principal"], F.col("principal.key"), F.col("principal.type"), F.col("principal.groups")) & in_scope(r["resource"], F.col("resource.key"), F.col("resource.type"), F.col("resource.groups"))
 
     def holds(r: Column) -> Column:
-        return F.forall(r["conditions"], lambda c: F.coalesce(compare(resolve(c["left"], maps), c["op"], resolve(c["right"], maps)), F.lit(False)))
+        test = lambda c: let(resolve(c["left"], maps), lambda a: let(resolve(c["right"], maps), lambda b: compare(a, c["op"], b)))
+        return F.forall(r["conditions"], lambda c: F.coalesce(test(c), F.lit(False)))
 
     none = F.array().cast("array<string>")
     within = joined.withColumn("_scoped", F.filter("rules", scoped)).withColumn("_hit", F.filter("_scoped", holds))
