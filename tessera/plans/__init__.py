@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, policies, series, texts
+from . import answers, calls, policies, series, texts
 
-_MODULES = (policies, answers, texts, series)
+_MODULES = (policies, answers, texts, calls, series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
