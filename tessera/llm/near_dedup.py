@@ -10,7 +10,8 @@ register stays empty the limit is doubled, so limits never change values.
 Equal texts are one class member from the start. BANDS bands of ROWS registers miss a pair of similarity 0.8 with a probability of
 about 2e-6. Buckets never emit all pairs: each member is first compared with a leader that it shares most
 buckets with, verified pairs are joined to components, and then only members that a bucket still holds in different
-components are compared, against every member of other components, so that no link between different texts is lost. Verification counts the shared shingles of the whole texts.
+components are compared, in pairs where they are few and otherwise by an inverted index over the whole bucket, which emits only links that join
+components, so that no link between different texts is lost. Verification counts the shared shingles of the whole texts.
 
 Defined cases: rows without text, or without any word, are classes of their own. A document of fewer than five words is one shingle. Rows without a
 doc_id get no class and stay. Rows that repeat a doc_id share its class. Extra columns are ignored by `near_classes` and kept by `keep_one`.
@@ -33,6 +34,10 @@ SIMILARITY = 0.8
 REGISTERS = 100
 ROWS = 4
 BANDS = REGISTERS // ROWS
+#: Members up to which what a bucket still holds apart is paired up; larger buckets are searched whole, block by block.
+SMALL_BUCKET = 12
+BLOCK_MEMBERS = 2048
+BLOCK_SHINGLES = 1_000_000
 
 
 def _shingles(texts: pa.Array, k: int = SHINGLE):
@@ -111,24 +116,25 @@ def _banded(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in ("doc_id", "d1", "d2")), pa.array(total), bands], names=["doc_id", "d1", "d2", "n", "bands"])
 
 
+def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted shingles, counts) of each text."""
+    out = []
+    for row, end, r, h, w in _shingles(texts):
+        bounds = np.searchsorted(r, np.arange(end - row + 1))
+        out += [(h[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]) for i in range(end - row)]
+    return out
+
+
 def _verified(similarity: float):
     """Rows of a group (leader, salt): first the leader's text (member null), then its members; emits linked pairs."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def bags(texts: list[str]):
-        out = [None] * len(texts)
-        for row, end, r, h, w in _shingles(pa.array(texts, pa.string())):
-            bounds = np.searchsorted(r, np.arange(end - row + 1))
-            for i in range(end - row):
-                out[row + i] = h[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]
-        return out
-
     def run(batches):
         leader, bag, size = None, None, 0
         for batch in batches:
             leaders, members = batch.column("leader").to_pylist(), batch.column("member").to_pylist()
             us, vs = [], []
-            for u, v, own in zip(leaders, members, bags(batch.column("text").to_pylist())):
+            for u, v, own in zip(leaders, members, _bags(batch.column("text"))):
                 if v is None:
                     leader, bag, size = u, own, int(own[1].sum())
                     continue
@@ -157,6 +163,71 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(_verified(similarity), "u long, v long")
 
 
+def bucket_links(bags: list, comps: list, similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) of linked members in different components, no more of them than join the components up.
+
+    Overlaps of a member with all later ones are summed over an inverted index of the shingles.
+    """
+    sizes = np.array([int(w.sum()) for _, w in bags])
+    doc = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+    shingle, weight = np.concatenate([h for h, _ in bags]), np.concatenate([w for _, w in bags])
+    order = np.argsort(shingle, kind="stable")
+    shingle, doc, weight = shingle[order], doc[order], weight[order]
+    parent = {c: c for c in comps}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    links = []
+    for i, (h, w) in enumerate(bags):
+        lo, hi = np.searchsorted(shingle, h), np.searchsorted(shingle, h, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + C.spread(n)
+        shared = np.bincount(doc[at], np.minimum(weight[at], np.repeat(w, n)), len(bags))
+        near = np.flatnonzero(shared >= similarity * (sizes[i] + sizes - shared) - 1e-9)
+        for j in near[near > i].tolist():
+            a, b = root(comps[i]), root(comps[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((i, j))
+    return links
+
+
+def _large_buckets(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) across components of buckets too large to pair up: whole blocks of members meet in a task, which emits joining links only.
+
+    A bucket is one block while it holds at most BLOCK_MEMBERS members and BLOCK_SHINGLES shingles; beyond that it is dealt to
+    blocks by hash, and each pair of blocks is a group.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.withColumn("g", blocks).withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("band", "h", F.least("b", "x").alias("p"), F.greatest("b", "x").alias("q"), "id", "comp").distinct()
+    rows = dealt.join(texts, "id").repartition("band", "h", "p", "q").sortWithinPartitions("band", "h", "p", "q", "id").select("band", "h", "p", "q", "id", "comp", "text")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        key, ids, comps, bags = None, [], [], []
+
+        def flush():
+            links = bucket_links(bags, comps, similarity) if len(ids) > 1 else []
+            return C.batch_of(schema, [[min(ids[i], ids[j]) for i, j in links], [max(ids[i], ids[j]) for i, j in links]])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "h", "p", "q")))
+            for k, i, c, bag in zip(keys, batch.column("id").to_pylist(), batch.column("comp").to_pylist(), _bags(batch.column("text"))):
+                if k != key and ids:
+                    yield flush()
+                    ids, comps, bags = [], [], []
+                key = k
+                ids.append(i), comps.append(c), bags.append(bag)
+        if ids:
+            yield flush()
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
 def _sized(pairs: DataFrame) -> DataFrame:
     """Add the number of members of each leader."""
     return pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("of")), "leader")
@@ -183,12 +254,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = C.checkpoint(buckets.join(comps, buckets["id"] == comps["node"], "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("comp")))
     mixed = placed.groupBy("band", "h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("band", "h")
     open_ = placed.join(mixed, ["band", "h"])
-    largest = open_.groupBy("band", "h", "comp").count().groupBy("band", "h").agg(F.max(F.struct("count", "comp")).alias("m")).select("band", "h", F.col("m.comp").alias("largest"))
-    some = open_.join(largest, ["band", "h"]).where("comp != largest").select("band", "h", F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"))
-    across = some.join(open_, ["band", "h"]).where("comp != leader_comp").where(fits)
+    sizes = open_.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    open_ = open_.join(sizes, ["band", "h"])
+    few = open_.where(F.col("members") <= SMALL_BUCKET)
+    some = few.select("band", "h", F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"))
+    across = some.join(few, ["band", "h"]).where("comp > leader_comp").where(fits)
     pairs = across.select(F.least("id", "leader").alias("leader"), F.greatest("id", "leader").alias("member")).distinct()
     tried = best.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     second = verify(_sized(pairs.join(tried, ["leader", "member"], "left_anti")), texts, similarity)
+    second = second.unionAll(_large_buckets(open_.where(F.col("members") > SMALL_BUCKET), texts, similarity))
     second = C.checkpoint(second)
     ends = components(first.unionAll(second)) if not second.isEmpty() else comps
     of_text = distinct.select("d1", "d2", "id").join(ends, distinct["id"] == ends["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("class_id"))
