@@ -125,6 +125,28 @@ def rendering_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("effect").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") == F.col("rule")).alias("sentences"), F.count_if(F.col("t") == F.col("rule")).alias("rows"), F.sum(F.length("sentence")).alias("sentence_chars"), F.sum(F.length("row")).alias("row_chars"))
 
 
+def rendering_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as JSON, as duties and as code, whether the first two read back, and that spoilt forms do not."""
+    parts = [F.col(c) for c in ("effect", "group", "actions", "kind")]
+    rule = F.struct(parts[0], parts[1], F.array_sort("actions").alias("actions"), parts[3])
+    own = _rules(spark, sf_dir).withColumn("rule", rule).withColumn("j", X.rule_json(*parts)).withColumn("d", X.rule_duties(*parts))
+    spoilt = F.regexp_replace("d", "lets", "suffers")
+    back = own.withColumn("code", X.rule_code(F.col("group"), *parts))
+    return back.groupBy("effect").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.json_rule(F.col("j")) == F.col("rule")).alias("json"), F.count_if(X.duties_rule(F.col("d")) == F.col("rule")).alias("duties"), F.count(X.duties_rule(spoilt)).alias("spoilt"), F.sum(F.size(F.split("code", "\n"))).alias("code_lines"))
+
+
+def rule_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule sets of nations against perturbed ones: exact by normal form, equivalent if no request of the closed universe is decided otherwise."""
+    seg = Fx.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg((F.count(F.lit(1)) % 12).alias("limit"))
+    shifted = F.when((F.col("c_nationkey") % 3 == 0) & (F.length("c_mktsegment") % 2 == 0), F.col("limit") + 1).otherwise(F.col("limit"))
+    rule = lambda c: F.struct(F.lit("permit").alias("effect"), F.col("c_mktsegment").alias("group"), F.array(c.cast("string")).alias("actions"), F.lit("part").alias("kind"))
+    sets = seg.groupBy("c_nationkey").agg(F.collect_list(rule(F.col("limit"))).alias("gold"), F.collect_list(rule(shifted)).alias("given"))
+    exact = sets.select("c_nationkey", (X.normal_form(F.col("gold")) == X.normal_form(F.col("given"))).alias("exact"))
+    universe = seg.withColumn("shifted", shifted).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    differ = universe.groupBy("c_nationkey").agg(F.count_if((F.col("q") < F.col("limit")) != (F.col("q") < F.col("shifted"))).alias("differ"), F.count(F.lit(1)).alias("requests"))
+    return exact.join(differ, "c_nationkey").groupBy("exact", (F.col("differ") == 0).alias("equivalent")).agg(F.count(F.lit(1)).alias("n"), F.sum("differ").alias("differ"), F.sum("requests").alias("requests"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An access document for each nation, with what varies taken from its key."""
     nation = Fx.table(spark, sf_dir, "nation").select("n_nationkey")
@@ -242,6 +264,11 @@ SELECT c_mktsegment, CASE WHEN c_nationkey % 4 = 0 OR a = b THEN 'parse_failure'
     "rendering_round_trips": """WITH r AS (SELECT c_nationkey, c_mktsegment, CASE WHEN min(c_acctbal) < -500 THEN 'forbid' ELSE 'permit' END AS effect, count(*) % 2 = 0 AS two FROM customer GROUP BY ALL)
 SELECT effect, count(*) AS n, count(*) AS sentences, count(*) AS rows, CAST(sum(length('Members of nation_' || c_nationkey || CASE effect WHEN 'permit' THEN ' may ' ELSE ' must not ' END || CASE WHEN two THEN 'audit or view' ELSE 'view' END || ' any ' || c_mktsegment || '.')) AS BIGINT) AS sentence_chars,
   CAST(sum(length('| ' || effect || ' | nation_' || c_nationkey || ' | ' || CASE WHEN two THEN 'audit, view' ELSE 'view' END || ' | ' || c_mktsegment || ' |')) AS BIGINT) AS row_chars FROM r GROUP BY effect""",
+    "rendering_forms": """WITH r AS (SELECT c_nationkey, c_mktsegment, CASE WHEN min(c_acctbal) < -500 THEN 'forbid' ELSE 'permit' END AS effect FROM customer GROUP BY ALL)
+SELECT effect, count(*) AS n, count(*) AS json, count(*) AS duties, CASE effect WHEN 'permit' THEN 0 ELSE count(*) END AS spoilt, CAST(sum(6) AS BIGINT) AS code_lines FROM r GROUP BY effect""",
+    "rule_equivalence": """WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) % 12 AS l, count(*) % 12 + CASE WHEN c_nationkey % 3 = 0 AND length(c_mktsegment) % 2 = 0 THEN 1 ELSE 0 END AS m FROM customer GROUP BY ALL),
+n AS (SELECT c_nationkey, bool_and(l = m) AS exact, count(*) FILTER ((q < l) != (q < m)) AS d, count(*) AS r FROM s, (SELECT unnest(range(0, 10)) AS q) GROUP BY c_nationkey)
+SELECT exact, d = 0 AS equivalent, count(*) AS n, CAST(sum(d) AS BIGINT) AS differ, CAST(sum(r) AS BIGINT) AS requests FROM n GROUP BY ALL""",
     "iam_decide": f"WITH {_DOC} SELECT action, CASE WHEN d3 THEN 'deny' WHEN a1 OR a2 OR a4 THEN 'allow' ELSE 'deny' END AS decision, count(*) AS n FROM m GROUP BY ALL",
     "iam_unsupported": """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'effect' WHEN c_custkey % 7 = 0 THEN 'action' WHEN c_custkey % 3 = 0 THEN 'resource' WHEN c_custkey % 2 = 0 THEN 'condition' END AS reason FROM customer) WHERE reason IS NOT NULL GROUP BY reason""",
     "vocabulary_overlap": """WITH b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark), d AS (SELECT DISTINCT source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
@@ -259,4 +286,4 @@ SELECT source, max(n_chars) FILTER (i = least(CAST(floor(0.1 * n) AS BIGINT), n
 SELECT '*.' || suffix AS pattern, min(host) AS witness, count(*) AS covered FROM s WHERE host LIKE '%.' || suffix GROUP BY suffix""",
 }
 
-QUERIES = {f.__name__: f for f in (_short(1), _short(2), lenient_selection, parse_json_answer, last_json_answer, interpretation_answers, channel_split, canonical_props, rendering_round_trips, iam_decide, iam_unsupported, vocabulary_overlap, prefix_budget, world_split, manifest_check, source_digests, order_statistics, url_witness)}
+QUERIES = {f.__name__: f for f in (_short(1), _short(2), lenient_selection, parse_json_answer, last_json_answer, interpretation_answers, channel_split, canonical_props, rendering_round_trips, rendering_forms, rule_equivalence, iam_decide, iam_unsupported, vocabulary_overlap, prefix_budget, world_split, manifest_check, source_digests, order_statistics, url_witness)}
