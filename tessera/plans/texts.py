@@ -266,7 +266,7 @@ SELECT effect, count(*) AS n, count(*) AS sentences, count(*) AS rows, CAST(sum(
   CAST(sum(length('| ' || effect || ' | nation_' || c_nationkey || ' | ' || CASE WHEN two THEN 'audit, view' ELSE 'view' END || ' | ' || c_mktsegment || ' |')) AS BIGINT) AS row_chars FROM r GROUP BY effect""",
     "rendering_forms": """WITH r AS (SELECT c_nationkey, c_mktsegment, CASE WHEN min(c_acctbal) < -500 THEN 'forbid' ELSE 'permit' END AS effect FROM customer GROUP BY ALL)
 SELECT effect, count(*) AS n, count(*) AS json, count(*) AS duties, CASE effect WHEN 'permit' THEN 0 ELSE count(*) END AS spoilt, CAST(sum(6) AS BIGINT) AS code_lines FROM r GROUP BY effect""",
-    "rule_equivalence": """WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) % 12 AS l, count(*) % 12 + CASE WHEN c_nationkey % 3 = 0 AND length(c_mktsegment) % 2 = 0 THEN 1 ELSE 0 END AS m FROM customer GROUP BY ALL),
+    "rule_equivalence": """WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) % 12 AS l, count(*) % 12 + CASE WHEN c_nationkey % 3 = 0 AND length(c_mktsegment) % 2 = 0 THEN 1 ELSE 0 END AS m FROM customer GROUP BY c_nationkey, c_mktsegment),
 n AS (SELECT c_nationkey, bool_and(l = m) AS exact, count(*) FILTER ((q < l) != (q < m)) AS d, count(*) AS r FROM s, (SELECT unnest(range(0, 10)) AS q) GROUP BY c_nationkey)
 SELECT exact, d = 0 AS equivalent, count(*) AS n, CAST(sum(d) AS BIGINT) AS differ, CAST(sum(r) AS BIGINT) AS requests FROM n GROUP BY ALL""",
     "iam_decide": f"WITH {_DOC} SELECT action, CASE WHEN d3 THEN 'deny' WHEN a1 OR a2 OR a4 THEN 'allow' ELSE 'deny' END AS decision, count(*) AS n FROM m GROUP BY ALL",
