@@ -13,7 +13,7 @@ Everything is a narrow map over rows: no shuffle, and a task holds one Arrow bat
 
 from __future__ import annotations
 
-import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,22 +32,23 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _T = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "rows_per_strip": 278, "strip_counts": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_counts": 325}
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + run
-        while end < n and end - at < 128 and not (end + 2 < n and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out += bytes((end - at - 1,)) + data[at:end]
-        at = end
-    return bytes(out)
+    out, at = [], 0
+
+    def plain(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(end, i + 128)]
+            out.append(bytes((len(part) - 1,)) + part)
+
+    for run in _RUN.finditer(data):
+        plain(run.start())
+        at = run.end()
+        out.append(bytes((257 - (at - run.start()), data[run.start()])))
+    plain(len(data))
+    return b"".join(out)
 
 
 def packbits_decode(data: bytes, size: int) -> bytes:
@@ -65,71 +66,76 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: Codes between two clear codes, and the width in bits of each: one more once the table has grown to its last code.
+_LZW_RUN = 4094 - 258 + 1
+_LZW_WIDTHS = np.array([max(9, (259 + j - 1).bit_length()) for j in range(_LZW_RUN)])
+_LZW_ENDS = np.r_[0, np.cumsum(_LZW_WIDTHS)]
+
+
+def _bits(codes: np.ndarray, width: int) -> np.ndarray:
+    return (codes[:, None] >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8).reshape(-1)
+
+
 def lzw_encode(data: bytes) -> bytes:
-    bits, held, out = 0, 0, bytearray()
-    codes: dict[bytes, int] = {}
-    free, width, word = 258, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(256)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if len(longer) == 1 or longer in codes:
-            word = longer
+    runs, codes, table, free, code = [], [], {}, 258, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        key = code << 8 | byte
+        known = table.get(key)
+        if known is not None:
+            code = known
             continue
-        put(word[0] if len(word) == 1 else codes[word])
-        codes[longer] = free
-        free += 1
+        codes.append(code)
+        table[key] = free
+        free, code = free + 1, byte
         if free == 4094:
-            put(256)
-            codes, free, width = {}, 258, 9
-        elif free + 1 > 1 << width:
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(word[0] if len(word) == 1 else codes[word])
-        if free + 2 > 1 << width and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            runs.append([*codes, 256])
+            codes, table, free = [], {}, 258
+    runs.append([*codes, *([code] if code >= 0 else []), 257])
+    parts = [_bits(np.array([256]), 9)]
+    for run in runs:
+        values, widths = np.array(run), _LZW_WIDTHS[: len(run)]
+        parts += [_bits(values[widths == w], w) for w in range(9, 13)]
+    return np.packbits(np.concatenate(parts)).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
-    words: list[bytes] = []
-    plain = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, held, bits, width, last = [], 0, 0, 9, None
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            words, width, last = plain.copy(), 9, None
-            continue
-        if last is None:
-            word = words[code]
-        else:
-            word = words[code] if code < len(words) else last + last[:1]
-            words.append(last + word[:1])
-            if len(words) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(word)
-        last = word
-    return b"".join(out)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    at, out = 9, []  # past the first clear code
+    single = [bytes((i,)) for i in range(256)] + [b"", b""]
+    while True:
+        n = int(np.searchsorted(_LZW_ENDS, len(bits) - at, "right")) - 1
+        codes = np.concatenate([bits[at + lo : at + hi].reshape(-1, w) @ (1 << np.arange(w - 1, -1, -1)) for w, lo, hi in _lzw_spans(n)]) if n else np.zeros(0, np.int64)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        if not len(stop):
+            raise ValueError("LZW data end without an end code")
+        words, last = single.copy(), b""
+        for code in codes[: stop[0]].tolist():
+            if code < len(words):
+                word = words[code]
+            elif code == len(words) and last:
+                word = last + last[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            if last:
+                words.append(last + word[:1])
+            out.append(word)
+            last = word
+        if codes[stop[0]] == 257:
+            return b"".join(out)
+        at += int(_LZW_ENDS[stop[0] + 1])
+
+
+def _lzw_spans(n: int) -> list[tuple[int, int, int]]:
+    """(width, first bit, end bit) of the first n codes of a run."""
+    spans = []
+    for width in range(9, 13):
+        own = np.flatnonzero(_LZW_WIDTHS[:n] == width)
+        if len(own):
+            spans.append((width, int(_LZW_ENDS[own[0]]), int(_LZW_ENDS[own[-1] + 1])))
+    return spans
 
 
 def _pack(data: bytes, compression: int) -> bytes:
@@ -291,14 +297,16 @@ def decode_pages(df: DataFrame, key: str, image: str) -> DataFrame:
 def text_image(payload: bytes) -> bytes:
     """The TIFF that stores a payload of a positive multiple of WIDTH bytes; the form depends on its size alone.
 
-    Pages of up to two rows are packed with PackBits, up to six with LZW in tiles, larger ones with deflate in strips
-    after horizontal differencing.
+    Pages of up to two rows are packed with PackBits, up to six with LZW, up to 48 with deflate in tiles, larger ones
+    with deflate in strips after horizontal differencing.
     """
     page = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     if len(page) <= 2:
         return encode_tiff([page], PACKBITS)
     if len(page) <= 6:
-        return encode_tiff([page], LZW, tile=(16, 64))
+        return encode_tiff([page], LZW)
+    if len(page) <= 48:
+        return encode_tiff([page], DEFLATE, tile=(16, 192))
     return encode_tiff([page], DEFLATE, predictor=2)
 
 
