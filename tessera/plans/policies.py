@@ -120,6 +120,17 @@ def renamed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.evaluate(X.sales_requests(spark, sf_dir), rules).groupBy("action", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+def decisive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with the number of requests that each decides alone; dead rules have none."""
+    rules = X.sales_rules(spark).select("policy_id", F.col("rule.rule_id").alias("rule_id"))
+    found = P.decisive_rules(X.decided(spark, sf_dir))
+    return rules.join(found, ["policy_id", "rule_id"], "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.conflicts(X.decided(spark, sf_dir)).select("permit", "forbid", "n")
+
+
 def _renamed_sql() -> str:
     sql = X.SALES_SQL
     for old, new in (("r_name = 'EUROPE'", "r_name = (SELECT n FROM nr WHERE o = 'EUROPE')"), ("r_name = 'ASIA'", "r_name = (SELECT n FROM nr WHERE o = 'ASIA')"), ("n_nationkey = 3", "n_nationkey = (SELECT coalesce(min(n_nationkey), (SELECT min(n_nationkey) FROM nation)) FROM nation WHERE n_nationkey > 3)")):
@@ -178,7 +189,15 @@ s AS (SELECT DISTINCT p_brand AS policy_id, split_part(p_type, ' ', 1) AS x FROM
 SELECT policy_id, 'size' AS key, coalesce((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM i WHERE i.policy_id = b.policy_id), '0') AS options FROM b
 UNION ALL SELECT policy_id, 'kind', coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM s WHERE s.policy_id = b.policy_id) || ',', '') || '~other' FROM b
 UNION ALL SELECT policy_id, 'new', 'false,true' FROM b""",
+    "decisive_rules": f"""WITH {X.SALES_SQL},
+k AS (SELECT *, m1::INT + m2::INT + m4::INT + m6::INT + m7::INT AS p, m3::INT + m5::INT AS f FROM dec)
+SELECT rule_id, count(*) FILTER (CASE rule_id WHEN 'r1' THEN m1 AND p = 1 AND f = 0 WHEN 'r2' THEN m2 AND p = 1 AND f = 0 WHEN 'r4' THEN m4 AND p = 1 AND f = 0 WHEN 'r6' THEN m6 AND p = 1 AND f = 0
+  WHEN 'r7' THEN m7 AND p = 1 AND f = 0 WHEN 'r3' THEN m3 AND f = 1 AND p > 0 ELSE m5 AND f = 1 AND p > 0 END) AS n FROM k, (VALUES ('r1'), ('r2'), ('r3'), ('r4'), ('r5'), ('r6'), ('r7')) v(rule_id) GROUP BY rule_id""",
+    "rule_conflicts": f"""WITH {X.SALES_SQL}, p AS (
+  SELECT a.permit, b.forbid FROM dec, LATERAL (SELECT unnest(list_filter([CASE WHEN m1 THEN 'r1' END, CASE WHEN m2 THEN 'r2' END, CASE WHEN m4 THEN 'r4' END, CASE WHEN m6 THEN 'r6' END, CASE WHEN m7 THEN 'r7' END], lambda x: x IS NOT NULL)) AS permit) a,
+    LATERAL (SELECT unnest(list_filter([CASE WHEN m3 THEN 'r3' END, CASE WHEN m5 THEN 'r5' END], lambda x: x IS NOT NULL)) AS forbid) b)
+SELECT permit, forbid, count(*) AS n FROM p GROUP BY ALL""",
     "renamed_rules": f"WITH {_renamed_sql()} SELECT action, decision, count(*) AS n FROM dec GROUP BY ALL",
 }
 
-QUERIES = {f.__name__: f for f in (policy_decide, policy_governing, policy_owners, membership_closure, policy_violations, policy_tiers, universe_boundary, balanced_sample, non_degenerate, name_rotation, cap_per_group, dedup_keep_first, context_values, renamed_rules)}
+QUERIES = {f.__name__: f for f in (policy_decide, policy_governing, policy_owners, membership_closure, policy_violations, policy_tiers, universe_boundary, balanced_sample, non_degenerate, name_rotation, cap_per_group, dedup_keep_first, context_values, renamed_rules, decisive_rules, rule_conflicts)}
