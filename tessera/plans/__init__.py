@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, calls, policies, series, texts
+from . import answers, calls, policies, series, studies, texts
 
-_MODULES = (policies, answers, texts, calls, series)
+_MODULES = (policies, answers, texts, calls, series, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calls as K
+from ..functions import schema_check as J
 from . import fixtures as X
 
 _SPEC = '{"name": "log.write", "parameters": {"properties": {"user": {"type": "integer"}, "kind": {"type": "string"}, "value": {"type": "float"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["user", "kind"]}}'
@@ -53,7 +54,18 @@ def prompt_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"), F.sum(F.length("prompt")).alias("chars"), F.sum(F.size("b.context")).alias("context_items"))
 
 
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties against schemas: a closed object with an integer, an enumeration, and one whose keys must not repeat."""
+    own = X.table(spark, sf_dir, "events").select("event_type", "props")
+    whole = {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"], "additionalProperties": False}
+    few = {"properties": {"k": {"$ref": "#/$defs/few"}}, "$defs": {"few": {"enum": list(range(0, 100, 3))}}}
+    twice = F.when(F.col("props").endswith("7}"), F.concat(F.lit('{"k": 1, '), F.substring("props", F.lit(2), F.length("props")))).otherwise(F.col("props"))
+    read = own.withColumns({"a": J.meets(F.col("props"), whole), "b": J.meets(F.col("props"), few), "c": J.meets(twice, whole, True), "d": J.meets(F.concat("props", F.lit("!")), whole)})
+    return read.groupBy("event_type").agg(*(F.count_if(c).alias(n) for c, n in zip("abcd", ("whole", "few", "unique_keys", "trailing"))))
+
+
 SQL = {
+    "schema_checks": """SELECT event_type, count(*) AS whole, count(*) FILTER (regexp_extract(props, '([0-9]+)')::INT % 3 = 0) AS few, count(*) FILTER (props NOT LIKE '%7}') AS unique_keys, 0 AS trailing FROM events GROUP BY event_type""",
     "function_calls": """SELECT event_type, ['right', 'name', 'type', 'missing required', 'value', 'unexpected', 'missing optional', 'unreadable', 'count'][CAST(event_id % 9 + 1 AS INTEGER)] AS result, count(*) AS n FROM events GROUP BY ALL""",
     "agent_turns": """WITH k AS (SELECT length(coalesce(text, '')) % 5 AS k, '{"resource": "r' || (conv_id % 10) || '"}' AS item FROM conversations)
 SELECT CASE k WHEN 0 THEN 'delete' WHEN 1 THEN 'read' END AS tool, CASE WHEN k < 2 THEN item END AS arguments, count(*) AS n FROM k GROUP BY ALL""",
@@ -62,4 +74,4 @@ SELECT CASE k WHEN 0 THEN 'delete' WHEN 1 THEN 'read' END AS tool, CASE WHEN k <
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag""",
 }
 
-QUERIES = {f.__name__: f for f in (function_calls, agent_turns, prompt_round_trips)}
+QUERIES = {f.__name__: f for f in (function_calls, agent_turns, prompt_round_trips, schema_checks)}

@@ -131,6 +131,26 @@ def rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.conflicts(X.decided(spark, sf_dir)).select("permit", "forbid", "n")
 
 
+def drawn_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random policy for each customer segment and nation, over a closed universe of its regions' groups and the part sizes: how many pass the bar, and why not."""
+    from ..operators import generate as G
+
+    ids = X.table(spark, sf_dir, "customer").select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("policy_id")).distinct()
+    regions = [r[0] for r in X.table(spark, sf_dir, "region").select("r_name").distinct().orderBy("r_name").limit(100).collect()]  # a handful
+    rules = G.draw_rules(ids, regions, ["audit", "return", "view"], "nation", "part", "size", 50, seed=5)
+    nations = X.table(spark, sf_dir, "nation").join(X.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.concat(F.lit("nation::"), F.col("n_nationkey").cast("string"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<t:string,s:string,i:bigint,b:boolean>>"))
+    who = nations.select(F.struct(key.alias("key"), F.lit("nation").alias("type"), F.array(key, F.concat(F.lit("group::"), "r_name")).alias("groups"), none.alias("attrs")).alias("principal"))
+    sizes = X.table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("s")).distinct().where("s % 10 = 5")
+    what = sizes.select(F.struct(F.concat(F.lit("part::"), F.col("s").cast("string")).alias("key"), F.lit("part").alias("type"), F.array(F.lit("part")).alias("groups"), F.create_map(F.lit("size"), F.struct(F.lit("int").alias("t"), F.lit(None).cast("string").alias("s"), F.col("s").alias("i"), F.lit(None).cast("boolean").alias("b"))).alias("attrs")).alias("resource"))
+    acts = ids.select("policy_id", F.explode(F.array(*map(F.lit, ("audit", "return", "view")))).alias("action"))
+    requests = P.universe(ids.join(F.broadcast(who)), acts, ids.join(F.broadcast(what)), ids.withColumn("context", none))  # 25 nations and 5 sizes
+    decided = P.evaluate(requests, rules).withColumn("who", F.col("principal.key")).withColumn("what", F.col("resource.key"))
+    marked = P.boundary(decided, ["policy_id"], ["who", "action", "what"])
+    return G.keep_reason(marked, rules, 4).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _renamed_sql() -> str:
     sql = X.SALES_SQL
     for old, new in (("r_name = 'EUROPE'", "r_name = (SELECT n FROM nr WHERE o = 'EUROPE')"), ("r_name = 'ASIA'", "r_name = (SELECT n FROM nr WHERE o = 'ASIA')"), ("n_nationkey = 3", "n_nationkey = (SELECT coalesce(min(n_nationkey), (SELECT min(n_nationkey) FROM nation)) FROM nation WHERE n_nationkey > 3)")):
@@ -200,4 +220,4 @@ SELECT permit, forbid, count(*) AS n FROM p GROUP BY ALL""",
     "renamed_rules": f"WITH {_renamed_sql()} SELECT action, decision, count(*) AS n FROM dec GROUP BY ALL",
 }
 
-QUERIES = {f.__name__: f for f in (policy_decide, policy_governing, policy_owners, membership_closure, policy_violations, policy_tiers, universe_boundary, balanced_sample, non_degenerate, name_rotation, cap_per_group, dedup_keep_first, context_values, renamed_rules, decisive_rules, rule_conflicts)}
+QUERIES = {f.__name__: f for f in (policy_decide, policy_governing, policy_owners, membership_closure, policy_violations, policy_tiers, universe_boundary, balanced_sample, non_degenerate, name_rotation, cap_per_group, dedup_keep_first, context_values, renamed_rules, decisive_rules, rule_conflicts, drawn_policies)}
