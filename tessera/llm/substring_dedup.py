@@ -35,7 +35,7 @@ MIN_WORDS = 20
 #: Words of a sample point. Every window of MIN_WORDS words holds MIN_WORDS - ANCHOR + 1 candidates.
 ANCHOR = 8
 #: Segments of a group up to which a task builds the subtree itself (about 200 bytes each).
-GROUP_SEGMENTS = 20_000
+GROUP_SEGMENTS = 50_000
 
 _ANCHORS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("seen", pa.int32())])
 _SEGMENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("window", pa.binary())])
@@ -213,6 +213,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _exchanged(docs: DataFrame) -> DataFrame:
+    """(doc, body) of the rows that have an id. Renamed for every join alike, or Spark would not see that one exchange serves them all."""
+    return _keyed(docs).where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """(doc_id, start, n): word spans made of windows whose words also start earlier. Spans of a document may overlap."""
     anchor = min(ANCHOR, max(1, min_words // 2))
@@ -224,13 +229,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments:
     def cut(hot: bool) -> DataFrame:
         mine = points.drop("seen").join(shared.where("hot" if hot else "not hot").select("key"), "key")
         by_doc = mine.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("points"))
-        return own.join(by_doc, "doc_id").select("doc_id", "text", "points").mapInArrow(_cut_segments(min_words, hot), "key long, doc_id long, start int, words string, window binary")
+        return _exchanged(docs).join(by_doc, F.col("doc") == F.col("doc_id")).select("doc", "body", "points").mapInArrow(_cut_segments(min_words, hot), "key long, doc_id long, start int, words string, window binary")
 
     cold = cut(False).select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
     spans = cold.mapInArrow(_later_copies(min_words), "doc_id long, start int, n int")
     if shared.where("hot").isEmpty():
         return spans
-    windows = C.checkpoint(cut(True).select("window", "doc_id", "start"))
+    # Made twice over, but in one plan with the rest, so that all read one exchange of the texts.
+    windows = cut(True).select("window", "doc_id", "start")
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hot = windows.join(earliest, "window").where("doc_id != least.doc_id or start != least.start").select("doc_id", "start", F.lit(min_words).alias("n"))
     return spans.unionAll(hot)
@@ -240,7 +246,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, group_segments
     """Per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256, removed spans."""
     spans = repeated_spans(docs, min_words, group_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     own = _keyed(docs)
-    judged = own.where("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    judged = _exchanged(docs).join(spans, F.col("doc") == F.col("doc_id"), "left").select(F.col("doc").alias("doc_id"), F.col("body").alias("text"), "spans")
     # Rows without an id keep apart, so that every join above reads one and the same exchange of the texts.
     unjudged = own.where("doc_id is null").withColumn("spans", F.lit(None).cast(judged.schema["spans"].dataType))
     return judged.unionAll(unjudged).mapInPandas(_apply, _REPORT)
