@@ -265,6 +265,8 @@ k AS (SELECT rendering, k, avg(CASE WHEN ('0x' || substr(md5('7|' || k || '|' ||
 o AS (SELECT rendering, count(diff) AS n, avg(diff) AS mean FROM a GROUP BY rendering)
 SELECT rendering, n, round(mean, 6) AS mean, round((count(*) FILTER (abs(m) >= abs(mean) - 1e-12) + 1) / {REPLICATES + 1}, 6) AS p FROM k JOIN o USING (rendering) GROUP BY rendering, n, mean""",
     "mcnemar_counts": f"{_TWO} SELECT rendering, count(*) FILTER (category = 'correct' AND other != 'correct') AS b, count(*) FILTER (category != 'correct' AND other = 'correct') AS c, count(*) FILTER (category = 'correct' AND other = 'correct') AS both, count(*) AS n FROM both_ GROUP BY rendering",
+    "mcnemar_exact": f"""{_TWO}, n AS (SELECT rendering, count(*) FILTER (category = 'correct' AND other != 'correct') AS b, count(*) FILTER (category != 'correct' AND other = 'correct') AS c FROM both_ GROUP BY rendering)
+SELECT rendering, b, c, round(CASE WHEN b + c = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 9) AS p FROM n""",
     "spearman_avg_rank": f"""{_BASE}, s AS (SELECT source AS world_id, floor(avg(n_chars) / 100) AS size FROM documents GROUP BY source),
 p AS (SELECT rendering, size AS x, round(accuracy, 2) AS y FROM w JOIN s USING (world_id)),
 r AS (SELECT rendering, rank() OVER (PARTITION BY rendering ORDER BY x) + (count(*) OVER (PARTITION BY rendering, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY rendering ORDER BY y) + (count(*) OVER (PARTITION BY rendering, y) - 1) / 2.0 AS ry FROM p)

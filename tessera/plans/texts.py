@@ -253,6 +253,8 @@ m AS (
 SQL = {
     "parse_short_answer_v1": f"WITH {_ANSWERS.replace('{v2}', 'false').replace('{fold}', 's')} SELECT category, CASE WHEN s IN ('allow', 'deny') THEN s END AS selected, count(*) AS n FROM c GROUP BY ALL",
     "parse_short_answer_v2": f"WITH {_ANSWERS.replace('{v2}', 'true').replace('{fold}', _FOLD)} SELECT category, CASE WHEN s IN ('allow', 'deny') THEN s END AS selected, count(*) AS n FROM c GROUP BY ALL",
+    "lenient_selection": f"""WITH {_ANSWERS.replace('{v2}', 'true').replace('{fold}', _FOLD)}, l AS (SELECT *, regexp_matches(s, '(^|[^\\w.])allow([^\\w]|$)') AS a, regexp_matches(s, '(^|[^\\w.])deny([^\\w]|$)') AS d FROM c)
+SELECT category, CASE WHEN s IN ('allow', 'deny') THEN s WHEN a AND NOT d THEN 'allow' WHEN d AND NOT a THEN 'deny' END AS lenient, count(*) AS n FROM l GROUP BY ALL""",
     "parse_json_answer": f"""WITH {_OBJECTS} SELECT CASE WHEN k IN (3, 5) THEN 'parse_failure' WHEN d = label THEN 'correct' ELSE 'incorrect' END AS category, CASE WHEN k NOT IN (3, 5) THEN d END AS value, count(*) AS n FROM o GROUP BY ALL""",
     "last_json_answer": """WITH o AS (SELECT length(coalesce(text, '')) % 7 AS k, turn, CASE WHEN turn % 2 = 0 THEN 'allow' ELSE 'deny' END AS d, CASE WHEN length(coalesce(text, '')) % 3 = 0 THEN 'allow' ELSE 'deny' END AS label FROM conversations),
 v AS (SELECT label, CASE WHEN turn % 3 = 0 THEN 'allow' WHEN k = 5 THEN NULL ELSE d END AS value FROM o)
