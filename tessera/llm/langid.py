@@ -2,7 +2,7 @@
 
 A text is lower-cased, runs of ASCII characters other than letters become spaces, and its byte n-grams are hashed into
 `BUCKETS` rows of an embedding table; their average goes through a linear softmax. The model is fitted on at most
-`TRAIN_ROWS` labelled documents, chosen by a hash of doc_id, whose n-gram counts (at most `BUCKETS` each) reach the driver. A fifth of them is held
+`TRAIN_ROWS` labelled documents, chosen by a hash of doc_id, whose n-gram counts (at most `BUCKETS` each) meet in one task. A fifth of them is held
 back to fit the temperature and the rejection threshold: the score below which fewer than `REJECT_QUANTILE` of rightly labelled
 documents fall. Scoring runs over whole texts; since embedding and softmax are linear before the
 exponential, each bucket is folded to one row of class logits and a text costs one gather per n-gram.
@@ -155,10 +155,22 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     n = labelled.count()
     share = min(1.0, rows / max(1, n))
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).mapInArrow(_counts, "lang string, doc_id long, buckets array<int>, weights array<float>").limit(rows)
-    found = drawn.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    # The sample meets in one task, which hands back the folded table alone; the driver holds no training rows.
+    got = drawn.repartition(1).mapInArrow(_trained, "labels array<string>, table binary, bias binary, temperature double, threshold double").first()
+    if got is None:
+        return None
+    table = np.frombuffer(got["table"], np.float32).reshape(len(got["labels"]), BUCKETS)
+    return LanguageModel(got["labels"], table, np.frombuffer(got["bias"], np.float64), got["temperature"], got["threshold"])
+
+
+def _trained(batches):
+    found = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("buckets", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))]))
+    found = found.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     buckets, weights = (found.column(c).combine_chunks() for c in ("buckets", "weights"))
     numbers = [(a.values.to_numpy(), a.offsets.to_numpy()) for a in (buckets, weights)]
-    return train([(lang, *(x[o[i] : o[i + 1]] for x, o in numbers)) for i, lang in enumerate(found.column("lang").to_pylist())])
+    model = train([(lang, *(x[o[i] : o[i + 1]] for x, o in numbers)) for i, lang in enumerate(found.column("lang").to_pylist())])
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model.labels]), pa.array([model.table.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary()), pa.array([model.temperature]), pa.array([model.threshold])], names=["labels", "table", "bias", "temperature", "threshold"])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
