@@ -35,7 +35,7 @@ REGISTERS = 100
 ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Members up to which what a bucket still holds apart is paired up; larger buckets are searched whole, block by block.
-SMALL_BUCKET = 12
+SMALL_BUCKET = 4
 BLOCK_MEMBERS = 2048
 BLOCK_SHINGLES = 1_000_000
 
@@ -234,7 +234,7 @@ def _sized(pairs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_tokens): one row per row of docs; class_id is the least doc_id of the class. n_shingles as counted."""
+    """(doc_id, class_id, n_shingles): one row per row of docs; class_id is the least doc_id of the class, n_shingles counts repeats."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = own.where("doc_id is not null").withColumn("d1", F.xxhash64(F.lit(1), "text")).withColumn("d2", F.xxhash64(F.lit(2), "text"))
     banded = C.checkpoint(keyed.mapInArrow(_banded, "doc_id long, d1 long, d2 long, n long, bands array<long>"))
