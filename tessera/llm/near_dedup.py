@@ -248,6 +248,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stars = buckets.where("id != leader").where(fits).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("id").agg(F.max(F.struct("shared", F.xxhash64("leader").alias("z"), "leader")).alias("best")).select(F.col("best.leader").alias("leader"), F.col("id").alias("member"))
     texts = own.where("doc_id is not null").join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    # Both verifications read them: written once, or all texts would be shuffled for each.
+    texts = C.checkpoint(texts)
     first = C.checkpoint(verify(_sized(best), texts, similarity))
     comps = components(first)
     # What a bucket still holds in different components is compared across them; its largest component is never paired with itself.
