@@ -142,10 +142,10 @@ def drawn_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("nation::"), F.col("n_nationkey").cast("string"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<t:string,s:string,i:bigint,b:boolean>>"))
     who = nations.select(F.struct(key.alias("key"), F.lit("nation").alias("type"), F.array(key, F.concat(F.lit("group::"), "r_name")).alias("groups"), none.alias("attrs")).alias("principal"))
-    sizes = X.table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("s")).distinct().where("s % 10 = 5")
+    sizes = X.table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("s")).distinct()
     what = sizes.select(F.struct(F.concat(F.lit("part::"), F.col("s").cast("string")).alias("key"), F.lit("part").alias("type"), F.array(F.lit("part")).alias("groups"), F.create_map(F.lit("size"), F.struct(F.lit("int").alias("t"), F.lit(None).cast("string").alias("s"), F.col("s").alias("i"), F.lit(None).cast("boolean").alias("b"))).alias("attrs")).alias("resource"))
     acts = ids.select("policy_id", F.explode(F.array(*map(F.lit, ("audit", "return", "view")))).alias("action"))
-    requests = P.universe(ids.join(F.broadcast(who)), acts, ids.join(F.broadcast(what)), ids.withColumn("context", none))  # 25 nations and 5 sizes
+    requests = P.universe(ids.join(F.broadcast(who)), acts, ids.join(F.broadcast(what)), ids.withColumn("context", none))  # 25 nations and 50 sizes
     decided = P.evaluate(requests, rules).withColumn("who", F.col("principal.key")).withColumn("what", F.col("resource.key"))
     marked = P.boundary(decided, ["policy_id"], ["who", "action", "what"])
     return G.keep_reason(marked, rules, 4).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -83,8 +83,8 @@ def cosine_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_cka(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Between the first and the second eight dimensions, by label."""
-    own = X.table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 9, 8).alias("y"))
+    """Between the two halves of each vector, by label."""
+    own = X.table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
     return V.linear_cka(own, "x", "y", ["label"]).select("label", "n", _R("cka"))
 
 
@@ -208,9 +208,9 @@ SELECT rendering, round(avg(a), 6) AS unauthorized_on_deny, round(avg(b), 6) AS
 SELECT round(a.hi, 6) AS base_worst, round(a.lo, 6) AS base_best, round(b.hi, 6) AS arm_worst, round(b.hi - a.hi, 6) AS change, round((b.hi - b.lo) - (a.hi - a.lo), 6) AS gap_change FROM a, b""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "cosine_divergence": "WITH d AS (SELECT label, 1 - list_dot_product(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]) / sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]) * list_dot_product(embedding[33:64]::DOUBLE[], embedding[33:64]::DOUBLE[])) AS d FROM embeddings) SELECT label, count(d) AS n, round(avg(d), 6) AS divergence, round(max(d), 6) AS largest FROM d GROUP BY label",
-    "linear_cka": """WITH e AS (SELECT label, vec_id, unnest(range(1, 17)) AS i, unnest(embedding[1:16]::DOUBLE[]) AS v FROM embeddings),
+    "linear_cka": """WITH e AS (SELECT label, vec_id, unnest(range(1, 65)) AS i, unnest(embedding[1:64]::DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT x.label, x.i, y.i AS j, sum(x.v * y.v) - sum(x.v) * sum(y.v) / count(*) AS c, count(*) AS n FROM e x JOIN e y USING (label, vec_id) GROUP BY x.label, x.i, y.i)
-SELECT label, max(n) AS n, round(sum(c * c) FILTER (i <= 8 AND j > 8) / sqrt(sum(c * c) FILTER (i <= 8 AND j <= 8) * sum(c * c) FILTER (i > 8 AND j > 8)), 6) AS cka FROM p GROUP BY label""",
+SELECT label, max(n) AS n, round(sum(c * c) FILTER (i <= 32 AND j > 32) / sqrt(sum(c * c) FILTER (i <= 32 AND j <= 32) * sum(c * c) FILTER (i > 32 AND j > 32)), 6) AS cka FROM p GROUP BY label""",
     "centroid_probe": """WITH e AS (SELECT *, ('0x' || substr(sha256('3|' || vec_id), 1, 12))::BIGINT / 281474976710656.0 < 0.5 AS test FROM embeddings),
 x AS (SELECT vec_id, label, test, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS v FROM e),
 c AS (SELECT label AS predicted, i, avg(v) AS m FROM x WHERE NOT test GROUP BY ALL),

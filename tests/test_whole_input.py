@@ -1,10 +1,22 @@
 """Queries do the whole job: each test would fail on a cut of the input, and states its result without the queries' SQL."""
 
+import os
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tessera.plans import series
+from tessera.operators import generate as G
+from tessera.plans import policies, series
+
+DATA = "/root/testdata/sf0.001"
+with_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+
+
+def _rows(name):
+    return pq.read_table(f"{DATA}/{name}.parquet").to_pylist()
 
 
 @pytest.mark.parametrize("query", [series.episode_outcomes, series.episode_stream])
@@ -15,3 +27,49 @@ def test_the_fourth_step_of_an_episode_counts(spark, tmp_path, query):
     pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows))))), tmp_path / "conversations.parquet")
     got = {r["episode"]: (r["status"], r["n_calls"], r["unauthorized"]) for r in query(spark, str(tmp_path)).collect()}
     assert got == {1: ("max_steps", 4, True), 2: ("responded", 3, False), 3: ("open", 3, False)}
+
+
+@with_tables
+def test_cka_reads_all_dimensions(spark):
+    own = _rows("embeddings")
+    for r in series.linear_cka(spark, DATA).collect():
+        v = np.array([x["embedding"] for x in own if x["label"] == r["label"]], float)
+        x, y = (h - h.mean(0) for h in (v[:, :32], v[:, 32:]))
+        norm = lambda a, b: (np.square(a.T @ b)).sum()
+        assert r["cka"] == pytest.approx(norm(x, y) / np.sqrt(norm(x, x) * norm(y, y)), abs=2e-6)
+
+
+@with_tables
+def test_drawn_policies_are_judged_on_all_sizes(spark):
+    region = {r["r_regionkey"]: r["r_name"] for r in _rows("region")}
+    nations = {r["n_nationkey"]: region[r["n_regionkey"]] for r in _rows("nation")}
+    sizes, acts = sorted({r["p_size"] for r in _rows("part")}), ["audit", "return", "view"]
+    ids = sorted({f"{r['c_mktsegment']}/{r['c_nationkey']}" for r in _rows("customer")})
+    drawn = G.draw_rules(spark.createDataFrame([(i,) for i in ids], "policy_id string"), sorted(region.values()), acts, "nation", "part", "size", 50, seed=5)
+    rules = {i: [] for i in ids}
+    for r in drawn.collect():
+        rules[r["policy_id"]].append(r["rule"])
+
+    def matches(rule, nation, act, size):
+        c = rule["conditions"][0] if rule["conditions"] else None
+        bar = c and c["right"]["value"]["i"]
+        within = rule["principal"]["kind"] == "is" or rule["principal"]["entity"]["id"] == nations[nation]
+        return act in rule["actions"] and within and (c is None or (size < bar if c["op"] == "<" else size >= bar))
+
+    def reason(own):
+        allow, live = {}, set()
+        for at in ((n, a, s) for n in nations for a in acts for s in sizes):
+            hit = {e: [r["rule_id"] for r in own if r["effect"] == e and matches(r, *at)] for e in ("permit", "forbid")}
+            allow[at] = bool(hit["permit"]) and not hit["forbid"]
+            live |= set(hit["permit"] if allow[at] and len(hit["permit"]) == 1 else hit["forbid"] if hit["permit"] and len(hit["forbid"]) == 1 else [])
+        seen = [{}, {}, {}]
+        for at, v in allow.items():
+            for k in range(3):
+                seen[k].setdefault(at[:k] + at[k + 1 :], set()).add(v)
+        edge = Counter(v for at, v in allow.items() if any(len(seen[k][at[:k] + at[k + 1 :]]) > 1 for k in range(3)))
+        n = Counter(allow.values())
+        if n[True] < 4 or n[False] < 4:
+            return "too few allowed" if n[True] < 4 else "too few denied"
+        return "too few on the boundary" if min(edge[True], edge[False]) < 2 else "dead rule" if len(own) > 1 and len(live) < len(own) else "ok"
+
+    assert {r["reason"]: r["n"] for r in policies.drawn_policies(spark, DATA).collect()} == Counter(map(reason, rules.values()))
