@@ -10,7 +10,9 @@ from ..operators import stats as S
 from . import fixtures as X
 
 _RATES = list(M.RATES)
-REPLICATES = 200
+REPLICATES = 4_000
+#: Of signs, and of ranks.
+PERMUTATIONS, RANK_PERMUTATIONS = 10_000, 20_000
 SEED = 20261010
 _R = lambda c, name=None: F.round(c, 6).alias(name or (c if isinstance(c, str) else "x"))
 
@@ -111,7 +113,7 @@ def sign_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.per_world(X.answers(spark, sf_dir), ["rendering", "assignment"], {"accuracy": F.col("category") == "correct"})
     at = lambda a: F.max(F.when(F.col("assignment") == a, F.col("accuracy")))
     diffs = rows.groupBy("rendering", "world_id").agg((at("orig") - at("swap")).alias("diff"))
-    return S.sign_permutation(diffs, ["rendering"], "diff", "world_id", REPLICATES, 7).select("rendering", "n", _R("mean"), _R("p"))
+    return S.sign_permutation(diffs, ["rendering"], "diff", "world_id", PERMUTATIONS, 7).select("rendering", "n", _R("mean"), _R("p"))
 
 
 def _discordant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +133,12 @@ def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spearman_avg_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of a world's mean document length with its accuracy, by rendering."""
+    """Rank correlation of a world's mean document length with its accuracy, by rendering, and its permutation p."""
     size = X.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("world_id")).agg(F.floor(F.avg("n_chars") / 100).alias("size"))
     points = _worlds(spark, sf_dir).select("rendering", "world_id", F.round("accuracy", 2).alias("accuracy")).join(size, "world_id")
-    return S.spearman(points, "size", "accuracy", ["rendering"]).select("rendering", "n", _R("rho"))
+    found = S.spearman(points, "size", "accuracy", ["rendering"])
+    tests = S.rank_permutation(points, "size", "accuracy", ["rendering"], "world_id", RANK_PERMUTATIONS, 11)
+    return found.join(tests, "rendering", "left").select("rendering", "n", _R("rho"), _R("p"))
 
 
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,16 +265,22 @@ t AS (SELECT rendering, least(1.0, 2 * least(avg(CASE WHEN round(m, 12) <= 0 THE
 r AS (SELECT *, row_number() OVER (ORDER BY p, rendering) AS r, count(*) OVER () AS m FROM t)
 SELECT rendering, round(p, 6) AS p, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r), 6) AS p_holm, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS q FROM r""",
     "sign_permutation": f"""WITH {X.answers_sql()}, a AS (SELECT rendering, world_id, {_avg("category = 'correct'", "assignment = 'orig'")} - {_avg("category = 'correct'", "assignment = 'swap'")} AS diff FROM ans GROUP BY ALL),
-k AS (SELECT rendering, k, avg(CASE WHEN ('0x' || substr(md5('7|' || k || '|' || world_id), 1, 12))::BIGINT % 2 = 0 THEN diff ELSE -diff END) AS m FROM a, (SELECT unnest(range(0, {REPLICATES})) AS k) GROUP BY ALL),
+k AS (SELECT rendering, k, avg(CASE WHEN ('0x' || substr(md5('7|' || k || '|' || world_id), 1, 12))::BIGINT % 2 = 0 THEN diff ELSE -diff END) AS m FROM a, (SELECT unnest(range(0, {PERMUTATIONS})) AS k) GROUP BY ALL),
 o AS (SELECT rendering, count(diff) AS n, avg(diff) AS mean FROM a GROUP BY rendering)
-SELECT rendering, n, round(mean, 6) AS mean, round((count(*) FILTER (abs(m) >= abs(mean) - 1e-12) + 1) / {REPLICATES + 1}, 6) AS p FROM k JOIN o USING (rendering) GROUP BY rendering, n, mean""",
+SELECT rendering, n, round(mean, 6) AS mean, round((count(*) FILTER (abs(m) >= abs(mean) - 1e-12) + 1) / {PERMUTATIONS + 1}, 6) AS p FROM k JOIN o USING (rendering) GROUP BY rendering, n, mean""",
     "mcnemar_counts": f"{_TWO} SELECT rendering, count(*) FILTER (category = 'correct' AND other != 'correct') AS b, count(*) FILTER (category != 'correct' AND other = 'correct') AS c, count(*) FILTER (category = 'correct' AND other = 'correct') AS both, count(*) AS n FROM both_ GROUP BY rendering",
     "mcnemar_exact": f"""{_TWO}, n AS (SELECT rendering, count(*) FILTER (category = 'correct' AND other != 'correct') AS b, count(*) FILTER (category != 'correct' AND other = 'correct') AS c FROM both_ GROUP BY rendering)
 SELECT rendering, b, c, round(CASE WHEN b + c = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 9) AS p FROM n""",
     "spearman_avg_rank": f"""{_BASE}, s AS (SELECT source AS world_id, floor(avg(n_chars) / 100) AS size FROM documents GROUP BY source),
-p AS (SELECT rendering, size AS x, round(accuracy, 2) AS y FROM w JOIN s USING (world_id)),
-r AS (SELECT rendering, rank() OVER (PARTITION BY rendering ORDER BY x) + (count(*) OVER (PARTITION BY rendering, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY rendering ORDER BY y) + (count(*) OVER (PARTITION BY rendering, y) - 1) / 2.0 AS ry FROM p)
-SELECT rendering, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY rendering""",
+p AS (SELECT rendering, world_id, size AS x, round(accuracy, 2) AS y FROM w JOIN s USING (world_id)),
+r AS (SELECT rendering, world_id, rank() OVER (PARTITION BY rendering ORDER BY x) + (count(*) OVER (PARTITION BY rendering, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY rendering ORDER BY y) + (count(*) OVER (PARTITION BY rendering, y) - 1) / 2.0 AS ry FROM p),
+o AS (SELECT rendering, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY rendering),
+u AS (SELECT DISTINCT world_id FROM r), h AS (SELECT k, world_id, ('0x' || substr(md5('11|' || k || '|' || world_id), 1, 12))::BIGINT AS h FROM u, (SELECT unnest(range(0, {RANK_PERMUTATIONS})) AS k)),
+f AS (SELECT rendering, ry, row_number() OVER (PARTITION BY rendering ORDER BY world_id) AS at FROM r),
+t AS (SELECT r.rendering, k, rx, row_number() OVER (PARTITION BY r.rendering, k ORDER BY h, r.world_id) AS at FROM r JOIN h USING (world_id)),
+c AS (SELECT t.rendering, k, corr(rx, ry) AS c FROM t JOIN f ON t.rendering = f.rendering AND t.at = f.at GROUP BY t.rendering, k),
+q AS (SELECT rendering, avg((abs(c) >= abs(rho) - 1e-12)::INT) AS p FROM c JOIN o USING (rendering) GROUP BY rendering)
+SELECT rendering, n, round(rho, 6) AS rho, round(p, 6) AS p FROM o LEFT JOIN q USING (rendering)""",
     "majority_vote": f"""WITH {X.answers_sql()}, v AS (SELECT label, count(*) FILTER (value = 'allow') AS a, count(*) FILTER (value = 'deny') AS d, sum(tokens) AS t FROM ans GROUP BY world_id, assignment, instance, label)
 SELECT label, CASE WHEN a = d THEN 'abstain' WHEN (a > d) = (label = 'allow') THEN 'correct' ELSE 'incorrect' END AS category, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens FROM v GROUP BY ALL""",
     "solver_fail_closed": f"WITH {X.answers_sql('arm')}, v AS (SELECT rendering, world_id, {_avg('''coalesce(value, 'deny') = label''')} AS x FROM ans GROUP BY ALL) SELECT rendering, round(avg(x), 6) AS accuracy FROM v GROUP BY rendering",

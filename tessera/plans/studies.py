@@ -9,6 +9,7 @@ from ..operators import designs as D
 from ..operators import stats as S
 from . import fixtures as X
 
+REPLICATES = 4_000
 _R = lambda c, name=None: F.round(c, 6).alias(name or c)
 
 
@@ -37,7 +38,7 @@ def family_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.table(spark, sf_dir, "documents").select("lang", "source", ((F.col("n_chars") % 997) / 997).alias("x"), (F.col("doc_id") % 2 == 0).alias("even"))
     side = lambda v: F.avg(F.when(F.col("even") == v, F.col("x")))
     values = docs.groupBy("lang", "source").agg((side(True) - side(False)).alias("d"))
-    means = D.family_bootstrap(values, "lang", "source", "d", 100, 9)
+    means = D.family_bootstrap(values, "lang", "source", "d", REPLICATES, 9)
     ends = S.interval(means.withColumn("mean", F.round("mean", 12)), [])
     return D.family_mean(values, "lang", "d").crossJoin(ends).select("families", _R("mean"), _R("low"), _R("high"))  # one row each
 
@@ -63,9 +64,9 @@ SELECT count(i) AS n, round(avg(i), 6) AS interaction, count(*) FILTER (i > 1e-9
     "representation_spread": f"""WITH {X.answers_sql()}, c AS (SELECT world_id, instance, rendering, avg((category = 'correct')::INT) AS v, max(coalesce(value, category)) AS hi, min(coalesce(value, category)) AS lo FROM ans GROUP BY ALL),
 u AS (SELECT world_id, instance, max(v) - min(v) AS r, var_pop(v) AS s, max(hi) != min(lo) AS d FROM c GROUP BY ALL)
 SELECT world_id, count(*) AS n, round(avg(r), 6) AS range, round(avg(s), 6) AS variance, count(*) FILTER (d) AS differ FROM u GROUP BY world_id""",
-    "family_contrast": """WITH v AS (SELECT lang, source, avg((n_chars % 997) / 997.0::DOUBLE) FILTER (doc_id % 2 = 0) - avg((n_chars % 997) / 997.0::DOUBLE) FILTER (doc_id % 2 != 0) AS d FROM documents GROUP BY ALL),
+    "family_contrast": f"""WITH v AS (SELECT lang, source, avg((n_chars % 997) / 997.0::DOUBLE) FILTER (doc_id % 2 = 0) - avg((n_chars % 997) / 997.0::DOUBLE) FILTER (doc_id % 2 != 0) AS d FROM documents GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM v WHERE d IS NOT NULL),
-w AS (SELECT lang, r.k, ('0x' || substr(md5('9|' || lang || '|' || r.k || '|' || pos), 1, 12))::BIGINT % n AS pos FROM p, (SELECT unnest(range(0, 100)) AS k) r),
+w AS (SELECT lang, r.k, ('0x' || substr(md5('9|' || lang || '|' || r.k || '|' || pos), 1, 12))::BIGINT % n AS pos FROM p, (SELECT unnest(range(0, {REPLICATES})) AS k) r),
 m AS (SELECT w.lang, w.k, avg(p.d) AS m FROM w JOIN p USING (lang, pos) GROUP BY ALL), g AS (SELECT k, round(avg(m), 12) AS m FROM m GROUP BY k), f AS (SELECT lang, avg(d) AS m FROM v GROUP BY lang)
 SELECT (SELECT count(m) FROM f) AS families, (SELECT round(avg(m), 6) FROM f) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM g""",
     "two_way_matrix": """WITH c AS (SELECT ra.r_name AS a, rb.r_name AS b, count(*) AS n, avg(l_discount) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey

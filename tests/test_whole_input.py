@@ -1,5 +1,7 @@
 """Queries do the whole job: each test would fail on a cut of the input, and states its result without the queries' SQL."""
 
+import hashlib
+import itertools
 import os
 from collections import Counter
 
@@ -9,7 +11,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from tessera.operators import generate as G
-from tessera.plans import policies, series
+from tessera.operators import stats as S
+from tessera.plans import answers, policies, series, studies
 
 DATA = "/root/testdata/sf0.001"
 with_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -73,3 +76,28 @@ def test_drawn_policies_are_judged_on_all_sizes(spark):
         return "too few on the boundary" if min(edge[True], edge[False]) < 2 else "dead rule" if len(own) > 1 and len(live) < len(own) else "ok"
 
     assert {r["reason"]: r["n"] for r in policies.drawn_policies(spark, DATA).collect()} == Counter(map(reason, rules.values()))
+
+
+@with_tables
+def test_intervals_and_tests_rest_on_the_published_replicates(spark):
+    worlds = answers._worlds(spark, DATA).select("rendering", "world_id", "deny_to_allow").collect()
+    units = sorted({r["world_id"] for r in worlds})
+    draw = lambda k, i: int(hashlib.md5(f"{answers.SEED}|{k}|{i}".encode()).hexdigest()[:12], 16) % len(units)
+    drawn = [Counter(units[draw(k, i)] for i in range(len(units))) for k in range(4000)]
+    for r in answers.boot_ci_rates(spark, DATA).collect():
+        own = {w["world_id"]: w["deny_to_allow"] for w in worlds if w["rendering"] == r["rendering"] and w["deny_to_allow"] is not None}
+        means = [sum(own[u] * n for u, n in d.items() if u in own) / sum(n for u, n in d.items() if u in own) for d in drawn if any(u in own for u in d)]
+        assert (r["low"], r["high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=2e-6)
+    steps = [r["p"] * 10_001 for r in answers.sign_permutation(spark, DATA).collect()]
+    assert all(abs(x - round(x)) < 0.01 for x in steps) and studies.REPLICATES == 4000
+
+
+def test_rank_permutation_nears_all_orders(spark):
+    x, y = [1, 2, 2, 4, 5, 6, 7], [2, 1, 3, 3, 7, 4, 6]
+    rows = [("a", f"w{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("flat", f"w{i}", 1.0, float(i)) for i in range(5)] + [("few", f"w{i}", float(i), float(i)) for i in range(2)]
+    got = S.rank_permutation(spark.createDataFrame(rows, "g string, world_id string, x double, y double"), "x", "y", ["g"], "world_id", 4000, 1).collect()
+    rank = lambda v: np.array([sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v])
+    rx, ry = rank(x), rank(y)
+    rho = np.corrcoef(rx, ry)[0, 1]
+    exact = np.mean([abs(np.corrcoef(p, ry)[0, 1]) >= abs(rho) - 1e-12 for p in itertools.permutations(rx)])
+    assert [r["g"] for r in got] == ["a"] and abs(got[0]["p"] - exact) < 0.015
