@@ -11,27 +11,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..sources.storage import shared_dir
 
 #: Rules up to which the rule table is broadcast (about 1 KB each).
 BROADCAST_RULES = 20_000
 OPERATORS = ("==", "!=", "<", "<=", ">", ">=")
 
 
-def closure(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: Rounds of a closure after which what is reached is written out, as plans would grow with the depth.
+CUT_EVERY = 4
+
+
+def closure(parents: DataFrame) -> DataFrame:
     """(policy_id, key, ancestor) of direct (policy_id, key, parent): all that can be reached, itself only on a cycle.
 
-    Each round joins what the last one found with the direct parents, so rounds number the depth of the membership.
+    Each round joins what the last one found with the direct parents, so rounds number the depth of the membership. They go on until no pair
+    is new, which comes about as pairs are finite; every few rounds the pairs are checkpointed.
     """
+    context = parents.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(parents.sparkSession))
     direct = parents.select("policy_id", "key", F.col("parent").alias("ancestor")).distinct()
     step = parents.select(F.col("policy_id"), F.col("key").alias("ancestor"), F.col("parent").alias("next")).distinct()
-    reached, fresh = direct, direct
-    for _ in range(max_rounds):
+    reached, fresh, rounds = direct, direct, 0
+    while True:
         found = fresh.join(step, ["policy_id", "ancestor"]).select("policy_id", "key", F.col("next").alias("ancestor")).distinct()
         fresh = found.join(reached, ["policy_id", "key", "ancestor"], "left_anti").cache()
         if fresh.isEmpty():
-            break
-        reached = reached.unionAll(fresh)
-    return reached
+            return reached
+        reached, rounds = reached.unionAll(fresh), rounds + 1
+        if rounds % CUT_EVERY == 0:
+            reached, fresh = (df.repartition("policy_id", "key", "ancestor").checkpoint() for df in (reached, fresh))
 
 
 def with_groups(entities: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tessera.operators import generate as G
+from tessera.operators import policy as P
 from tessera.operators import stats as S
 from tessera.plans import answers, policies, series, studies
 
@@ -101,3 +102,12 @@ def test_rank_permutation_nears_all_orders(spark):
     rho = np.corrcoef(rx, ry)[0, 1]
     exact = np.mean([abs(np.corrcoef(p, ry)[0, 1]) >= abs(rho) - 1e-12 for p in itertools.permutations(rx)])
     assert [r["g"] for r in got] == ["a"] and abs(got[0]["p"] - exact) < 0.015
+
+
+def test_closure_has_no_depth_limit(spark):
+    n = 68
+    chain = [("p", f"k{i}", f"k{i + 1}") for i in range(n)] + [("q", f"c{i}", f"c{(i + 1) % n}") for i in range(n)]
+    got = P.closure(spark.createDataFrame(chain, "policy_id string, key string, parent string").coalesce(1))
+    pairs = [tuple(r) for r in got.collect()]
+    want = {("p", f"k{i}", f"k{j}") for i in range(n) for j in range(i + 1, n + 1)} | {("q", f"c{i}", f"c{j}") for i in range(n) for j in range(n)}
+    assert len(pairs) == len(want) and set(pairs) == want
