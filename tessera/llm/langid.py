@@ -2,8 +2,9 @@
 
 A text is lower-cased, runs of ASCII characters other than letters become spaces, and its byte n-grams are hashed into
 `BUCKETS` rows of an embedding table; their average goes through a linear softmax. The model is fitted on at most
-`TRAIN_ROWS` labelled documents, chosen by a hash of doc_id, whose n-gram counts (at most `BUCKETS` each) meet in one task. A fifth of them is held
-back to fit the temperature and the rejection threshold: the score below which fewer than `REJECT_QUANTILE` of rightly labelled
+`TRAIN_ROWS` labelled documents, chosen by a hash of doc_id, half of them in proportion to the languages and half in equal parts, so that rare languages are
+learned too; their n-gram counts (at most `BUCKETS` each) meet in one task. A fifth of each language's is held
+back to fit the temperature and the rejection threshold: the score below which no more than `REJECT_QUANTILE` of rightly labelled
 documents fall. Scoring runs over whole texts; since embedding and softmax are linear before the
 exponential, each bucket is folded to one row of class logits and a text costs one gather per n-gram.
 
@@ -24,12 +25,10 @@ from . import _common as C
 BUCKETS = 1 << 15
 DIMS = 16
 GRAMS = (2, 3, 4)
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 3000
 EPOCHS = 6
 RATE = 20.0
 REJECT_QUANTILE = 0.001
-#: A document whose score is at least this is never rejected.
-REJECT_BELOW = 0.5
 
 _ASCII = np.full(256, 32, np.uint8)
 _ASCII[97:123] = np.arange(97, 123)
@@ -98,14 +97,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> LanguageModel | None:
-    """Fit on (label, buckets, weights), every fifth row held back for calibration."""
+    """Fit on (label, buckets, weights), every fifth row of a label held back for calibration."""
     if not rows:
         return None
     labels = sorted({r[0] for r in rows})
     place = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    own = [r for i, r in enumerate(rows) if i % 5] or rows
-    held = rows[::5]
+    seen, own, held = dict.fromkeys(labels, 0), [], []
+    for r in rows:
+        seen[r[0]] += 1
+        (own if seen[r[0]] % 5 else held).append(r)
+    held = held or rows
     emb = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
     out = np.zeros((DIMS, len(labels)), np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
@@ -140,21 +142,30 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Lang
     z, truth = forward(held)[3].astype(np.float64), np.array([place[r[0]] for r in held])
 
     def loss(t: float) -> float:
-        return -np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean()
+        # One wrong label more than was seen, or classes told apart without error would drive all scores to 1.
+        p, miss = np.log(_softmax(z / t) + 1e-12), 1 / (len(z) + 1)
+        return -((1 - miss) * p[np.arange(len(z)), truth] + miss * p.mean(1)).mean()
 
     temperature = min(np.geomspace(0.05, 5, 60), key=loss)
     p = _softmax(z / temperature)
     right = p.argmax(1) == truth
-    threshold = min(REJECT_BELOW, float(np.quantile(p.max(1)[right], REJECT_QUANTILE))) if right.any() else 0.0
+    threshold = float(np.quantile(p.max(1)[right], REJECT_QUANTILE, method="lower")) if right.any() else 0.0
     return LanguageModel(labels, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), float(temperature), threshold)
 
 
+def _sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """About `rows` documents by a hash of doc_id: half in proportion to the languages, half in equal parts."""
+    sizes = labelled.groupBy("lang").count().collect()  # one row per class of the model
+    n = sum(r["count"] for r in sizes)
+    shares = [(r["lang"], min(1.0, rows / 2 * (1 / n + 1 / len(sizes) / r["count"]))) for r in sizes]
+    drawn = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
+    return labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, _share double")), "lang").where(drawn).select("lang", "doc_id", "text")
+
+
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Train on a bounded sample of documents with a label, those with crc32(doc_id as text) mod 4 = 2 apart."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2").select("lang", "doc_id", "text")
-    n = labelled.count()
-    share = min(1.0, rows / max(1, n))
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).mapInArrow(_counts, "lang string, doc_id long, buckets array<int>, weights array<float>").limit(rows)
+    drawn = _sample(labelled, rows).mapInArrow(_counts, "lang string, doc_id long, buckets array<int>, weights array<float>").limit(rows + rows // 20)
     # The sample meets in one task, which hands back the folded table alone; the driver holds no training rows.
     got = drawn.repartition(1).mapInArrow(_trained, "labels array<string>, table binary, bias binary, temperature double, threshold double").first()
     if got is None:
