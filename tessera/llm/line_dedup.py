@@ -7,7 +7,8 @@ of theirs can repeat. Suffixes of one name are an interval of the suffix array w
 its earliest place are later copies. Rounds end at `min_lines`, reached exactly by overlapping the last two names: a
 repeated run of more lines is the union of such windows, so longer names would not change what is covered.
 
-A later copy is deleted where the run has `min_lines` lines, or where one line alone has `min_words` words. Earlier means
+A later copy is deleted where the run has `min_lines` lines, or where one line alone has `min_words` words, i.e. runs of no white space, or
+`CHARS_PER_WORD` times as many characters of scripts that are written without spaces. Earlier means
 smaller doc_id, or the same document and an earlier line. All joins are equi-joins that can split a hot key, and the
 earliest place of a name is an aggregate with map-side combining.
 
@@ -26,7 +27,11 @@ from . import _common as C
 
 MIN_LINES = 3
 MIN_WORDS = 10
-
+CHARS_PER_WORD = 3
+#: White space by code points, as engines differ in what they count to it; a word is a run of anything else.
+SPACES = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WORD = f"[^{SPACES}]+"
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 
 def _name(*parts) -> list:
     return [F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b")]
@@ -47,7 +52,7 @@ def _doubled(suffixes: DataFrame, step: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, pos, n): runs of n lines from line pos (from 0) that also start earlier. Runs of a document may overlap."""
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    long_line = F.size(F.split(F.trim("line"), " ")) >= min_words
+    long_line = (F.regexp_count("line", F.lit(WORD)) >= min_words) | (F.regexp_count("line", F.lit(UNSPACED.replace("p{", "p{Is"))) >= CHARS_PER_WORD * min_words)
     # Repeated rows of a document name the same places.
     lines = own.select("doc", "pos", *_name("line"), long_line.alias("alone"))
     shared = C.checkpoint(_repeating(lines).distinct())

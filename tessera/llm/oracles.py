@@ -1,5 +1,7 @@
 """DuckDB statements that state the results of the operators which SQL can express."""
 
+from .line_dedup import CHARS_PER_WORD, MIN_WORDS, UNSPACED, WORD
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
@@ -84,12 +86,12 @@ n AS (SELECT page_id, fetched, count(*) AS n_active, string_agg(DISTINCT list, '
 SELECT o.page_id, o.fetched, coalesce(n.n_active, 0) AS n_active, coalesce(n.lists, '') AS lists, b.list AS decided_by, b.pattern,
        coalesce(b.list != 'allow', false) AS blocked
 FROM own o LEFT JOIN n ON o.page_id = n.page_id AND o.fetched = n.fetched LEFT JOIN best b ON o.page_id = b.page_id AND o.fetched = b.fetched""",
-    "op7_line_dedup": """
+    "op7_line_dedup": f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 pos AS (
   SELECT doc_id, p, ls[p] AS line, CASE WHEN p + 2 <= len(ls) THEN array_to_string(list_slice(ls, p, p + 2), chr(10)) END AS run
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d WHERE text IS NOT NULL)),
-one AS (SELECT doc_id, p, len(string_split(trim(line, ' '), ' ')) >= 10 AS alone, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS r FROM pos),
+one AS (SELECT doc_id, p, len(regexp_extract_all(line, '{WORD}')) >= {MIN_WORDS} OR len(regexp_extract_all(line, '{UNSPACED}')) >= {CHARS_PER_WORD * MIN_WORDS} AS alone, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS r FROM pos),
 three AS (SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS r FROM pos WHERE run IS NOT NULL),
 gone AS (
   SELECT doc_id, p FROM one WHERE r > 1 AND alone
