@@ -18,30 +18,29 @@ BROADCAST_RULES = 20_000
 OPERATORS = ("==", "!=", "<", "<=", ">", ">=")
 
 
-#: Rounds of a closure after which what is reached is written out, as plans would grow with the depth.
-CUT_EVERY = 4
-
-
 def closure(parents: DataFrame) -> DataFrame:
     """(policy_id, key, ancestor) of direct (policy_id, key, parent): all that can be reached, itself only on a cycle.
 
-    Each round joins what the last one found with the direct parents, so rounds number the depth of the membership. They go on until no pair
-    is new, which comes about as pairs are finite; every few rounds the pairs are checkpointed.
+    Round k knows what walks of up to 2^k steps reach, and the ends of walks of just 2^k steps; joined they give walks of up to
+    twice as many, so rounds number the logarithm of the depth. They end when a round finds no new pair, which comes about as pairs are
+    finite. Each round is checkpointed, so a plan is one round long however deep the membership.
     """
     context = parents.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(parents.sparkSession))
-    direct = parents.select("policy_id", "key", F.col("parent").alias("ancestor")).distinct()
-    step = parents.select(F.col("policy_id"), F.col("key").alias("ancestor"), F.col("parent").alias("next")).distinct()
-    reached, fresh, rounds = direct, direct, 0
+    walks = parents.select("policy_id", "key", F.col("parent").alias("ancestor")).distinct().checkpoint()
+    reached, n = walks, walks.count()
+
+    def onward(df: DataFrame) -> DataFrame:
+        step = walks.select("policy_id", F.col("key").alias("ancestor"), F.col("ancestor").alias("end"))
+        return df.join(step, ["policy_id", "ancestor"]).select("policy_id", "key", F.col("end").alias("ancestor"))
+
     while True:
-        found = fresh.join(step, ["policy_id", "ancestor"]).select("policy_id", "key", F.col("next").alias("ancestor")).distinct()
-        fresh = found.join(reached, ["policy_id", "key", "ancestor"], "left_anti").cache()
-        if fresh.isEmpty():
+        wider = reached.unionAll(onward(reached)).distinct().checkpoint()
+        before, n = n, wider.count()
+        if n == before:
             return reached
-        reached, rounds = reached.unionAll(fresh), rounds + 1
-        if rounds % CUT_EVERY == 0:
-            reached, fresh = (df.repartition("policy_id", "key", "ancestor").checkpoint() for df in (reached, fresh))
+        reached, walks = wider, onward(walks).distinct().checkpoint()
 
 
 def with_groups(entities: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -125,9 +124,20 @@ def evaluate(requests: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def owners(decided: DataFrame, by: list[str], principal: Column | None = None) -> DataFrame:
-    """Per group of decided requests: the sorted keys of principals allowed; an empty set is an answer."""
+    """(by.., principal): who is allowed in each group of decided requests, one row each."""
     key = F.col("principal.key") if principal is None else principal
-    return decided.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(F.col("decision") == "allow", key))).alias("owners"))
+    return decided.where("decision = 'allow'").select(*by, key.alias("principal")).distinct()
+
+
+def owner_sets(decided: DataFrame, by: list[str], principal: Column | None = None) -> DataFrame:
+    """(by.., n_owners, digest): how many principals each group of decided requests allows, and an order-free digest of who; an empty set is an answer.
+
+    The digest is the sum of 32 bits of each key's hash, so no group's principals meet in one row.
+    """
+    key = F.col("principal.key") if principal is None else principal
+    each = decided.select(*by, key.alias("_key"), (F.col("decision") == "allow").alias("_ok")).groupBy(*by, "_key").agg(F.max("_ok").alias("_ok"))
+    mark = F.conv(F.substring(F.md5("_key"), 1, 8), 16, 10).cast("long")
+    return each.groupBy(*by).agg(F.count_if("_ok").alias("n_owners"), F.coalesce(F.sum(F.when(F.col("_ok"), mark)), F.lit(0).cast("long")).alias("digest"))
 
 
 def tier(rules: DataFrame) -> DataFrame:
@@ -180,10 +190,23 @@ def boundary(decided: DataFrame, by: list[str], axes: list[str], decision: str =
 
 
 def rotation(keys: DataFrame, by: list[str], key: str) -> DataFrame:
-    """(by.., key, renamed): each id takes the next one's name, the last the first's."""
-    w = Window.partitionBy(*by).orderBy(key)
+    """(by.., key, renamed): each id takes the next one's name, the last the first's.
+
+    Keys are put in ranges first, so that a group is sorted in as many tasks as it fills; the last of a range takes the first of the next one.
+    """
+    ranged = keys.select(*by, key).distinct().repartitionByRange(*by, key).withColumn("_range", F.spark_partition_id())
+    shared_dir(keys.sparkSession)
+    ranged = ranged.checkpoint()  # ranges come from a sample: written out, or a lost task could draw others
+    heads = ranged.groupBy(*by, "_range").agg(F.min(key).alias("_first"))
+    w = Window.partitionBy(*by).orderBy("_range")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return keys.select(*by, key).distinct().withColumn("renamed", F.coalesce(F.lead(key).over(w), F.first(key).over(whole)))
+    heads = heads.withColumn("_next", F.coalesce(F.lead("_first").over(w), F.first("_first").over(whole))).drop("_first")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*by, "_range")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    within = ranged.withColumn("_after", F.lead(key).over(Window.partitionBy(*by, "_range").orderBy(key)))
+    return within.alias("k").join(heads.alias("h"), on).select(*(F.col(f"k.{c}") for c in (*by, key)), F.coalesce("_after", "_next").alias("renamed"))
 
 
 def balanced_sample(rows: DataFrame, by: list[str], label: str, boundary_flag: str, order: Column, n: int) -> DataFrame:

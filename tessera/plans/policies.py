@@ -18,8 +18,7 @@ def policy_governing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = P.owners(X.decided(spark, sf_dir), ["p_brand", "action"])
-    return found.select("p_brand", "action", F.size("owners").alias("n_owners"), F.md5(F.array_join("owners", ",")).alias("owners_md5"))
+    return P.owner_sets(X.decided(spark, sf_dir), ["p_brand", "action"])
 
 
 def membership_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +164,8 @@ SELECT c_mktsegment, action, decision, count(*) AS n, CAST(sum(m1::INT + m2::INT
 FROM dec GROUP BY ALL""",
     "policy_governing": f"WITH {X.SALES_SQL} SELECT action, governing, count(*) AS n FROM dec GROUP BY ALL",
     "policy_owners": f"""WITH {X.SALES_SQL}
-SELECT p_brand, action, CAST(count(DISTINCT k) AS INTEGER) AS n_owners, md5(coalesce(string_agg(DISTINCT k, ',' ORDER BY k), '')) AS owners_md5
-FROM (SELECT p_brand, action, CASE WHEN decision = 'allow' THEN 'customer::' || CAST(c_custkey AS VARCHAR) END AS k FROM dec) GROUP BY p_brand, action""",
+SELECT p_brand, action, count(k) AS n_owners, CAST(coalesce(sum(('0x' || substr(md5(k), 1, 8))::BIGINT), 0) AS BIGINT) AS digest
+FROM (SELECT DISTINCT p_brand, action, CASE WHEN decision = 'allow' THEN 'customer::' || CAST(c_custkey AS VARCHAR) END AS k FROM dec) GROUP BY p_brand, action""",
     "membership_closure": """WITH RECURSIVE p AS (
   SELECT 'customer::' || c_custkey AS key, 'nation::' || c_nationkey AS parent FROM customer
   UNION SELECT 'nation::' || n_nationkey, 'region::' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey

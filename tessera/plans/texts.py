@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import iam as I
 from ..operators import vectors as V
+from ..schemas import bool_value, int_value, text_value
 from . import fixtures as Fx
 
 #: Characters that a prefix of each source should reach.
@@ -147,33 +150,69 @@ def rule_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(differ, "c_nationkey").groupBy("exact", (F.col("differ") == 0).alias("equivalent")).agg(F.count(F.lit(1)).alias("n"), F.sum("differ").alias("differ"), F.sum("requests").alias("requests"))
 
 
+#: Parts of the stand-in documents by the number n of a statement: JSON of what it says, and the same as wildcards for the SQL.
+_ACTIONS = [["s3:Get*"], ["s3:*Object", "s3:List?"], ["S3:PUT*"], ["s3:GetObject"], ["*"], ["s3:?et*", "s3:Put?bject"]]
+_THINGS = [["*"], ["arn:part/Brand#1*"], ["arn:part/*/7"], ["arn:part/Brand#?3/*"], ["arn:part/Brand#2*", "arn:part/Brand#4?/1*"], ["ARN:part/*"], ["arn:part/Brand#5?/*9"], ["*/1?"]]
+_PEOPLE = ["", ', "Principal": "*"', ', "Principal": {"AWS": "BUILDING"}', ', "Principal": {"Service": ["AUTOMOBILE", "MACHINERY"], "AWS": "HOUSEHOLD"}', ', "NotPrincipal": {"Service": ["FURNITURE"]}']
+_WHENS = [
+    "", "", ', "Condition": {"NumericLessThan": {"quantity": "25"}}', ', "Condition": {"StringEquals": {"status": ["F", "X"]}}', ', "Condition": {"NumericNotEquals": {"quantity": [1, 2, 3]}, "StringNotEquals": {"status": "O"}}',
+    ', "Condition": {"Bool": {"large": "TRUE"}}', ', "Condition": {"Bool": {"large": true}, "NumericGreaterThanEquals": {"quantity": 40}}',
+]
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An access document for each nation, with what varies taken from its key."""
-    nation = Fx.table(spark, sf_dir, "nation").select("n_nationkey")
-    k = F.col("n_nationkey")
-    head = '{"Version": "2012-10-17", "Statement": ['
-    first = F.concat(F.lit('{"Effect": "Allow", "Action": ["s3:Get*", "s3:List?"], "Resource": "arn:part/Brand#'), (k % 5 + 1).cast("string"), F.lit('?/*"}'))
-    second = F.concat(F.lit('{"Effect": "Allow", "Action": "S3:Put*", "NotResource": ["arn:part/Brand#1*", "arn:part/*/7"], "Condition": {"NumericLessThan": {"quantity": "'), (k + 10).cast("string"), F.lit('"}}}'))
-    third = F.lit('{"Effect": "Deny", "NotAction": ["s3:Get*", "s3:Put*"], "Resource": "*", "Condition": {"StringEquals": {"status": "F"}}}')
-    fourth = F.when(k % 6 == 0, F.lit(', {"Effect": "Allow", "Action": "s3:GetObject", "Resource": "*", "Condition": {"NumericGreaterThanEquals": {"quantity": "45"}, "StringLike": {"status": "?"}}}')).otherwise("")
-    return nation.select(k.alias("key"), F.concat(F.lit(head), first, F.lit(", "), second, F.lit(", "), third, fourth, F.lit("]}")).alias("doc"))
+    """An access document of three statements for each supplier, with what they say taken from its key."""
+    own = Fx.table(spark, sf_dir, "supplier").select("s_suppkey")
+    pick = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (n % len(options) + 1).cast("int"))
 
+    def statement(n: Column) -> Column:
+        effect = F.when(n % 97 == 0, "Maybe").when(n % 4 == 3, "Deny").otherwise("Allow")
+        action = F.concat(F.when(n % 11 == 10, '"NotAction": ').otherwise('"Action": '), pick([json.dumps(a if len(a) > 1 else a[0]) for a in _ACTIONS], n))
+        thing = F.concat(F.when(n % 9 == 8, '"NotResource": ').otherwise('"Resource": '), pick([json.dumps(a if len(a) > 1 else a[0]) for a in _THINGS], n))
+        return F.concat(F.lit('{"Effect": "'), effect, F.lit('", '), action, F.lit(", "), thing, pick(_PEOPLE, n), pick(_WHENS, n), F.lit("}"))
 
-def iam_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey") * 3
+    body = F.concat_ws(", ", *(statement(n + j) for j in range(3)))
+    return own.select(F.col("s_suppkey").alias("key"), F.concat(F.lit('{"Version": "2012-10-17", "Statement": ['), body, F.lit("]}")).alias("doc"))
+
+
+def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each order line against the document of its supplier; every seventh line does not say whether it is large."""
     lines, orders, customer, part = (Fx.table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customer, orders["o_custkey"] == customer["c_custkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
     action = F.when(F.col("l_returnflag") == "R", "s3:GetObject").when(F.col("l_returnflag") == "A", "s3:PutObject").otherwise("S3:ListX")
-    requests = rows.select(F.col("c_nationkey").alias("key"), action.alias("action"), F.concat(F.lit("arn:part/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("resource"), F.create_map(F.lit("quantity"), F.col("l_quantity").cast("bigint")).alias("numbers"), F.create_map(F.lit("status"), F.col("l_linestatus")).alias("texts"))
+    principal = F.struct(F.when(F.col("c_custkey") % 2 == 0, "AWS").otherwise("Service").alias("type"), F.col("c_mktsegment").alias("id"))
+    context = [F.struct(F.lit("quantity").alias("k"), int_value(F.col("l_quantity")).alias("v")), F.struct(F.lit("status").alias("k"), text_value(F.col("l_linestatus")).alias("v"))]
+    large = F.struct(F.lit("large").alias("k"), bool_value(F.col("l_extendedprice") > 40000).alias("v"))
+    context = F.when(F.col("l_linenumber") == 7, F.array(*context)).otherwise(F.array(*context, large))
+    return rows.select(F.col("l_suppkey").alias("key"), action.alias("action"), F.concat(F.lit("arn:part/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("resource"), principal.alias("principal"), F.map_from_entries(context).alias("context"))
+
+
+def iam_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = I.statements(_documents(spark, sf_dir), "key", "doc")
-    return I.decide(requests, docs).groupBy("action", "decision").agg(F.count(F.lit(1)).alias("n"))
+    return I.decide(_access(spark, sf_dir), docs).groupBy("action", "decision", "refused").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Documents that lack something, and the reason for which each is refused.
+_ODD = [
+    ('{"Statement": {"Effect": "Maybe", "Action": "a:*", "Resource": "*"}}', "effect"), ('{"Statement": {"Effect": "Allow", "Resource": "*"}}', "action"),
+    ('{"Statement": {"Effect": "Allow", "Action": "a", "NotAction": ["b"], "Resource": "*"}}', "action"), ('{"Statement": {"Effect": "Allow", "Action": ["a", 1], "Resource": "*"}}', "action"),
+    ('{"Statement": {"Effect": "Allow", "Action": "a"}}', "resource"), ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "*", "Condition": "junk"}}', "condition"),
+    ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "*", "Condition": {"DateEquals": {"d": "1"}}}}', "condition"), ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "*", "Condition": {"StringLike": {"d": "x*"}}}}', "condition"),
+    ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "*", "Condition": {"NumericEquals": {"d": []}}}}', "condition"), ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "*", "Condition": {"NumericEquals": {"d": "1.5"}}}}', "condition"),
+    ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "*", "Condition": {"Bool": {"d": "yes"}}}}', "condition"), ('{"Statement": {"Effect": "Allow", "Principal": {"AWS": "u/*"}, "Action": "a", "Resource": "*"}}', "principal"),
+    ('{"Statement": {"Effect": "Allow", "NotPrincipal": {"AWS": "u"}, "Action": "a", "Resource": "*"}}', "principal"), ('{"Statement": {"Effect": "Allow", "Principal": "u", "Action": "a", "Resource": "*"}}', "principal"),
+    ('{"Statement": [{"Effect": "Allow", "Principal": {"AWS": "*"}, "Action": "a", "Resource": "*"}, 3]}', "statement"), ('{"Version": "1"}', "statement"), ("[", "json"),
+    ('{"Statement": {"Effect": "Allow", "Action": "a", "Resource": "home/${user}"}}', "variable"), ('{"Statement": {"Effect": "Deny", "Action": "a", "Resource": "*", "Condition": {"Bool": {"d": ["true", false]}}}}', None),
+    ('{"Statement": []}', None),
+]
 
 
 def iam_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of which some lack what a statement needs."""
-    own = Fx.table(spark, sf_dir, "customer").select("c_custkey")
+    """Customers with documents of which most lack what a statement needs, by the reason they are refused for."""
     k = F.col("c_custkey")
-    doc = F.concat(F.lit('{"Statement": {"Effect": "'), F.when(k % 5 == 0, "Maybe").otherwise("Allow"), F.lit('", "Action": "a:*"'), F.when(k % 7 == 0, ', "NotAction": ["b"]').otherwise(""), F.when(k % 3 == 0, "").otherwise(', "Resource": "*"'), F.when(k % 2 == 0, ', "Condition": {"DateEquals": {"d": "1"}}').otherwise(""), F.lit("}}"))
-    docs = I.statements(own.select(k.alias("key"), doc.alias("doc")), "key", "doc")
+    doc = F.element_at(F.array(*(F.lit(d) for d, _ in _ODD)), (k % len(_ODD) + 1).cast("int"))
+    docs = I.statements(Fx.table(spark, sf_dir, "customer").select(k.alias("key"), doc.alias("doc")), "key", "doc")
     return I.unsupported(docs).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -240,15 +279,30 @@ def url_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("pattern").agg(F.min("host").alias("witness"), F.count(F.lit(1)).alias("covered"))
 
 
-_DOC = """doc AS (SELECT n_nationkey AS key FROM nation),
+def _choice(options: list, n: str = "n") -> str:
+    return f"{options!r}[n % {len(options)} + 1]"
+
+
+#: The statements as rows, and each looked at for each request: o is its effect, no, or refused.
+_ACCESS = f"""st AS (
+  SELECT s_suppkey AS key, j, s_suppkey * 3 + j AS n, CASE WHEN (s_suppkey * 3 + j) % 4 = 3 THEN 'Deny' ELSE 'Allow' END AS effect FROM supplier, (VALUES (0), (1), (2)) v(j)),
+sp AS (SELECT *, list_transform({_choice(_ACTIONS)}, lambda x: replace(replace(x, '*', '.*'), '?', '.')) AS acts, list_transform({_choice(_THINGS)}, lambda x: replace(replace(x, '*', '.*'), '?', '.')) AS things,
+  bool_or(n % 97 = 0) OVER (PARTITION BY key) AS broken FROM st),
 req AS (
-  SELECT c_nationkey AS key, CASE l_returnflag WHEN 'R' THEN 's3:GetObject' WHEN 'A' THEN 's3:PutObject' ELSE 'S3:ListX' END AS action, p_brand, p_partkey, CAST(l_quantity AS BIGINT) AS q, l_linestatus AS st
+  SELECT row_number() OVER () AS line, l_suppkey AS key, CASE l_returnflag WHEN 'R' THEN 's3:GetObject' WHEN 'A' THEN 's3:PutObject' ELSE 'S3:ListX' END AS action, 'arn:part/' || p_brand || '/' || p_partkey AS resource,
+    CASE WHEN c_custkey % 2 = 0 THEN 'AWS' ELSE 'Service' END AS who, c_mktsegment AS id, CAST(l_quantity AS BIGINT) AS q, l_linestatus AS st, CASE WHEN l_linenumber != 7 THEN l_extendedprice > 40000 END AS large
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
 m AS (
-  SELECT *, action IN ('s3:GetObject', 'S3:ListX') AND regexp_full_match(p_brand, 'Brand#' || (key % 5 + 1) || '.') AS a1,
-    action = 's3:PutObject' AND p_brand NOT LIKE 'Brand#1%' AND p_partkey != 7 AND q < key + 10 AS a2,
-    action = 'S3:ListX' AND st = 'F' AS d3, key % 6 = 0 AND action = 's3:GetObject' AND q >= 45 AS a4
-  FROM req)"""
+  SELECT r.*, j, effect, broken,
+    (len(list_filter(acts, lambda x: regexp_full_match(action, x, 'i'))) > 0) != (n % 11 = 10) AND (len(list_filter(things, lambda x: regexp_full_match(resource, x))) > 0) != (n % 9 = 8)
+    AND CASE n % 5 WHEN 2 THEN who = 'AWS' AND id = 'BUILDING' WHEN 3 THEN who = 'Service' AND id IN ('AUTOMOBILE', 'MACHINERY') OR who = 'AWS' AND id = 'HOUSEHOLD' WHEN 4 THEN NOT (who = 'Service' AND id = 'FURNITURE') ELSE true END AS met,
+    CASE n % 7 WHEN 2 THEN q < 25 WHEN 3 THEN st IN ('F', 'X') WHEN 4 THEN q NOT IN (1, 2, 3) AND st != 'O' WHEN 5 THEN large WHEN 6 THEN CASE WHEN large IS NULL THEN NULL ELSE large AND q >= 40 END ELSE true END AS held
+  FROM req r JOIN sp ON r.key = sp.key),
+o AS (SELECT *, CASE WHEN NOT met THEN 'no' WHEN held IS NULL THEN 'refused' WHEN held THEN effect ELSE 'no' END AS o FROM m),
+d AS (
+  SELECT line, action, bool_or(broken) AS broken, min(j) FILTER (o = 'Deny') AS deny, min(j) FILTER (o = 'refused') AS lost, bool_or(o = 'Allow') AS allow
+  FROM o GROUP BY line, action),
+f AS (SELECT *, CASE WHEN broken THEN 'effect' WHEN lost IS NOT NULL AND (deny IS NULL OR lost < deny) THEN 'context' END AS refused FROM d)"""
 
 SQL = {
     "parse_short_answer_v1": f"WITH {_ANSWERS.replace('{v2}', 'false').replace('{fold}', 's')} SELECT category, CASE WHEN s IN ('allow', 'deny') THEN s END AS selected, count(*) AS n FROM c GROUP BY ALL",
@@ -271,8 +325,8 @@ SELECT effect, count(*) AS n, count(*) AS json, count(*) AS duties, CASE effect
     "rule_equivalence": """WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) % 12 AS l, count(*) % 12 + CASE WHEN c_nationkey % 3 = 0 AND length(c_mktsegment) % 2 = 0 THEN 1 ELSE 0 END AS m FROM customer GROUP BY c_nationkey, c_mktsegment),
 n AS (SELECT c_nationkey, bool_and(l = m) AS exact, count(*) FILTER ((q < l) != (q < m)) AS d, count(*) AS r FROM s, (SELECT unnest(range(0, 10)) AS q) GROUP BY c_nationkey)
 SELECT exact, d = 0 AS equivalent, count(*) AS n, CAST(sum(d) AS BIGINT) AS differ, CAST(sum(r) AS BIGINT) AS requests FROM n GROUP BY ALL""",
-    "iam_decide": f"WITH {_DOC} SELECT action, CASE WHEN d3 THEN 'deny' WHEN a1 OR a2 OR a4 THEN 'allow' ELSE 'deny' END AS decision, count(*) AS n FROM m GROUP BY ALL",
-    "iam_unsupported": """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'effect' WHEN c_custkey % 7 = 0 THEN 'action' WHEN c_custkey % 3 = 0 THEN 'resource' WHEN c_custkey % 2 = 0 THEN 'condition' END AS reason FROM customer) WHERE reason IS NOT NULL GROUP BY reason""",
+    "iam_decide": f"WITH {_ACCESS} SELECT action, CASE WHEN refused IS NULL AND deny IS NULL AND allow THEN 'allow' ELSE 'deny' END AS decision, refused, count(*) AS n FROM f GROUP BY ALL",
+    "iam_unsupported": f"""SELECT reason, count(*) AS n FROM customer JOIN (VALUES {", ".join(f"({i}, '{r}')" for i, (_, r) in enumerate(_ODD) if r)}) v(i, reason) ON c_custkey % {len(_ODD)} = i GROUP BY reason""",
     "vocabulary_overlap": """WITH b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark), d AS (SELECT DISTINCT source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
 SELECT source, count(*) AS words, count(b.w) AS shared FROM d LEFT JOIN b ON d.w = b.w WHERE d.w != '' GROUP BY source""",
     "prefix_budget": """SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 20000 GROUP BY source""",

@@ -44,6 +44,13 @@ def test_closure_reaches_through_and_marks_cycles(spark):
     assert got == {("p", "a", "b"), ("p", "a", "c"), ("p", "b", "c"), ("p", "x", "y"), ("p", "x", "x"), ("p", "y", "x"), ("p", "y", "y"), ("q", "c", "d")}
 
 
+def test_closure_of_a_long_chain_and_a_long_cycle(spark):
+    edges = [("p", f"n{i}", f"n{i + 1}") for i in range(1000)] + [("q", f"c{i}", f"c{(i + 1) % 70}") for i in range(70)]
+    found = P.closure(spark.createDataFrame(edges, "policy_id string, key string, parent string"))
+    assert {r["policy_id"]: r["count"] for r in found.groupBy("policy_id").count().collect()} == {"p": 1000 * 1001 // 2, "q": 4900}
+    assert found.where("key = 'n0' and ancestor = 'n1000'").count() == 1 and found.where("key = ancestor").count() == 70
+
+
 def test_boundary_is_a_flip_along_one_axis(spark):
     rows = [(x, y, "allow" if x >= 2 and y >= 1 else "deny") for x in range(4) for y in range(3)]
     got = {(r["x"], r["y"]) for r in P.boundary(spark.createDataFrame([("p", *r) for r in rows], "p string, x int, y int, decision string"), ["p"], ["x", "y"]).where("boundary").collect()}
@@ -57,11 +64,18 @@ def test_rotation_takes_the_next_name(spark):
     assert got == {("a", "x"): "y", ("a", "y"): "z", ("a", "z"): "x", ("b", "q"): "q"}
 
 
+def test_rotation_of_a_group_over_many_ranges(spark):
+    rows = [("a", f"{i:05d}") for i in range(2000)] + [("b", "x"), ("b", "x"), (None, "y"), (None, "z")]
+    got = {(r["t"], r["n"]): r["renamed"] for r in P.rotation(spark.createDataFrame(rows, "t string, n string").repartition(8), ["t"], "n").collect()}
+    assert got == {("a", f"{i:05d}"): f"{(i + 1) % 2000:05d}" for i in range(2000)} | {("b", "x"): "x", (None, "y"): "z", (None, "z"): "y"}
+
+
 def test_an_empty_owner_set_is_an_answer(spark):
     rows = spark.createDataFrame([("d", "deny", "u1"), ("e", "allow", "u2"), ("e", "allow", "u1")], "doc string, decision string, who string")
     from pyspark.sql import functions as F
 
-    assert {r["doc"]: r["owners"] for r in P.owners(rows, ["doc"], F.col("who")).collect()} == {"d": [], "e": ["u1", "u2"]}
+    assert {(r["doc"], r["principal"]) for r in P.owners(rows, ["doc"], F.col("who")).collect()} == {("e", "u1"), ("e", "u2")}
+    assert {r["doc"]: (r["n_owners"], r["digest"] > 0) for r in P.owner_sets(rows, ["doc"], F.col("who")).collect()} == {"d": (0, False), "e": (2, True)}
 
 
 def test_universe_refuses_what_is_too_large(spark):

@@ -55,17 +55,43 @@ def test_channels_and_renderings(spark):
     assert tuple(back["s"]) == tuple(back["t"]) == ("forbid", "g", ["a", "b"], "doc") and back["n"] is None
 
 
+def _access(spark, doc, *requests):
+    from tessera import schemas as S
+
+    rows = [(1, a, r, p, {k: S.value(v) for k, v in c.items()}) for a, r, p, c in requests]
+    parsed = I.statements(spark.createDataFrame([(1, doc)], "key int, doc string"), "key", "doc")
+    got = I.decide(spark.createDataFrame(rows, f"key int, action string, resource string, principal struct<type:string,id:string>, context map<string,{S.VALUE}>"), parsed)
+    return [r["refused"] or r["decision"] for r in got.collect()]
+
+
 def test_access_documents(spark):
-    docs = [
-        (1, '{"Statement": {"Effect": "Allow", "Action": "s3:Get*", "Resource": "a/?"}}'),
-        (2, '{"Statement": [{"Effect": "Allow", "Action": "*", "Resource": "*"}, {"Effect": "Deny", "NotAction": ["s3:Get*"], "Resource": "*", "Condition": {"NumericLessThan": {"n": "3"}}}]}'),
-        (3, '{"Statement": [{"Effect": "Maybe", "Action": "*", "Resource": "*"}]}'), (4, "no json"),
-    ]
-    parsed = I.statements(spark.createDataFrame(docs, "key int, doc string"), "key", "doc")
-    requests = spark.createDataFrame([(1, "S3:GETX", "a/b", {}, {}), (1, "s3:Get", "a/bc", {}, {}), (1, "s3:Get", "A/b", {}, {}), (2, "s3:Put", "x", {"n": 2}, {}), (2, "s3:Put", "x", {"n": 3}, {}), (2, "s3:Put", "x", {}, {}), (4, "x", "x", {}, {})], "key int, action string, resource string, numbers map<string,bigint>, texts map<string,string>")
-    got = I.decide(requests.withColumn("i", F.monotonically_increasing_id()), parsed).orderBy("i").collect()
-    assert [r["decision"] for r in got] == ["allow", "deny", "deny", "deny", "allow", "allow", "deny"]
-    assert [tuple(r) for r in I.unsupported(parsed).where("key = 3").collect()] == [(3, "effect")]
+    one = '{"Statement": {"Effect": "Allow", "Action": "s3:Get*", "Resource": "a/?"}}'
+    assert _access(spark, one, ("S3:GETX", "a/b", None, {}), ("s3:Get", "a/bc", None, {}), ("s3:Get", "A/b", None, {})) == ["allow", "deny", "deny"]
+    two = '{"Statement": [{"Effect": "Allow", "Action": "*", "Resource": "*"}, {"Effect": "Deny", "NotAction": ["s3:Get*"], "Resource": "*", "Condition": {"NumericLessThan": {"n": "3"}}}]}'
+    assert _access(spark, two, ("s3:Put", "x", None, {"n": 2}), ("s3:Put", "x", None, {"n": 3}), ("s3:Put", "x", None, {}), ("s3:Put", "x", None, {"n": "2"}), ("s3:Get", "x", None, {})) == ["deny", "allow", "context", "context", "allow"]
+    assert _access(spark, '{"Statement": [{"Effect": "Maybe", "Action": "*", "Resource": "*"}]}', ("a", "x", None, {})) == ["effect"]
+    assert _access(spark, "no json", ("a", "x", None, {})) == ["json"]
+
+
+def test_conditions_that_are_not_understood_deny(spark):
+    doc = lambda c: f'{{"Statement": {{"Effect": "Allow", "Action": "*", "Resource": "*", "Condition": {c}}}}}'
+    y = ("a", "x", None, {"k": "y", "b": True, "i": 4})
+    for c, want in [('"junk"', "condition"), ('{"StringEquals": {"k": ["x", "y"]}}', "allow"), ('{"StringNotEquals": {"k": ["x", "y"]}}', "deny"), ('{"Bool": {"b": "TRUE"}}', "allow"), ('{"Bool": {"b": [false]}}', "deny"), ('{"NumericNotEquals": {"i": [1, "4"]}}', "deny"), ('{"NumericEquals": {"k": 1}}', "context"), ('{"StringEquals": {"z": "y"}}', "context"), ("null", "condition")]:
+        assert _access(spark, doc(c), y) == [want], c
+
+
+def test_principals(spark):
+    doc = lambda p: f'{{"Statement": {{"Effect": "Allow", {p}, "Action": "*", "Resource": "*"}}}}'
+    people = [("a", "x", p, {}) for p in (("AWS", "u"), ("Service", "u"), None)]
+    assert _access(spark, doc('"Principal": {"AWS": ["t", "u"]}'), *people) == ["allow", "deny", "deny"]
+    assert _access(spark, doc('"Principal": "*"'), *people) == _access(spark, doc('"Principal": {"AWS": "*"}'), *people) == ["allow"] * 3
+    assert _access(spark, doc('"NotPrincipal": {"Service": "u"}'), *people) == ["allow", "deny", "allow"]
+    assert _access(spark, doc('"Principal": {"AWS": "u*"}'), *people) == ["principal"] * 3
+
+
+def test_globs_stop_at_lines_unless_case_is_folded(spark):
+    doc = '{"Statement": {"Effect": "Allow", "Action": "a*", "Resource": ["p/*", "q?*r"]}}'
+    assert _access(spark, doc, ("A\nb", "p/x", None, {}), ("a", "p/x\ny", None, {}), ("a", "qxyr", None, {}), ("a", "qr", None, {}), ("a", "P/", None, {})) == ["allow", "deny", "allow", "deny", "deny"]
 
 
 def test_canonical_json(spark):
