@@ -50,6 +50,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the shared folder. Unlike a checkpoint's, its plan carries no constraints, which rounds of joins would multiply."""
+    path = new_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (murmur3's constants)."""
     x = x ^ (x >> U64(33))

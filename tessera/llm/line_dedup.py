@@ -1,25 +1,32 @@
-"""Line dedup: repeated runs of lines by distributed prefix doubling over line ids.
+"""Line dedup: repeated runs of lines by a suffix array over line ids, made by distributed prefix doubling.
 
-Each document is a sequence of line ids (128-bit hashes of the lines). Doubling names the suffixes by their first 1, 2, 4 ..
-lines: the name of 2k lines at a place is made of the names of k lines there and k places on, one self-join of
-(document, place) per round, and suffixes whose name occurs once leave before each round, as no longer prefix
-of theirs can repeat. Suffixes of one name are an interval of the suffix array with a common prefix at least that long; all but
-its earliest place are later copies. Rounds end at `min_lines`, reached exactly by overlapping the last two names: a
-repeated run of more lines is the union of such windows, so longer names would not change what is covered.
+Each document is a sequence of line ids (128-bit hashes of the lines). Doubling names every suffix by its first 1, 2, 4 ..
+lines: the name of 2k lines at a place is made of the names of k lines there and k places on, one self-join on the place per
+round. Suffixes of one name are an interval of the suffix array; a suffix whose name occurs once leaves, and rounds go on until all
+names are unique, so they number the logarithm of the longest repeated run.
+
+An interval of 2^k lines holds suffixes that part company somewhere before 2^(k+1). Halving steps, each the reverse of a doubling round, find
+where: the names of 2^s lines behind the common prefix split an interval into deeper ones. A suffix ends in the deepest interval that it
+does not lead, whose depth is its longest common prefix with any earlier suffix, and whose leader is where that one stands. A deeper interval
+leaves its leader alone behind in the shallower one, so each suffix is in two intervals at most, as one that is asked about
+and as a leader, whatever the depth. A suffix whose predecessor matches one line more is a tail of that match; the others start the maximal repeated runs.
 
 A later copy is deleted where the run has `min_lines` lines, or where one line alone has `min_words` words, i.e. runs of no white space, or
 `CHARS_PER_WORD` times as many characters of scripts that are written without spaces. Earlier means
-smaller doc_id, or the same document and an earlier line. All joins are equi-joins that can split a hot key, and the
-earliest place of a name is an aggregate with map-side combining.
+smaller doc_id, or the same document and an earlier line.
+
+Names that more than a 4096th of all repeated lines share are at most 4096, and meet their suffixes by a broadcast; all others by equi-joins that no
+key can overfill. The leader of a name is an aggregate with map-side combining. Every round is written out.
 
 Defined cases: null text has no lines and stays null; an empty text is one empty line, and is kept. Rows without a
-doc_id are left as they are and copy nothing. Rows that repeat a doc_id count as that document: they are cut alike, and are no copies of
-each other. A document may lose all its lines: its text is then empty. Extra columns are kept by `dedup_lines`.
+doc_id are left as they are and copy nothing. Rows that repeat a doc_id and its text count once: they are cut alike, and are no copies of
+each other; rows that share a doc_id alone are documents of their own, in order of a hash of their text. A document may lose all its lines: its text is then empty.
+An empty table gives an empty result. Extra columns are kept by `dedup_lines`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,46 +40,118 @@ SPACES = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{20
 WORD = f"[^{SPACES}]+"
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 
+#: A name that this share of all repeated lines has is looked up by a broadcast: there are at most so many.
+HOT_SHARE = 4096
+#: .. unless it has fewer suffixes than this, which any task holds.
+HOT_LEAST = 1000
+
+_PLACE = ("doc", "text_hash", "pos")
+
+
 def _name(*parts) -> list:
     return [F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b")]
 
 
-def _repeating(suffixes: DataFrame) -> DataFrame:
-    names = suffixes.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max(F.struct("doc", "pos")).alias("most")).where("least != most").select("a", "b", "least")
-    return suffixes.join(names, ["a", "b"])
+def _place() -> Column:
+    return F.struct(*_PLACE)
+
+
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], hot_from: int | None, how: str = "inner") -> DataFrame:
+    """rows joined with the groups of their keys (unique, with a column c of how many rows each has). hot_from: rows from which a group is hot, null where none is."""
+    if hot_from is None:
+        return rows.join(groups, keys, how).drop("c")
+    # At most HOT_SHARE groups are hot; the rest of the rows have keys that no task is overfilled by.
+    hot = F.broadcast(groups.where(F.col("c") >= hot_from))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("c") < hot_from), keys, how)
+    return cold.unionByName(rows.join(hot, keys)).drop("c")
+
+
+def _leaders(suffixes: DataFrame) -> DataFrame:
+    """(a, b, c, least): the names that more than one place has, how many suffixes have each, and the earliest."""
+    return suffixes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("least"), F.max(_place()).alias("_most")).where("least != _most").drop("_most")
 
 
 def _doubled(suffixes: DataFrame, step: int) -> DataFrame:
-    """Names of the run at each place joined to the run `step` places on."""
-    x = suffixes.select("doc", "pos", "a", "b")
-    y = suffixes.select("doc", (F.col("pos") - step).alias("pos"), F.col("a").alias("c"), F.col("b").alias("d"))
-    return x.join(y, ["doc", "pos"]).select("doc", "pos", *_name("a", "b", "c", "d"))
+    """Names of the run at each place and the run `step` places on, where that has one."""
+    on = Window.partitionBy("doc", "text_hash").orderBy("pos").rangeBetween(step, step)
+    both = suffixes.select(*_PLACE, "a", "b", F.first(F.struct(F.col("a").alias("c"), F.col("b").alias("d"))).over(on).alias("on")).where("on is not null")
+    return both.select(*_PLACE, *_name("a", "b", "on.c", "on.d"))
+
+
+def _deeper(asked: DataFrame, level: DataFrame, step: int, hot_from: int) -> DataFrame:
+    """One halving: suffixes (place, depth, a, b, own, least) of intervals, split by the names of `step` lines behind their depth.
+
+    own marks suffixes that are asked about; each interval has one more, its leader.
+    """
+    behind = level.select("doc", "text_hash", F.col("pos").alias("_at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
+    at = asked.withColumn("_at", F.col("pos") + F.col("depth"))
+    named = at.join(behind, ["doc", "text_hash", "_at"], "left").drop("_at")
+    keys = ["a", "b", "qa", "qb"]
+    parts = named.where("qa is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("first")).where("c > 1")
+    split = _meet(named, parts, keys, hot_from, "left")
+    leads = F.expr("doc = first.doc and text_hash = first.text_hash and pos = first.pos")
+    names = ("depth", "a", "b", "own", "least")
+    here = F.struct(*names)
+    a, b = _name("a", "b", "qa", "qb")
+    deep = F.struct((F.col("depth") + step).alias("depth"), a, b, (F.col("own") & ~leads).alias("own"), F.col("first").alias("least"))
+    # What is alone behind the depth stays where it is; the leader of a part does so too, and leads the part as well.
+    ways = F.when(F.col("first").isNull(), F.array(here)).when(leads, F.array(here, deep)).otherwise(F.array(deep))
+    return split.select(*_PLACE, F.explode(ways).alias("_x")).select(*_PLACE, *(F.col(f"_x.{n}").alias(n) for n in names))
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(place, a, b, alone): every line of documents with an id, and whether it counts by itself."""
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    long_line = (F.regexp_count("line", F.lit(WORD)) >= min_words) | (F.regexp_count("line", F.lit(UNSPACED.replace("p{", "p{Is"))) >= CHARS_PER_WORD * min_words)
+    return own.select(*_PLACE, *_name("line"), long_line.alias("alone"))
+
+
+def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, text_hash, pos, n, source, alone): how many lines from each place also stand at an earlier place, and the least such place for so many; n > 0."""
+    lines = _lines(docs, min_words)
+    names = C.written(_leaders(lines))
+    total, most = names.agg(F.sum("c"), F.max("c")).first()
+    hot_from = max(HOT_LEAST, (total or 0) // HOT_SHARE)
+    if (most or 0) < hot_from:  # nor is any longer name, which no more suffixes have
+        hot_from = None
+    level = C.written(_meet(lines, names, ["a", "b"], hot_from).distinct())
+    alone = level.select(*_PLACE, "alone")
+    levels = [level.drop("alone")]
+    while not levels[-1].isEmpty():
+        doubled = _doubled(levels[-1], 1 << len(levels) - 1)
+        levels.append(C.written(_meet(doubled, _leaders(doubled), ["a", "b"], hot_from)))
+    # Asked about at a level: suffixes that do not lead its name, but lead or have no name of the next.
+    not_least = F.expr("not (doc <=> least.doc and text_hash <=> least.text_hash and pos <=> least.pos)")
+    asked = None
+    for k in range(len(levels) - 2, -1, -1):
+        deeper = levels[k + 1].where(not_least).select(*_PLACE)
+        mine = levels[k].where(not_least).join(deeper, list(_PLACE), "left_anti").select(*_PLACE, F.lit(1 << k).alias("depth"), "a", "b", F.lit(True).alias("own"), "least")
+        leaders = mine.select("least.*", "depth", "a", "b", "least").distinct().withColumn("own", F.lit(False))
+        fresh = mine.unionByName(leaders)
+        asked = fresh if asked is None else asked.unionByName(fresh)
+        if k:
+            asked = C.written(_deeper(asked, levels[k - 1], 1 << k - 1, hot_from))
+    found = alone.limit(0).select(*_PLACE, F.lit(0).alias("n"), _place().alias("source")) if asked is None else asked.where("own").select(*_PLACE, F.col("depth").alias("n"), F.col("least").alias("source"))
+    return found.join(alone, list(_PLACE))
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos, n): runs of n lines from line pos (from 0) that also start earlier. Runs of a document may overlap."""
-    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    long_line = (F.regexp_count("line", F.lit(WORD)) >= min_words) | (F.regexp_count("line", F.lit(UNSPACED.replace("p{", "p{Is"))) >= CHARS_PER_WORD * min_words)
-    # Repeated rows of a document name the same places.
-    lines = own.select("doc", "pos", *_name("line"), long_line.alias("alone"))
-    shared = C.checkpoint(_repeating(lines).distinct())
-    later = "doc != least.doc or pos != least.pos"
-    found = shared.where("alone").where(later).select("doc", "pos", F.lit(1).alias("n"))
-    if min_lines == 1:
-        return shared.where(later).select("doc", "pos", F.lit(1).alias("n"))
-    level, reach = shared, 1
-    while reach * 2 <= min_lines:
-        level, reach = _repeating(_doubled(level, reach)), reach * 2
-    if reach < min_lines:
-        level = _repeating(_doubled(level, min_lines - reach))
-    return found.unionAll(level.where(later).select("doc", "pos", F.lit(min_lines).alias("n")))
+    """(doc, text_hash, pos, n, source): maximal runs of n >= min_lines lines from line pos (from 0) that also stand at an earlier place, and lone lines that count.
+
+    Runs of a document may overlap where they continue different places.
+    """
+    found = matches(docs, min_words)
+    before = F.lag(F.struct("pos", "n")).over(Window.partitionBy("doc", "text_hash").orderBy("pos"))
+    runs = found.where(F.col("n") >= min_lines).withColumn("_before", before).where("_before is null or _before.pos != pos - 1 or _before.n != n + 1").drop("_before", "alone")
+    lone = found.where((F.col("n") < min_lines) & F.col("alone")).select("doc", "text_hash", "pos", F.lit(1).alias("n"), "source")
+    return runs.unionByName(lone)
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cut, and n_lines, n_removed, removed (runs of start, n lines, as far as they go). Columns of docs of these names are replaced."""
     kept = docs.drop("n_lines", "n_removed", "removed")
-    runs = repeated_lines(docs, min_lines, min_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("pos", "n")).alias("_runs"))
-    both = kept.join(runs, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    runs = repeated_lines(docs, min_lines, min_words).groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash")).agg(F.collect_set(F.struct("pos", "n")).alias("_runs"))
+    both = kept.join(runs, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_text_hash")), "left").drop("_doc", "_text_hash")
     schema = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])))])
 
     def cut(batches):

@@ -213,6 +213,46 @@ def test_lines(spark, min_lines):
     assert all(x["n_removed"] == sum(s["n"] for s in x["removed"]) for x in got.values())
 
 
+def _longest_earlier(rows):
+    lines = {d: t.split("\n") for d, t in rows}
+    places = [(d, p) for d in sorted(lines) for p in range(len(lines[d]))]
+
+    def common(x, y):
+        n = 0
+        while x[1] + n < len(lines[x[0]]) and y[1] + n < len(lines[y[0]]) and lines[x[0]][x[1] + n] == lines[y[0]][y[1] + n]:
+            n += 1
+        return n
+
+    out = {}
+    for i, x in enumerate(places):
+        best = max(((common(x, y), -j) for j, y in enumerate(places[:i])), default=(0, 0))
+        if best[0]:
+            out[x] = (best[0], places[-best[1]])
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_longest_common_prefixes_of_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", hot)
+    r = random.Random(8)
+    rows = [(i, "\n".join(r.choice("abc") for _ in range(r.randint(1, 25)))) for i in range(14)]
+    rows += [(20, "\n".join("xyzuvwpqrs")), (21, "\n".join("nxyzuvwpqrst")), (22, "\n".join("yzuvwpm")), (23, "a\n" * 40)]
+    found = line_dedup.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x["doc"], x["pos"]): (x["n"], (x["source"]["doc"], x["source"]["pos"])) for x in found} == _longest_earlier(rows)
+
+
+def test_a_thousand_equal_lines_are_one_maximal_run(spark):
+    rows = [(1, "\n".join(["same"] * 1000)), (2, "head\n" + "\n".join(f"line {i}" for i in range(300))), (3, "\n".join(f"line {i}" for i in range(300)) + "\ntail")]
+    found = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc"], x["pos"], x["n"], x["source"]["doc"], x["source"]["pos"]) for x in found) == [(1, 1, 999, 1, 0), (3, 0, 300, 2, 1)]
+
+
+def test_documents_that_share_an_id_are_cut_apart(spark):
+    rows = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (1, "x\ny\nz"), (2, "y\nz\na\nb\nc"), (2, "x\ny\nz")]
+    got = sorted((x["doc_id"], x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "a\nb\nc\nd", 0), (1, "a\nb\nc\nd", 0), (1, "x\ny\nz", 0), (2, "", 3), (2, "y\nz", 3)]
+
+
 def test_odd_lines(spark, odd, empty):
     got = line_dedup.dedup_lines(_clash(odd)).collect()
     assert len(got) == 12 and line_dedup.dedup_lines(empty).count() == 0
