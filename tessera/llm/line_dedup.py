@@ -56,14 +56,20 @@ def _place() -> Column:
     return F.struct(*_PLACE)
 
 
-def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], hot_from: int | None, how: str = "inner") -> DataFrame:
-    """rows joined with the groups of their keys (unique, with a column c of how many rows each has). hot_from: rows from which a group is hot, null where none is."""
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], hot_from: int | None, found: str, how: str = "inner") -> DataFrame:
+    """rows with the column `found` of the group of their keys; groups (keys, c of how many rows each has, found). how: inner, or left to keep the rest with null.
+
+    hot_from: rows from which a group is hot, null where none is. Hot groups, of which there are at most HOT_SHARE, are looked up by a broadcast, and
+    their rows then go through the join with the others under keys of their own, so that no task is overfilled.
+    """
     if hot_from is None:
-        return rows.join(groups, keys, how).drop("c")
-    # At most HOT_SHARE groups are hot; the rest of the rows have keys that no task is overfilled by.
-    hot = F.broadcast(groups.where(F.col("c") >= hot_from))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("c") < hot_from), keys, how)
-    return cold.unionByName(rows.join(hot, keys)).drop("c")
+        return rows.join(groups.drop("c"), keys, how)
+    hot = groups.where(F.col("c") >= hot_from).select(*keys, F.col(found).alias("_hot"))
+    near = rows.join(F.broadcast(hot), keys, "left")
+    near = near.withColumn("_k", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*_PLACE)))
+    cold = groups.where(F.col("c") < hot_from).select(F.col(keys[0]).alias("_k"), *keys[1:], found)
+    both = near.join(cold, ["_k", *keys[1:]], "left").withColumn(found, F.coalesce("_hot", found))
+    return (both if how == "left" else both.where(F.col(found).isNotNull())).select(*rows.columns, found)
 
 
 def _leaders(suffixes: DataFrame) -> DataFrame:
@@ -71,68 +77,82 @@ def _leaders(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("least"), F.max(_place()).alias("_most")).where("least != _most").drop("_most")
 
 
-def _doubled(suffixes: DataFrame, step: int) -> DataFrame:
-    """Names of the run at each place and the run `step` places on, where that has one."""
-    on = Window.partitionBy("doc", "text_hash").orderBy("pos").rangeBetween(step, step)
-    both = suffixes.select(*_PLACE, "a", "b", F.first(F.struct(F.col("a").alias("c"), F.col("b").alias("d"))).over(on).alias("on")).where("on is not null")
-    return both.select(*_PLACE, *_name("a", "b", "on.c", "on.d"))
+# Lengths are columns rather than numbers in the plans of rounds, so that all rounds share their compiled code.
+
 
+def _doubled(level: DataFrame) -> DataFrame:
+    """(place, a, b, size): names of the run of `size` lines at each place joined to the run that follows it."""
+    x = level.select(*_PLACE, "a", "b", "size")
+    y = level.select("doc", "text_hash", (F.col("pos") - F.col("size")).alias("pos"), F.col("a").alias("c"), F.col("b").alias("d"))
+    return x.join(y, list(_PLACE)).select(*_PLACE, *_name("a", "b", "c", "d"), (F.col("size") * 2).alias("size"))
 
-def _deeper(asked: DataFrame, level: DataFrame, step: int, hot_from: int) -> DataFrame:
-    """One halving: suffixes (place, depth, a, b, own, least) of intervals, split by the names of `step` lines behind their depth.
+
+def _deeper(asked: DataFrame, level: DataFrame, hot_from: int | None) -> DataFrame:
+    """One halving: suffixes (place, depth, a, b, own, least) of intervals, split by the names of a level's `size` lines behind their depth.
 
     own marks suffixes that are asked about; each interval has one more, its leader.
     """
-    behind = level.select("doc", "text_hash", F.col("pos").alias("_at"), F.col("a").alias("qa"), F.col("b").alias("qb"))
-    at = asked.withColumn("_at", F.col("pos") + F.col("depth"))
-    named = at.join(behind, ["doc", "text_hash", "_at"], "left").drop("_at")
+    behind = level.select("doc", "text_hash", F.col("pos").alias("_at"), F.col("a").alias("qa"), F.col("b").alias("qb"), "size")
+    named = asked.withColumn("_at", F.col("pos") + F.col("depth")).join(behind, ["doc", "text_hash", "_at"], "left").drop("_at")
     keys = ["a", "b", "qa", "qb"]
     parts = named.where("qa is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("first")).where("c > 1")
-    split = _meet(named, parts, keys, hot_from, "left")
+    split = _meet(named, parts, keys, hot_from, "first", "left")
     leads = F.expr("doc = first.doc and text_hash = first.text_hash and pos = first.pos")
     names = ("depth", "a", "b", "own", "least")
     here = F.struct(*names)
     a, b = _name("a", "b", "qa", "qb")
-    deep = F.struct((F.col("depth") + step).alias("depth"), a, b, (F.col("own") & ~leads).alias("own"), F.col("first").alias("least"))
+    deep = F.struct((F.col("depth") + F.col("size")).alias("depth"), a, b, (F.col("own") & ~leads).alias("own"), F.col("first").alias("least"))
     # What is alone behind the depth stays where it is; the leader of a part does so too, and leads the part as well.
     ways = F.when(F.col("first").isNull(), F.array(here)).when(leads, F.array(here, deep)).otherwise(F.array(deep))
     return split.select(*_PLACE, F.explode(ways).alias("_x")).select(*_PLACE, *(F.col(f"_x.{n}").alias(n) for n in names))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(place, a, b, alone): every line of documents with an id, and whether it counts by itself."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(place, a, b, line): every line of documents with an id."""
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    long_line = (F.regexp_count("line", F.lit(WORD)) >= min_words) | (F.regexp_count("line", F.lit(UNSPACED.replace("p{", "p{Is"))) >= CHARS_PER_WORD * min_words)
-    return own.select(*_PLACE, *_name("line"), long_line.alias("alone"))
+    return own.select(*_PLACE, *_name("line"), "line")
+
+
+def counts_alone(line: Column, min_words: int) -> Column:
+    """Whether a line has `min_words` words, or so many characters of scripts written without spaces."""
+    words = F.regexp_like(line, F.lit(f"(?:[^{SPACES}]++[{SPACES}]++){{{min_words - 1}}}[^{SPACES}]"))
+    unspaced = UNSPACED.replace("p{", "p{Is")
+    signs = F.regexp_like(line, F.lit(f"(?:{unspaced.replace('[', '[^', 1)}*+{unspaced}){{{CHARS_PER_WORD * min_words}}}"))
+    # Those scripts' characters take three bytes or more, and telling scripts apart takes long.
+    wide = F.octet_length(line) - F.length(line) >= 2 * CHARS_PER_WORD * min_words
+    return F.when(F.length(line) >= 2 * min_words - 1, words | F.when(wide, signs).otherwise(False)).otherwise(False)
 
 
 def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, text_hash, pos, n, source, alone): how many lines from each place also stand at an earlier place, and the least such place for so many; n > 0."""
-    lines = _lines(docs, min_words)
-    names = C.written(_leaders(lines))
+    lines = _lines(docs)
+    names = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("least"), F.max(_place()).alias("_most"), F.max(counts_alone(F.col("line"), min_words)).alias("alone"))
+    names = C.written(names.where("least != _most").select("a", "b", "c", F.struct("least", "alone").alias("name")))
     total, most = names.agg(F.sum("c"), F.max("c")).first()
     hot_from = max(HOT_LEAST, (total or 0) // HOT_SHARE)
     if (most or 0) < hot_from:  # nor is any longer name, which no more suffixes have
         hot_from = None
-    level = C.written(_meet(lines, names, ["a", "b"], hot_from).distinct())
+    level = _meet(lines.drop("line"), names, ["a", "b"], hot_from, "name").select(*_PLACE, "a", "b", "name.*", F.lit(1).alias("size"))
+    level = C.written(level.distinct())  # repeated rows
     alone = level.select(*_PLACE, "alone")
     levels = [level.drop("alone")]
     while not levels[-1].isEmpty():
-        doubled = _doubled(levels[-1], 1 << len(levels) - 1)
-        levels.append(C.written(_meet(doubled, _leaders(doubled), ["a", "b"], hot_from)))
+        doubled = _doubled(levels[-1])
+        levels.append(C.written(_meet(doubled, _leaders(doubled), ["a", "b"], hot_from, "least")))
     # Asked about at a level: suffixes that do not lead its name, but lead or have no name of the next.
     not_least = F.expr("not (doc <=> least.doc and text_hash <=> least.text_hash and pos <=> least.pos)")
     asked = None
     for k in range(len(levels) - 2, -1, -1):
         deeper = levels[k + 1].where(not_least).select(*_PLACE)
-        mine = levels[k].where(not_least).join(deeper, list(_PLACE), "left_anti").select(*_PLACE, F.lit(1 << k).alias("depth"), "a", "b", F.lit(True).alias("own"), "least")
+        mine = levels[k].where(not_least).join(deeper, list(_PLACE), "left_anti").select(*_PLACE, F.col("size").alias("depth"), "a", "b", F.lit(True).alias("own"), "least")
         leaders = mine.select("least.*", "depth", "a", "b", "least").distinct().withColumn("own", F.lit(False))
         fresh = mine.unionByName(leaders)
         asked = fresh if asked is None else asked.unionByName(fresh)
         if k:
-            asked = C.written(_deeper(asked, levels[k - 1], 1 << k - 1, hot_from))
-    found = alone.limit(0).select(*_PLACE, F.lit(0).alias("n"), _place().alias("source")) if asked is None else asked.where("own").select(*_PLACE, F.col("depth").alias("n"), F.col("least").alias("source"))
-    return found.join(alone, list(_PLACE))
+            asked = C.written(_deeper(asked, levels[k - 1], hot_from))
+    if asked is None:
+        return alone.limit(0).select(*_PLACE, F.lit(0).alias("n"), _place().alias("source"), "alone")
+    return asked.where("own").select(*_PLACE, F.col("depth").alias("n"), F.col("least").alias("source")).join(alone, list(_PLACE))
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
