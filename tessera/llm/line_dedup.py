@@ -37,6 +37,7 @@ MIN_WORDS = 10
 CHARS_PER_WORD = 3
 #: White space by code points, as engines differ in what they count to it; a word is a run of anything else.
 SPACES = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+LATIN_SPACES = r"\x{09}\x{0A}\x{0B}\x{0C}\x{0D}\x{20}\x{85}\x{A0}"
 WORD = f"[^{SPACES}]+"
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 
@@ -115,7 +116,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def counts_alone(line: Column, min_words: int) -> Column:
     """Whether a line has `min_words` words, or so many characters of scripts written without spaces."""
-    words = F.regexp_like(line, F.lit(f"(?:[^{SPACES}]++[{SPACES}]++){{{min_words - 1}}}[^{SPACES}]"))
+    several = lambda spaces: F.regexp_like(line, F.lit(f"(?:[^{spaces}]++[{spaces}]++){{{min_words - 1}}}[^{spaces}]"))
+    # Most lines have no other white space than Latin-1's, which Java tells apart by a bitmap.
+    words = F.when(F.regexp_like(line, F.lit(r"[^\x{00}-\x{FF}]")), several(SPACES)).otherwise(several(LATIN_SPACES))
     unspaced = UNSPACED.replace("p{", "p{Is")
     signs = F.regexp_like(line, F.lit(f"(?:{unspaced.replace('[', '[^', 1)}*+{unspaced}){{{CHARS_PER_WORD * min_words}}}"))
     # Those scripts' characters take three bytes or more, and telling scripts apart takes long.
