@@ -1,21 +1,22 @@
 """Substring dedup: repeated word sequences found in prefix-partitioned suffix trees.
 
 Every window of `min_words` words holds a *sample point*: the smallest-hashed run of ANCHOR words in it. Equal
-windows have equal sample points, so a suffix tree over the suffixes at sample points (with the words that lead up
-to them) holds every repeat of `min_words` or more. The suffixes are split into groups by a variable-length prefix:
+windows have equal sample points, so suffix trees over the suffixes at sample points (with the words that lead up
+to them) hold every repeat of `min_words` or more. The suffixes are split into groups by a prefix of variable length: ANCHOR words first, and where more than
+`group_segments` suffixes share a prefix, those are sampled anew with PREFIX_STEP words more, until a group fits or the prefix is a whole window.
 
-* a prefix of ANCHOR words where at most `group_segments` suffixes share it: the suffixes go to one task each with the
-  stretch of text whose windows belong to them, and the task builds the subtree over all the word positions of those
-  stretches, to the depth `min_words` (ranks of 1, 2, 4 .. words by doubling). Internal nodes that deep
-  are the repeats; of the leaves under one, all but the earliest are later copies;
-* a prefix of the full `min_words` words where more share it: then a node is one prefix, which an aggregation with
-  map-side combining resolves, so that a passage found in a third of all documents never meets in one task.
+* A group that fits goes to one task, with the stretches of text whose windows belong to it. The task builds the subtree as suffix array and
+  longest common prefixes (ranks of 1, 2, 4 .. words by doubling until all are unique, then common lengths by halving). Intervals of
+  the array with a common prefix of `min_words` or more are the internal nodes that deep; of the leaves under one, all but the earliest, its leader, are
+  later copies. Neighbouring leaves of one document whose leaders are neighbours too continue one repeat.
+* A prefix of a whole window that still has too many suffixes is itself such a node: an aggregation with map-side combining finds its leader,
+  so that a passage found in a third of all documents never meets in one task.
 
-A prefix that occurs once can hold no repeat and is dropped before any text moves.
+Stretches that continue each other are put together per document to the maximal repeats. A prefix that occurs once can hold no repeat and is dropped before any text moves.
 
 Defined cases: null or empty text has no words, so nothing is removed (kept text '' for null). Rows without a doc_id
 are returned unchanged and are no earlier copy of anything. Rows that repeat a doc_id are judged as that
-document: they get the same spans, and are no earlier copies of each other. Documents shorter than `min_words` stay whole.
+document: they get the same spans, and are no earlier copies of each other. Documents shorter than `min_words` stay whole. An empty table gives an empty result.
 Only doc_id and text are read; other columns, whatever their names, are ignored.
 """
 
@@ -34,20 +35,25 @@ from . import _common as C
 MIN_WORDS = 20
 #: Words of a sample point. Every window of MIN_WORDS words holds MIN_WORDS - ANCHOR + 1 candidates.
 ANCHOR = 8
+#: Words by which the prefix of a group that does not fit is lengthened.
+PREFIX_STEP = 4
 #: Segments of a group up to which a task builds the subtree itself (about 200 bytes each).
-GROUP_SEGMENTS = 50_000
+GROUP_SEGMENTS = 8_000
 
 _ANCHORS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("seen", pa.int32())])
 _SEGMENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("window", pa.binary())])
-_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-_REPORT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, removed array<struct<start:int,n:int>>"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("of_doc", pa.int64()), ("of_start", pa.int32())])
+_SPAN_COLUMNS = "doc_id long, start int, n int, of_doc long, of_start int"
+_REPORT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, removed array<struct<start:int,n:int>>, repeats array<struct<start:int,n:int,of_doc:bigint,of_start:int>>"
 
 
 def _sample_points(min_words: int, anchor: int):
+    """Rows (doc_id, text) or (doc_id, text, stretches): each sample point with the run of windows it stands for; of windows in the stretches only, where given."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, _, data, offsets in C.text_chunks(batch.column(1)):
+            for row, end, data, offsets in C.text_chunks(batch.column(1)):
                 codes, rows = C.word_hashes(data, offsets)
                 if len(codes) < min_words:
                     continue
@@ -55,11 +61,25 @@ def _sample_points(min_words: int, anchor: int):
                 width = min_words - anchor + 1
                 least = C.sliding_min(grams, width)
                 own = rows[: len(least)] == rows[min_words - 1 :]
+                run_of = np.zeros(len(least), np.int64)
+                if batch.num_columns > 2:
+                    heads = np.searchsorted(rows, np.arange(end - row))
+                    marks = np.zeros(len(least) + 1, np.int64)
+                    number = 0
+                    for i, stretches in enumerate(batch.column(2).slice(row, end - row).to_pylist()):
+                        for x in stretches:
+                            s, e = int(heads[i]) + x["start"], min(int(heads[i]) + x["start"] + x["n"], len(least))
+                            if s < e:
+                                number += 1
+                                marks[s] += number
+                                marks[e] -= number
+                    run_of = np.cumsum(marks)[:-1]
+                    own &= run_of > 0
                 at = np.flatnonzero(own)
                 if not len(at):
                     continue
-                keys, docs = least[at], rows[at]
-                first = np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]
+                keys, docs, runs = least[at], rows[at], run_of[at]
+                first = np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (runs[1:] != runs[:-1])]
                 begin = np.flatnonzero(first)
                 n = np.diff(np.r_[begin, len(at)])
                 # Periodic stretches can repeat a window within one run: a gram that recurs nearby counts twice.
@@ -111,77 +131,114 @@ def _cut_segments(min_words: int, hot: bool):
     return run
 
 
-def subtree_nodes(codes: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The node at `depth` words below the root that each position of `starts` hangs under; -1 where it hangs alone.
+def suffix_array(codes: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): the given suffixes in order, and how many words each has in common with the one before it (0 for the first).
 
-    Ranks of prefixes of 1, 2, 4 .. words by doubling; the remainder is joined from ranks already known. Position
-    i is the suffix codes[i:], and every suffix asked for has `depth` words at least.
+    codes holds segments end to end, between bounds; a suffix ends with its segment. Ranks of prefixes of 1, 2, 4 .. words are made by doubling
+    until one covers the longest segment. Then lengths in common are found by going down through the ranks.
     """
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64)
-    parts, reach, node, done = {1: rank}, 1, None, 0
-    while reach * 2 <= depth:
-        pair = np.full(len(codes), -1, np.int64)
-        pair[: len(codes) - reach] = rank[: len(codes) - reach] * (rank.max() + 1) + rank[reach:]
-        _, rank = np.unique(pair, return_inverse=True)
+    sizes = np.diff(bounds)
+    segment = np.repeat(np.arange(len(sizes)), sizes + 1)
+    # A mark of its own ends each segment, so that no two suffixes are equal or match beyond an end.
+    marked = np.full(len(codes) + len(sizes), -1, np.int64)
+    ends = bounds[1:] + np.arange(len(sizes))
+    is_end = np.zeros(len(marked), bool)
+    is_end[ends] = True
+    marked[~is_end] = codes
+    marked[is_end] = (codes.max() + 1 if len(codes) else 0) + np.arange(len(sizes))
+    starts = starts + segment_of(bounds, starts)
+    ranks = [np.unique(marked, return_inverse=True)[1].astype(np.int64)]
+    reach, longest = 1, int(sizes.max()) + 1 if len(sizes) else 1
+    while reach < longest:
+        last = ranks[-1]
+        pair = last * (int(last.max()) + 2)
+        pair[: len(pair) - reach] += last[reach:] + 1
+        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
         reach *= 2
-        parts[reach] = rank
-    for size in sorted(parts, reverse=True):
-        if done + size <= depth:
-            own = parts[size][starts + done]
-            node = own if node is None else np.unique(node * (parts[size].max() + 1) + own, return_inverse=True)[1]
-            done += size
-    _, node, count = np.unique(node, return_inverse=True, return_counts=True)
-    return np.where(count[node] > 1, node, -1)
+    order = np.argsort(ranks[-1][starts], kind="stable")
+    placed = starts[order]
+    lcp = np.zeros(len(starts), np.int64)
+    if len(starts) > 1:
+        a, b, common = placed[:-1], placed[1:], np.zeros(len(starts) - 1, np.int64)
+        last = len(marked) - 1
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = a + common, b + common
+            same = (x <= last) & (y <= last) & (ranks[k][np.minimum(x, last)] == ranks[k][np.minimum(y, last)])
+            common += same << k
+        lcp[1:] = common
+    return order, lcp
+
+
+def segment_of(bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.searchsorted(bounds, places, "right") - 1
 
 
 def _later_copies(min_words: int):
-    """Whole groups (key, doc_id, start, words), sorted by key: one row for each stretch of windows that repeat earlier ones."""
+    """Whole groups (key, doc_id, start, words), sorted by key: one row for each stretch of later copies that continues one earlier place."""
 
-    def flush(keys, docs, starts, texts):
+    def flush(docs, starts, texts):
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         codes = split.values.dictionary_encode().indices.to_numpy().astype(np.int64)
-        bounds = split.offsets.to_numpy()
+        bounds = split.offsets.to_numpy().astype(np.int64)
         n = np.diff(bounds) - min_words + 1
         segment = np.repeat(np.arange(len(n)), n)
         within = C.spread(n)
-        at = bounds[:-1][segment] + within
-        node = subtree_nodes(codes, at, min_words)
-        doc, pos, key = np.asarray(docs, np.int64)[segment], np.asarray(starts, np.int64)[segment] + within, np.asarray(keys, np.int64)[segment]
-        deep = np.flatnonzero(node >= 0)
-        order = deep[np.lexsort((pos[deep], doc[deep], node[deep], key[deep]))]
-        if not len(order):
+        order, lcp = suffix_array(codes, bounds, bounds[:-1][segment] + within)
+        doc, pos = np.asarray(docs, np.int64)[segment], np.asarray(starts, np.int64)[segment] + within
+        # An interval of the array whose neighbours have min_words in common is an internal node that deep.
+        node = np.cumsum(lcp < min_words)
+        deep = np.bincount(node)[node] > 1
+        leaves, node = order[deep], node[deep]
+        if not len(leaves):
             return None
-        same = np.r_[False, (node[order][1:] == node[order][:-1]) & (key[order][1:] == key[order][:-1])]
+        by_node = np.lexsort((pos[leaves], doc[leaves], node))
+        leaves, node = leaves[by_node], node[by_node]
+        lead = np.maximum.accumulate(np.where(np.r_[True, node[1:] != node[:-1]], np.arange(len(leaves)), 0))
+        leader = leaves[lead]
         # A repeated row is the same place as its twin, not a later one.
-        lead = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-        later = same & ((doc[order] != doc[order][lead]) | (pos[order] != pos[order][lead]))
-        hit = order[later]
+        later = (doc[leaves] != doc[leader]) | (pos[leaves] != pos[leader])
+        hit, leader = leaves[later], leader[later]
         if not len(hit):
             return None
-        hit = hit[np.lexsort((pos[hit], doc[hit]))]
-        first = np.r_[True, (doc[hit][1:] != doc[hit][:-1]) | (pos[hit][1:] > pos[hit][:-1] + 1)]
-        begin = np.flatnonzero(first)
+        sort = np.lexsort((pos[hit], doc[hit]))
+        hit, leader = hit[sort], leader[sort]
+        d, p, of_doc, of_pos = doc[hit], pos[hit], doc[leader], pos[leader]
+        # A place that a repeated row names twice is no break.
+        onward = (d[1:] == d[:-1]) & (p[1:] - p[:-1] <= 1) & (of_doc[1:] == of_doc[:-1]) & (of_pos[1:] - of_pos[:-1] == p[1:] - p[:-1])
+        begin = np.flatnonzero(np.r_[True, ~onward])
         last = np.r_[begin[1:], len(hit)] - 1
-        return C.batch_of(_SPANS, [pa.array(doc[hit][begin]), pa.array(pos[hit][begin].astype(np.int32)), pa.array((pos[hit][last] - pos[hit][begin] + min_words).astype(np.int32))])
+        return C.batch_of(_SPANS, [pa.array(d[begin]), pa.array(p[begin].astype(np.int32)), pa.array((p[last] - p[begin] + min_words).astype(np.int32)), pa.array(of_doc[begin]), pa.array(of_pos[begin].astype(np.int32))])
 
     def run(batches):
-        keys, docs, starts, texts = [], [], [], []
+        last, docs, starts, texts = None, [], [], []
         size = 0
         for batch in batches:
             for k, d, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size > C.CHUNK_BYTES and k != keys[-1]:
-                    if (out := flush(keys, docs, starts, texts)) is not None:
+                if size > C.CHUNK_BYTES and k != last:
+                    if (out := flush(docs, starts, texts)) is not None:
                         yield out
-                    keys, docs, starts, texts, size = [], [], [], [], 0
-                keys.append(k), docs.append(d), starts.append(s), texts.append(t)
+                    docs, starts, texts, size = [], [], [], 0
+                last = k
+                docs.append(d), starts.append(s), texts.append(t)
                 size += len(t)
-        if keys and (out := flush(keys, docs, starts, texts)) is not None:
+        if docs and (out := flush(docs, starts, texts)) is not None:
             yield out
 
     return run
 
 
+def _joined(spans: list[dict]) -> list[dict]:
+    """Spans (start, n, of_doc, of_start), those that continue one earlier place put together."""
+    out: list[dict] = []
+    for x in sorted(spans, key=lambda x: (x["of_doc"], x["of_start"] - x["start"], x["start"])):
+        y = out[-1] if out else None
+        if y and y["of_doc"] == x["of_doc"] and y["of_start"] - y["start"] == x["of_start"] - x["start"] and x["start"] <= y["start"] + y["n"]:
+            y["n"] = max(y["n"], x["start"] + x["n"] - y["start"])
+        else:
+            out.append(dict(x))
+    return sorted(out, key=lambda x: (x["start"], x["of_doc"], x["of_start"]))
+
+
 def _apply(batches):
     import pandas as pd
 
@@ -203,8 +260,9 @@ def _apply(batches):
                 at = e
             kept += words[at:]
             joined = " ".join(kept)
-            out.append((doc, len(words), gone, joined, hashlib.sha256(joined.encode()).hexdigest(), [{"start": s, "n": min(e, len(words)) - s} for s, e in merged]))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "removed"])
+            repeats = _joined([x for x in spans if x["start"] < len(words)]) if spans is not None else []
+            out.append((doc, len(words), gone, joined, hashlib.sha256(joined.encode()).hexdigest(), [{"start": s, "n": min(e, len(words)) - s} for s, e in merged], repeats))
+        frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "removed", "repeats"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         yield frame
 
@@ -219,32 +277,49 @@ def _exchanged(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
-    """(doc_id, start, n): word spans made of windows whose words also start earlier. Spans of a document may overlap."""
+    """(doc_id, start, n, of_doc, of_start): stretches of words made of windows that also start earlier, and where. Spans of a document may overlap."""
     anchor = min(ANCHOR, max(1, min_words // 2))
-    own = _keyed(docs).where("doc_id is not null")
-    points = own.mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int")
-    shared = points.groupBy("key").agg(F.sum("seen").alias("total")).where("total > 1").select("key", (F.col("total") > group_segments).alias("hot"))
-    shared = C.checkpoint(shared)
-
-    def cut(hot: bool) -> DataFrame:
-        mine = points.drop("seen").join(shared.where("hot" if hot else "not hot").select("key"), "key")
-        by_doc = mine.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("points"))
+    points = _keyed(docs).where("doc_id is not null").mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int")
+    fits = None
+    while True:
+        shared = points.groupBy("key").agg(F.sum("seen").alias("total")).where("total > 1").select("key", (F.col("total") > group_segments).alias("hot"))
+        shared = C.checkpoint(shared)
+        own = points.drop("seen").join(shared.where("not hot").select("key"), "key")
+        fits = own if fits is None else fits.unionAll(own)
+        large = shared.where("hot")
+        if large.isEmpty():
+            large = None
+            break
+        large = C.checkpoint(points.drop("seen").join(large.select("key"), "key"))
+        if anchor == min_words:
+            break
+        # What did not fit is sampled anew by longer prefixes.
+        anchor = min(min_words, anchor + PREFIX_STEP)
+        stretches = large.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("stretches"))
+        again = _exchanged(docs).join(stretches, F.col("doc") == F.col("doc_id")).select("doc", "body", "stretches")
+        points = again.mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int")
+
+    def cut(mine: DataFrame, hot: bool) -> DataFrame:
+        by_doc = mine.groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "n")).alias("points"))
         return _exchanged(docs).join(by_doc, F.col("doc") == F.col("doc_id")).select("doc", "body", "points").mapInArrow(_cut_segments(min_words, hot), "key long, doc_id long, start int, words string, window binary")
 
-    cold = cut(False).select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
-    spans = cold.mapInArrow(_later_copies(min_words), "doc_id long, start int, n int")
-    if shared.where("hot").isEmpty():
+    groups = cut(fits, False).select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
+    spans = groups.mapInArrow(_later_copies(min_words), _SPAN_COLUMNS)
+    if large is None:
         return spans
     # Made twice over, but in one plan with the rest, so that all read one exchange of the texts.
-    windows = cut(True).select("window", "doc_id", "start")
+    windows = cut(large, True).select("window", "doc_id", "start")
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    hot = windows.join(earliest, "window").where("doc_id != least.doc_id or start != least.start").select("doc_id", "start", F.lit(min_words).alias("n"))
+    hot = windows.join(earliest, "window").where("doc_id != least.doc_id or start != least.start").select("doc_id", "start", F.lit(min_words).alias("n"), F.col("least.doc_id").alias("of_doc"), F.col("least.start").alias("of_start"))
     return spans.unionAll(hot)
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256, removed spans."""
-    spans = repeated_spans(docs, min_words, group_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    """Per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256, removed spans, repeats.
+
+    repeats: the maximal repeats, start and n words, and where (of_doc, of_start) the earliest copy of their windows stands.
+    """
+    spans = repeated_spans(docs, min_words, group_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "of_doc", "of_start")).alias("spans"))
     own = _keyed(docs)
     judged = _exchanged(docs).join(spans, F.col("doc") == F.col("doc_id"), "left").select(F.col("doc").alias("doc_id"), F.col("body").alias("text"), "spans")
     # Rows without an id keep apart, so that every join above reads one and the same exchange of the texts.

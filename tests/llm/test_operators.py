@@ -77,6 +77,34 @@ def test_substrings_of_random_texts(spark):
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in got} == want
 
 
+def test_suffix_array_and_common_prefixes():
+    r = random.Random(2)
+    for _ in range(30):
+        segments = [[r.randrange(3) for _ in range(r.randint(1, 40))] for _ in range(r.randint(1, 6))]
+        bounds = np.cumsum([0, *map(len, segments)])
+        codes = np.array([x for s in segments for x in s])
+        starts = np.array([bounds[i] + k for i, s in enumerate(segments) for k in range(len(s))])
+        suffix = lambda at: tuple(codes[at : bounds[substring_dedup.segment_of(bounds, np.array([at]))[0] + 1]])
+        order, lcp = substring_dedup.suffix_array(codes, bounds, starts)
+        got = [suffix(starts[i]) for i in order]
+        for x, y, n in zip(got, got[1:], lcp[1:]):
+            common = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+            # A segment's end comes after all words.
+            assert n == common and (x[common : common + 1] or (9,)) <= (y[common : common + 1] or (9,))
+
+
+def test_a_passage_of_500_words_is_one_maximal_repeat(spark):
+    passage = _words(500, 77, 5000)
+    rows = [(1, f"{_words(40, 78)} {passage} {_words(30, 79)}"), (2, f"{_words(15, 80)} {passage}"), (3, _words(100, 81)), (4, " ".join(passage.split(" ")[100:300]))]
+    for limit in (8_000, 1):
+        got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 20, limit).collect()}
+        assert got == {1: [], 2: [(15, 500, 1, 40)], 3: [], 4: [(0, 200, 1, 140)]}
+
+
+def test_substrings_of_an_empty_table(spark, empty):
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
 def test_tiff_forms_round_trip():
     a = np.random.default_rng(0).integers(0, 4, (40, 50, 3), dtype=np.uint8)
     for compression, predictor, tile in itertools.product((1, 5, 8, 32773), (1, 2), (None, (16, 32))):
