@@ -3,13 +3,13 @@
 Every window of `min_words` words holds a *sample point*: the smallest-hashed run of ANCHOR words in it. Equal
 windows have equal sample points, so suffix trees over the suffixes at sample points (with the words that lead up
 to them) hold every repeat of `min_words` or more. The suffixes are split into groups by a prefix of variable length: ANCHOR words first, and where more than
-`group_segments` suffixes share a prefix, those are sampled anew with PREFIX_STEP words more, until a group fits or the prefix is a whole window.
+`group_segments` suffixes share a prefix, those are sampled anew with PREFIX_STEP words more, until a group fits or the prefix would be a whole window.
 
 * A group that fits goes to one task, with the stretches of text whose windows belong to it. The task builds the subtree as suffix array and
   longest common prefixes (ranks of 1, 2, 4 .. words by doubling until all are unique, then common lengths by halving). Intervals of
   the array with a common prefix of `min_words` or more are the internal nodes that deep; of the leaves under one, all but the earliest, its leader, are
   later copies. Neighbouring leaves of one document whose leaders are neighbours too continue one repeat.
-* A prefix of a whole window that still has too many suffixes is itself such a node: an aggregation with map-side combining finds its leader,
+* What does not fit by then is grouped by whole windows. Each is itself such a node, whose leader an aggregation with map-side combining finds,
   so that a passage found in a third of all documents never meets in one task.
 
 Stretches that continue each other are put together per document to the maximal repeats. A prefix that occurs once can hold no repeat and is dropped before any text moves.
@@ -36,9 +36,9 @@ MIN_WORDS = 20
 #: Words of a sample point. Every window of MIN_WORDS words holds MIN_WORDS - ANCHOR + 1 candidates.
 ANCHOR = 8
 #: Words by which the prefix of a group that does not fit is lengthened.
-PREFIX_STEP = 4
+PREFIX_STEP = 6
 #: Segments of a group up to which a task builds the subtree itself (about 200 bytes each).
-GROUP_SEGMENTS = 8_000
+GROUP_SEGMENTS = 50_000
 
 _ANCHORS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("seen", pa.int32())])
 _SEGMENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("window", pa.binary())])
@@ -291,13 +291,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments:
             large = None
             break
         large = C.checkpoint(points.drop("seen").join(large.select("key"), "key"))
-        if anchor == min_words:
+        anchor += PREFIX_STEP
+        if anchor >= min_words:
             break
         # What did not fit is sampled anew by longer prefixes.
-        anchor = min(min_words, anchor + PREFIX_STEP)
         stretches = large.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("stretches"))
         again = _exchanged(docs).join(stretches, F.col("doc") == F.col("doc_id")).select("doc", "body", "stretches")
-        points = again.mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int")
+        points = C.checkpoint(again.mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int"))
 
     def cut(mine: DataFrame, hot: bool) -> DataFrame:
         by_doc = mine.groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "n")).alias("points"))
