@@ -6,7 +6,7 @@ goes with it, and the one through which the query stores payloads. Both work on
 either byte order.
 
 Defined cases: a null or unreadable image gives one row with page -1 and the reason in `error`; a directory that
-points back to one already seen ends the walk with an error row; an image without pages gives no further row. Null
+points back to one already seen ends the walk with an error row, as does a page larger than the file can hold; an image without pages gives no further row. Null
 text is stored as the empty payload, padded to one row of 576 bytes of value 255. Equal texts give equal bytes.
 Everything is a narrow map over rows: no shuffle, and a task holds one Arrow batch of images at a time.
 """
@@ -29,6 +29,8 @@ WIDTH = 576
 # Fixed values of the TIFF 6.0 format.
 STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: No codec here makes more of a byte than this; a page that claims more is not in the file.
+LARGEST_RATIO = 4096
 _T = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "rows_per_strip": 278, "strip_counts": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_counts": 325}
 
 
@@ -101,7 +103,9 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(np.concatenate(parts)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """The decoded bytes; decoding ends with the table in which `size` is reached."""
+    got = 0
     bits = np.unpackbits(np.frombuffer(data, np.uint8))
     at, out = 9, []  # past the first clear code
     single = [bytes((i,)) for i in range(256)] + [b"", b""]
@@ -122,8 +126,9 @@ def lzw_decode(data: bytes) -> bytes:
             if last:
                 words.append(last + word[:1])
             out.append(word)
+            got += len(word)
             last = word
-        if codes[stop[0]] == 257:
+        if codes[stop[0]] == 257 or size is not None and got >= size:
             return b"".join(out)
         at += int(_LZW_ENDS[stop[0] + 1])
 
@@ -152,9 +157,9 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == PACKBITS:
         return packbits_decode(data, size)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     raise ValueError(f"compression {compression} is not known")
 
 
@@ -229,9 +234,13 @@ def read_pages(blob: bytes) -> Iterator[np.ndarray]:
         if bits not in (8, 16) or one("planar", 1) != 1 and samples > 1:
             raise ValueError("only interleaved samples of 8 or 16 bits are read")
         dtype = np.dtype(f"{order}u{bits // 8}")
+        if width * height * samples * dtype.itemsize > LARGEST_RATIO * len(blob):
+            raise ValueError("a page is larger than the file can hold")
         tiled = _T["tile_offsets"] in tags
         bw, bh = (one("tile_width"), one("tile_height")) if tiled else (width, min(height, one("rows_per_strip", height)))
         across = -(-width // bw)
+        if bw > width + 4096 or bh > height + 4096:
+            raise ValueError("a tile is larger than its page")
         page = np.zeros((-(-height // bh) * bh, across * bw, samples), dtype)
         places = zip(tags[_T["tile_offsets" if tiled else "strip_offsets"]], tags[_T["tile_counts" if tiled else "strip_counts"]])
         for k, (start, length) in enumerate(places):
@@ -286,7 +295,7 @@ def decode_pages(df: DataFrame, key: str, image: str) -> DataFrame:
                     for i, page in enumerate(read_pages(blob)):
                         native = page.astype(page.dtype.newbyteorder("="))
                         add(k, i, page.shape[1], page.shape[0], page.shape[2], native.tobytes(), features(native if native.dtype == np.uint8 else (native >> 8).astype(np.uint8)), None)
-                except (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                     add(k, -1, None, None, None, None, None, str(e) or type(e).__name__)
             types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
@@ -294,20 +303,23 @@ def decode_pages(df: DataFrame, key: str, image: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(run, f"key {kind}, {_PAGES}")
 
 
+#: Rows of a page; a longer payload has more pages.
+PAGE_ROWS = 1024
+
+
 def text_image(payload: bytes) -> bytes:
-    """The TIFF that stores a payload of a positive multiple of WIDTH bytes; the form depends on its size alone.
+    """The TIFF that stores a payload of a positive multiple of WIDTH bytes, on as many pages as it needs.
 
-    Pages of up to two rows are packed with PackBits, up to six with LZW, up to 48 with deflate in tiles, larger ones
-    with deflate in strips after horizontal differencing.
+    Its checksum chooses the form: PackBits in strips, LZW or deflate in strips after horizontal differencing, or deflate in tiles.
     """
-    page = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    if len(page) <= 2:
-        return encode_tiff([page], PACKBITS)
-    if len(page) <= 6:
-        return encode_tiff([page], LZW)
-    if len(page) <= 48:
-        return encode_tiff([page], DEFLATE, tile=(16, 192))
-    return encode_tiff([page], DEFLATE, predictor=2)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+    form = zlib.crc32(payload) % 4
+    if form == 0:
+        return encode_tiff(pages, PACKBITS)
+    if form == 1:
+        return encode_tiff(pages, LZW, predictor=2)
+    return encode_tiff(pages, DEFLATE, tile=(16, 192)) if form == 2 else encode_tiff(pages, DEFLATE, predictor=2)
 
 
 def images_of_texts(docs: DataFrame) -> DataFrame:
@@ -325,11 +337,42 @@ def images_of_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, image binary")
 
 
+def payloads(decoded: DataFrame) -> DataFrame:
+    """(key, n_pages, payload, feature, error) of decode_pages: the samples of each image's pages end to end, and the features of the whole.
+
+    Pages of an image follow each other in their partition, as they were decoded, so nothing moves.
+    """
+    kind = decoded.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        key_type, held = None, []
+
+        def whole():
+            rows = [held[0]["key"], len(held), b"".join(x["samples"] or b"" for x in held), next((x["error"] for x in held if x["error"]), None)]
+            feature = features(np.frombuffer(rows[2], np.uint8)) if rows[2] else None
+            held.clear()
+            values = [rows[0], rows[1], rows[2], feature, rows[3]]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [key_type, pa.int32(), pa.binary(), pa.string(), pa.string()])], names=["key", "n_pages", "payload", "feature", "error"])
+
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("key", "page", "samples", "error")}
+                # An error row ends its image; a first page, or a failure before it, begins one.
+                if held and (row["page"] == 0 or held[-1]["page"] < 0 or row["key"] != held[0]["key"]):
+                    yield whole()
+                held.append(row)
+        if held:
+            yield whole()
+
+    return decoded.select("key", "page", "samples", "error").mapInArrow(run, f"key {kind}, n_pages int, payload binary, feature string, error string")
+
+
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = images_of_texts(C.table(spark, sf_dir, "documents")).withColumn("stored", F.struct("doc_id", "n_bytes", F.octet_length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256")))
-    pages = decode_pages(stored, "stored", "image")
-    tail = F.crc32(F.substring("samples", -32, 32))
-    return pages.select(
-        "key.doc_id", "key.n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
-        tail.alias("tail_crc32"), "key.media_bytes", "key.media_sha256", "feature", "page", "error",
+    read = payloads(decode_pages(stored, "stored", "image"))
+    tail = F.crc32(F.substring("payload", -32, 32))
+    return read.select(
+        "key.doc_id", "key.n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        tail.alias("tail_crc32"), "key.media_bytes", "key.media_sha256", "feature", "n_pages", "error",
     )
