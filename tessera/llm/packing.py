@@ -224,16 +224,17 @@ def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np
 
 
 def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ids_crc32, ..). pieces should be cheap to read again."""
+    """Add sequence_id and offset to pieces (length, ..). They are written out once, with a number each, so that equal ones are spread out as well."""
+    pieces = C.checkpoint(pieces.withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(slack_plan(histogram, max_tokens))
     # Rows of a bucket and buckets of a length both stay near the root of the row count.
     buckets = max(1, math.ceil(math.sqrt(sum(histogram.values())) / 8))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("rank", F.row_number().over(within)).join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("rank") - 1).drop("bucket", "first")
+    within = Window.partitionBy("length", "bucket").orderBy("_row")
+    ranked = keyed.withColumn("rank", F.row_number().over(within)).join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("rank") - 1).drop("bucket", "first", "_row")
 
     def put(batches):
         for batch in batches:
@@ -255,8 +256,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = C.checkpoint(token_pieces(docs, tokenizer, max_tokens, end_id))
-    return pack_pieces(pieces, max_tokens).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_pieces(token_pieces(docs, tokenizer, max_tokens, end_id), max_tokens).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
