@@ -2,7 +2,7 @@
 
 A text is lower-cased, runs of ASCII characters other than letters become spaces, and its byte n-grams are hashed into
 `BUCKETS` rows of an embedding table; their average goes through a linear softmax. The model is fitted on at most
-`TRAIN_ROWS` labelled documents, chosen by a hash of doc_id, half of them in proportion to the languages and half in equal parts, so that rare languages are
+`TRAIN_ROWS` labelled documents, those of least hash of doc_id, half of them in proportion to the languages and half in equal parts, so that rare languages are
 learned too; their n-gram counts (at most `BUCKETS` each) meet in one task. A fifth of each language's is held
 back to fit the temperature and the rejection threshold: the score below which no more than `REJECT_QUANTILE` of rightly labelled
 documents fall. Scoring runs over whole texts; since embedding and softmax are linear before the
@@ -59,15 +59,15 @@ def _grams(texts: list[str | None]):
 
 
 def _counts(batches):
-    """(lang, doc_id, buckets, weights) of each row."""
+    """(lang, doc_id, place, text_hash, buckets, weights) of each row."""
     for batch in batches:
-        langs, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+        langs, ids, places, hashes, texts = (batch.column(i).to_pylist() for i in range(5))
         buckets, weights = [], []
         for text in texts:
             for _, _, _, sizes in _grams([text]):
                 b, n = np.unique(np.concatenate(sizes), return_counts=True)
                 buckets.append(b.astype(np.int32)), weights.append((n / n.sum()).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.int64()), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["lang", "doc_id", "buckets", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["lang", "doc_id", "place", "text_hash", "buckets", "weights"])
 
 
 class LanguageModel:
@@ -158,16 +158,21 @@ def _sample(labelled: DataFrame, rows: int) -> DataFrame:
     sizes = labelled.groupBy("lang").count().collect()  # one row per class of the model
     n = sum(r["count"] for r in sizes)
     shares = [(r["lang"], min(1.0, rows / 2 * (1 / n + 1 / len(sizes) / r["count"]))) for r in sizes]
-    drawn = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
-    return labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, _share double")), "lang").where(drawn).select("lang", "doc_id", "text")
+    place = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30))
+    shared = labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, _share double")), "lang")  # a row per class
+    return shared.withColumn("place", place).where(F.col("place") < F.col("_share") * (1 << 30)).select("lang", "doc_id", "place", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """Train on a bounded sample of documents with a label, those with crc32(doc_id as text) mod 4 = 2 apart."""
+    """Train on a bounded sample of documents with a label, those with crc32(doc_id as text) mod 4 = 2 apart. Null where there is none.
+
+    The rows of least hash are taken, in a fixed order, so the same table gives the same model however it is partitioned.
+    """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2").select("lang", "doc_id", "text")
-    drawn = _sample(labelled, rows).mapInArrow(_counts, "lang string, doc_id long, buckets array<int>, weights array<float>").limit(rows + rows // 20)
+    drawn = _sample(labelled, rows).orderBy("place", "doc_id", "text_hash", "lang").limit(rows + rows // 20)
+    counted = drawn.mapInArrow(_counts, "lang string, doc_id long, place long, text_hash long, buckets array<int>, weights array<float>")
     # The sample meets in one task, which hands back the folded table alone; the driver holds no training rows.
-    got = drawn.repartition(1).mapInArrow(_trained, "labels array<string>, table binary, bias binary, temperature double, threshold double").first()
+    got = counted.repartition(1).mapInArrow(_trained, "labels array<string>, table binary, bias binary, temperature double, threshold double").first()
     if got is None:
         return None
     table = np.frombuffer(got["table"], np.float32).reshape(len(got["labels"]), BUCKETS)
@@ -175,8 +180,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
 
 
 def _trained(batches):
-    found = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("buckets", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))]))
-    found = found.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    found = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("text_hash", pa.int64()), ("buckets", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))]))
+    found = found.sort_by([(c, "ascending") for c in ("place", "doc_id", "text_hash", "lang")])
     buckets, weights = (found.column(c).combine_chunks() for c in ("buckets", "weights"))
     numbers = [(a.values.to_numpy(), a.offsets.to_numpy()) for a in (buckets, weights)]
     model = train([(lang, *(x[o[i] : o[i + 1]] for x, o in numbers)) for i, lang in enumerate(found.column("lang").to_pylist())])
@@ -184,9 +189,9 @@ def _trained(batches):
         yield pa.RecordBatch.from_arrays([pa.array([model.labels]), pa.array([model.table.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary()), pa.array([model.temperature]), pa.array([model.threshold])], names=["labels", "table", "bias", "temperature", "threshold"])
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred, score (calibrated probability) and rejected. Columns of docs of these names are replaced."""
-    kept = docs.drop("lang_pred", "score", "rejected")
+def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with the predicted language, its score (calibrated probability) and whether it is rejected. Columns of docs of these names are replaced."""
+    kept = docs.drop(*names)
 
     def run(batches):
         for batch in batches:
@@ -200,9 +205,9 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 out[some] = score[some] < model.threshold
                 for i, b in zip(some, best):
                     pred[i] = model.labels[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], names=[*batch.schema.names, *names])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
     return kept.mapInArrow(run, schema)
 
 
