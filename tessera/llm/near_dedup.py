@@ -14,7 +14,7 @@ components are compared, in pairs where they are few and otherwise by an inverte
 components, so that no link between different texts is lost. Verification counts the shared shingles of the whole texts.
 
 Defined cases: rows without text, or without any word, are classes of their own. A document of fewer than five words is one shingle. Rows without a
-doc_id get no class and stay. Rows that repeat a doc_id share its class. Extra columns are ignored by `near_classes` and kept by `keep_one`.
+doc_id get no class and stay. Rows that repeat a doc_id share its class, which is that of their text of least hash. Extra columns are ignored by `near_classes` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -238,8 +238,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = own.where("doc_id is not null").withColumn("d1", F.xxhash64(F.lit(1), "text")).withColumn("d2", F.xxhash64(F.lit(2), "text"))
     banded = C.checkpoint(keyed.mapInArrow(_banded, "doc_id long, d1 long, d2 long, n long, bands array<long>"))
+    own_text = banded.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("k")).select(F.col("doc_id").alias("id"), "k.d1", "k.d2")
     # One member for each different text; wordless rows stay apart.
-    distinct = banded.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("d1", "d2", "x.*")
+    standing = banded.join(own_text.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"])
+    distinct = standing.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("d1", "d2", "x.*")
     distinct = distinct.withColumnRenamed("doc_id", "id")
     members = distinct.select("id", "n", F.posexplode("bands").alias("band", "h"))
     held = members.groupBy("band", "h").agg(F.min(F.struct(F.xxhash64("id", "band").alias("z"), "id", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "h", "lead")
@@ -247,7 +249,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     fits = f"least(n, leader_n) >= {similarity} * greatest(n, leader_n) - 1e-9"
     stars = buckets.where("id != leader").where(fits).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("id").agg(F.max(F.struct("shared", F.xxhash64("leader").alias("z"), "leader")).alias("best")).select(F.col("best.leader").alias("leader"), F.col("id").alias("member"))
-    texts = own.where("doc_id is not null").join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    wanted = buckets.select("id").distinct().join(distinct.select("id", "d1", "d2"), "id").select(F.col("id").alias("doc_id"), "d1", "d2")
+    texts = keyed.join(wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
     # Both verifications read them: written once, or all texts would be shuffled for each.
     texts = C.checkpoint(texts)
     first = C.checkpoint(verify(_sized(best), texts, similarity))
@@ -268,10 +271,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     second = C.checkpoint(second)
     ends = components(first.unionAll(second)) if not second.isEmpty() else comps
     of_text = distinct.select("d1", "d2", "id").join(ends, distinct["id"] == ends["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("class_id"))
-    classed = banded.where("n > 0").select("doc_id", "n", "d1", "d2").join(of_text, ["d1", "d2"]).select("doc_id", "class_id", "n")
-    alone = banded.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n")
+    of_doc = own_text.join(of_text, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
+    classed = banded.select("doc_id", "n").join(of_doc, "doc_id").select("doc_id", "class_id", "n")
     nameless = own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n"))
-    return classed.unionAll(alone).unionAll(nameless).withColumnRenamed("n", "n_shingles")
+    return classed.unionAll(nameless).withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
