@@ -26,13 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. Where none is named, a local session gets one of its own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -170,12 +170,12 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return runs.unionByName(lone)
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text cut, and n_lines, n_removed, removed (runs of start, n lines, as far as they go). Columns of docs of these names are replaced."""
-    kept = docs.drop("n_lines", "n_removed", "removed")
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_removed", "removed")) -> DataFrame:
+    """docs with text cut, how many lines it had, how many are gone, and which (runs of start, n lines, as far as they go). Columns of docs of these names are replaced."""
+    kept = docs.drop(*names)
     runs = repeated_lines(docs, min_lines, min_words).groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash")).agg(F.collect_set(F.struct("pos", "n")).alias("_runs"))
     both = kept.join(runs, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_text_hash")), "left").drop("_doc", "_text_hash")
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])))])
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])))])
 
     def cut(batches):
         import pyarrow as pa
@@ -199,9 +199,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
                 totals.append(len(lines)), gone.append(len(lines) - len(out))
                 removed.append([{"start": s, "n": min(e, len(lines)) - s} for s, e in merged])
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "_runs"]
-            names = [n for n in batch.schema.names if n != "_runs"]
+            own = [n for n in batch.schema.names if n != "_runs"]
             span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, span)], names=[*names, "n_lines", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, span)], names=[*own, *names])
 
     return both.mapInArrow(cut, schema)
 

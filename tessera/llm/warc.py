@@ -85,12 +85,11 @@ def parse_record(data: bytes) -> dict:
 
 def records_in(read, size: int, start: int, end: int):
     """The decoded records whose gzip member starts in [start, end). read(offset, n): bytes of the archive."""
-    at, data, base = start, b"", start
+    at, data, base = start, bytearray(), start
 
     def more() -> bool:
-        nonlocal data
         got = read(base + len(data), _READ) if base + len(data) < size else b""
-        data += got
+        data.extend(got)
         return bool(got)
 
     while at < end:

@@ -125,6 +125,49 @@ def test_tiff_pages(spark, odd, empty):
     assert media_tiff.images_of_texts(empty).count() == 0
 
 
+def test_stored_payloads(spark, odd, tmp_path):
+    """Every column of the query against a plain computation; the longest text has more than one page."""
+    rows = _odd_rows() + [(50, "0123456789abcdef" * 60_000, None, None, 0), (51, "x" * 576, None, None, 0), (52, "é" * 288, None, None, 0)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media_tiff.op2_tiff_pages(spark, str(tmp_path)).collect()
+    want = []
+    for d, t, *_ in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        image = media_tiff.text_image(payload)
+        assert b"".join(x.tobytes() for x in media_tiff.read_pages(image)) == payload
+        want.append((d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), media_tiff.features(np.frombuffer(payload, np.uint8)), -(-len(payload) // (576 * media_tiff.PAGE_ROWS)), None))
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want)) and max(r["n_pages"] for r in got) == 2
+
+
+def _tiff(order, bits, page, width=None, predictor=1, extra=()):
+    """One page of unsigned samples as a stored strip, in either byte order."""
+    import struct
+
+    raw = page.astype(f"{order}u{bits // 8}")
+    if predictor == 2:
+        raw = np.concatenate([raw[:, :1], raw[:, 1:] - raw[:, :-1]], axis=1).astype(raw.dtype)
+    raw = raw.tobytes()
+    tags = [(256, 4, width or page.shape[1]), (257, 4, page.shape[0]), (258, 3, bits), (259, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, page.shape[0]), (279, 4, len(raw)), (317, 3, predictor), *extra]
+    entries = b"".join(struct.pack(order + "HHI", t, k, 1) + (struct.pack(order + "I", v) if k == 4 else struct.pack(order + "HH", v, 0)) for t, k, v in tags)
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8 + len(raw)) + raw + struct.pack(order + "H", len(tags)) + entries + bytes(4)
+
+
+@pytest.mark.parametrize(("order", "bits", "predictor"), itertools.product("<>", (8, 16), (1, 2)))
+def test_tiffs_of_either_byte_order_and_size(order, bits, predictor):
+    page = np.random.default_rng(bits).integers(0, 1 << bits, (5, 7))
+    (got,) = media_tiff.read_pages(_tiff(order, bits, page, predictor=predictor))
+    assert (got[:, :, 0].astype(np.int64) == page).all()
+
+
+def test_corrupt_images_are_error_rows(spark):
+    page = np.arange(35).reshape(5, 7)
+    good = _tiff("<", 8, page)
+    images = [good, _tiff("<", 8, page, width=1 << 31), good[:40], good[:-9], b"", b"MM\0*", good[:4] + b"\xff\xff\xff\x7f" + good[8:], _tiff("<", 8, page, extra=[(322, 4, 1 << 30), (323, 4, 1 << 30), (324, 4, 8), (325, 4, 35)]), None]
+    got = media_tiff.decode_pages(spark.createDataFrame(list(enumerate(images)), "k int, image binary").repartition(2), "k", "image").collect()
+    assert {r["key"] for r in got if r["error"] is None} == {0} and {r["key"] for r in got if r["error"]} == set(range(1, len(images)))
+
+
 def test_token_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
@@ -154,6 +197,35 @@ def test_packing(spark, odd, empty):
     assert len(by_sequence) == -(-sum(r["length"] for r in got) // 512)
 
 
+def test_pieces_are_those_of_the_tokenizer(spark, odd):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for d, t, *_ in _odd_rows():
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(d, k, s, len(ids[s : s + 512]), zlib.crc32(np.array(ids[s : s + 512], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 512))]
+    got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack_documents(odd, packing.tokenizer_path(), max_tokens=512).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_many_equal_rows_are_spread(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 7, "same", "hot") for i in range(3000)] + [(i, "x", "s") for i in range(1000)], "doc_id long, text string, source string").repartition(5)
+    told = sharding._told_apart(rows.withColumn("size", F.lit(5)), ["source", "doc_id", "text"], 4000)
+    assert told.where("_twin = 0").count() <= 1002 and told.select("_twin").distinct().count() >= 2999
+    placed = sharding.shard_documents(rows).collect()
+    assert sorted((r["shard"], r["slot"]) for r in placed) == [(s, k) for s in range(8) for k in range(500)]
+    for s in range(8):
+        assert abs(sum(r["size"] == 5 for r in placed if r["shard"] == s) - 375) <= 2
+    packed = packing.pack_documents(rows, packing.tokenizer_path(), max_tokens=64).collect()
+    assert len(packed) == 4000 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 4000
+
+
+def test_shards_carry_sizes_and_checksums(spark, odd):
+    got = sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.shard_documents(odd).collect()), key=str)
+    assert got == sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in _odd_rows()), key=str)
+
+
 def test_fullest_fill_is_the_fullest():
     r = random.Random(3)
     for _ in range(40):
@@ -204,6 +276,30 @@ def test_language_id(spark, odd, empty):
     assert langid.fit(empty) is None and {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_the_language_model_does_not_depend_on_partitions(spark):
+    _, docs = _spoken(spark)
+    a, b = langid.fit(docs.repartition(2), 100), langid.fit(docs.repartition(9), 100)
+    assert (a.table == b.table).all() and a.threshold == b.threshold and a.temperature == b.temperature
+
+
+def test_unlearned_languages_are_rejected(spark):
+    import os
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    docs = C.table(spark, data, "documents")
+    model = langid.fit(docs)
+    strange = ["これは日本語の文章です。今日は天気がいいですね。", "Это русский текст о погоде и о том, как прошёл день.", "Ez egy magyar szöveg az időjárásról és a napról.", "asdf jkl qwer zxcv poiu lkjh mnbv asdfg hjkl", "这是一个中文句子,关于天气。", "for (int i = 0; i < n; i++) { sum += a[i]; }"]
+    assert (model.scores([t * 3 for t in strange]).max(axis=1) < model.threshold).all()
+    # Leave one language out: most of its documents are rejected, few of the others.
+    held = docs.where("lang is not null and text is not null and n_chars > 200 and crc32(cast(doc_id as string)) % 4 = 2")
+    for lang in ("es", "fr"):
+        found = {r["own"]: r["share"] for r in langid.identify(held, langid.fit(docs.where(F.col("lang") != lang))).groupBy((F.col("lang") == lang).alias("own")).agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+        print(lang, found)
+        assert found[True] > 0.5 and found[False] < 0.05
+
+
 def test_url_history(spark):
     day = lambda x: f"2020-01-{x:02}"
     entries = spark.createDataFrame(
@@ -214,6 +310,9 @@ def test_url_history(spark):
     captures = spark.createDataFrame([(i, u, day(d) if d else None) for i, u, d in urls], "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumn("kind", F.lit("clash"))
     got = {r["page_id"]: (r["blocked"], r["decided_by"], r["n_active"]) for r in url_filter.judge(captures, entries).collect()}
     assert got == {1: (False, None, 0), 2: (True, "spam", 1), 3: (False, None, 0), 4: (True, "spam", 1), 5: (False, "allow", 2), 6: (True, "malware", 3), 7: (False, None, 0), 8: (False, None, 0), 9: (False, None, 0), 10: (False, None, 0)}
+    twice = captures.unionAll(captures).unionAll(captures.limit(1).withColumn("url", F.concat(F.lit("http://a.x.com/"), F.repeat(F.lit("p/"), 3000))).withColumn("page_id", F.lit(99).cast("long")).withColumn("fetched", F.to_date(F.lit(day(6)))))
+    again = url_filter.judge(twice, entries).collect()
+    assert len(again) in (11, 21) and {r["page_id"]: (r["blocked"], r["decided_by"], r["n_active"]) for r in again} == got | {99: (True, "spam", 1)}
     assert url_filter.judge(captures.limit(0), entries).count() == 0 and url_filter.judge(captures, entries.limit(0)).where("blocked").count() == 0
 
 
@@ -348,6 +447,24 @@ def test_near_classes(spark, monkeypatch, small):
     assert kept == set(_classes(rows).values())
 
 
+def test_rows_of_one_id_share_the_class_of_one_text(spark):
+    a, b = _words(80, 300), _words(80, 301)
+    got = near_dedup.near_classes(spark.createDataFrame([(5, a), (5, b), (3, a), (2, b), (9, "x")], "doc_id long, text string").repartition(3)).collect()
+    by = {d: {r["class_id"] for r in got if r["doc_id"] == d} for d in (2, 3, 5, 9)}
+    assert len(got) == 5 and by[9] == {9} and by[2] == {2} and by[3] == {3} and by[5] in ({2}, {3})
+
+
+def test_recall_against_all_pairs(spark):
+    import os
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    docs = C.table(spark, data, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()} == _classes(rows)
+
+
 def test_odd_near_classes(spark, odd, empty):
     assert near_dedup.near_classes(empty).count() == 0
     got = near_dedup.near_classes(odd).collect()
@@ -391,6 +508,11 @@ def _contaminated(docs, items, n=10):
     return out
 
 
+def test_decontamination_of_an_empty_table(spark, empty):
+    items = spark.createDataFrame([(1, _words(12, 3))], "item_id long, text string")
+    assert decontaminate.contamination(empty, items).count() == 0 and decontaminate.decontaminate(empty, items).count() == 0
+
+
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_decontamination(spark, odd, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
@@ -409,23 +531,55 @@ def test_decontamination(spark, odd, monkeypatch, broadcast):
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def _pipeline_input(spark, folder, rows, items):
+    docs = spark.createDataFrame(rows, DOCS).withColumn("rejected", F.lit("kept")).withColumn("score", F.lit(1)).withColumn("n_removed", F.lit("x")).withColumn("_k", F.lit(2))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version, given what the stage before it kept: repeated rows, long texts, clashing columns."""
     rows, _ = _spoken(spark)
-    passage = _words(30, 60)
+    r = random.Random(60)
+    passage = " ".join(r.choice(["baka", "doko", "mana", "naka"]) + r.choice(["baka", "doko", "mana", "naka"]) for _ in range(30))
     rows = [(d, t, lang, s, len(t)) for d, t, lang, s, _ in rows]
-    rows += [(1000, rows[0][1], "aa", "s", 0), (1001, rows[1][1] + " " + passage, rows[1][2], "s", 0), (1002, None, None, None, None), (1003, "12 34", None, "s", 5)]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    seen = [{r["doc_id"] for r in docs.collect()}]
+    long = " ".join(t for _, t, *_ in rows[:150])
+    rows += [(1000, rows[0][1], "aa", "s", 0), (1001, passage + " " + passage[:120].title(), "aa", "s", 0), (1002, None, None, None, None), (1003, "12 34", None, "s", 5), (1004, long, "aa", "s", 0), (1005, rows[7][1] + "\n" + rows[8][1] + "\n" + rows[9][1], "aa", "s", 0)]
+    rows += [(1006, rows[11][1] + " baka naka mana", "aa", "s", 0), rows[5], rows[5], (None, rows[6][1] + " pfeil und", "bb", "s", 0)]
+    items = [(1, passage), (2, None)]
+    docs = _pipeline_input(spark, str(tmp_path), rows, items)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    seen = [docs]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
-        seen.append({r["doc_id"] for r in docs.collect()})
-        assert seen[-1] <= seen[-2]
-    assert {1002, 1003}.isdisjoint(seen[1]) and 1000 not in seen[3] and 1001 not in seen[4] and 0 in seen[4]
+        seen.append(stage(spark, seen[-1], str(tmp_path)))
+        assert seen[-1].columns == docs.columns and seen[-1].where("rejected != 'kept' or score != 1 or n_removed != 'x' or _k != 2").count() == 0
+    model = langid.fit(docs)
+    right = lambda t: bool(t) and any(map(str.isalpha, t)) and model.scores([t]).max() >= model.threshold
+    assert texts(seen[1]) == sorted(((d, t) for d, t, *_ in rows if right(t)), key=str)
+    given = texts(seen[1])
+    cut = _lines({d: t for d, t in given if d is not None}.items(), 3, 10)
+    assert texts(seen[2]) == sorted(((d, t if d is None else cut[d]) for d, t in given if d is None or cut[d] != ""), key=str)
+    given = texts(seen[2])
+    classes = _classes([x for x in given if x[0] is not None])
+    assert texts(seen[3]) == [(d, t) for d, t in given if d is None or classes[d] == d]
+    given = texts(seen[3])
+    dirty = {d for d, _, n, _ in _contaminated([x for x in given if x[0] is not None], items) if n}
+    assert texts(seen[4]) == [(d, t) for d, t in given if d not in dirty] and dirty == {1001}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in packed} == seen[4]
+    assert sorted((str(r["doc_id"]) for r in packed if r["piece"] == 0)) == sorted(str(d) for d, _ in texts(seen[4]))
+    assert len({r["sequence_id"] for r in packed}) == -(-sum(r["length"] for r in packed) // 4096)
+
+
+def test_pipeline_of_an_empty_table_and_without_labels(spark, tmp_path):
+    docs = _pipeline_input(spark, f"{tmp_path}/a", [], [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.count() == 0 and len(docs.columns) == 9
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    rows = [(i, _words(60, 200 + i), None, "s", 0) for i in range(20)]
+    docs = _pipeline_input(spark, f"{tmp_path}/b", rows, [(1, "zz yy")])
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect()} == set(range(20))
 
 
 def test_queries_against_sql(spark):
