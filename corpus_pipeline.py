@@ -1,4 +1,9 @@
-"""Corpus pipeline: language ID, line dedup, near-duplicate removal, benchmark decontamination and packing of `documents`."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, benchmark decontamination and packing of `documents`.
+
+Every stage but the last returns the columns it was given, extra ones of whatever name included, and an empty table for an empty table. Null and empty
+texts are rejected by the first stage, as they have no language; later stages keep them if they are given them. Repeated rows are judged alike:
+they stay or go together, but for exact and near copies under other ids, of which the document of least id stays. Rows without a doc_id are judged by their text.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,18 @@ from tessera.llm import decontaminate, langid, line_dedup, near_dedup, packing
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the classifier rejects. It learns from the labels of the stage's own input."""
-    return langid.identify(docs, langid.fit(docs)).where("not rejected").select(*docs.columns)
+    """Drop documents whose language the classifier rejects. It learns from the labels of the stage's own input; without any, nothing can be told apart and all stay."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs
+    return langid.identify(docs, model, ("_lang_pred", "_score", "_rejected")).where("not _rejected").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of line runs; a document that loses every line it had is gone. n_chars follows the text."""
-    cut = line_dedup.dedup_lines(docs).where("text is null or n_removed = 0 or text != ''")
+    cut = line_dedup.dedup_lines(docs, names=("_n_lines", "_n_removed", "_removed")).where("text is null or _n_removed = 0 or text != ''")
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
