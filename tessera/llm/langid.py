@@ -45,10 +45,11 @@ def _grams(texts: list[str | None]):
             parts.append(raw), starts.append(size)
             size += len(raw)
             end += 1
-        data = _ASCII[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
+        # The last text is followed by spaces as the others are, so that a text's n-grams do not depend on where it stands.
+        data = _ASCII[np.frombuffer(b"".join([*parts, b" " * max(GRAMS)]), np.uint8)].astype(np.uint32)
         sizes = []
         for n in GRAMS:
-            h = np.full(len(data) - n + 1, n, np.uint32)
+            h = np.full(size, n, np.uint32)
             for j in range(n):
                 h = (h ^ data[j : j + len(h)]) * np.uint32(16777619)
             h ^= h >> np.uint32(15)
@@ -84,11 +85,12 @@ class LanguageModel:
             for buckets in sizes:
                 for c in range(len(self.labels)):
                     total[:, c] += np.add.reduceat(self.table[c][buckets], starts, dtype=np.float64)
-            length = np.diff(np.r_[starts, len(sizes[0]) + GRAMS[0] - 1]) * len(GRAMS)
+            length = np.diff(np.r_[starts, len(sizes[0])]) * len(GRAMS)
             out[at:end] = total / length[:, None] + self.bias
         z = out / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        # Sums depend on the batch in their last digits.
+        return np.round(z / z.sum(axis=1, keepdims=True), 9)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -149,8 +151,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Lang
     temperature = min(np.geomspace(0.05, 5, 60), key=loss)
     p = _softmax(z / temperature)
     right = p.argmax(1) == truth
-    threshold = float(np.quantile(p.max(1)[right], REJECT_QUANTILE, method="lower")) if right.any() else 0.0
-    return LanguageModel(labels, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), float(temperature), threshold)
+    # A little lower, so that rounding decides about no document.
+    threshold = np.floor(np.quantile(p.max(1)[right], REJECT_QUANTILE, method="lower") * 1e5) / 1e5 if right.any() else 0.0
+    return LanguageModel(labels, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), float(temperature), float(threshold))
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:

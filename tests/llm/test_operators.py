@@ -282,6 +282,13 @@ def test_the_language_model_does_not_depend_on_partitions(spark):
     assert (a.table == b.table).all() and a.threshold == b.threshold and a.temperature == b.temperature
 
 
+def test_a_score_does_not_depend_on_the_batch(spark):
+    rows, docs = _spoken(spark)
+    model = langid.fit(docs)
+    alone = {d: model.scores([t]).max() for d, t, *_ in rows}
+    assert {r["doc_id"]: r["score"] for r in langid.identify(docs.repartition(5), model).collect()} == alone
+
+
 def test_unlearned_languages_are_rejected(spark):
     import os
 
