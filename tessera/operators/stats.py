@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Units (worlds) that a bootstrap resamples at most.
+MOST_UNITS = 1_000_000
+
+
 def counter_hash(*parts: Column) -> Column:
     """48 bits of md5 over the parts joined by |."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("long")
@@ -25,11 +29,13 @@ def weights(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFram
     """
     numbered = units.select(unit).distinct()
     n = numbered.count()
-    w = Window.orderBy(unit)
+    if n > MOST_UNITS:
+        raise ValueError(f"more than {MOST_UNITS} units are no sampling units of a study")
+    w = Window.orderBy(unit)  # one task, of so many units at most
     numbered = numbered.withColumn("at", F.row_number().over(w) - 1)
     draws = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), "at")
     drawn = draws.select("replicate", (counter_hash(F.lit(seed), F.col("replicate"), F.col("at")) % n).alias("at"))
-    return drawn.groupBy("replicate", "at").agg(F.count(F.lit(1)).alias("weight")).join(F.broadcast(numbered) if n <= 1_000_000 else numbered, "at").select("replicate", unit, "weight")
+    return drawn.groupBy("replicate", "at").agg(F.count(F.lit(1)).alias("weight")).join(F.broadcast(numbered), "at").select("replicate", unit, "weight")
 
 
 def bootstrap_means(values: DataFrame, by: list[str], value: str, drawn: DataFrame, unit: str = "world_id") -> DataFrame:
@@ -113,8 +119,14 @@ def exact_mcnemar(b: Column, c: Column) -> Column:
             n, k = int(x + y), int(min(x, y))
             if not n:
                 return 1.0
-            terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-            return min(1.0, 2 * math.fsum(map(math.exp, terms)))
+            # Each term is the one above it times a ratio that falls, so a few roots of n terms are all that count.
+            term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+            total = 0.0
+            while term > total * 1e-17:
+                total += term
+                term *= k / (n - k + 1)
+                k -= 1
+            return min(1.0, 2 * total)
 
         return pd.Series([one(x, y) for x, y in zip(b, c)], dtype=float)
 

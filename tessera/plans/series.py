@@ -48,7 +48,7 @@ def episode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.episodes import OUTCOME
     from ..streaming.episodes import episode_stream as fold
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    store = "spark.sql.streaming.stateStore.providerClass"
     path = f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(path).schema
     folder = new_folder(spark, "episodes")
@@ -62,7 +62,12 @@ def episode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the stream takes the setting at its start; the session keeps its own
+        query = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(store, before)
     query.awaitTermination()
     names = [c.split()[0] for c in OUTCOME.split(", ")]
     seen = spark.read.parquet(f"{folder}/out/*")

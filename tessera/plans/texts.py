@@ -218,7 +218,7 @@ def iam_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: distinct words, and how many of them the benchmark uses."""
-    words = lambda df, *keep: df.select(*keep, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word != ''").distinct()
+    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where("word != ''").distinct()
     used = words(Fx.table(spark, sf_dir, "benchmark")).withColumn("used", F.lit(1))
     own = words(Fx.table(spark, sf_dir, "documents"), "source").join(used, "word", "left")
     return own.groupBy("source").agg(F.count(F.lit(1)).alias("words"), F.count("used").alias("shared"))

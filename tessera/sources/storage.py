@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder in spark.checkpoint.dir. Where none is set a local session gets one of its own; a cluster must set one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named or current.isDefined():
         return (named or current.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-shared-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -55,7 +57,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not yet in the Parquet table at path; how many. Safe to repeat after a failure."""
+    """Append the rows whose key is not yet in the Parquet table at path; how many. Safe to repeat after a failure, for one writer at a time."""
     spark = rows.sparkSession
     try:
         done = spark.read.parquet(path).select(key)
@@ -63,7 +65,9 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = rows.select(key).limit(0)
-    todo = rows.dropDuplicates([key]).join(done, key, "left_anti")
+    staged = new_folder(spark, "append")
+    rows.dropDuplicates([key]).join(done, key, "left_anti").write.parquet(staged)
+    todo = spark.read.schema(rows.schema).parquet(staged)
     n = todo.count()
     if n:
         todo.write.mode("append").parquet(path)

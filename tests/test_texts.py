@@ -20,29 +20,30 @@ def test_short_answers(spark):
     assert old[4]["r"]["category"] == "parse_failure" and old[4]["r"]["lenient"] == "lynx" and old[5]["r"]["category"] == "parse_failure"
 
 
-@pytest.mark.parametrize(
-    ("text", "category"),
-    [
+def _read(spark, reader, rows):
+    """(category, value) of each (text, task, expected)."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, task string, expected string")
+    return [tuple(r["r"]) for r in df.withColumn("r", reader(F.col("text"), F.col("task"), F.col("expected"))).orderBy("i").collect()]
+
+
+def test_structured_answers(spark):
+    cases = [
         ('{"decision": "allow"}', "correct"), ('```json\n{"decision": "allow"}\n```', "correct"), ('{"decision": "allow"}.', "correct"), ('{"decision": "deny", "decision": "allow"}', "correct"),
         ('{"decision": "deny"}', "incorrect"), ("{'decision': 'allow'}", "parse_failure"), ('{"decision": "allow"} yes', "parse_failure"), ('{"decision": "allow", "x": 1}', "parse_failure"),
-        ('so</think>{"decision": "allow"}', "correct"), ("I won't", "refusal"), ("unknown", "abstain"), ("[1]", "parse_failure"),
-    ],
-)
-def test_structured_answers(text, category):
-    assert X._structured(text, "application", "allow", 3)[0] == category
+        ('so</think>{"decision": "allow"}', "correct"), ("<think>a</think> ```\n {\"decision\": \"allow\"} \n```", "correct"), ("I won't", "refusal"), ("unknown", "abstain"), ('{"x": "unknown"}', "parse_failure"), ("[1]", "parse_failure"), (None, "parse_failure"),
+    ]
+    assert [c for c, _ in _read(spark, X.structured_answer, [(t, "application", "allow") for t, _ in cases])] == [c for _, c in cases]
 
 
-def test_the_last_valid_object_counts():
-    read = lambda t: X._final(t, "application", "allow", 3)
-    assert read('{"decision": "deny"} no, {"decision": "allow"} {"x": {"decision": "deny"}}') == ("correct", "allow")
-    assert read("well\nit is unclear") == ("abstain", None)
+def test_the_last_valid_object_counts(spark):
+    texts = ['{"decision": "deny"} no, {"decision": "allow"} {"x": {"decision": "deny"}}', "well\nit is unclear", "it is unclear\nwell", "I will not. " + "x" * 401]
+    assert _read(spark, X.final_answer, [(t, "application", "allow") for t in texts]) == [("correct", "allow"), ("abstain", None), ("parse_failure", None), ("parse_failure", None)]
 
 
-def test_sets_of_ids_ignore_order_and_refuse_repeats():
+def test_sets_of_ids_ignore_order_and_refuse_repeats(spark):
     want = json.dumps(["a", "b"])
-    assert X._structured('{"principals": ["b", "a"]}', "interpretation", want, 3) == ("correct", want)
-    assert X._structured('{"principals": []}', "interpretation", "[]", 3) == ("correct", "[]")
-    assert X._structured('{"principals": ["a", "a"]}', "interpretation", want, 3)[0] == "parse_failure"
+    got = _read(spark, X.structured_answer, [('{"principals": ["b", "a"]}', "interpretation", want), ('{"principals": []}', "interpretation", "[]"), ('{"principals": ["a", "a"]}', "interpretation", want)])
+    assert got == [("correct", want), ("correct", "[]"), ("parse_failure", None)]
 
 
 def test_channels_and_renderings(spark):
