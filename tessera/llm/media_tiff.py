@@ -271,6 +271,8 @@ def features(samples: np.ndarray) -> str:
     return f"mean={mean:.4f};sd={sd:.4f};entropy={-(some * np.log2(some)).sum():.4f};dhash={int(bits, 2):016x}"
 
 
+#: What a file that is not as it should be can raise on the way.
+_BROKEN = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
 _PAGES = "page int, width int, height int, n_samples int, samples binary, feature string, error string"
 
 
@@ -295,7 +297,7 @@ def decode_pages(df: DataFrame, key: str, image: str) -> DataFrame:
                     for i, page in enumerate(read_pages(blob)):
                         native = page.astype(page.dtype.newbyteorder("="))
                         add(k, i, page.shape[1], page.shape[0], page.shape[2], native.tobytes(), features(native if native.dtype == np.uint8 else (native >> 8).astype(np.uint8)), None)
-                except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+                except _BROKEN as e:
                     add(k, -1, None, None, None, None, None, str(e) or type(e).__name__)
             types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
@@ -337,40 +339,38 @@ def images_of_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, image binary")
 
 
-def payloads(decoded: DataFrame) -> DataFrame:
-    """(key, n_pages, payload, feature, error) of decode_pages: the samples of each image's pages end to end, and the features of the whole.
+def image_payloads(df: DataFrame, key: str, image: str) -> DataFrame:
+    """One row per image: key, n_pages, payload (the samples of its pages end to end), the feature of the whole, and error.
 
-    Pages of an image follow each other in their partition, as they were decoded, so nothing moves.
+    For payloads that were dealt to pages to be stored. An image that cannot be read has no payload; rows leave in batches of bounded size.
     """
-    kind = decoded.schema["key"].dataType.simpleString()
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        key_type, held = None, []
-
-        def whole():
-            rows = [held[0]["key"], len(held), b"".join(x["samples"] or b"" for x in held), next((x["error"] for x in held if x["error"]), None)]
-            feature = features(np.frombuffer(rows[2], np.uint8)) if rows[2] else None
-            held.clear()
-            values = [rows[0], rows[1], rows[2], feature, rows[3]]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [key_type, pa.int32(), pa.binary(), pa.string(), pa.string()])], names=["key", "n_pages", "payload", "feature", "error"])
-
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("key", "page", "samples", "error")}
-                # An error row ends its image; a first page, or a failure before it, begins one.
-                if held and (row["page"] == 0 or held[-1]["page"] < 0 or row["key"] != held[0]["key"]):
-                    yield whole()
-                held.append(row)
-        if held:
-            yield whole()
+            rows, held = [], 0
+            types = [batch.schema.field(0).type, pa.int32(), pa.binary(), pa.string(), pa.string()]
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=["key", "n_pages", "payload", "feature", "error"])
+            for k, blob in zip(batch.column(0), batch.column(1)):
+                try:
+                    pages = [x.tobytes() for x in read_pages(blob.as_py())]
+                    payload = b"".join(pages)
+                    rows.append((k.as_py(), len(pages), payload, features(np.frombuffer(payload, np.uint8)), None))
+                    held += len(payload)
+                except _BROKEN as e:
+                    rows.append((k.as_py(), None, None, None, str(e) or type(e).__name__))
+                if held > C.CHUNK_BYTES:
+                    yield made()
+                    rows, held = [], 0
+            if rows:
+                yield made()
 
-    return decoded.select("key", "page", "samples", "error").mapInArrow(run, f"key {kind}, n_pages int, payload binary, feature string, error string")
+    return df.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(run, f"key {kind}, n_pages int, payload binary, feature string, error string")
 
 
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = images_of_texts(C.table(spark, sf_dir, "documents")).withColumn("stored", F.struct("doc_id", "n_bytes", F.octet_length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256")))
-    read = payloads(decode_pages(stored, "stored", "image"))
+    read = image_payloads(stored, "stored", "image")
     tail = F.crc32(F.substring("payload", -32, 32))
     return read.select(
         "key.doc_id", "key.n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
