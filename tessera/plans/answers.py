@@ -63,7 +63,8 @@ def reselected_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = S.bootstrap_means(worlds, ["rendering"], "accuracy", drawn)
     gaps = means.groupBy("replicate").agg((F.max("mean") - F.min("mean")).alias("mean"))
     found = S.interval(gaps, [])
-    return found.select(_R("low"), _R("high"))
+    # Ends that lie halfway between two figures would else be told apart by the order of sums.
+    return found.select(_R(F.round("low", 12), "low"), _R(F.round("high", 12), "high"))
 
 
 def instance_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +246,7 @@ SQL = {
     "rates_by_stratum": f"""WITH {X.answers_sql()}, a AS (SELECT assignment, rendering, world_id, {_avg("category = 'correct'")} AS x FROM ans GROUP BY GROUPING SETS ((assignment, rendering, world_id), (assignment, world_id), (world_id)))
 SELECT assignment, rendering, round(avg(x), 6) AS accuracy, count(x) AS worlds FROM a GROUP BY assignment, rendering""",
     "worst_case_gap": f"{_BASE}, {_GAP} SELECT best, worst, round(avg(diff), 6) AS gap, count(diff) AS worlds FROM gap, ends GROUP BY best, worst",
-    "reselected_gap": f"{_BASE}, {_DRAWS}, b AS (SELECT rendering, replicate, sum(accuracy * weight) / sum(weight) AS m FROM w JOIN draws USING (world_id) GROUP BY ALL), g AS (SELECT replicate, max(m) - min(m) AS d FROM b GROUP BY replicate) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM g",
+    "reselected_gap": f"{_BASE}, {_DRAWS}, b AS (SELECT rendering, replicate, sum(accuracy * weight) / sum(weight) AS m FROM w JOIN draws USING (world_id) GROUP BY ALL), g AS (SELECT replicate, max(m) - min(m) AS d FROM b GROUP BY replicate) SELECT round(round(quantile_cont(d, 0.025), 12), 6) AS low, round(round(quantile_cont(d, 0.975), 12), 6) AS high FROM g",
     "instance_flips": f"""WITH {X.answers_sql()}, i AS (
   SELECT world_id, label, CAST(count(DISTINCT coalesce(value, category)) > 1 AS INT) AS disagrees, CAST(bool_and(category = 'correct') AS INT) AS all_correct,
     CAST(bool_or(category = 'incorrect' AND value = 'allow') AS INT) AS to_allow, CAST(bool_or(category = 'incorrect' AND value = 'deny') AS INT) AS to_deny
