@@ -44,6 +44,15 @@ def bootstrap_means(values: DataFrame, by: list[str], value: str, drawn: DataFra
     return both.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("mean"))
 
 
+def mean_difference(values: DataFrame, value: str, side: str, first: str, second: str, unit: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, mean): the difference of the means of two independent samples, each redrawn on its own; units are one row each."""
+    def drawn(name: str, offset: int) -> DataFrame:
+        own = values.where((F.col(side) == name) & F.col(value).isNotNull())
+        return bootstrap_means(own, [], value, weights(own, unit, replicates, seed + offset), unit)
+
+    return drawn(first, 0).join(drawn(second, 1).withColumnRenamed("mean", "_other"), "replicate").select("replicate", (F.col("mean") - F.col("_other")).alias("mean"))
+
+
 def interval(means: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
     """(by.., low, high): linearly interpolated quantiles of the replicates."""
     tail = (1 - level) / 2

@@ -34,6 +34,18 @@ def linear_cka(rows: DataFrame, x: str, y: str, by: list[str] | None = None) ->
     return joined.select(*by, "n", F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("cka"))
 
 
+def cka_matrix(rows: DataFrame, item: list[str], by: list[str], rendering: str, vector: str) -> DataFrame:
+    """(by.., a, b, n, cka) for each pair of renderings, over the items that both have; null for fewer than three.
+
+    An item's renderings are gathered to one map and paired within the row, a < b.
+    """
+    maps = rows.groupBy(*by, *item).agg(F.map_from_entries(F.collect_list(F.struct(rendering, vector))).alias("m"))
+    names = F.array_sort(F.map_keys("m"))
+    pairs = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"), F.element_at("m", a).alias("x"), F.element_at("m", b).alias("y")))))
+    each = maps.select(*by, F.explode(pairs).alias("p")).select(*by, "p.a", "p.b", "p.x", "p.y")
+    return linear_cka(each, "x", "y", [*by, "a", "b"]).withColumn("cka", F.when(F.col("n") > 2, F.col("cka")))
+
+
 def balanced_accuracy(rows: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """Mean over true classes of the recall."""
     by = by or []

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, audits, calls, policies, series, studies, texts
+from . import answers, audits, calls, policies, series, studies, texts, trials
 
-_MODULES = (policies, answers, texts, calls, series, studies, audits)
+_MODULES = (policies, answers, texts, calls, series, studies, audits, trials)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
