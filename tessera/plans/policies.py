@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import policy_text as PT
 from ..operators import policy as P
+from ..schemas import CONDITION, RULE, SCOPE, bool_value, int_value, text_value
 from . import fixtures as X
 
 
@@ -135,7 +137,7 @@ def drawn_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import generate as G
 
     ids = X.table(spark, sf_dir, "customer").select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("policy_id")).distinct()
-    regions = [r[0] for r in X.table(spark, sf_dir, "region").select("r_name").distinct().orderBy("r_name").limit(100).collect()]  # a handful
+    regions = [r[0] for r in X.table(spark, sf_dir, "region").select("r_name").distinct().orderBy("r_name").collect()]  # five: the dimension's keys
     rules = G.draw_rules(ids, regions, ["audit", "return", "view"], "nation", "part", "size", 50, seed=5)
     nations = X.table(spark, sf_dir, "nation").join(X.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.concat(F.lit("nation::"), F.col("n_nationkey").cast("string"))
@@ -150,6 +152,39 @@ def drawn_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.keep_reason(marked, rules, 4).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _supplier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies of up to 20 rules, one a supplier, with every kind of scope, of operand and of value."""
+    s = X.table(spark, sf_dir, "supplier")
+    k, nation, name = F.col("s_suppkey"), F.col("s_nationkey").cast("string"), F.col("s_name")
+    no = F.lit(None)
+    entity = lambda kind, id_: F.struct(F.lit(kind).alias("type"), id_.alias("id"))
+    scope = lambda kind, of=no, typed=no: F.struct(F.lit(kind).alias("kind"), of.alias("entity"), typed.alias("type")).cast(SCOPE)
+    pick = lambda n, *options: F.element_at(F.array(*options), (n + 1).cast("int"))
+    principal = pick(k % 5, scope("any"), scope("eq", entity("supplier", name)), scope("is", typed=F.lit("customer")), scope("in", entity("nation", nation)), scope("is_in", entity("nation", nation), F.lit("customer")))
+    resource = pick(F.floor(k / 5) % 3, scope("any"), scope("is", typed=F.lit("part")), scope("in", entity("brand", F.concat(F.lit("Brand #"), (k % 9).cast("string")))))
+    attr = lambda subject, a: F.struct(F.lit(subject).alias("subject"), F.lit(a).alias("attr"), no.alias("value"))
+    value = lambda v: F.struct(no.alias("subject"), no.alias("attr"), v.alias("value"))
+    test = lambda a, op, b: F.struct(a.alias("left"), F.lit(op).alias("op"), b.alias("right")).cast(CONDITION)
+    owed, named, flag, sized = test(attr("context", "balance"), ">=", value(int_value(F.floor("s_acctbal")))), test(attr("principal", "name"), "!=", value(text_value(name))), test(attr("context", "mfa"), "==", value(bool_value(F.lit(True)))), test(attr("resource", "size"), "<", attr("principal", "level"))
+    conditions = pick(k % 4, F.array().cast(f"array<{CONDITION}>"), F.array(owed), F.array(named, flag), F.array(sized))
+    actions = F.when(k % 2 == 0, F.array(F.lit("view"))).otherwise(F.array(F.lit("audit"), F.lit("view")))
+    rule = F.struct(F.concat(F.lit("r"), k.cast("string")).alias("rule_id"), F.when(k % 3 == 0, "forbid").otherwise("permit").alias("effect"), principal.alias("principal"), actions.alias("actions"), resource.alias("resource"), conditions.alias("conditions")).cast(RULE)
+    return s.select("s_nationkey", F.floor(k / 20).alias("part"), rule.alias("rule")).groupBy("s_nationkey", "part").agg(F.collect_list("rule").alias("rules"))
+
+
+def whole_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' rules as whole policies in five forms: how many read back, and digests of prose, rows and code."""
+    rules = F.col("rules")
+    want = F.array_sort(rules, lambda a, b: F.when(a["rule_id"] < b["rule_id"], -1).when(a["rule_id"] > b["rule_id"], 1).otherwise(0))
+    mark = lambda c: F.sum(F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long"))
+    texts = _supplier_rules(spark, sf_dir).select("s_nationkey", want.alias("want"), PT.prose(rules).alias("prose"), PT.table(rules).alias("rows"), PT.duties(rules).alias("duties"), PT.as_json(rules).alias("json"), PT.code(rules).alias("code"))
+    same = lambda c: F.count_if(c == F.col("want"))
+    return texts.groupBy("s_nationkey").agg(
+        F.count(F.lit(1)).alias("policies"), F.sum(F.size("want")).alias("rules"), same(PT.read_prose(F.col("prose"))).alias("prose_back"), same(PT.read_table(F.col("rows"))).alias("rows_back"),
+        same(PT.read_duties(F.col("duties"))).alias("duties_back"), same(PT.read_json(F.col("json"))).alias("json_back"), mark("prose").alias("prose"), mark("rows").alias("rows"), mark("duties").alias("duties"), mark("code").alias("code"),
+    )
+
+
 def _renamed_sql() -> str:
     sql = X.SALES_SQL
     for old, new in (("r_name = 'EUROPE'", "r_name = (SELECT n FROM nr WHERE o = 'EUROPE')"), ("r_name = 'ASIA'", "r_name = (SELECT n FROM nr WHERE o = 'ASIA')"), ("n_nationkey = 3", "n_nationkey = (SELECT coalesce(min(n_nationkey), (SELECT min(n_nationkey) FROM nation)) FROM nation WHERE n_nationkey > 3)")):
@@ -159,6 +194,30 @@ def _renamed_sql() -> str:
 
 
 SQL = {
+    "drawn_policies": """WITH g AS (SELECT list(r_name ORDER BY r_name) AS names FROM (SELECT DISTINCT r_name FROM region)),
+ids AS (SELECT DISTINCT c_mktsegment || '/' || c_nationkey AS p FROM customer),
+e AS (SELECT p, unnest(range(0, ('0x' || substr(md5('5|' || p || '|n'), 1, 12))::BIGINT % 3 + 1)) AS k FROM ids),
+d AS (SELECT p, k, list_transform(['group', 'who', 'a', 'b', 'effect', 'threshold', 'op', 'when'], lambda w: ('0x' || substr(md5('5|' || p || '|' || k || '|' || w), 1, 12))::BIGINT) AS h FROM e),
+r AS (SELECT p, k, names[CAST(h[1] % len(names) + 1 AS INTEGER)] AS grp, h[2] % 3 = 0 AS every, ['audit', 'return', 'view'][CAST(h[3] % 3 + 1 AS INTEGER)] AS a, ['audit', 'return', 'view'][CAST(h[4] % 3 + 1 AS INTEGER)] AS b, h[5] % 3 = 0 AS forbid, h[6] % 50 AS t, h[7] % 2 = 0 AS below, h[8] % 2 = 1 AS cond FROM d, g),
+u AS (SELECT p, n_nationkey AS who, r_name, action, s AS what FROM ids, nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('audit'), ('return'), ('view')) v(action), (SELECT DISTINCT p_size AS s FROM part)),
+m AS (SELECT u.p, who, action, what, list(k) FILTER (NOT forbid) AS permits, list(k) FILTER (forbid) AS forbids FROM u LEFT JOIN r ON u.p = r.p AND action IN (a, b) AND (every OR grp = r_name) AND (NOT cond OR CASE WHEN below THEN what < t ELSE what >= t END) GROUP BY ALL),
+c AS (SELECT *, permits IS NOT NULL AND forbids IS NULL AS ok, CASE WHEN forbids IS NULL AND len(permits) = 1 THEN permits[1] WHEN permits IS NOT NULL AND len(forbids) = 1 THEN forbids[1] END AS sole FROM m),
+b AS (SELECT *, min(ok) OVER x != max(ok) OVER x OR min(ok) OVER y != max(ok) OVER y OR min(ok) OVER z != max(ok) OVER z AS edge FROM c WINDOW x AS (PARTITION BY p, action, what), y AS (PARTITION BY p, who, what), z AS (PARTITION BY p, who, action)),
+s AS (SELECT p, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS d, count(*) FILTER (ok AND edge) AS ae, count(*) FILTER (NOT ok AND edge) AS de, count(DISTINCT sole) AS live FROM b GROUP BY p),
+n AS (SELECT p, count(*) AS rules FROM e GROUP BY p)
+SELECT CASE WHEN a < 4 THEN 'too few allowed' WHEN d < 4 THEN 'too few denied' WHEN ae < 2 OR de < 2 THEN 'too few on the boundary' WHEN rules > 1 AND live < rules THEN 'dead rule' ELSE 'ok' END AS reason, count(*) AS n FROM s JOIN n USING (p) GROUP BY ALL""",
+    "whole_policies": r"""WITH k AS (SELECT s_nationkey, s_suppkey // 20 AS part, s_suppkey AS i, 'r' || s_suppkey AS id, 'nation::"' || s_nationkey || '"' AS n, 'supplier::"' || url_encode(s_name) || '"' AS s, '"' || url_encode(s_name) || '"' AS q, 'brand::"Brand+%23' || s_suppkey % 9 || '"' AS b, CAST(floor(s_acctbal) AS BIGINT) AS bal, s_suppkey % 3 = 0 AS forbid, s_suppkey % 2 = 0 AS one FROM supplier),
+t AS (SELECT *, ['anything', 'exactly ' || s, 'any customer', 'members of ' || n, 'any customer in ' || n][CAST(i % 5 + 1 AS INTEGER)] AS who, ['anything', 'any part', 'members of ' || b][CAST(i // 5 % 3 + 1 AS INTEGER)] AS what,
+  ['', ' == ' || s, ' is customer', ' in ' || n, ' is customer in ' || n][CAST(i % 5 + 1 AS INTEGER)] AS who_c, ['', ' is part', ' in ' || b][CAST(i // 5 % 3 + 1 AS INTEGER)] AS what_c,
+  [NULL, 'context.balance is at least ' || bal, 'principal.name is not ' || q || ' and context.mfa is true', 'resource.size is below principal.level'][CAST(i % 4 + 1 AS INTEGER)] AS words,
+  [NULL, 'context.balance >= ' || bal, 'principal.name != ' || q || ' {} context.mfa == true', 'resource.size < principal.level'][CAST(i % 4 + 1 AS INTEGER)] AS signs FROM k),
+l AS (SELECT s_nationkey, part, id, 'Rule ' || id || ': ' || who || CASE WHEN forbid THEN ' must not ' ELSE ' may ' END || CASE WHEN one THEN 'view' ELSE 'audit or view' END || ' ' || what || coalesce(' when ' || words, '') || '.' AS prose,
+  '| ' || id || CASE WHEN forbid THEN ' | forbid | ' ELSE ' | permit | ' END || who || CASE WHEN one THEN ' | view | ' ELSE ' | audit, view | ' END || what || ' | ' || coalesce(replace(signs, '{}', '&') || ' |', '|') AS row_,
+  list_transform(CASE WHEN one THEN ['view'] ELSE ['audit', 'view'] END, lambda a: what || CASE WHEN forbid THEN ' bars ' ELSE ' lets ' END || who || ' [' || a || '] by ' || id || coalesce(' where ' || words, '')) AS duties,
+  '@id("' || id || '") ' || CASE WHEN forbid THEN 'forbid' ELSE 'permit' END || ' (principal' || who_c || ', action in [' || CASE WHEN one THEN 'Action::"view"' ELSE 'Action::"audit", Action::"view"' END || '], resource' || what_c || ')' || coalesce(' when { ' || replace(signs, '{}', '&&') || ' }', '') || ';' AS code FROM t),
+p AS (SELECT s_nationkey, part, count(*) AS n, string_agg(prose, chr(10) ORDER BY id) AS prose, string_agg(row_, chr(10) ORDER BY id) AS rows_, string_agg(array_to_string(duties, chr(10)), chr(10) ORDER BY id) AS duties, string_agg(code, chr(10) ORDER BY id) AS code FROM l GROUP BY ALL)
+SELECT s_nationkey, count(*) AS policies, CAST(sum(n) AS BIGINT) AS rules, count(*) AS prose_back, count(*) AS rows_back, count(*) AS duties_back, count(*) AS json_back, CAST(sum(('0x' || substr(md5(prose), 1, 8))::BIGINT) AS BIGINT) AS prose,
+  CAST(sum(('0x' || substr(md5(rows_), 1, 8))::BIGINT) AS BIGINT) AS rows, CAST(sum(('0x' || substr(md5(duties), 1, 8))::BIGINT) AS BIGINT) AS duties, CAST(sum(('0x' || substr(md5(code), 1, 8))::BIGINT) AS BIGINT) AS code FROM p GROUP BY s_nationkey""",
     "policy_decide": f"""WITH {X.SALES_SQL}
 SELECT c_mktsegment, action, decision, count(*) AS n, CAST(sum(m1::INT + m2::INT + m4::INT + m6::INT + m7::INT) AS BIGINT) AS permits, CAST(sum(m3::INT + m5::INT) AS BIGINT) AS forbids
 FROM dec GROUP BY ALL""",
@@ -219,4 +278,4 @@ SELECT permit, forbid, count(*) AS n FROM p GROUP BY ALL""",
     "renamed_rules": f"WITH {_renamed_sql()} SELECT action, decision, count(*) AS n FROM dec GROUP BY ALL",
 }
 
-QUERIES = {f.__name__: f for f in (policy_decide, policy_governing, policy_owners, membership_closure, policy_violations, policy_tiers, universe_boundary, balanced_sample, non_degenerate, name_rotation, cap_per_group, dedup_keep_first, context_values, renamed_rules, decisive_rules, rule_conflicts, drawn_policies)}
+QUERIES = {f.__name__: f for f in (policy_decide, policy_governing, policy_owners, membership_closure, policy_violations, policy_tiers, universe_boundary, balanced_sample, non_degenerate, name_rotation, cap_per_group, dedup_keep_first, context_values, renamed_rules, decisive_rules, rule_conflicts, drawn_policies, whole_policies)}
