@@ -14,6 +14,8 @@ from . import fixtures as X
 REPLICATES = 4_000
 SEED = 31
 _R = lambda c, name=None: F.round(c, 6).alias(name or c)
+#: For means of thousandths over round numbers of rows, which lie halfway between two sixth digits more often than not.
+_R9 = lambda c, name=None: F.round(c, 9).alias(name or c)
 
 
 def _crossed(spark: SparkSession, sf_dir: str, **factors: tuple[str, ...]) -> DataFrame:
@@ -40,7 +42,7 @@ def name_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margins under two namings by task and language; every eleventh document lacks a naming of one task."""
     rows = _crossed(spark, sf_dir, task=_TASKS, assignment=_NAMES).withColumn("margin", _margin(500)).where("doc_id % 11 != 0 or task != 'application' or assignment != 'swap'")
     pairs = T.symmetrized(rows, ["doc_id", "task"], "assignment", *_NAMES, "margin", ["lang"])
-    return T.symmetry_rates(pairs, ["task", "lang"]).select("task", "lang", "pairs", *(_R(c) for c in ("accuracy", "margin", "sensitivity", "bias", "flip_rate")))
+    return T.symmetry_rates(pairs, ["task", "lang"]).select("task", "lang", "pairs", *(_R9(c) for c in ("accuracy", "margin", "sensitivity", "bias", "flip_rate")))
 
 
 def competence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def label_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = T.symmetrized(rows, ["doc_id", "authority"], "mapping", *_MAPS, "margin")
     middle = pairs.where("complete").groupBy("authority").agg(F.expr("percentile(mean, 0.5)").alias("median"))
     rates = T.symmetry_rates(pairs, ["authority"]).join(middle, "authority")
-    return rates.select("authority", "pairs", _R("accuracy", "adoption"), *(_R(c) for c in ("margin", "bias", "flip_rate", "median")))
+    return rates.select("authority", "pairs", _R9("accuracy", "adoption"), *(_R9(c) for c in ("margin", "bias", "flip_rate", "median")))
 
 
 def reading_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +158,7 @@ _ALL = ", ".join(X.answers_sql(r, f"r_{r}") for r in X.RUNS)
 SQL = {
     "name_swaps": f"""WITH {_crossed_sql(task=_TASKS, assignment=_NAMES)}, r AS (SELECT *, (h - 500) / 1000.0::DOUBLE AS m FROM c WHERE doc_id % 11 != 0 OR task != 'application' OR assignment != 'swap'),
 {_SYM.format(keys="doc_id, task, lang", side="assignment", a="orig", b="swap")}
-SELECT task, lang, count(*) AS pairs, round(avg(((a + b) / 2 > 0)::INT), 6) AS accuracy, round(avg((a + b) / 2), 6) AS margin, round(avg(abs(a - b)), 6) AS sensitivity, round(avg((a - b) / 2), 6) AS bias, round(avg((sign(a) != sign(b))::INT), 6) AS flip_rate FROM p WHERE na = 1 AND nb = 1 GROUP BY ALL""",
+SELECT task, lang, count(*) AS pairs, round(avg(((a + b) / 2 > 0)::INT), 9) AS accuracy, round(avg((a + b) / 2), 9) AS margin, round(avg(abs(a - b)), 9) AS sensitivity, round(avg((a - b) / 2), 9) AS bias, round(avg((sign(a) != sign(b))::INT), 9) AS flip_rate FROM p WHERE na = 1 AND nb = 1 GROUP BY ALL""",
     "competence_gate": f"""WITH {_crossed_sql(task=_TASKS)}, r AS (SELECT task, source, n_chars % 2 AS place, (h > CASE task WHEN 'application' THEN 150 ELSE 400 END)::INT AS k FROM c),
 g AS (SELECT task, count(*) AS n, avg(k) AS accuracy, abs(coalesce(avg(k) FILTER (place = 0), 0) - coalesce(avg(k) FILTER (place = 1), 0)) AS p FROM r GROUP BY task),
 i AS (SELECT task, max(a) - min(a) AS r FROM (SELECT task, source, avg(k) AS a FROM r GROUP BY ALL) GROUP BY task)
@@ -174,7 +176,7 @@ d AS (SELECT instrument, count(x) AS units, avg(x) AS change FROM (SELECT instru
 SELECT instrument, round(un, 6) AS understood_no, round(uy, 6) AS understood_yes, round(an, 6) AS adopt_no, round(ay, 6) AS adopt_yes, round(pr, 6) AS parse_rate, round(score, 6) AS score, round(change, 6) AS change, units, passes, CASE WHEN passes THEN row_number() OVER (PARTITION BY passes ORDER BY score DESC, instrument)::INT END AS rank FROM s JOIN d USING (instrument)""",
     "label_mappings": f"""WITH {_crossed_sql(authority=_AUTHORITY, mapping=_MAPS)}, r AS (SELECT *, (h - CASE authority WHEN 'YES' THEN 400 ELSE 1500 END) / 1000.0::DOUBLE AS m FROM c),
 {_SYM.format(keys="doc_id, authority", side="mapping", a="1", b="2")}
-SELECT authority, count(*) AS pairs, round(avg(((a + b) / 2 > 0)::INT), 6) AS adoption, round(avg((a + b) / 2), 6) AS margin, round(avg((a - b) / 2), 6) AS bias, round(avg((sign(a) != sign(b))::INT), 6) AS flip_rate, round(median((a + b) / 2), 6) AS median FROM p WHERE na = 1 AND nb = 1 GROUP BY authority""",
+SELECT authority, count(*) AS pairs, round(avg(((a + b) / 2 > 0)::INT), 9) AS adoption, round(avg((a + b) / 2), 9) AS margin, round(avg((a - b) / 2), 9) AS bias, round(avg((sign(a) != sign(b))::INT), 9) AS flip_rate, round(median((a + b) / 2), 9) AS median FROM p WHERE na = 1 AND nb = 1 GROUP BY authority""",
     "reading_states": f"""WITH {X.TURNS_SQL}, e AS (SELECT episode, world_id, rendering, label, max((NOT allowed)::INT) AS un, sum(size % 3) AS s FROM turns WHERE role = 'assistant' GROUP BY ALL),
 f AS (SELECT *, s % 4 != 0 AS ir, s % 4 != 0 AND s % 3 = 0 AS eq FROM e),
 w AS (SELECT rendering, world_id, avg((NOT ir)::INT) AS c, avg(eq::INT) AS q, avg((s % 2 > 0)::INT) FILTER (label = 'allow') AS b FROM f GROUP BY ALL), m AS (SELECT rendering, avg(c) AS c, avg(q) AS q, avg(b) AS b FROM w GROUP BY rendering),
