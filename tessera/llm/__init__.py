@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import decontaminate, langid, line_dedup, media_tiff, near_dedup, packing, sharding, substring_dedup, url_filter, warc
+    from . import collocations, decontaminate, exact_dedup, langid, line_dedup, media_tiff, near_dedup, packing, sharding, substring_dedup, token_alignment, url_filter, warc
 
     found = (
         substring_dedup.op1_substring_dedup,
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         warc.op8_warc,
         near_dedup.op9_bagminhash_near_dedup,
         decontaminate.op10_benchmark_decontamination,
+        collocations.op11_phrase_collocations,
+        exact_dedup.op12_tree_exact_dedup,
+        token_alignment.op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 

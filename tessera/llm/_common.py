@@ -48,6 +48,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
@@ -132,6 +140,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return codes, rows
 
 
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit codes, never 0, of the given spans of bytes. Spans that share a code under one seed are apart under another, but for a chance of about 2**-60."""
+    values = mix64(np.arange(1, 257, dtype=U64) * U64(_BASE) + U64(seed * 0xD6E8FEB86659FD93 % (1 << 64)))
+    up, down = _power_tables(len(data))
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(values[data] * up[: len(data)], out=total[1:])
+    codes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    return np.where(codes == 0, U64(1), codes)
+
+
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """Codes of every k consecutive words; entries that cross into another row are for the caller to mask."""
     n = len(codes) - k + 1

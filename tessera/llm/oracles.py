@@ -102,4 +102,35 @@ kept AS (
 SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(d.ls), 0) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.t, '')) END AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op11_phrase_collocations": r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS id, lang, w FROM (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents))),
+total AS (SELECT lang, sum(len(w)) AS n FROM piece GROUP BY lang),
+f AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS f FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+cand AS (SELECT lang, k AS m, g, f AS a FROM f WHERE k > 1 AND f >= 30),
+cut AS (
+  SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, c.k) JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, c.k + 1, c.m)),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+inner_ AS (
+  SELECT lang, list_slice(g, i, i + k - 1) AS g, max(a) AS over FROM (
+    SELECT lang, g, a, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM cand)) GROUP BY ALL),
+kept AS (
+  SELECT w.lang, array_to_string(w.g, ' ') AS phrase, w.a, w.l, w.r, w.score FROM worst w LEFT JOIN inner_ i ON w.lang = i.lang AND w.g = i.g
+  WHERE i.over IS NULL OR 100::HUGEINT * i.over < 80::HUGEINT * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, r.score
+FROM ranked r JOIN total t ON r.lang = t.lang WHERE r.rank <= 2000""",
+    "op12_tree_exact_dedup": """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d""",
 }
