@@ -19,21 +19,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(docs)
     if model is None:
         return docs
-    return langid.identify(docs, model, ("_lang_pred", "_score", "_rejected")).where("not _rejected").select(*docs.columns)
+    names = tuple(C.fresh(docs, c) for c in ("lang_pred", "score", "rejected"))
+    return langid.identify(docs, model, names).where(~F.col(names[2])).select(*C.columns(docs))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of line runs; a document that loses every line it had is gone. n_chars follows the text."""
-    cut = line_dedup.dedup_lines(docs, names=("_n_lines", "_n_removed", "_removed")).where("text is null or _n_removed = 0 or text != ''")
+    names = tuple(C.fresh(docs, c) for c in ("n_lines", "n_removed", "removed"))
+    gone = F.col(names[1])
+    cut = line_dedup.dedup_lines(docs, names=names).where(F.col("text").isNull() | (gone == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(gone > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.select(*C.columns(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each near-duplicate class."""
-    return near_dedup.keep_one(docs).select(*docs.columns)
+    return near_dedup.keep_one(docs).select(*C.columns(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +57,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever is in their names."""
+    return [_named(c) for c in df.columns]
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, *own: str) -> DataFrame:
+    """(own.., carried): the columns that an operator works with, and all others in one struct, where their names meet none of the operator's."""
+    others = [_named(c) for c in df.columns if c not in own]
+    return df.select(*own, F.struct(*others or [F.lit(True).alias("none")]).alias("carried"))
+
+
+def restored(df: DataFrame, names: list[str], *own: str) -> list[Column]:
+    """The columns of these names and in this order, of a table that came from `carried`."""
+    return [F.col(c) if c in own else F.col("carried").getField(c).alias(c) for c in names]
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 

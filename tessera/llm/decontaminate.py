@@ -8,7 +8,7 @@ in one join on (doc_id, a hash of the text), so a text is moved once; which item
 
 Defined cases: null or empty texts have no words and are never contaminated; items without words are ignored; an item without an
 item_id contaminates but is not listed. Rows without a doc_id and repeated rows are judged by their text like all others.
-An empty benchmark leaves all documents clean. Extra columns are ignored by `contamination`, kept by `decontaminate`.
+An empty benchmark leaves all documents clean. Extra columns, of whatever name, are ignored by `contamination` and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -88,15 +88,16 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, remove: str = "documents") -> DataFrame:
     """docs without contaminated rows (remove='documents'), or with the hit words and the gaps after them cut out (remove='spans')."""
-    found = _judged(docs, windows_of(items, n))
+    own = ("doc_id", "text")
+    found = _judged(C.carried(docs, *own), windows_of(items, n))
     if remove == "documents":
-        return found.where(F.size("_places") == 0).select(*docs.columns)
+        return found.where(F.size("_places") == 0).select(*C.restored(found, docs.columns, *own))
     gaps = F.split("text", _LETTERS_ANY_CASE)
     kept = F.array_remove(F.split("text", _GAP_ANY_CASE), "")
     rest = F.array_except(F.when(F.size(kept) > 0, F.sequence(F.lit(1), F.size(kept))).otherwise(F.array().cast("array<int>")), "_places")
     pieces = F.transform(rest, lambda i: F.concat(F.get(kept, i - 1), F.coalesce(F.get(gaps, i), F.lit(""))))
     cut = F.concat(F.coalesce(F.get(gaps, F.lit(0)), F.lit("")), F.array_join(pieces, ""))
-    return found.withColumn("text", F.when(F.size("_places") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("_places") > 0, cut).otherwise(F.col("text"))).select(*C.restored(found, docs.columns, *own))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", fan_bits: int = FAN_BIT
     numbered = C.written(docs.withColumn(row, F.monotonically_increasing_id()))
     runs = digest_runs(numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text"))
     gone = _answered(runs, keep, fan_bits).where("not kept").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return numbered.join(gone, row, "left_anti").select(*C.columns(docs))
 
 
 def op12_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

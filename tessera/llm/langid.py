@@ -194,7 +194,8 @@ def _trained(batches):
 
 def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """docs with the predicted language, its score (calibrated probability) and whether it is rejected. Columns of docs of these names are replaced."""
-    kept = docs.drop(*names)
+    columns = [c for c in docs.columns if c not in names]
+    kept = C.carried(docs.drop(*names), "text")
 
     def run(batches):
         for batch in batches:
@@ -211,7 +212,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], names=[*batch.schema.names, *names])
 
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
-    return kept.mapInArrow(run, schema)
+    done = kept.mapInArrow(run, schema)
+    return done.select(*C.restored(done, columns, "text"), *names)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

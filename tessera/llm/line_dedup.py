@@ -172,7 +172,8 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_removed", "removed")) -> DataFrame:
     """docs with text cut, how many lines it had, how many are gone, and which (runs of start, n lines, as far as they go). Columns of docs of these names are replaced."""
-    kept = docs.drop(*names)
+    columns = [c for c in docs.columns if c not in names]
+    kept = C.carried(docs.drop(*names), "doc_id", "text")
     runs = repeated_lines(docs, min_lines, min_words).groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash")).agg(F.collect_set(F.struct("pos", "n")).alias("_runs"))
     both = kept.join(runs, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_text_hash")), "left").drop("_doc", "_text_hash")
     schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])))])
@@ -203,7 +204,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
             span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, span)], names=[*own, *names])
 
-    return both.mapInArrow(cut, schema)
+    done = both.mapInArrow(cut, schema)
+    return done.select(*C.restored(done, columns, "doc_id", "text"), *names)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
