@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import metrics as M
 
-#: Fixed values of the instrument gate: no source followed without authority, followed with it, both understood, answers readable.
+#: Fixed values of the instrument gate: no source followed without a grant, followed with it, both understood, answers readable.
 INSTRUMENT_LIMITS = {"adopt_no": 0.10, "adopt_yes": 0.90, "understood": 0.90, "parsed": 0.98}
 
 
@@ -78,12 +78,12 @@ def arm_comparison(rows: DataFrame, by: list[str], first: str, second: str) -> D
 
 
 def instrument_rates(rows: DataFrame) -> DataFrame:
-    """Per instrument: understood and adopted without (no) and with (yes) authority, the share of readable answers, and a score.
+    """Per instrument: understood and adopted without (no) and with (yes) a grant, the share of readable answers, and a score.
 
-    rows: instrument, authority (NO, YES), understood, adopted (null: not asked), parsed. The score is the least of understanding on either
-    side, adoption with authority and no adoption without; what was never asked counts as 0.
+    rows: instrument, granted (NO, YES), understood, adopted (null: not asked), parsed. The score is the least of understanding on either
+    side, adoption with a grant and no adoption without; what was never asked counts as 0.
     """
-    rate = lambda c, who: F.avg(F.when(F.col("authority") == who, F.col(c).cast("double")))
+    rate = lambda c, who: F.avg(F.when(F.col("granted") == who, F.col(c).cast("double")))
     one = rows.groupBy("instrument").agg(rate("understood", "NO").alias("understood_no"), rate("understood", "YES").alias("understood_yes"), rate("adopted", "NO").alias("adopt_no"), rate("adopted", "YES").alias("adopt_yes"), F.avg(F.col("parsed").cast("double")).alias("parse_rate"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return one.withColumn("score", F.least(zero("understood_yes"), zero("understood_no"), zero("adopt_yes"), 1 - zero("adopt_no")))
@@ -99,8 +99,8 @@ def select_instrument(rates: DataFrame, eligible: list[str], limits: dict[str, f
 
 
 def responsiveness(rows: DataFrame, by: list[str], unit: str) -> DataFrame:
-    """(by.., units, change): adoption with authority less adoption without, within units that have both."""
-    side = lambda who: F.avg(F.when(F.col("authority") == who, F.col("adopted").cast("double")))
+    """(by.., units, change): adoption with a grant less adoption without, within units that have both."""
+    side = lambda who: F.avg(F.when(F.col("granted") == who, F.col("adopted").cast("double")))
     each = rows.groupBy(*by, unit).agg((side("YES") - side("NO")).alias("d"))
     return each.groupBy(*by).agg(F.count("d").alias("units"), F.avg("d").alias("change"))
 

@@ -13,7 +13,7 @@ from ..schemas import RENDERINGS, RULES, any_scope, attr, eq_scope, in_scope, in
 
 #: Salts of the stand-in runs: a baseline, an arm, and readings of the rules.
 RUNS = {"base": 0, "arm": 17, "reading": 41}
-#: Turns of the assistant after which an episode ends, as in the reference's runs.
+#: Turns of the assistant after which an episode ends.
 STEPS = 4
 
 

@@ -34,7 +34,7 @@ def _crossed_sql(**factors: tuple[str, ...]) -> str:
     return f"c AS (SELECT doc_id, source, lang, n_chars, {', '.join(factors)}, ((doc_id % 100003) * 7919 + n_chars * 31{terms}) % 2001 AS h FROM documents{tables})"
 
 
-_TASKS, _NAMES, _AUTHORITY, _MAPS, _INSTRUMENTS = ("application", "interpretation"), ("orig", "swap"), ("NO", "YES"), ("1", "2"), ("A", "B", "C")
+_TASKS, _NAMES, _GRANTED, _MAPS, _INSTRUMENTS = ("application", "interpretation"), ("orig", "swap"), ("NO", "YES"), ("1", "2"), ("A", "B", "C")
 _margin = lambda shift: (F.col("h") - shift) / 1000
 
 
@@ -61,10 +61,10 @@ def arm_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _crossed(spark, sf_dir, instrument=_INSTRUMENTS, authority=_AUTHORITY).withColumn("p", F.col("h") % 100)
+    rows = _crossed(spark, sf_dir, instrument=_INSTRUMENTS, granted=_GRANTED).withColumn("p", F.col("h") % 100)
     by = lambda a, b, c: F.when(F.col("instrument") == "A", a).when(F.col("instrument") == "B", b).otherwise(c)
-    adopted = F.when(F.col("authority") == "YES", F.col("p") >= by(3, 4, 30)).otherwise(F.col("p") < by(4, 5, 12))
-    return rows.select("doc_id", "instrument", "authority", F.when(F.col("n_chars") % 7 != 0, F.col("p") >= by(6, 2, 5)).alias("understood"), F.when(F.col("n_chars") % 5 != 0, adopted).alias("adopted"), (F.col("p") != 50).alias("parsed"))
+    adopted = F.when(F.col("granted") == "YES", F.col("p") >= by(3, 4, 30)).otherwise(F.col("p") < by(4, 5, 12))
+    return rows.select("doc_id", "instrument", "granted", F.when(F.col("n_chars") % 7 != 0, F.col("p") >= by(6, 2, 5)).alias("understood"), F.when(F.col("n_chars") % 5 != 0, adopted).alias("adopted"), (F.col("p") != 50).alias("parsed"))
 
 
 def instrument_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +75,12 @@ def instrument_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Margins under two mappings of labels, by authority: means, half differences, flips, and the middle one."""
-    rows = _crossed(spark, sf_dir, authority=_AUTHORITY, mapping=_MAPS).withColumn("margin", _margin(F.when(F.col("authority") == "YES", 400).otherwise(1500)))
-    pairs = T.symmetrized(rows, ["doc_id", "authority"], "mapping", *_MAPS, "margin")
-    middle = pairs.where("complete").groupBy("authority").agg(F.expr("percentile(mean, 0.5)").alias("median"))
-    rates = T.symmetry_rates(pairs, ["authority"]).join(middle, "authority")
-    return rates.select("authority", "pairs", _R9("accuracy", "adoption"), *(_R9(c) for c in ("margin", "bias", "flip_rate", "median")))
+    """Margins under two mappings of labels, by grant: means, half differences, flips, and the middle one."""
+    rows = _crossed(spark, sf_dir, granted=_GRANTED, mapping=_MAPS).withColumn("margin", _margin(F.when(F.col("granted") == "YES", 400).otherwise(1500)))
+    pairs = T.symmetrized(rows, ["doc_id", "granted"], "mapping", *_MAPS, "margin")
+    middle = pairs.where("complete").groupBy("granted").agg(F.expr("percentile(mean, 0.5)").alias("median"))
+    rates = T.symmetry_rates(pairs, ["granted"]).join(middle, "granted")
+    return rates.select("granted", "pairs", _R9("accuracy", "adoption"), *(_R9(c) for c in ("margin", "bias", "flip_rate", "median")))
 
 
 def reading_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,15 +168,15 @@ q AS (SELECT instance % 3 AS stage, arm, world_id, instance, assignment, count(*
 w AS (SELECT stage, arm, world_id, sum(k) / sum(n) AS a, sum(m) / sum(n) AS m, avg(d) AS d FROM q GROUP BY ALL),
 p AS (SELECT x.stage, x.a AS a1, y.a AS a2, x.m AS m1, y.m AS m2, x.d AS d1, y.d AS d2 FROM w x JOIN w y ON x.stage = y.stage AND x.world_id IS NOT DISTINCT FROM y.world_id AND x.arm = 1 AND y.arm = 2)
 SELECT stage, round(avg(a1), 6) AS accuracy_1, round(avg(a2), 6) AS accuracy_2, round(avg(m1), 6) AS margin_1, round(avg(m2), 6) AS margin_2, round(avg(d1), 6) AS disagreement_1, round(avg(d2), 6) AS disagreement_2, count(*) AS shared, round(avg(a2 - a1), 6) AS change_accuracy, round(avg(m2 - m1), 6) AS change_margin FROM p GROUP BY stage""",
-    "instrument_gate": f"""WITH {_crossed_sql(instrument=_INSTRUMENTS, authority=_AUTHORITY)}, l AS (SELECT * FROM (VALUES ('A', 6, 3, 4), ('B', 2, 4, 5), ('C', 5, 30, 12)) v(instrument, u, y, x)),
-r AS (SELECT doc_id, instrument, authority, CASE WHEN n_chars % 7 != 0 THEN (h % 100 >= u)::INT END AS understood, CASE WHEN n_chars % 5 != 0 THEN CASE authority WHEN 'YES' THEN (h % 100 >= y)::INT ELSE (h % 100 < x)::INT END END AS adopted, (h % 100 != 50)::INT AS parsed FROM c JOIN l USING (instrument)),
-t AS (SELECT instrument, avg(understood) FILTER (authority = 'NO') AS un, avg(understood) FILTER (authority = 'YES') AS uy, avg(adopted) FILTER (authority = 'NO') AS an, avg(adopted) FILTER (authority = 'YES') AS ay, avg(parsed) AS pr FROM r GROUP BY instrument),
+    "instrument_gate": f"""WITH {_crossed_sql(instrument=_INSTRUMENTS, granted=_GRANTED)}, l AS (SELECT * FROM (VALUES ('A', 6, 3, 4), ('B', 2, 4, 5), ('C', 5, 30, 12)) v(instrument, u, y, x)),
+r AS (SELECT doc_id, instrument, granted, CASE WHEN n_chars % 7 != 0 THEN (h % 100 >= u)::INT END AS understood, CASE WHEN n_chars % 5 != 0 THEN CASE granted WHEN 'YES' THEN (h % 100 >= y)::INT ELSE (h % 100 < x)::INT END END AS adopted, (h % 100 != 50)::INT AS parsed FROM c JOIN l USING (instrument)),
+t AS (SELECT instrument, avg(understood) FILTER (granted = 'NO') AS un, avg(understood) FILTER (granted = 'YES') AS uy, avg(adopted) FILTER (granted = 'NO') AS an, avg(adopted) FILTER (granted = 'YES') AS ay, avg(parsed) AS pr FROM r GROUP BY instrument),
 s AS (SELECT *, least(coalesce(uy, 0), coalesce(un, 0), coalesce(ay, 0), 1 - coalesce(an, 0)) AS score, coalesce(an <= 0.1 AND ay >= 0.9 AND un >= 0.9 AND uy >= 0.9 AND pr >= 0.98, false) AS passes FROM t),
-d AS (SELECT instrument, count(x) AS units, avg(x) AS change FROM (SELECT instrument, doc_id, avg(adopted) FILTER (authority = 'YES') - avg(adopted) FILTER (authority = 'NO') AS x FROM r GROUP BY ALL) GROUP BY instrument)
+d AS (SELECT instrument, count(x) AS units, avg(x) AS change FROM (SELECT instrument, doc_id, avg(adopted) FILTER (granted = 'YES') - avg(adopted) FILTER (granted = 'NO') AS x FROM r GROUP BY ALL) GROUP BY instrument)
 SELECT instrument, round(un, 6) AS understood_no, round(uy, 6) AS understood_yes, round(an, 6) AS adopt_no, round(ay, 6) AS adopt_yes, round(pr, 6) AS parse_rate, round(score, 6) AS score, round(change, 6) AS change, units, passes, CASE WHEN passes THEN row_number() OVER (PARTITION BY passes ORDER BY score DESC, instrument)::INT END AS rank FROM s JOIN d USING (instrument)""",
-    "label_mappings": f"""WITH {_crossed_sql(authority=_AUTHORITY, mapping=_MAPS)}, r AS (SELECT *, (h - CASE authority WHEN 'YES' THEN 400 ELSE 1500 END) / 1000.0::DOUBLE AS m FROM c),
-{_SYM.format(keys="doc_id, authority", side="mapping", a="1", b="2")}
-SELECT authority, count(*) AS pairs, round(avg(((a + b) / 2 > 0)::INT), 9) AS adoption, round(avg((a + b) / 2), 9) AS margin, round(avg((a - b) / 2), 9) AS bias, round(avg((sign(a) != sign(b))::INT), 9) AS flip_rate, round(median((a + b) / 2), 9) AS median FROM p WHERE na = 1 AND nb = 1 GROUP BY authority""",
+    "label_mappings": f"""WITH {_crossed_sql(granted=_GRANTED, mapping=_MAPS)}, r AS (SELECT *, (h - CASE granted WHEN 'YES' THEN 400 ELSE 1500 END) / 1000.0::DOUBLE AS m FROM c),
+{_SYM.format(keys="doc_id, granted", side="mapping", a="1", b="2")}
+SELECT granted, count(*) AS pairs, round(avg(((a + b) / 2 > 0)::INT), 9) AS adoption, round(avg((a + b) / 2), 9) AS margin, round(avg((a - b) / 2), 9) AS bias, round(avg((sign(a) != sign(b))::INT), 9) AS flip_rate, round(median((a + b) / 2), 9) AS median FROM p WHERE na = 1 AND nb = 1 GROUP BY granted""",
     "reading_states": f"""WITH {X.TURNS_SQL}, e AS (SELECT episode, world_id, rendering, label, max((NOT allowed)::INT) AS un, sum(size % 3) AS s FROM turns WHERE role = 'assistant' GROUP BY ALL),
 f AS (SELECT *, s % 4 != 0 AS ir, s % 4 != 0 AND s % 3 = 0 AS eq FROM e),
 w AS (SELECT rendering, world_id, avg((NOT ir)::INT) AS c, avg(eq::INT) AS q, avg((s % 2 > 0)::INT) FILTER (label = 'allow') AS b FROM f GROUP BY ALL), m AS (SELECT rendering, avg(c) AS c, avg(q) AS q, avg(b) AS b FROM w GROUP BY rendering),

@@ -40,7 +40,7 @@ def test_resources_that_are_no_strings_and_shadowed_tools(spark):
 
 def test_instruments_are_ranked_among_those_that_pass(spark):
     rows = [(i, a, u, d, True) for i, ok in (("B", True), ("A", True), ("C", False)) for a, u, d in (("NO", True, False), ("YES", True, ok))]
-    got = {r["instrument"]: (r["passes"], r["rank"], r["score"]) for r in T.select_instrument(T.instrument_rates(spark.createDataFrame(rows, "instrument string, authority string, understood boolean, adopted boolean, parsed boolean")), ["A", "B", "C"]).collect()}
+    got = {r["instrument"]: (r["passes"], r["rank"], r["score"]) for r in T.select_instrument(T.instrument_rates(spark.createDataFrame(rows, "instrument string, granted string, understood boolean, adopted boolean, parsed boolean")), ["A", "B", "C"]).collect()}
     assert got == {"A": (True, 1, 1.0), "B": (True, 2, 1.0), "C": (False, None, 0.0)}
 
 

@@ -112,37 +112,3 @@ def test_closure_has_no_depth_limit(spark):
     pairs = [tuple(r) for r in got.collect()]
     want = {("p", f"k{i}", f"k{j}") for i in range(n) for j in range(i + 1, n + 1)} | {("q", f"c{i}", f"c{j}") for i in range(n) for j in range(n)}
     assert len(pairs) == len(want) and set(pairs) == want
-
-
-def _speech(stems, n, seed, first=0):
-    r = random.Random(seed)
-    return [(first + i, " ".join(r.choice(stems) + r.choice(stems) for _ in range(r.randint(5, 60)))) for i in range(n)]
-
-
-def test_two_languages_can_reject_a_third(spark):
-    langid = pytest.importorskip("tessera.llm.langid")
-    known = {"aa": ["baka", "doko", "mana", "naka"], "bb": ["stri", "chten", "pfeil", "und"]}
-    rows = [(*r, k) for i, (k, stems) in enumerate(known.items()) for r in _speech(stems, 600, i, 1000 * i)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.fit(docs)
-    other = spark.createDataFrame(_speech(["ció", "que", "ente", "los"], 200, 9), "doc_id long, text string")
-    assert langid.identify(other, model).where("rejected").count() > 150
-    clean = langid.identify(docs.where("crc32(cast(doc_id as string)) % 4 = 2"), model)
-    assert clean.where("rejected").count() <= 0.02 * clean.count()
-
-
-def test_a_rare_language_is_in_the_sample(spark):
-    langid = pytest.importorskip("tessera.llm.langid")
-    docs = spark.range(60_000).selectExpr("id as doc_id", "'x' as text", "case when id % 6000 = 7 then 'zz' when id % 3 = 0 then 'bb' else 'aa' end as lang")
-    got = {r["lang"]: r["count"] for r in langid._sample(docs, langid.TRAIN_ROWS).groupBy("lang").count().collect()}
-    assert got["zz"] == 10 and 1000 < got["bb"] < got["aa"] and 2200 < sum(got.values()) <= 3150
-
-
-def test_long_lines_are_told_in_any_script(spark):
-    line_dedup = pytest.importorskip("tessera.llm.line_dedup")
-    words = [f"w{i}" for i in range(10)]
-    long = ["\t".join(words), "\u00a0".join(words), "\u3000".join(words), "数据去重要看整行是否重复而不是只看空格分开的词语所以这里有很长一行", "ข้อความภาษาไทยไม่มีช่องว่างระหว่างคำจึงต้องนับตัวอักษรแทน"]
-    short = ["| a |         | b |", "1          2", "-" * 80, "短い行です", "w0  w1\t\tw2"]
-    rows = [(d, f"own {d}\n{line}\nend {d}") for i, line in enumerate(long + short) for d in (2 * i, 2 * i + 1)]
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {2 * i + k: int(k and i < len(long)) for i in range(len(long + short)) for k in (0, 1)}
