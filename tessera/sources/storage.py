@@ -25,6 +25,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df by way of a table in the shared folder, which cuts its lineage."""
+    path = new_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, bytes, sha256, git_sha1) of every file below a folder. A file is read whole by one task; empty files are left out, as Spark's sources do."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
