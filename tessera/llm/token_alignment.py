@@ -4,8 +4,8 @@ The documents of a batch advance together: a state of two pointers per document,
 them. A step links the two tokens at the pointers (their bytes overlap), moves on whichever ends first, or both where both end, which is a
 cut, and drops finished documents from the state. A batch takes as many steps as its longest document has links.
 
-Encoding goes by distinct words: a text is cut where white space follows another character. No token of either tokenizer spans such a place (checked
-against both vocabularies' pieces when they are loaded), so each such word with the white space before it is encoded once and remembered, up to a bound. Texts with a
+Encoding goes by distinct words: a text is cut where white space follows another character, but for white space that some piece of a vocabulary
+has in such a place. So no token spans a cut, and each word with the white space before it is encoded once and remembered, up to a bound. Texts with a
 character that the two tokenizers' and Python's notions of white space disagree on go to the tokenizers whole.
 
 Each document's distinct id pairs, with how often they are linked, are written once; counting documents per pair, and finding each A id's
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,9 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs of ids whose counts are broadcast: 20 bytes each.
 BROADCAST_PAIRS = 3_000_000
 #: Bytes of text that a task aligns at once; a longer document is taken whole.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 #: Distinct words, and characters of them, that a Python worker remembers with their ids before it starts anew.
 REMEMBERED_WORDS, REMEMBERED_CHARACTERS = 400_000, 16 << 20
-_WORD = re.compile(r"\s*\S+|\s+")
 #: White space to one of the two tokenizers or to Python, but not to all.
 _DISPUTED = re.compile("[\x1c-\x1f\x85᠎​▁]")
 _DOCUMENT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), *((c, pa.list_(pa.int32())) for c in ("a", "b", "times"))])
@@ -67,8 +67,8 @@ class _Side:
                 self.bytes[i] = bytes(byte_of[c] for c in w) if all(c in byte_of for c in w) else w.encode()
             self.encode = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
-        #: No piece goes on from another character into white space, so texts can be cut there.
-        self.splits = not any(re.search(r"\S\s", b.decode("utf-8", "ignore")) for b in self.bytes)
+        #: White space that follows another character within a piece, where texts can't be cut.
+        self.inner = {c for b in self.bytes for c in re.findall(r"\S(\s)", b.decode("utf-8", "ignore"))}
 
 
 class PairedIds:
@@ -76,7 +76,9 @@ class PairedIds:
 
     def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED_WORDS) -> None:
         self.sides = (_Side(path_a), _Side(path_b))
-        self.splits, self.remembered = all(s.splits for s in self.sides), remembered
+        inner = "".join(sorted(self.sides[0].inner | self.sides[1].inner))
+        self.word = re.compile(rf"\s*\S+(?:[{re.escape(inner)}]\s*\S*)*|\s+" if inner else r"\s*\S+|\s+")
+        self.remembered = remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -87,37 +89,44 @@ class PairedIds:
         self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def _learn(self, words: list[str]) -> None:
-        """Words that begin with a space."""
-        joins = [self.splits and not w[-1].isspace() and not _DISPUTED.search(w) for w in words]
-        words = [w for w, j in zip(words, joins) if j] + [w for w, j in zip(words, joins) if not j]
-        right = np.ones(len(words), bool)
-        want = [w.encode() for w in words]
-        for k, side in enumerate(self.sides):
-            found: list[list[int]] = []
-            for at in range(0, sum(joins), 2000):
-                end = min(at + 2000, sum(joins))
-                found += self._told_apart(side, words[at:end], want[at:end])
-            found += self._one_by_one(side, words[sum(joins) :])
-            right &= np.array([b"".join([side.bytes[i] for i in ids]) == w for ids, w in zip(found, want)], bool)
-            self.ids[k] = np.r_[self.ids[k], np.fromiter((i for ids in found for i in ids), np.int32)]
-            self.starts[k] = np.r_[self.starts[k], self.starts[k][-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+        """Words that begin with a space: those that end in white space or hold a disputed character one by one, the others many at once."""
+        alone = [w for w in words if w[-1].isspace() or _DISPUTED.search(w)]
+        if alone:
+            apart = set(alone)
+            words = [w for w in words if w not in apart]
+        learnt = [self._told_apart(words[at : at + 2000]) for at in range(0, len(words), 2000)] + [self._one_by_one(alone)]
+        words += alone
         self.place.update(zip(words, range(len(self.right), len(self.right) + len(words))))
         self.characters += sum(map(len, words))
-        self.right = np.r_[self.right, right]
-
-    def _told_apart(self, side: _Side, words: list[str], want: list[bytes]) -> list[list[int]]:
-        """Ids of each word from those of all in one string, told apart by their bytes."""
-        ids = side.encode(["".join(words)])[0]
-        ends, bounds = np.cumsum(side.sizes[ids]), np.cumsum([len(w) for w in want])
-        last = np.searchsorted(ends, bounds)
-        if len(ends) and ends[-1] == bounds[-1] and (ends[last] == bounds).all():
-            return [ids[a:b] for a, b in zip([0, *(last[:-1] + 1).tolist()], (last + 1).tolist())]
-        return self._one_by_one(side, words)
-
-    @staticmethod
-    def _one_by_one(side: _Side, words: list[str]) -> list[list[int]]:
-        # A lone space after a word is what is left of " a " without its first token.
-        return [side.encode([w])[0] if w != " " else side.encode([" a "])[0][-1:] for w in words]
+        self.right = np.concatenate([self.right, *(right for right, _, _ in learnt)])
+        for k in (0, 1):
+            self.ids[k] = np.concatenate([self.ids[k], *(ids[k] for _, ids, _ in learnt)])
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(np.concatenate([counts[k] for _, _, counts in learnt]))])
+
+    def _told_apart(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(whether each word is rendered by both, ids, how many of each word) from the ids of all words in one string, told apart by their bytes."""
+        whole = "".join(words)
+        want, bounds = whole.encode(), np.cumsum([len(w.encode()) for w in words])
+        ids, counts = [], []
+        for side in self.sides:
+            own = side.encode([whole])[0]
+            ends = np.cumsum(side.sizes[own])
+            last = np.searchsorted(ends, bounds)
+            if not len(ends) or ends[-1] != bounds[-1] or (ends[last] != bounds).any() or b"".join(map(side.bytes.__getitem__, own)) != want:
+                return self._one_by_one(words)
+            ids.append(np.array(own, np.int32))
+            counts.append(np.diff(last, prepend=-1))
+        return np.ones(len(words), bool), ids, counts
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        right, ids, counts = np.ones(len(words), bool), [], []
+        for side in self.sides:
+            # A lone space after a word is what is left of " a " without its first token.
+            found = [side.encode([w])[0] if w != " " else side.encode([" a "])[0][-1:] for w in words]
+            right &= np.array([b"".join(map(side.bytes.__getitem__, own)) == w.encode() for own, w in zip(found, words)], bool)
+            ids.append(np.array([i for own in found for i in own], np.int32))
+            counts.append(np.array([len(own) for own in found], np.int64))
+        return right, ids, counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
         """(whether each text is rendered by both, ids of both sides end to end, bounds of each text's ids on both sides)."""
@@ -128,7 +137,7 @@ class PairedIds:
                 counts.append(0)
                 continue
             t = f" {t}"
-            own = _WORD.findall(t) if self.splits and not _DISPUTED.search(t) else [t]
+            own = self.word.findall(t) if not _DISPUTED.search(t) else [t]
             words += own
             counts.append(len(own))
         if len(self.place) > self.remembered or self.characters > REMEMBERED_CHARACTERS:
@@ -186,31 +195,36 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bound
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _digits(n: int) -> np.ndarray:
-    """A row of bytes for each number below n: its decimal digits, from the left, with zeros behind and room for a separator."""
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bytes for each number below n, its decimal digits from the left with room for a separator behind, and how many digits."""
     wide = len(str(max(1, n - 1)))
+    numbers = np.arange(n)
+    sizes = np.searchsorted(10 ** np.arange(1, wide + 1), numbers, "right") + 1
     table = np.zeros((n, wide + 1), np.uint8)
-    for i in range(n):
-        s = str(i).encode()
-        table[i, : len(s)] = np.frombuffer(s, np.uint8)
-    return table
+    for k in range(wide):
+        power = np.maximum(sizes - 1 - k, 0)
+        table[:, k] = np.where(k < sizes, 48 + numbers // 10**power % 10, 0)
+    return table, sizes.astype(np.int64)
 
 
-def _groups_text(ids: list[np.ndarray], last: list[np.ndarray], bounds: list[np.ndarray], tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _groups_text(ids: list[np.ndarray], last: list[np.ndarray], bounds: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets by document) of `a1,a2|b1;a3|b2,b3;`: ids of both sides, with flags of the tokens that end a group."""
     group = [np.cumsum(x) - x for x in last]
     before = [np.r_[0, np.cumsum(np.bincount(g, minlength=1))] for g in group]
     place_a = np.arange(len(ids[0])) + before[1][group[0]] if len(ids[0]) else np.zeros(0, np.int64)
     place_b = np.arange(len(ids[1])) + before[0][group[1] + 1] if len(ids[1]) else np.zeros(0, np.int64)
-    width = max(t.shape[1] for t in tables)
-    rows = np.zeros((len(ids[0]) + len(ids[1]), width), np.uint8)
-    for own, ends, place, table, mark in zip(ids, last, (place_a, place_b), tables, b"|;"):
-        text = table[own]
-        text[np.arange(len(own)), (text != 0).sum(1)] = np.where(ends, np.uint8(mark), np.uint8(44))
-        rows[place, : table.shape[1]] = text
-    used = rows != 0
-    sizes = np.r_[0, np.cumsum(used.sum(1))]
-    return rows[used], sizes[bounds[0] + bounds[1]]
+    sizes = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+    for own, place, (_, digits) in zip(ids, (place_a, place_b), tables):
+        sizes[place] = digits[own] + 1
+    starts = np.r_[0, np.cumsum(sizes)]
+    out = np.zeros(int(starts[-1]), np.uint8)
+    for own, ends, place, (table, digits), mark in zip(ids, last, (place_a, place_b), tables, b"|;"):
+        at, size = starts[place], digits[own]
+        for k in range(table.shape[1] - 1):
+            some = np.flatnonzero(size > k) if k else slice(None)
+            out[at[some] + k] = table[own[some], k]
+        out[at + size] = np.where(ends, np.uint8(mark), np.uint8(44))
+    return out, starts[bounds[0] + bounds[1]]
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -221,6 +235,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, batch_bytes: int = BATCH_
         tables = [_digits(len(s.bytes)) for s in encoder.sides]
         radix = len(encoder.sides[1].bytes)
         for batch in batches:
+            # Documents of like length advance together, so that few steps have few documents.
+            batch = batch.take(pc.sort_indices(pc.binary_length(batch.column(2))))
             for first, end, _, _ in C.text_chunks(batch.column(2), batch_bytes):
                 right, ids, bounds = encoder.encode(batch.column(2).slice(first, end - first).to_pylist())
                 ends = []
