@@ -8,7 +8,6 @@ Words travel as 64-bit codes (the hash of their bytes), and a seed is searched f
 their spelling comes back by a join for candidates alone. A window goes no further than a phrase can still be frequent: words and pairs
 of neighbours are counted into 2**`BITS` shared buckets first (fixed size, whatever the corpus), and a window ends before a word or a pair whose
 whole bucket stays below the threshold. That never loses a phrase with f >= threshold; a fuller table of buckets only cuts less.
-Counts of parts are joined to candidates with salt, as many candidates may share a word.
 
 Defined cases: null texts are empty, a null lang counts as `und`; rows without a doc_id and repeated rows count like all others. An empty table
 gives an empty result. Extra columns are ignored. Ties of score are settled by count and by the phrase's UTF-8 bytes, which are unique.
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -30,15 +29,14 @@ LEAST = 30
 TOP = 2000
 #: Buckets that words and pairs are counted into: 2 to this power, of which a bit each is broadcast (8 MB).
 BITS = 26
-#: Parts of candidates are looked up under this many salts.
-SALTS = 16
 _SCALE = 2_000_000
 _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = _SPACE
 _KIND[[*b".,;:!?", *range(10, 14)]] = _BREAK
 _VOCABULARY = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
-_BUCKETS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+#: Buckets travel in blocks of 2 to this power, and are sent on when a task holds so many.
+_BLOCK_BITS, _HELD_BUCKETS = 15, 4_000_000
 
 
 def coded_words(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,21 +106,55 @@ def exact_vocabulary(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def frequent_buckets(docs: DataFrame, seed: int, least: int, bits: int) -> bytes:
-    """A bit for each bucket of words and pairs that counts to `least` or more."""
+    """A bit for each bucket of words and pairs that counts to `least` or more.
+
+    Counts travel by blocks of buckets, as sorted places and counts up to `least`, and meet in dense arrays of one block.
+    """
+    schema = pa.schema([("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+
+    def blocks(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, n = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(bucket, kind="stable")
+        bucket, n = bucket[order], n[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        n = np.minimum(np.add.reduceat(n, first), least).astype(np.uint16)
+        bucket = bucket[first]
+        block, place = bucket >> _BLOCK_BITS, (bucket & (1 << _BLOCK_BITS) - 1).astype(np.uint16)
+        own, at = np.unique(block, return_index=True)
+        parts = list(zip(at.tolist(), [*at[1:].tolist(), len(block)]))
+        return C.batch_of(schema, [own.astype(np.int32), [place[a:b].tobytes() for a, b in parts], [n[a:b].tobytes() for a, b in parts]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for _, names, lang, codes, joined, _, _ in _chunks(batches, seed):
             own, pair = _buckets(codes, lang, names, joined, bits)
-            bucket, n = np.unique(np.r_[own, pair[joined]], return_counts=True)
-            yield C.batch_of(_BUCKETS, [bucket.astype(np.int32), n])
-
-    full = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # Bitmaps of 4 KB each, 2**(bits - 15) of them at most.
-    maps = full.select(F.col("bucket").cast("long").alias("b")).groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("m"))
-    out = bytearray(1 << bits >> 3)
-    for r in maps.toLocalIterator():
-        at = (r["k"] - 1) * 4096
-        out[at : at + 4096] = bytes(r["m"])[: len(out) - at]
+            found.append(np.unique(np.r_[own, pair[joined]], return_counts=True))
+            held += len(found[-1][0])
+            if held > _HELD_BUCKETS:
+                yield blocks(found)
+                found, held = [], 0
+        if held:
+            yield blocks(found)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, places, n in zip(*(c.to_pylist() for c in batch.columns)):
+                own = counts.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.uint16))
+                at = np.frombuffer(places, np.uint16)
+                own[at] = np.minimum(own[at].astype(np.uint32) + np.frombuffer(n, np.uint16), least)
+        flags = [np.packbits(x >= least, bitorder="little").tobytes() for x in counts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(flags, pa.binary())], names=["block", "flags"])
+
+    if not 0 < least < 1 << 16:
+        raise ValueError(f"a threshold of {least} is not within 1 to 65535")
+    kinds = "block int, places binary, counts binary"
+    merged = docs.mapInArrow(count, kinds).repartition(64, "block").mapInArrow(merge, "block int, flags binary")
+    # 2**(bits - 15) rows of 4 KB at most.
+    size = 1 << _BLOCK_BITS >> 3
+    out = bytearray(max(1 << bits >> 3, size))
+    for r in merged.collect():
+        out[r["block"] * size : (r["block"] + 1) * size] = r["flags"]
     return bytes(out)
 
 
@@ -162,24 +194,21 @@ def windows(docs: DataFrame, seed: int, full: bytes, bits: int, order: int) -> D
 
 
 def marginals(top: DataFrame, least: int, order: int) -> DataFrame:
-    """(lang, words, f) of the phrases that occur `least` times or more, as arrays of codes; words is empty for a language as a whole. Written."""
-    columns = [f"w{k}" for k in range(1, order + 1)]
-    summed = top.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-    size = order - F.bit_count("g").cast("int")
-    words = F.slice(F.array(*columns), F.lit(1), size)
-    found = summed.where(size >= 0).select("lang", words.alias("words"), "f").where((F.size("words") == 0) | (F.element_at("words", -1) != 0) & (F.col("f") >= least))
-    return C.written(found)
-
+    """(lang, words, f) of the phrases that occur `least` times or more, as arrays of codes; words is empty for a language as a whole. Written.
 
-def _salts() -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    Whole windows are counted already; what is shorter is their sums by ROLLUP over all columns but the last.
+    """
+    columns = [f"w{k}" for k in range(1, order + 1)]
+    summed = top.rollup("lang", *columns[:-1]).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    size = order - 1 - F.bit_count("g").cast("int")
+    shorter = summed.where((size == 0) | (size > 0) & (F.col("f") >= least)).select("lang", F.slice(F.array(*columns[:-1]), F.lit(1), F.greatest(size, F.lit(0))).alias("words"), "f")
+    whole = top.where(F.col("n") >= least).select("lang", F.array(*columns).alias("words"), F.col("n").alias("f"))
+    return C.written(shorter.unionAll(whole).where((F.size("words") == 0) | (F.element_at("words", -1) != 0)))
 
 
 def _parts_found(asked: DataFrame, phrases: DataFrame) -> DataFrame:
-    """asked (id, lang, words, ..) with f of words. Salted: many may ask for one word."""
-    salted = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    known = phrases.select("lang", "words", "f", F.explode(_salts()).alias("salt"))
-    return salted.join(known, ["lang", "words", "salt"]).drop("salt")
+    """asked (lang, words, ..) with f of words; where many ask for one word, the side that asks is split (adaptive execution), as each phrase stands once on the other."""
+    return asked.join(phrases.select("lang", "words", "f"), ["lang", "words"])
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, order: int = ORDER, bits: int = BITS) -> DataFrame:
@@ -189,25 +218,25 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, order: int
     full = frequent_buckets(texts, seed, least, bits)
     phrases = marginals(windows(texts, seed, full, bits, order), least, order)
     totals = phrases.where(F.size("words") == 0).select("lang", F.col("f").alias("n"))
-    candidates = phrases.where(F.size("words") > 1).select(F.xxhash64("lang", "words").alias("id"), "lang", "words", F.col("f").alias("a"))
+    candidates = phrases.where(F.size("words") > 1).select("lang", "words", F.col("f").alias("a"))
 
-    cut = candidates.select("id", "lang", F.col("words").alias("whole"), "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    cut = candidates.select("lang", F.col("words").alias("whole"), "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     shorter = phrases.where((F.size("words") > 0) & (F.size("words") < order))
     left = _parts_found(cut.select("*", F.slice("whole", F.lit(1), F.col("k")).alias("words")), shorter).withColumnRenamed("f", "l").drop("words")
     rest = F.slice("whole", F.col("k") + 1, F.size("whole") - F.col("k"))
     both = _parts_found(left.select("*", rest.alias("words")), shorter).withColumnRenamed("f", "r").drop("words")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     both = both.withColumn("score", F.expr(f"(cast(a as decimal(20,0)) * {_SCALE}) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
-    worst = both.groupBy("id", "lang", F.col("whole").alias("words"), "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
+    worst = both.groupBy("lang", F.col("whole").alias("words"), "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
 
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.slice("words", i, k))))
     covers = candidates.where(F.size("words") > 2).select("lang", F.col("a").alias("over"), F.explode(inner).alias("words")).groupBy("lang", "words").agg(F.max("over").alias("over"))
     open_ = worst.join(covers, ["lang", "words"], "left").where(F.isnull("over") | (wide("over") * 100 < wide("a") * 80))
 
-    spelled = open_.select("id", "lang", "words", "a", "m", F.posexplode("words").alias("at", "code")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    known = words.where(F.col("n") >= least).select("lang", "code", "word", F.explode(_salts()).alias("salt"))
+    spelled = open_.select("lang", "words", "a", "m", F.posexplode("words").alias("at", "code"))
+    known = words.where(F.col("n") >= least).select("lang", "code", "word")
     by_place = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
-    named = spelled.join(known, ["lang", "code", "salt"]).groupBy("lang", "words", "a", "m").agg(by_place.alias("phrase"))
+    named = spelled.join(known, ["lang", "code"]).groupBy("lang", "words", "a", "m").agg(by_place.alias("phrase"))
     ranked = named.select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     # Within a part of a language first, so that no task ranks a whole language.
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
