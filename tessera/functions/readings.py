@@ -82,15 +82,18 @@ def _entity(v: Column) -> Column:
 
 def _scope(v: Column) -> Column:
     def read(m):
-        found = F.lit(None).cast(SCOPE)
-        for name, (kind, fields) in MATCHES.items():
-            entity = _entity(_get(m, "entity")) if "entity" in fields else F.lit(None).cast(ENTITY)
-            typed = _text(_get(m, "type")) if "type" in fields else F.lit(None).cast("string")
-            whole = _only(m, "match", *fields)
-            for f in fields:
-                whole = whole & (entity if f == "entity" else typed).isNotNull()
-            found = F.when((_text(_get(m, "match")) == name) & whole, F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), typed.alias("type")).cast(SCOPE)).otherwise(found)
-        return found
+        parts = F.struct(_text(_get(m, "match")).alias("match"), _entity(_get(m, "entity")).alias("entity"), _text(_get(m, "type")).alias("type"), F.array_sort(F.map_keys(m)).alias("fields"))
+
+        def judge(x):
+            kind = F.lit(None).cast("string")
+            for name, (own, fields) in MATCHES.items():
+                whole = (x["match"] == name) & (x["fields"] == F.array(*map(F.lit, sorted(("match", *fields)))))
+                for f in fields:
+                    whole = whole & x[f].isNotNull()
+                kind = F.when(whole, own).otherwise(kind)
+            return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), x["entity"].alias("entity"), x["type"].alias("type")).cast(SCOPE))
+
+        return let(parts, judge)
 
     return let(_fields(v), read)
 

@@ -34,10 +34,10 @@ def classes(gold: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]
     gold (policy_id, rules), readings (policy_id, .., rules), rules as arrays; a reading without rules (null) has no pair.
     """
     said = F.sha2(F.concat_ws("\n", "policy_id", F.array_join(normal_form(F.col("rules")), "\n")), 256)
-    named = readings.withColumn("pair", F.when(F.col("rules").isNotNull(), said))
+    named = written(readings.withColumn("pair", F.when(F.col("rules").isNotNull(), said)))
     some = named.where("pair is not null").groupBy("pair", "policy_id").agg(F.any_value("rules").alias("given"))
-    both = some.join(gold.select("policy_id", F.col("rules").alias("gold")), "policy_id")
-    return named, written(both.select("pair", "policy_id", "gold", "given", (normal_form(F.col("gold")) == normal_form(F.col("given"))).alias("exact")))
+    both = some.join(gold.select("policy_id", F.col("rules").alias("gold"), said.alias("whole")), "policy_id")
+    return named, written(both.select("pair", "policy_id", "gold", "given", (F.col("whole") == F.col("pair")).alias("exact")))
 
 
 def rule_problems(pairs: DataFrame, entities: DataFrame, attrs: DataFrame, actions: DataFrame, context: DataFrame) -> DataFrame:
