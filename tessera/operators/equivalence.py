@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.policy_text import normal_form
 from ..schemas import VALUE
 from ..sources.storage import written
@@ -188,11 +189,12 @@ def disagreements(pairs: DataFrame, principals: DataFrame, actions: DataFrame, r
         holds = F.forall(o["tests"], lambda c: F.coalesce(compare(resolve(c["left"], values), c["op"], resolve(c["right"], values)), F.lit(False)))
         return F.when(holds, mask).otherwise(F.transform(mask, lambda w, i: F.when(i == F.floor(o["slot"] / 64), w.bitwiseAND(F.bitwise_not(_bit(o["slot"])))).otherwise(w)))
 
-    cells = cells.withColumn("hit", F.aggregate("open", hit, tested))
-    some = lambda mask: F.exists(both(F.col("hit"), F.col(mask)), lambda x: x != 0)
-    cells = cells.withColumn("want", some("gold_permits") & ~some("gold_forbids")).withColumn("got", some("permits") & ~some("forbids"))
+    some = lambda mask, h: F.exists(both(h, F.col(mask)), lambda x: x != 0)
+    verdict = lambda h: F.struct((some("gold_permits", h) & ~some("gold_forbids", h)).alias("want"), (some("permits", h) & ~some("forbids", h)).alias("got"))
     n = F.col("principal_count") * F.col("action_count") * F.col("resource_count") * F.col("context_count")
-    at = F.struct(*(f"{x}_n" for x in names))
+    # A generator, or each use below would work the verdict out anew.
+    cells = cells.select("pair", n.alias("n"), F.struct(*(f"{x}_n" for x in names)).alias("cell"), F.inline(F.array(let(F.aggregate("open", hit, tested), verdict))))
+    n, at = F.col("n"), F.col("cell")
     counted = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("bigint"))
     over, under = F.col("got") & ~F.col("want"), F.col("want") & ~F.col("got")
     found = cells.groupBy("pair").agg(F.sum(n).alias("requests"), counted(over | under).alias("differ"), counted(over).alias("over"), counted(under).alias("under"), F.min(F.when(over | under, at)).alias("at"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import VALUE
+from ..sources.storage import written
 
 #: Condition operators and the type of what they compare.
 OPERATORS = {
@@ -18,6 +19,7 @@ OPERATORS = {
     "NumericLessThanEquals": "int", "NumericGreaterThan": "int", "NumericGreaterThanEquals": "int", "Bool": "bool",
 }
 NEGATED = ("StringNotEquals", "NumericNotEquals")
+_LAST_KEY = "spark.sql.variant.allowDuplicateKeys"
 
 REQUEST = f"key, action string, resource string, principal struct<type:string,id:string>, context map<string,{VALUE}>"
 
@@ -82,17 +84,41 @@ def _read(op: Column, v: Column) -> Column:
     )
 
 
+def _block_orders(text: Column) -> Column:
+    """For each statement of a document's text, its condition operators and their keys in the order they are written; a key that is written twice stands where it is first."""
+    blocks = "struct<Condition:map<string,map<string,string>>>"
+    many, one = F.from_json(text, f"struct<Statement:array<{blocks}>>")["Statement"], F.from_json(text, f"struct<Statement:{blocks}>")["Statement"]
+    order = lambda s: F.transform(F.map_entries(s["Condition"]), lambda b: F.struct(b["key"].alias("op"), F.map_keys(b["value"]).alias("keys")))
+    return F.when(F.size(many) > 0, F.transform(many, order)).otherwise(F.array(order(one)))
+
+
+def _in_order(wanted: Column, order: Column) -> Column:
+    """Conditions (op, key, values) in the order of (op, keys) lists."""
+    flat = F.flatten(F.transform(order, lambda o: F.transform(o["keys"], lambda k: F.concat_ws("\n", o["op"], k))))
+    placed = F.transform(wanted, lambda c: F.struct(F.array_position(flat, F.concat_ws("\n", c["op"], c["key"])).alias("at"), c.alias("c")))
+    return F.transform(F.array_sort(placed, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["c"])
+
+
 def statements(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, refused, statements): each JSON document's statements, and why it is refused as a whole, null if it is not.
+    """(key, refused, statements): each JSON document's statements, and why it is refused as a whole, null if it is not. Parsed once and written out.
+
+    Conditions keep the order of the text, and of a key that stands twice in an object the last value counts, as JSON readers have it.
 
     Single values and single statements count as lists of one. refused: json, statement, variable, effect, action, resource, principal or
     condition, that of the first statement that is outside the subset.
     """
-    doc = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.try_parse_json(text).alias("v"))
+    spark = documents.sparkSession
+    before = spark.conf.get(_LAST_KEY)
+    # Read when the expression is resolved, so for this one alone.
+    spark.conf.set(_LAST_KEY, "true")
+    try:
+        doc = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.try_parse_json(text).alias("v"), _block_orders(F.col(text)).alias("orders"))
+    finally:
+        spark.conf.set(_LAST_KEY, before)
     doc = doc.withColumn("found", F.try_variant_get("v", "$.Statement", "variant"))
     each = doc.withColumn("ss", F.transform(F.when(F.col("found").isNotNull(), _list(F.col("found"))), lambda s: F.try_variant_get(s, "$", "map<string,variant>")))
 
-    def one(s: Column) -> Column:
+    def one(s: Column, at: Column) -> Column:
         get = lambda name: F.try_element_at(s, F.lit(name))
         has = lambda name: F.coalesce(F.map_contains_key(s, name), F.lit(False))
         acts, things = (_texts(F.coalesce(get(n), get("Not" + n))) for n in ("Action", "Resource"))
@@ -117,15 +143,16 @@ def statements(documents: DataFrame, key: str, text: str) -> DataFrame:
         )
         return F.struct(
             reason.alias("reason"), effect.alias("effect"), has("Action").alias("action_in"), F.transform(acts, lambda g: _glob(g, True)).alias("actions"),
+            acts.alias("action_texts"), things.alias("resource_texts"), (has("Principal") | has("NotPrincipal")).alias("named"),
             has("Resource").alias("resource_in"), F.transform(things, lambda g: _glob(g, False)).alias("resources"),
             F.when(has("NotPrincipal"), "none of").when(has("Principal") & ~everyone, "one of").otherwise("all").alias("who"), F.coalesce(who, not_who).alias("people"),
-            F.coalesce(F.flatten(wanted), F.array()).alias("conditions"),
+            F.coalesce(_in_order(F.flatten(wanted), F.coalesce(F.get("orders", at), F.array())), F.array()).alias("conditions"),
         )
 
     parsed = each.withColumn("statements", F.transform("ss", one))
     first = F.get(F.filter(F.transform("statements", lambda s: s["reason"]), lambda r: r.isNotNull()), F.lit(0))
     refused = F.when(F.col("v").isNull(), "json").when(F.col("ss").isNull(), "statement").when(F.contains("text", F.lit("${")), "variable").otherwise(first)
-    return parsed.select("key", refused.alias("refused"), "statements")
+    return written(parsed.select("key", refused.alias("refused"), "statements"))
 
 
 def unsupported(docs: DataFrame) -> DataFrame:
@@ -150,7 +177,7 @@ def _condition(c: Column, context: Column) -> Column:
 def decide(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """requests (key, action, resource, principal struct<type,id>, context map to tagged values, ..) with decision and refused.
 
-    Statements are looked at in their order and conditions in that of operator and key: a deny, or a condition that cannot be judged, settles the
+    Statements and their conditions are looked at in the order of the text: a deny, or a condition that cannot be judged, settles the
     request where it comes first; what is refused is denied. A document that does not exist denies.
     """
     joined = requests.join(docs.withColumnRenamed("refused", "_why"), "key", "left")

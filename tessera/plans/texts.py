@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import access_import as AI
 from ..operators import iam as I
 from ..operators import vectors as V
 from ..schemas import bool_value, int_value, text_value
@@ -216,6 +217,28 @@ def iam_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.unsupported(docs).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WORLD_ACTIONS, _WORLD_THINGS = [["s3:Get*"], ["s3:GetObject", "s3:Put*"], ["*"], ["s3:List?"]], [["arn:part/*"], ["arn:part/one"], ["*"]]
+
+
+def access_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An access document of two statements for each supplier, brought to rules over a world of its own: their number, the witnesses, and both decided on every request."""
+    own = Fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    pick = lambda options, n: F.element_at(F.array(*map(F.lit, options)), (n % len(options) + 1).cast("int"))
+
+    def statement(n: Column) -> Column:
+        action = F.concat(F.when(n % 7 == 6, '"NotAction": ').otherwise('"Action": '), pick(list(map(json.dumps, _WORLD_ACTIONS)), n))
+        thing = F.concat(F.when(n % 5 == 4, '"NotResource": ').otherwise('"Resource": '), pick(list(map(json.dumps, _WORLD_THINGS)), n))
+        when = F.when(n % 4 == 2, F.concat(F.lit(', "Condition": {"NumericLessThan": {"line:quantity": '), (F.col("s_nationkey") + 2).cast("string"), F.lit("}}"))).when(n % 4 == 3, ', "Condition": {"StringNotEquals": {"status": ["F", "X"]}}').otherwise("")
+        return F.concat(F.lit('{"Effect": "'), F.when(n % 3 == 2, "Deny").otherwise("Allow"), F.lit('", '), action, F.lit(", "), thing, when, F.lit("}"))
+
+    body = F.concat_ws(", ", *(statement(F.col("s_suppkey") * 2 + j) for j in range(2)))
+    docs = own.select(F.col("s_suppkey").alias("key"), F.concat(F.lit('{"Statement": ['), body, F.lit("]}")).alias("doc"))
+    converted = AI.convert(I.statements(docs, "key", "doc"))
+    shown = converted.select("key", "excluded", F.size("rules").cast("long").alias("rules"), F.array_join(F.transform(F.concat("action_witnesses", "resource_witnesses"), lambda w: w["witness"]), ",").alias("witnesses"))
+    found = AI.faithfulness(converted)
+    return shown.join(found, "key", "left").withColumn("rules", F.when(F.isnull("excluded"), F.col("rules")))
+
+
 def vocabulary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: distinct words, and how many of them the benchmark uses."""
     words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where("word != ''").distinct()
@@ -327,6 +350,25 @@ n AS (SELECT c_nationkey, bool_and(l = m) AS exact, count(*) FILTER ((q < l) !=
 SELECT exact, d = 0 AS equivalent, count(*) AS n, CAST(sum(d) AS BIGINT) AS differ, CAST(sum(r) AS BIGINT) AS requests FROM n GROUP BY ALL""",
     "iam_decide": f"WITH {_ACCESS} SELECT action, CASE WHEN refused IS NULL AND deny IS NULL AND allow THEN 'allow' ELSE 'deny' END AS decision, refused, count(*) AS n FROM f GROUP BY ALL",
     "iam_unsupported": f"""SELECT reason, count(*) AS n FROM customer JOIN (VALUES {", ".join(f"({i}, '{r}')" for i, (_, r) in enumerate(_ODD) if r)}) v(i, reason) ON c_custkey % {len(_ODD)} = i GROUP BY reason""",
+    "access_import": r"""WITH st AS (SELECT s_suppkey AS key, s_nationkey + 2 AS x, s_suppkey * 2 + j AS n FROM supplier, (VALUES (0), (1)) v(j)),
+s AS (SELECT key, x, n, n % 3 = 2 AS deny, n % 7 != 6 AS a_in, [['s3:Get*'], ['s3:GetObject', 's3:Put*'], ['*'], ['s3:List?']][CAST(n % 4 + 1 AS INTEGER)] AS acts, n % 5 != 4 AS r_in, [['arn:part/*'], ['arn:part/one'], ['*']][CAST(n % 3 + 1 AS INTEGER)] AS things FROM st),
+av AS (SELECT DISTINCT key, unnest(acts) AS v FROM s), rv AS (SELECT DISTINCT key, unnest(things) AS v FROM s),
+am AS (SELECT key, replace(replace(v, '*', 'ZzWitness'), '?', 'z') AS m FROM av UNION SELECT DISTINCT key, 'probe:UnlistedAction' FROM s),
+rm AS (SELECT key, replace(replace(v, '*', 'zz-witness'), '?', 'z') AS m FROM rv UNION SELECT DISTINCT key, 'arn:probe:::unlisted-resource' FROM s),
+ah AS (SELECT s.key, n, m FROM s JOIN am ON s.key = am.key WHERE (len(list_filter(acts, lambda p: regexp_full_match(m, replace(replace(p, '*', '.*'), '?', '.'), 'i'))) > 0) = a_in),
+rh AS (SELECT s.key, n, m FROM s JOIN rm ON s.key = rm.key WHERE (len(list_filter(things, lambda p: regexp_full_match(m, replace(replace(p, '*', '.*'), '?', '.')))) > 0) = r_in),
+k AS (SELECT s.*, (SELECT count(*) FROM ah WHERE ah.n = s.n) AS na, (SELECT count(*) FROM rh WHERE rh.n = s.n) AS nr, (SELECT count(*) FROM rm WHERE rm.key = s.key) AS allr FROM s),
+kept AS (SELECT * FROM k WHERE na > 0 AND nr > 0),
+d AS (SELECT key, count(*) AS kept, CAST(sum(CASE WHEN nr = allr THEN 1 ELSE nr END) AS BIGINT) AS rules FROM kept GROUP BY key),
+q AS (SELECT key, unnest(CASE WHEN key % 2 = 0 THEN [0] WHEN EXISTS (SELECT 1 FROM kept WHERE kept.key = s.key AND n % 4 = 2) THEN [x - 1, x, x + 1] ELSE [0] END) AS quantity FROM (SELECT DISTINCT key, x FROM s) s),
+w AS (SELECT key, unnest(CASE WHEN key % 2 = 0 THEN ['-'] WHEN EXISTS (SELECT 1 FROM kept WHERE kept.key = s.key AND n % 4 = 3) THEN ['F', 'X', '__unseen__'] ELSE ['__unseen__'] END) AS status FROM (SELECT DISTINCT key FROM s) s),
+u AS (SELECT am.key, am.m AS a, rm.m AS r, quantity, status FROM am JOIN rm ON am.key = rm.key JOIN q ON q.key = am.key JOIN w ON w.key = am.key JOIN d ON d.key = am.key),
+e AS (SELECT u.key, a, r, quantity, status, max((NOT deny)::INT) AS allow, max(deny::INT) AS deny FROM u LEFT JOIN (SELECT kept.key, kept.n, deny, x, ah.m AS am, rh.m AS rm FROM kept JOIN ah ON ah.n = kept.n JOIN rh ON rh.n = kept.n) h
+  ON h.key = u.key AND h.am = a AND h.rm = r AND (h.n % 4 != 2 OR quantity < x) AND (h.n % 4 != 3 OR status NOT IN ('F', 'X')) GROUP BY ALL),
+f AS (SELECT key, count(*) AS requests, count(*) FILTER (allow = 1 AND coalesce(deny, 0) = 0) AS allowed FROM e GROUP BY key),
+t AS (SELECT key, string_agg(replace(replace(v, '*', t), '?', 'z'), ',' ORDER BY axis, v) AS witnesses FROM (SELECT key, v, 1 AS axis, 'ZzWitness' AS t FROM av UNION ALL SELECT key, v, 2, 'zz-witness' FROM rv) WHERE v LIKE '%*%' OR v LIKE '%?%' GROUP BY key)
+SELECT p.key, CASE WHEN d.key IS NULL THEN 'no statement matches' END AS excluded, d.rules, coalesce(witnesses, '') AS witnesses, requests, allowed, CASE WHEN d.key IS NOT NULL THEN 0 END AS mismatches, CASE WHEN d.key IS NOT NULL THEN 0 END AS refusals
+FROM (SELECT DISTINCT key FROM s) p LEFT JOIN d USING (key) LEFT JOIN f USING (key) LEFT JOIN t USING (key)""",
     "vocabulary_overlap": """WITH b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark), d AS (SELECT DISTINCT source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
 SELECT source, count(*) AS words, count(b.w) AS shared FROM d LEFT JOIN b ON d.w = b.w WHERE d.w != '' GROUP BY source""",
     "prefix_budget": """SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 20000 GROUP BY source""",
@@ -342,4 +384,4 @@ SELECT source, max(n_chars) FILTER (i = least(CAST(floor(0.1 * n) AS BIGINT), n
 SELECT '*.' || suffix AS pattern, min(host) AS witness, count(*) AS covered FROM s WHERE host LIKE '%.' || suffix GROUP BY suffix""",
 }
 
-QUERIES = {f.__name__: f for f in (_short(1), _short(2), lenient_selection, parse_json_answer, last_json_answer, interpretation_answers, channel_split, canonical_props, rendering_round_trips, rendering_forms, rule_equivalence, iam_decide, iam_unsupported, vocabulary_overlap, prefix_budget, world_split, manifest_check, source_digests, order_statistics, url_witness)}
+QUERIES = {f.__name__: f for f in (_short(1), _short(2), lenient_selection, parse_json_answer, last_json_answer, interpretation_answers, channel_split, canonical_props, rendering_round_trips, rendering_forms, rule_equivalence, iam_decide, iam_unsupported, access_import, vocabulary_overlap, prefix_budget, world_split, manifest_check, source_digests, order_statistics, url_witness)}
