@@ -176,10 +176,11 @@ def disagreements(pairs: DataFrame, principals: DataFrame, actions: DataFrame, r
     ]
     names = ("principal", "action", "resource", "context")
     cells = effects.join(whole.select("pair", "open"), "pair")
-    for name, axis in zip(names, axes):
-        axis = written(axis)
-        sizes = axis.groupBy("pair").agg(F.sum(f"{name}_count").alias(f"{name}_size"))
-        cells = cells.join(sizes, "pair").join(axis, "pair")
+    for axis in axes:
+        cells = cells.join(written(axis), "pair")
+        if axis is axes[0]:
+            # What is to be multiplied out is small, and would be left in one task.
+            cells = cells.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair", "principal_n")
 
     both = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
     hit = both(both(F.col("principal_mask"), F.col("action_mask")), both(F.col("resource_mask"), F.col("context_mask")))
