@@ -39,6 +39,8 @@ ANCHOR = 8
 PREFIX_STEP = 6
 #: Segments of a group up to which a task builds the subtree itself (about 200 bytes each).
 GROUP_SEGMENTS = 50_000
+#: Words of segments that a group holds at most: some 280 bytes each while its suffix array is made. A run of equal sample points is one segment however long it is.
+GROUP_WORDS = 1_500_000
 
 _ANCHORS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("seen", pa.int32())])
 _SEGMENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("window", pa.binary())])
@@ -276,13 +278,14 @@ def _exchanged(docs: DataFrame) -> DataFrame:
     return _keyed(docs).where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS, group_words: int = GROUP_WORDS) -> DataFrame:
     """(doc_id, start, n, of_doc, of_start): stretches of words made of windows that also start earlier, and where. Spans of a document may overlap."""
     anchor = min(ANCHOR, max(1, min_words // 2))
     points = _keyed(docs).where("doc_id is not null").mapInArrow(_sample_points(min_words, anchor), "key long, doc_id long, start int, n int, seen int")
     fits = None
     while True:
-        shared = points.groupBy("key").agg(F.sum("seen").alias("total")).where("total > 1").select("key", (F.col("total") > group_segments).alias("hot"))
+        held = F.sum((F.col("n") + (min_words - 1)).cast("long"))
+        shared = points.groupBy("key").agg(F.sum("seen").alias("total"), held.alias("held")).where("total > 1").select("key", ((F.col("total") > group_segments) | (F.col("held") > group_words)).alias("hot"))
         shared = C.checkpoint(shared)
         own = points.drop("seen").join(shared.where("not hot").select("key"), "key")
         fits = own if fits is None else fits.unionAll(own)
@@ -314,12 +317,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group_segments:
     return spans.unionAll(hot)
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, group_segments: int = GROUP_SEGMENTS, group_words: int = GROUP_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256, removed spans, repeats.
 
     repeats: the maximal repeats, start and n words, and where (of_doc, of_start) the earliest copy of their windows stands.
     """
-    spans = repeated_spans(docs, min_words, group_segments).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "of_doc", "of_start")).alias("spans"))
+    spans = repeated_spans(docs, min_words, group_segments, group_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "of_doc", "of_start")).alias("spans"))
     own = _keyed(docs)
     judged = _exchanged(docs).join(spans, F.col("doc") == F.col("doc_id"), "left").select(F.col("doc").alias("doc_id"), F.col("body").alias("text"), "spans")
     # Rows without an id keep apart, so that every join above reads one and the same exchange of the texts.

@@ -77,6 +77,14 @@ def test_substrings_of_random_texts(spark):
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in got} == want
 
 
+@pytest.mark.parametrize("group_words", [1_500_000, 400])
+def test_substrings_of_equal_words(spark, group_words):
+    """Runs of one word, or of two by turns, are one segment each: groups are bounded by their words."""
+    rows = [(i, " ".join(["the"] * (30 + i))) for i in range(12)] + [(20 + i, " ".join(["=", "a"] * (40 + i)) + f" end{i}") for i in range(6)] + [(40, _words(50, 9))]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20, group_words=group_words).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in got} == _substrings(rows, 20)
+
+
 def test_suffix_array_and_common_prefixes():
     r = random.Random(2)
     for _ in range(30):
