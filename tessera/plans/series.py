@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import episodes as E
 from ..operators import metrics as M
 from ..operators import policy as P
+from ..operators import routes as RT
 from ..operators import vectors as V
 from . import fixtures as X
 
@@ -144,6 +145,24 @@ def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.groupBy("policy_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("ancestor").alias("ancestors"), F.max("ancestor").alias("largest"))
 
 
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer n of a nation points to n / 2 and n / 3 of the same nation, where these exist; in every fifth nation the first also points to the last."""
+    c = X.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("graph"), F.col("c_custkey").alias("source"))
+    on = c.select("graph", "source", F.explode(F.array(F.expr("source div 2"), F.expr("source div 3"))).alias("target"))
+    known = c.select("graph", F.col("source").alias("target"))
+    back = c.where("graph % 5 = 0").groupBy("graph").agg(F.min("source").alias("source"), F.max("source").alias("target")).where("source < target")
+    return on.join(known, ["graph", "target"]).where("target < source").select("graph", "source", "target").unionAll(back)
+
+
+def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes between the customers of each nation: how many pairs they join, how many there are, and the longest of the shortest; nothing but the flag where there is a cycle."""
+    edges = _nation_edges(spark, sf_dir)
+    counts = RT.route_counts(edges).groupBy("graph").agg(F.count(F.lit(1)).alias("pairs"), F.sum("routes").cast("bigint").alias("routes"), F.max("routes").cast("bigint").alias("most"), F.max("depth").alias("depth"))
+    cyclic = RT.cyclic_graphs(edges).withColumn("cyclic", F.lit(True))
+    graphs = edges.select("graph").distinct()
+    return graphs.join(cyclic, "graph", "left").join(counts, "graph", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+
+
 def depth_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference of a document's margin from the depth-0 mean of its world, by depth."""
     docs = X.table(spark, sf_dir, "documents").select(F.col("source").alias("world_id"), (F.floor(F.col("doc_id") / 20) % 4).alias("depth"), ((F.col("n_chars") % 997) / 997 - 0.5).alias("margin"))
@@ -204,6 +223,13 @@ _OUT = "SELECT episode, label, status, CAST(n_calls AS INTEGER) AS n_calls, unau
 _UW = "(SELECT rendering, avg(u) AS u FROM (SELECT rendering, world_id, avg(unauthorized::INT) AS u FROM {o} GROUP BY ALL) GROUP BY rendering)"
 
 SQL = {
+    "route_counts": """WITH RECURSIVE k AS (SELECT c_nationkey AS g, c_custkey AS c FROM customer),
+e AS (SELECT k.g, k.c AS s, p.c AS t FROM k JOIN k p ON p.g = k.g AND p.c = k.c // 2 WHERE p.c < k.c UNION ALL SELECT k.g, k.c, p.c FROM k JOIN k p ON p.g = k.g AND p.c = k.c // 3 WHERE p.c < k.c
+  UNION ALL SELECT g, min(c), max(c) FROM k WHERE g % 5 = 0 GROUP BY g HAVING min(c) < max(c)),
+w AS (SELECT g, s, t, [s, t] AS path, 1 AS d, s = t AS looped FROM e UNION ALL SELECT w.g, w.s, e.t, list_append(path, e.t), d + 1, list_contains(path, e.t) FROM w JOIN e ON e.g = w.g AND e.s = w.t WHERE NOT looped),
+y AS (SELECT DISTINCT g FROM w WHERE looped), r AS (SELECT g, s, t, count(*) AS n, min(d) AS d FROM w WHERE g NOT IN (SELECT g FROM y) GROUP BY ALL),
+q AS (SELECT g, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS routes, max(n) AS most, CAST(max(d) AS BIGINT) AS depth FROM r GROUP BY g)
+SELECT x.g AS graph, x.g IN (SELECT g FROM y) AS cyclic, pairs, routes, most, depth FROM (SELECT DISTINCT g FROM e) x LEFT JOIN q ON q.g = x.g""",
     "episode_outcomes": f"{_ACTS_ALL} {_OUT}",
     "episode_stream": f"{_ACTS_ALL}, none_ AS (SELECT episode, any_value(label) AS label FROM turns WHERE episode NOT IN (SELECT episode FROM out) GROUP BY episode) {_OUT} UNION ALL SELECT episode, label, 'open', 0, false, false, false, label = 'allow', false FROM none_",
     "episode_rates": f"""{_ACTS_ALL}, w AS (SELECT rendering, world_id, avg(CASE WHEN label = 'deny' THEN unauthorized::INT END) AS a, avg(CASE WHEN label = 'allow' THEN unauthorized::INT END) AS b, avg(CASE WHEN label = 'allow' THEN completed::INT END) AS c, avg(CASE WHEN label = 'allow' THEN refused_authorized::INT END) AS d, avg(protocol_failure::INT) AS e FROM out GROUP BY ALL)
@@ -237,4 +263,4 @@ SELECT a.c_mktsegment, b.o_orderpriority, s.o_orderstatus, coalesce(n, 0) AS n F
     "round_robin_quota": """SELECT o_orderkey, stratum, CAST(rank AS INTEGER) AS rank FROM (SELECT o_orderkey, o_orderstatus || '/' || o_orderpriority AS stratum, row_number() OVER (PARTITION BY o_orderstatus || '/' || o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS rank FROM orders) ORDER BY rank, stratum LIMIT 40""",
 }
 
-QUERIES = {f.__name__: f for f in (episode_outcomes, episode_rates, proxy_blocked, arm_change, episode_stream, event_windows, cosine_divergence, linear_cka, centroid_probe, balanced_accuracy, probe_transfer, graph_reachability, depth_contrasts, paired_margins, design_grid, factor_levels, round_robin_quota)}
+QUERIES = {f.__name__: f for f in (route_counts, episode_outcomes, episode_rates, proxy_blocked, arm_change, episode_stream, event_windows, cosine_divergence, linear_cka, centroid_probe, balanced_accuracy, probe_transfer, graph_reachability, depth_contrasts, paired_margins, design_grid, factor_levels, round_robin_quota)}

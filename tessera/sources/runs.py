@@ -56,17 +56,17 @@ def write_json_object(spark: SparkSession, values: dict[str, Column], path: str)
     write_json_lines(spark.range(1).select(*(c.alias(n) for n, c in values.items())), path)
 
 
-def _relative(path: str) -> Column:
-    return F.substring_index("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
-
-
 def folder_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of the files below a folder, named from there."""
-    return file_hashes(spark, path).select(_relative(path).alias("file"), "bytes", "sha256")
+    """(file, bytes, sha256) of the files below a folder, named from there, whatever folders below it are called."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    # Files are named with scheme and authority; what lies below the folder begins behind its own path, where that first stands.
+    below = F.substring("path", F.position(F.lit(f"{whole}/"), "path") + len(whole) + 1, F.length("path"))
+    return file_hashes(spark, path).select(below.alias("file"), "bytes", "sha256")
 
 
 def write_release(tables: dict[str, DataFrame], path: str, form: str = "json") -> None:
-    """Each table below path/data, then the hashes of all files in path/manifest. A release cut short has no manifest, so it does not verify."""
+    """Each table below path/data, then the hashes of its files in path/manifest (see `storage.file_hashes`: no empty or hidden files, and none over 2 GB). A release cut short has no manifest, so it does not verify."""
     for name, rows in tables.items():
         if form == "json":
             write_json_lines(rows, f"{path}/data/{name}")

@@ -35,3 +35,17 @@ def test_registry_and_licenses(spark):
     used = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "source string")
     licenses = spark.createDataFrame([("a", "GPL"), ("b", "MIT")], "source string, license string")
     assert {tuple(r) for r in R.license_problems(used, licenses, ["MIT"]).collect()} == {("a", "GPL", 2), ("c", None, 1)}
+
+
+def test_tables_of_any_name_are_told_apart(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "k int, t string")
+    path = f"{tmp_path}/data/release"
+    R.write_release({"data": rows, "x/data": rows, "data/data": rows}, path)
+    files = [r["file"] for r in R.folder_hashes(spark, f"{path}/data").collect()]
+    assert sorted({f.rsplit("/", 1)[0] for f in files}) == ["data", "data/data", "x/data"] and R.verify_release(spark, path).isEmpty()
+    import os
+    import shutil
+
+    moved = next(f for f in files if f.startswith("x/"))
+    shutil.move(f"{path}/data/{moved}", f"{path}/data/data/{os.path.basename(moved)}")
+    assert {r["problem"] for r in R.verify_release(spark, path).collect()} == {"missing", "extra"}
