@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audits as A
+from ..operators import matching as MA
 from ..operators import metrics as M
 from ..operators import policy as P
 from ..operators import stats as S
@@ -139,7 +140,25 @@ _RATES = f"""WITH {X.answers_sql()}, {X.answers_sql("arm", "arm")},
 w AS (SELECT rendering, world_id, avg((category = 'correct')::INT) AS a FROM ans GROUP BY ALL), v AS (SELECT rendering, world_id, avg((category = 'correct')::INT) AS a FROM arm GROUP BY ALL),
 b AS (SELECT rendering, avg(a) AS a FROM w GROUP BY rendering), m AS (SELECT rendering, avg(a) AS a FROM v GROUP BY rendering)"""
 
+def prompt_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against a treated copy: a note put in, in every third conversation a line taken out, in every fifth the last line changed. Lines kept, removed and added, and whether only notes differ."""
+    own = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), "\n").alias("a"))
+    k = F.col("turn") % F.size("a")
+    cut = F.when(F.col("conv_id") % 3 == 0, F.filter("a", lambda x, i: i != k)).otherwise(F.col("a"))
+    noted = own.withColumn("c", cut).withColumn("c", F.concat(F.slice("c", 1, 1), F.array(F.concat(F.lit("NOTE: "), F.col("conv_id").cast("string"))), F.when(F.size("c") > 1, F.slice("c", F.lit(2), F.size("c"))).otherwise(F.array())))
+    last = F.when(F.col("conv_id") % 5 == 0, F.concat(F.slice("c", F.lit(1), F.size("c") - 1), F.array(F.upper(F.element_at("c", -1))))).otherwise(F.col("c"))
+    return MA.compared(noted.withColumn("b", last), F.col("a"), F.col("b"), "^NOTE: ").select("conv_id", "turn", "kept", "removed", "added", "matched")
+
+
 SQL = {
+    "prompt_edits": """WITH RECURSIVE o AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS a FROM conversations),
+c AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN [a[i] FOR i IN range(1, len(a) + 1) IF i - 1 != turn % len(a)] ELSE a END AS c FROM o),
+n AS (SELECT conv_id, turn, a, list_concat(list_concat(c[1:1], ['NOTE: ' || conv_id]), c[2:]) AS b FROM c),
+p AS (SELECT conv_id, turn, a, CASE WHEN conv_id % 5 = 0 THEN list_concat(b[1:len(b) - 1], [upper(b[len(b)])]) ELSE b END AS b FROM n),
+w AS (SELECT conv_id, turn, a, b, list_transform(range(0, len(a) + 1), lambda x: 0::BIGINT) AS r, 0 AS j FROM p
+  UNION ALL SELECT conv_id, turn, a, b, list_concat([0::BIGINT], list_transform(range(1, len(a) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda x: greatest(r[x + 1], CASE WHEN a[x] = b[j + 1] THEN r[x] + 1 ELSE 0 END))))), j + 1 FROM w WHERE j < len(b)),
+m AS (SELECT conv_id, turn, r[len(r)] AS kept FROM w WHERE j = len(b))
+SELECT conv_id, turn, kept, len(a) - kept AS removed, len(b) - kept AS added, len(a) = kept AND len(list_filter(b, lambda x: x NOT LIKE 'NOTE: %')) = kept AS matched FROM p JOIN m USING (conv_id, turn)""",
     "matched_groups": """WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT 'missing' AS problem, f AS item, count(*) AS n FROM (SELECT DISTINCT l_suppkey FROM lineitem) s, (VALUES ('A'), ('N'), ('R'), ('X')) v(f) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.l_suppkey = s.l_suppkey AND c.l_returnflag = f) GROUP BY f
 UNION ALL SELECT 'repeated', l_returnflag, count(*) FROM c WHERE n > 1 GROUP BY l_returnflag
@@ -174,4 +193,4 @@ SELECT rendering, any_value(conversions) AS conversions, round(avg(r), 6) AS rea
     "quantization_change": f"""{_RATES} SELECT arg_max(b.rendering, abs(m.a - b.a)) AS rendering, round(max(abs(m.a - b.a)), 6) AS largest, round(max(b.a) - min(b.a), 6) AS base_gap, max(abs(m.a - b.a)) >= max(b.a) - min(b.a) AS exceeds FROM b JOIN m ON b.rendering = m.rendering""",
 }
 
-QUERIES = {f.__name__: f for f in (matched_groups, role_swaps, unique_ids, independence, side_balance, swap_axis, scope_types, semantic_hashes, repeated_conditions, sum_logprobs, learning_rates, conversion_metrics, floor_ceiling, quantization_change, boot_balanced_accuracy)}
+QUERIES = {f.__name__: f for f in (prompt_edits, matched_groups, role_swaps, unique_ids, independence, side_balance, swap_axis, scope_types, semantic_hashes, repeated_conditions, sum_logprobs, learning_rates, conversion_metrics, floor_ceiling, quantization_change, boot_balanced_accuracy)}
