@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, audits, calls, policies, readings, runs, series, studies, texts, trials
+from . import answers, audits, calls, designs, policies, readings, runs, series, studies, texts, trials
 
-_MODULES = (policies, answers, texts, calls, series, studies, audits, trials, runs, readings)
+_MODULES = (policies, answers, texts, calls, series, studies, audits, trials, runs, readings, designs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
