@@ -57,7 +57,21 @@ def release_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as half-precision shards and read back by a range of ids: how many of each label come back, all their values within the rounding."""
+    from ..sources import vector_store as VS
+
+    VS.register(spark)
+    own = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), "label", F.col("embedding").cast("array<float>").alias("embedding"))
+    path = new_folder(spark, "vectors")
+    own.select("id", F.col("embedding").alias("vector")).repartitionByRange(8, "id").write.format("vectors").mode("append").save(path)
+    back = spark.read.format("vectors").load(path).where("id >= 100 and id < 900")
+    near = F.forall(F.zip_with("embedding", "vector", lambda a, b: F.abs(a - b) <= F.abs(a) / 2048 + 1e-7), lambda x: x)
+    return own.join(back, "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(near & (F.size("embedding") == F.size("vector"))).alias("close"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 SQL = {
+    "vector_store": "SELECT label, count(*) AS n, count(*) AS close, CAST(min(vec_id) AS BIGINT) AS first, CAST(max(vec_id) AS BIGINT) AS last FROM embeddings WHERE vec_id >= 100 AND vec_id < 900 GROUP BY label",
     "run_admission": """WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT c_custkey AS k, coalesce(n, 0) AS n FROM customer LEFT JOIN o ON c_custkey = k),
 p AS (SELECT k, 'missing' AS problem, 0 AS found FROM c WHERE k % 13 = 0 UNION ALL SELECT k, 'not complete', 1 FROM c WHERE k % 13 != 0 AND (k % 5 = 0 OR k % 7 = 0) UNION ALL SELECT k, 'rows', 1 FROM c WHERE k % 13 != 0 AND k % 7 = 0
   UNION ALL SELECT k, 'dataset', 1 FROM c WHERE k % 13 != 0 AND k % 9 = 0 UNION ALL SELECT k, 'revision', 0 FROM c WHERE k % 13 != 0 AND k % 11 = 0)
@@ -71,4 +85,4 @@ SELECT problem, count(*) AS n, min(p) AS first FROM (SELECT 'no name' AS problem
 UNION ALL SELECT 'documents', count(*), count(text), CAST(sum(('0x' || substr(md5(text), 1, 8))::BIGINT) AS BIGINT) FROM documents""",
 }
 
-QUERIES = {f.__name__: f for f in (run_admission, license_gaps, registry_gaps, release_round_trip)}
+QUERIES = {f.__name__: f for f in (run_admission, license_gaps, registry_gaps, release_round_trip, vector_store)}
