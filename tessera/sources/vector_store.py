@@ -165,5 +165,6 @@ class _Reader(DataSourceReader):
 
 
 def register(spark) -> None:
-    """Make the source known to a session. Filters reach it only with spark.sql.python.filterPushdown.enabled; without, every shard is read."""
+    """Make the source known to a session, and let filters reach sources in Python, which Spark does not do by itself."""
     spark.dataSource.register(VectorStore)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

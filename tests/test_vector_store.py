@@ -14,10 +14,7 @@ from tessera.sources import vector_store as V
 @pytest.fixture(scope="module")
 def store(spark):
     V.register(spark)
-    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield spark
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+    return spark
 
 
 def _rows(n, width=6, seed=1):
