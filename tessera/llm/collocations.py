@@ -6,8 +6,8 @@ k-th word, which is what ROLLUP(lang, w1, .., wn) returns, for all orders at onc
 
 Words travel as 64-bit codes (the hash of their bytes), and a seed is searched for under which no two words of the table share one, so counts are exact;
 their spelling comes back by a join for candidates alone. A window goes no further than a phrase can still be frequent: words and pairs
-of neighbours are counted into 2**`BITS` shared buckets first (fixed size, whatever the corpus), and a window ends before a word or a pair whose
-whole bucket stays below the threshold. That never loses a phrase with f >= threshold; a fuller table of buckets only cuts less.
+of neighbours, then three words whose pairs may be frequent, are counted into 2**`BITS` shared buckets first (fixed size, whatever the corpus), and a window
+ends before a word whose own bucket, or that of the pair or three it would close, stays below the threshold. That never loses a phrase with f >= threshold; a fuller table of buckets only cuts less.
 
 Defined cases: null texts are empty, a null lang counts as `und`; rows without a doc_id and repeated rows count like all others. An empty table
 gives an empty result. Extra columns are ignored. Ties of score are settled by count and by the phrase's UTF-8 bytes, which are unique.
@@ -27,7 +27,7 @@ from . import _common as C
 ORDER = 4
 LEAST = 30
 TOP = 2000
-#: Buckets that words and pairs are counted into: 2 to this power, of which a bit each is broadcast (8 MB).
+#: Buckets that words and pairs are counted into: 2 to this power, of which a bit each is broadcast (8 MB, twice).
 BITS = 26
 _SCALE = 2_000_000
 _SPACE, _BREAK = 1, 2
@@ -105,12 +105,35 @@ def exact_vocabulary(docs: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def frequent_buckets(docs: DataFrame, seed: int, least: int, bits: int) -> bytes:
-    """A bit for each bucket of words and pairs that counts to `least` or more.
+def _triples(codes: np.ndarray, lang: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of the three words that begin with each word."""
+    _, pair = _buckets(codes, lang, names, np.ones(len(codes), bool), 60)
+    out = np.zeros(len(codes), C.U64)
+    out[:-2] = C.mix64(pair[:-2].view(C.U64) * C.U64(5) + codes[2:])
+    return (out >> C.U64(64 - bits)).astype(np.int64)
+
+
+def _holds(flags: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (flags[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+
+
+def _frequent(codes: np.ndarray, lang: np.ndarray, names: np.ndarray, joined: np.ndarray, full: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word, and the pair that begins with it, may be frequent."""
+    flags = np.frombuffer(full, np.uint8)
+    own, pair = _buckets(codes, lang, names, joined, bits)
+    often = _holds(flags, own)
+    goes_on = joined & _holds(flags, pair)
+    goes_on[:-1] &= often[:-1] & often[1:]
+    return often, goes_on
+
+
+def frequent_buckets(docs: DataFrame, seed: int, least: int, bits: int, pairs: bytes | None = None) -> bytes:
+    """A bit for each bucket of words and pairs that counts to `least` or more; given these, for each bucket of three words of which both pairs may be frequent.
 
     Counts travel by blocks of buckets, as sorted places and counts up to `least`, and meet in dense arrays of one block.
     """
     schema = pa.schema([("block", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+    known = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pairs)
 
     def blocks(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         bucket, n = (np.concatenate(x) for x in zip(*found))
@@ -127,8 +150,13 @@ def frequent_buckets(docs: DataFrame, seed: int, least: int, bits: int) -> bytes
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for _, names, lang, codes, joined, _, _ in _chunks(batches, seed):
-            own, pair = _buckets(codes, lang, names, joined, bits)
-            found.append(np.unique(np.r_[own, pair[joined]], return_counts=True))
+            if known is None:
+                own, pair = _buckets(codes, lang, names, joined, bits)
+                counted = np.r_[own, pair[joined]]
+            else:
+                _, goes_on = _frequent(codes, lang, names, joined, known.value, bits)
+                counted = _triples(codes, lang, names, bits)[:-1][goes_on[:-1] & goes_on[1:]]
+            found.append(np.unique(counted, return_counts=True))
             held += len(found[-1][0])
             if held > _HELD_BUCKETS:
                 yield blocks(found)
@@ -158,27 +186,26 @@ def frequent_buckets(docs: DataFrame, seed: int, least: int, bits: int) -> bytes
     return bytes(out)
 
 
-def windows(docs: DataFrame, seed: int, full: bytes, bits: int, order: int) -> DataFrame:
+def windows(docs: DataFrame, seed: int, pairs: bytes, triples: bytes, bits: int, order: int) -> DataFrame:
     """(lang, w1 .. w{order}, n): each word's window, padded with 0 from where it ends."""
-    held = docs.sparkSession.sparkContext.broadcast(full)
+    held = docs.sparkSession.sparkContext.broadcast((pairs, triples))
     columns = [f"w{k}" for k in range(1, order + 1)]
     schema = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in columns), ("n", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(held.value, np.uint8)
-        holds = lambda b: (flags[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+        pairs, triples = held.value
         for _, names, lang, codes, joined, _, _ in _chunks(batches, seed):
-            own, pair = _buckets(codes, lang, names, joined, bits)
-            often = holds(own)
-            goes_on = joined & holds(pair)
-            goes_on[:-1] &= often[:-1] & often[1:]
+            often, goes_on = _frequent(codes, lang, names, joined, pairs, bits)
+            further = goes_on & _holds(np.frombuffer(triples, np.uint8), _triples(codes, lang, names, bits))
+            further[:-1] &= goes_on[1:]
             codes = codes.view(np.int64)
             long = np.flatnonzero(goes_on)
-            filled = [codes[long]]
+            end = max(len(codes) - 1, 0)
+            filled = [codes[long], codes[np.minimum(long + 1, end)]][:order]
             live = np.ones(len(long), bool)
-            for k in range(1, order):
-                live &= goes_on[np.minimum(long + k - 1, len(codes) - 1)]
-                filled.append(np.where(live, codes[np.minimum(long + k, len(codes) - 1)], 0))
+            for k in range(2, order):
+                live &= further[np.minimum(long + k - 2, end)]
+                filled.append(np.where(live, codes[np.minimum(long + k, end)], 0))
             # Windows of one word, and those of words below the threshold, are summed here already.
             short = np.where(often, codes, 0)[~goes_on]
             spoken = lang[~goes_on]
@@ -215,8 +242,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, order: int
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `order` words by a / (f(first part) + f(rest)) at their worst cut."""
     texts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
     words, seed = exact_vocabulary(texts)
-    full = frequent_buckets(texts, seed, least, bits)
-    phrases = marginals(windows(texts, seed, full, bits, order), least, order)
+    pairs = frequent_buckets(texts, seed, least, bits)
+    triples = frequent_buckets(texts, seed, least, bits, pairs)
+    phrases = marginals(windows(texts, seed, pairs, triples, bits, order), least, order)
     totals = phrases.where(F.size("words") == 0).select("lang", F.col("f").alias("n"))
     candidates = phrases.where(F.size("words") > 1).select("lang", "words", F.col("f").alias("a"))
 
