@@ -9,7 +9,7 @@ documents fall. Scoring runs over whole texts; since embedding and softmax are l
 exponential, each bucket is folded to one row of class logits and a text costs one gather per n-gram.
 
 Defined cases: null text and text without a letter are `und` with score 0, rejected. Where no labelled row exists every row is
-`und`. Labels that are null are not learned. Rows that repeat are scored alike. Extra columns are kept by `identify`.
+`und`. Labels that are null are not learned. Rows that repeat are scored alike. Extra columns of whatever name are kept by `identify`. An empty table gives no model and an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ key can overfill. The leader of a name is an aggregate with map-side combining.
 Defined cases: null text has no lines and stays null; an empty text is one empty line, and is kept. Rows without a
 doc_id are left as they are and copy nothing. Rows that repeat a doc_id and its text count once: they are cut alike, and are no copies of
 each other; rows that share a doc_id alone are documents of their own, in order of a hash of their text. A document may lose all its lines: its text is then empty.
-An empty table gives an empty result. Extra columns are kept by `dedup_lines`.
+An empty table gives an empty result. Extra columns of whatever name are kept by `dedup_lines`.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ either byte order.
 
 Defined cases: a null or unreadable image gives one row with page -1 and the reason in `error`; a directory that
 points back to one already seen ends the walk with an error row, as does a page larger than the file can hold; an image without pages gives no further row. Null
-text is stored as the empty payload, padded to one row of 576 bytes of value 255. Equal texts give equal bytes.
+text is stored as the empty payload, padded to one row of 576 bytes of value 255. Equal texts give equal bytes. Tiles may be larger than their page by up to
+4,096 samples; an image with larger ones is an error row. Repeated rows are images of their own; extra columns are ignored; an empty table gives an empty result.
 Everything is a narrow map over rows: no shuffle, and a task holds one Arrow batch of images at a time.
 """
 

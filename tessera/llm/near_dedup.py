@@ -14,7 +14,7 @@ components are compared, in pairs where they are few and otherwise by an inverte
 components, so that no link between different texts is lost. Verification counts the shared shingles of the whole texts.
 
 Defined cases: rows without text, or without any word, are classes of their own. A document of fewer than five words is one shingle. Rows without a
-doc_id get no class and stay. Rows that repeat a doc_id share its class, which is that of their text of least hash. Extra columns are ignored by `near_classes` and kept by `keep_one`.
+doc_id get no class and stay. Rows that repeat a doc_id share its class, which is that of their text of least hash. Extra columns are ignored by `near_classes` and kept by `keep_one`. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ Defined cases: a null url, a url without a host or a null day matches nothing. O
 Entries with a null in any field are ignored; removing what is not listed and adding what is listed change
 nothing. Captures that repeat are judged row by row if their ids differ, and share a verdict if not. Patterns are
 compared in lower case for hosts, as written for paths.
+Extra columns are ignored; an empty table of pages gives an empty result, and without entries nothing is blocked.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ Defined cases: a null payload is the empty one; a null url gives a record withou
 its payload has an owner, and has the id null again when read. Rows that repeat the least id of a payload are all responses. An empty table gives
 no archive and no rows. A stored range that itself holds whole WARC members uncompressed (archives within archives) can be
 mistaken for records at the start of a range.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
