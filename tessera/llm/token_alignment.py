@@ -33,7 +33,7 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs of ids whose counts are broadcast: 20 bytes each.
 BROADCAST_PAIRS = 3_000_000
 #: Bytes of text that a task aligns at once; a longer document is taken whole.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 768 << 10
 #: Distinct words, and characters of them, that a Python worker remembers with their ids before it starts anew.
 REMEMBERED_WORDS, REMEMBERED_CHARACTERS = 400_000, 16 << 20
 #: White space to one of the two tokenizers or to Python, but not to all.
@@ -227,38 +227,51 @@ def _groups_text(ids: list[np.ndarray], last: list[np.ndarray], bounds: list[np.
     return out, starts[bounds[0] + bounds[1]]
 
 
+def _alike(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Rows of texts by length, up to `size` bytes at once: documents of like length advance together, so that few steps have few documents."""
+    rows = pc.sort_indices(pc.binary_length(texts))
+    total = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).take(rows).to_numpy(), dtype=np.int64)]
+    first = 0
+    while first < len(rows):
+        end = max(first + 1, int(np.searchsorted(total, total[first] + size, "right")) - 1)
+        yield rows.slice(first, end - first)
+        first = end
+
+
+def _of_batch(batch: pa.RecordBatch, encoder: PairedIds, tables: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    right, ids, bounds = encoder.encode(batch.column(2).to_pylist())
+    ends = []
+    for side, own, bound in zip(encoder.sides, ids, bounds):
+        total = np.r_[0, np.cumsum(side.sizes[own], dtype=np.int64)]
+        ends.append((total[1:] - np.repeat(total[bound[:-1]], np.diff(bound))).astype(np.int32))
+    doc, a, b, cut = lockstep(ends[0], ends[1], bounds[0], bounds[1])
+    last = [np.zeros(len(x), bool) for x in ids]
+    last[0][a[cut]] = last[1][b[cut]] = True
+    n = len(right)
+    n_links, n_groups = np.bincount(doc, minlength=n), np.bincount(doc[cut], minlength=n)
+    text, offsets = _groups_text(ids, last, bounds, tables)
+    held = memoryview(text)
+    sha = [hashlib.sha256(held[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    n_a, n_b = (len(s.bytes) for s in encoder.sides)
+    key = (doc.astype(np.int64) * n_a + ids[0][a]) * n_b + ids[1][b]
+    key.sort()
+    fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    times = np.diff(np.r_[fresh, len(key)])
+    of_doc, pair = np.divmod(key[fresh], n_a * n_b)
+    at = pa.array(np.r_[0, np.cumsum(np.bincount(of_doc, minlength=n))].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (pair // n_b, pair % n_b, times)]
+    return C.batch_of(_DOCUMENT, [batch.column(0), batch.column(1), np.diff(bounds[0]), np.diff(bounds[1]), n_groups, n_links, sha, *lists])
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per document of docs (row, doc_id, text): row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and its distinct linked id pairs (a, b, times)."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PairedIds(path_a, path_b)
         tables = [_digits(len(s.bytes)) for s in encoder.sides]
-        radix = len(encoder.sides[1].bytes)
         for batch in batches:
-            # Documents of like length advance together, so that few steps have few documents.
-            batch = batch.take(pc.sort_indices(pc.binary_length(batch.column(2))))
-            for first, end, _, _ in C.text_chunks(batch.column(2), batch_bytes):
-                right, ids, bounds = encoder.encode(batch.column(2).slice(first, end - first).to_pylist())
-                ends = []
-                for side, own, bound in zip(encoder.sides, ids, bounds):
-                    total = np.r_[0, np.cumsum(side.sizes[own], dtype=np.int64)]
-                    ends.append((total[1:] - np.repeat(total[bound[:-1]], np.diff(bound))).astype(np.int32))
-                doc, a, b, cut = lockstep(ends[0], ends[1], bounds[0], bounds[1])
-                last = [np.zeros(len(x), bool) for x in ids]
-                last[0][a[cut]] = last[1][b[cut]] = True
-                n = len(right)
-                n_links, n_groups = np.bincount(doc, minlength=n), np.bincount(doc[cut], minlength=n)
-                text, offsets = _groups_text(ids, last, bounds, tables)
-                held = memoryview(text)
-                sha = [hashlib.sha256(held[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                key = (doc.astype(np.int64) * len(encoder.sides[0].bytes) + ids[0][a]) * radix + ids[1][b]
-                key.sort()
-                fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-                times = np.diff(np.r_[fresh, len(key)])
-                of_doc, pair = np.divmod(key[fresh], len(encoder.sides[0].bytes) * radix)
-                at = pa.array(np.r_[0, np.cumsum(np.bincount(of_doc, minlength=n))].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (pair // radix, pair % radix, times)]
-                yield C.batch_of(_DOCUMENT, [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), np.diff(bounds[0]), np.diff(bounds[1]), n_groups, n_links, sha, *lists])
+            for rows in _alike(batch.column(2), batch_bytes):
+                yield _of_batch(batch.take(rows), encoder, tables)
 
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
     return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(align, schema)

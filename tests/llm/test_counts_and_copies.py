@@ -209,3 +209,23 @@ def test_words_have_the_ids_of_their_texts():
 
 def test_alignment_of_nothing(spark):
     assert token_alignment.alignment(spark.createDataFrame([], DOCS), *_paths()).collect() == []
+
+
+def test_alignment_takes_little_at_once(spark):
+    """Every row of a large batch once, in batches of 1 MB of text at most: two workers and a full heap have to fit an executor."""
+    pa = pytest.importorskip("pyarrow")
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [None, "", "the end"] + [f"some words of {i} " * (1 + i % 90) for i in range(3500)]
+    size = dict(enumerate(len((t or "").encode()) for t in texts))
+    assert sum(size.values()) > 2 << 20
+    batch = pa.RecordBatch.from_pydict({"row": list(size), "doc_id": [7 * i for i in size], "text": texts})
+    out = list(token_alignment.aligned(Docs(), *_paths())(iter([batch])))
+    assert all(sum(size[r] for r in b.column("row").to_pylist()) <= 1 << 20 for b in out)
+    assert sorted((r, d) for b in out for r, d in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist())) == [(i, 7 * i) for i in size]
