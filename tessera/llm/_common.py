@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bytes of text that the vectorised scanners take at once; a longer document is taken whole.
 CHUNK_BYTES = 2 << 20
+#: Rows that a task of a round writes at least, and tasks that a round has whatever its rows.
+ROUND_ROWS, ROUND_TASKS = 16_384, 8
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -81,6 +84,15 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows at most, in no more partitions than they fill, so that rounds write files by their rows and not by the number of shuffle partitions.
+
+    Each file that an executor writes to a local folder costs it child processes (Hadoop sets permissions by chmod where it has no native library), which share
+    its memory until they run and are then counted with it.
+    """
+    return df.coalesce(max(ROUND_TASKS, math.ceil(rows / ROUND_ROWS)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage through a table in the shared folder. Unlike a checkpoint's, its plan carries no constraints, which rounds of joins would multiply."""
     path = new_folder(df.sparkSession, "round")

@@ -29,13 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes of hot degree meet only in aggregates with map-side combining and in joins that can be split. Each round's
     edges are checkpointed, so a lost executor costs one round.
     """
-    now = C.checkpoint(edges.where("u != v").select("u", "v").distinct())
+    rows = edges.count()
+    now = C.checkpoint(C.few(edges.where("u != v").select("u", "v").distinct(), rows))
     digest = None
     while True:
-        now = C.checkpoint(_star(_star(now, True), False))
+        now = C.checkpoint(C.few(_star(_star(now, True), False), rows))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == digest:
             break
-        digest = seen
+        digest, rows = seen, seen[0]
     nodes = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -136,12 +136,13 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if (most or 0) < hot_from:  # nor is any longer name, which no more suffixes have
         hot_from = None
     level = _meet(lines.drop("line"), names, ["a", "b"], hot_from, "name").select(*_PLACE, "a", "b", "name.*", F.lit(1).alias("size"))
-    level = C.written(level.distinct())  # repeated rows
+    rows = total or 0
+    level = C.written(C.few(level.distinct(), rows))  # repeated rows
     alone = level.select(*_PLACE, "alone")
     levels = [level.drop("alone")]
-    while not levels[-1].isEmpty():
+    while n := levels[-1].count():
         doubled = _doubled(levels[-1])
-        levels.append(C.written(_meet(doubled, _leaders(doubled), ["a", "b"], hot_from, "least")))
+        levels.append(C.written(C.few(_meet(doubled, _leaders(doubled), ["a", "b"], hot_from, "least"), n)))
     # Asked about at a level: suffixes that do not lead its name, but lead or have no name of the next.
     not_least = F.expr("not (doc <=> least.doc and text_hash <=> least.text_hash and pos <=> least.pos)")
     asked = None
@@ -152,7 +153,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         fresh = mine.unionByName(leaders)
         asked = fresh if asked is None else asked.unionByName(fresh)
         if k:
-            asked = C.written(_deeper(asked, levels[k - 1], hot_from))
+            asked = C.written(C.few(_deeper(asked, levels[k - 1], hot_from), rows))
     if asked is None:
         return alone.limit(0).select(*_PLACE, F.lit(0).alias("n"), _place().alias("source"), "alone")
     return asked.where("own").select(*_PLACE, F.col("depth").alias("n"), F.col("least").alias("source")).join(alone, list(_PLACE))

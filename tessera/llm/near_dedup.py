@@ -238,6 +238,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = own.where("doc_id is not null").withColumn("d1", F.xxhash64(F.lit(1), "text")).withColumn("d2", F.xxhash64(F.lit(2), "text"))
     banded = C.checkpoint(keyed.mapInArrow(_banded, "doc_id long, d1 long, d2 long, n long, bands array<long>"))
+    rows = banded.count()
     own_text = banded.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("k")).select(F.col("doc_id").alias("id"), "k.d1", "k.d2")
     # One member for each different text; wordless rows stay apart.
     standing = banded.join(own_text.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"])
@@ -245,18 +246,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     distinct = distinct.withColumnRenamed("doc_id", "id")
     members = distinct.select("id", "n", F.posexplode("bands").alias("band", "h"))
     held = members.groupBy("band", "h").agg(F.min(F.struct(F.xxhash64("id", "band").alias("z"), "id", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "h", "lead")
-    buckets = C.checkpoint(members.join(held, ["band", "h"]).select("band", "h", "id", "n", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n")))
+    buckets = members.join(held, ["band", "h"]).select("band", "h", "id", "n", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"))
+    buckets = C.checkpoint(C.few(buckets, rows * BANDS))
     fits = f"least(n, leader_n) >= {similarity} * greatest(n, leader_n) - 1e-9"
     stars = buckets.where("id != leader").where(fits).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("id").agg(F.max(F.struct("shared", F.xxhash64("leader").alias("z"), "leader")).alias("best")).select(F.col("best.leader").alias("leader"), F.col("id").alias("member"))
     wanted = buckets.select("id").distinct().join(distinct.select("id", "d1", "d2"), "id").select(F.col("id").alias("doc_id"), "d1", "d2")
     texts = keyed.join(wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
     # Both verifications read them: written once, or all texts would be shuffled for each.
-    texts = C.checkpoint(texts)
+    texts = C.checkpoint(C.few(texts, rows))
     first = C.checkpoint(verify(_sized(best), texts, similarity))
     comps = components(first)
     # What a bucket still holds in different components is compared across them; its largest component is never paired with itself.
-    placed = C.checkpoint(buckets.join(comps, buckets["id"] == comps["node"], "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("comp")))
+    placed = buckets.join(comps, buckets["id"] == comps["node"], "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("comp"))
+    placed = C.checkpoint(C.few(placed, buckets.count()))
     mixed = placed.groupBy("band", "h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("band", "h")
     open_ = placed.join(mixed, ["band", "h"])
     sizes = open_.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
