@@ -85,8 +85,10 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
-    """df, of about so many rows at most, in no more partitions than they fill, so that rounds write files by their rows and not by the number of shuffle partitions.
+    """df, of about so many rows at most, in no more partitions than they fill, so that rounds write files and run tasks by their rows and not by the number of shuffle partitions.
 
+    It belongs where a shuffle or a write follows anyway, as it hides how rows are dealt: each task costs the driver its launch, its result and
+    its metrics, and a round has some ten stages.
     Each file that an executor writes to a local folder costs it child processes (Hadoop sets permissions by chmod where it has no native library), which share
     its memory until they run and are then counted with it.
     """

@@ -88,13 +88,14 @@ def _doubled(level: DataFrame) -> DataFrame:
     return x.join(y, list(_PLACE)).select(*_PLACE, *_name("a", "b", "c", "d"), (F.col("size") * 2).alias("size"))
 
 
-def _deeper(asked: DataFrame, level: DataFrame, hot_from: int | None) -> DataFrame:
+def _deeper(asked: DataFrame, level: DataFrame, hot_from: int | None, rows: int) -> DataFrame:
     """One halving: suffixes (place, depth, a, b, own, least) of intervals, split by the names of a level's `size` lines behind their depth.
 
     own marks suffixes that are asked about; each interval has one more, its leader.
     """
     behind = level.select("doc", "text_hash", F.col("pos").alias("_at"), F.col("a").alias("qa"), F.col("b").alias("qb"), "size")
     named = asked.withColumn("_at", F.col("pos") + F.col("depth")).join(behind, ["doc", "text_hash", "_at"], "left").drop("_at")
+    named = C.few(named, rows)
     keys = ["a", "b", "qa", "qb"]
     parts = named.where("qa is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("first")).where("c > 1")
     split = _meet(named, parts, keys, hot_from, "first", "left")
@@ -141,7 +142,7 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     alone = level.select(*_PLACE, "alone")
     levels = [level.drop("alone")]
     while n := levels[-1].count():
-        doubled = _doubled(levels[-1])
+        doubled = C.few(_doubled(levels[-1]), n)
         levels.append(C.written(C.few(_meet(doubled, _leaders(doubled), ["a", "b"], hot_from, "least"), n)))
     # Asked about at a level: suffixes that do not lead its name, but lead or have no name of the next.
     not_least = F.expr("not (doc <=> least.doc and text_hash <=> least.text_hash and pos <=> least.pos)")
@@ -149,11 +150,12 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for k in range(len(levels) - 2, -1, -1):
         deeper = levels[k + 1].where(not_least).select(*_PLACE)
         mine = levels[k].where(not_least).join(deeper, list(_PLACE), "left_anti").select(*_PLACE, F.col("size").alias("depth"), "a", "b", F.lit(True).alias("own"), "least")
-        leaders = mine.select("least.*", "depth", "a", "b", "least").distinct().withColumn("own", F.lit(False))
+        mine = C.few(mine, rows)
+        leaders = C.few(mine.select("least.*", "depth", "a", "b", "least").distinct(), rows).withColumn("own", F.lit(False))
         fresh = mine.unionByName(leaders)
         asked = fresh if asked is None else asked.unionByName(fresh)
         if k:
-            asked = C.written(C.few(_deeper(asked, levels[k - 1], hot_from), rows))
+            asked = C.written(C.few(_deeper(asked, levels[k - 1], hot_from, rows), rows))
     if asked is None:
         return alone.limit(0).select(*_PLACE, F.lit(0).alias("n"), _place().alias("source"), "alone")
     return asked.where("own").select(*_PLACE, F.col("depth").alias("n"), F.col("least").alias("source")).join(alone, list(_PLACE))

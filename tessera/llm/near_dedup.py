@@ -151,15 +151,15 @@ def _verified(similarity: float):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (leader, member), those whose multiset overlap reaches the similarity. texts: (id, text).
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float, rows: int) -> DataFrame:
+    """Of pairs (leader, member), about so many rows of them at most, those whose multiset overlap reaches the similarity. texts: (id, text).
 
     A leader's members are dealt to salted groups of about 64, each with one copy of the leader's text.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("of") / 64)).cast("int"))
     lead = pairs.select("leader", "salt").distinct().join(texts.withColumnRenamed("id", "leader"), "leader").select("leader", "salt", F.lit(None).cast("long").alias("member"), "text")
-    rest = pairs.select("leader", "salt", "member").join(texts.withColumnRenamed("id", "member"), "member").select("leader", "salt", "member", "text")
-    both = lead.unionAll(rest).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
+    rest = C.few(pairs.select("leader", "salt", "member"), rows).join(texts.withColumnRenamed("id", "member"), "member").select("leader", "salt", "member", "text")
+    both = C.few(lead, rows).unionAll(C.few(rest, rows)).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
     return both.mapInArrow(_verified(similarity), "u long, v long")
 
 
@@ -241,25 +241,28 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = banded.count()
     own_text = banded.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("k")).select(F.col("doc_id").alias("id"), "k.d1", "k.d2")
     # One member for each different text; wordless rows stay apart.
-    standing = banded.join(own_text.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"])
+    standing = C.few(banded.join(own_text.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"]), rows)
     distinct = standing.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("d1", "d2", "x.*")
-    distinct = distinct.withColumnRenamed("doc_id", "id")
+    distinct = C.few(distinct.withColumnRenamed("doc_id", "id"), rows)
     members = distinct.select("id", "n", F.posexplode("bands").alias("band", "h"))
     held = members.groupBy("band", "h").agg(F.min(F.struct(F.xxhash64("id", "band").alias("z"), "id", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "h", "lead")
     buckets = members.join(held, ["band", "h"]).select("band", "h", "id", "n", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"))
     buckets = C.checkpoint(C.few(buckets, rows * BANDS))
+    held_rows = buckets.count()
     fits = f"least(n, leader_n) >= {similarity} * greatest(n, leader_n) - 1e-9"
     stars = buckets.where("id != leader").where(fits).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"))
+    stars = C.few(stars, held_rows)
     best = stars.groupBy("id").agg(F.max(F.struct("shared", F.xxhash64("leader").alias("z"), "leader")).alias("best")).select(F.col("best.leader").alias("leader"), F.col("id").alias("member"))
-    wanted = buckets.select("id").distinct().join(distinct.select("id", "d1", "d2"), "id").select(F.col("id").alias("doc_id"), "d1", "d2")
+    best = C.few(best, rows)
+    wanted = C.few(buckets.select("id").distinct().join(distinct.select("id", "d1", "d2"), "id").select(F.col("id").alias("doc_id"), "d1", "d2"), rows)
     texts = keyed.join(wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
     # Both verifications read them: written once, or all texts would be shuffled for each.
     texts = C.checkpoint(C.few(texts, rows))
-    first = C.checkpoint(verify(_sized(best), texts, similarity))
+    first = C.checkpoint(verify(_sized(best), texts, similarity, rows))
     comps = components(first)
     # What a bucket still holds in different components is compared across them; its largest component is never paired with itself.
     placed = buckets.join(comps, buckets["id"] == comps["node"], "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("comp"))
-    placed = C.checkpoint(C.few(placed, buckets.count()))
+    placed = C.checkpoint(C.few(placed, held_rows))
     mixed = placed.groupBy("band", "h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("band", "h")
     open_ = placed.join(mixed, ["band", "h"])
     sizes = open_.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
@@ -267,17 +270,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     few = open_.where(F.col("members") <= SMALL_BUCKET)
     some = few.select("band", "h", F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"))
     across = some.join(few, ["band", "h"]).where("comp > leader_comp").where(fits)
-    pairs = across.select(F.least("id", "leader").alias("leader"), F.greatest("id", "leader").alias("member")).distinct()
+    pairs = across.select(F.least("id", "leader").alias("leader"), F.greatest("id", "leader").alias("member"))
+    pairs = C.few(C.few(pairs, 2 * held_rows).distinct(), 2 * held_rows)
     tried = best.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    second = verify(_sized(pairs.join(tried, ["leader", "member"], "left_anti")), texts, similarity)
+    left = C.few(pairs.join(tried, ["leader", "member"], "left_anti"), 2 * held_rows)
+    second = verify(_sized(left), texts, similarity, 2 * held_rows)
     second = second.unionAll(_large_buckets(open_.where(F.col("members") > SMALL_BUCKET), texts, similarity))
     second = C.checkpoint(second)
     ends = components(first.unionAll(second)) if not second.isEmpty() else comps
-    of_text = distinct.select("d1", "d2", "id").join(ends, distinct["id"] == ends["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("class_id"))
-    of_doc = own_text.join(of_text, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
+    of_text = C.few(distinct.select("d1", "d2", "id").join(ends, distinct["id"] == ends["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("class_id")), rows)
+    of_doc = C.few(own_text, rows).join(of_text, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
+    of_doc = C.few(of_doc, rows)
     classed = banded.select("doc_id", "n").join(of_doc, "doc_id").select("doc_id", "class_id", "n")
     nameless = own.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n"))
-    return classed.unionAll(nameless).withColumnRenamed("n", "n_shingles")
+    return C.few(classed, rows).unionAll(nameless).withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

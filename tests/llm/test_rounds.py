@@ -1,5 +1,7 @@
 """Rounds write files by their rows, however many shuffle partitions there are."""
 
+import uuid
+
 import pytest
 
 from tessera.llm import _common as C
@@ -50,3 +52,28 @@ def test_line_rounds_write_few_files(spark, monkeypatch, many_partitions):
 
 def test_large_rounds_keep_their_partitions(spark):
     assert C.few(spark.range(0, 100, 1, 30), 40 * C.ROUND_ROWS).rdd.getNumPartitions() == 30
+
+
+def tasks_of(spark, run):
+    """What run returns, and how many tasks each stage of its jobs has."""
+    group, tracker = f"tasks-{uuid.uuid4().hex}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, [x.numTasks for s in stages if (x := tracker.getStageInfo(s)) is not None and x.numCompletedTasks]
+
+
+def test_rounds_run_few_tasks(spark, many_partitions):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 50 != 49], "u long, v long").coalesce(2)
+    try:
+        got, tasks = tasks_of(spark, lambda: components.components(edges).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["node"]: r["component"] for r in got} == {i: i // 50 * 50 for i in range(200)}
+    # Stages that read a union have twice as many tasks.
+    assert len(tasks) > 10 and max(tasks) <= 2 * C.ROUND_TASKS
