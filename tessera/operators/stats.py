@@ -98,13 +98,13 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def spearman(points: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by.., n, rho): rank correlation with average ranks, null for fewer than three points or a constant side."""
+def spearman(points: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
+    """(by.., n, rho): rank correlation with average ranks, null for fewer points than `least` or a constant side."""
     ranked = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))).alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))).alias("rho"))
 
 
-def rank_permutation(points: DataFrame, x: str, y: str, by: list[str], unit: str, permutations: int, seed: int) -> DataFrame:
+def rank_permutation(points: DataFrame, x: str, y: str, by: list[str], unit: str, permutations: int, seed: int, least: int = 3) -> DataFrame:
     """(by.., p): the share of permutations of one side's ranks whose correlation is at least as far from zero; groups without a correlation are left out.
 
     A permutation puts the units in order of a hash of (seed, permutation, unit), then unit, and meets them with the ranks of y in order of unit.
@@ -112,7 +112,7 @@ def rank_permutation(points: DataFrame, x: str, y: str, by: list[str], unit: str
     """
     ranked = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
     sides = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("_x").alias("x"), F.col("_y").alias("y")))).alias("_s"), F.covar_pop("_x", "_y").alias("_c"), (F.stddev_pop("_x") * F.stddev_pop("_y")).alias("_d"))
-    each = sides.where("_n >= 3 and _d > 0").repartition(*by).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    each = sides.where((F.col("_n") >= least) & (F.col("_d") > 0)).repartition(*by).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     mixed = F.array_sort(F.transform("_s", lambda s: F.struct(counter_hash(F.lit(seed), F.col("_k"), s["u"]).alias("h"), s["u"].alias("u"), s["x"].alias("x"))))
     total = F.aggregate(F.zip_with(mixed, "_s", lambda a, b: a["x"] * b["y"]), F.lit(0.0), lambda a, b: a + b)
     mean = (F.col("_n") + 1) / 2
