@@ -2,12 +2,15 @@
 
 The literals of both rule sets make one universe of requests: principals x actions x resources x contexts of a policy. It is never spelled out. A member of
 an axis is described by a bitmask of the rules of both sides that it leaves standing (scope and the conditions that read it alone), and members of equal masks
-decide alike, so requests are cells of equal masks with a count and a least number. A cell's masks are ANDed; conditions that read two axes are
-tested where a pair has any, and there members are cells of their own. Readings of a policy that say the same are scored once.
+decide alike, so requests are cells of equal masks with a count and a least number. A cell's masks are ANDed. Conditions that read two axes are
+tested where a pair has any; there, members are told apart by where their values lie among those they are compared with, not by the values, so that
+cells grow with the smaller side. Readings of a policy that say the same are scored once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,13 +138,43 @@ def _holds_alone(rule: Column, subject: str, values: Column) -> Column:
     return F.forall(own, lambda c: F.coalesce(compare(resolve(c["left"], {subject: values}), c["op"], resolve(c["right"], {subject: values})), F.lit(False)))
 
 
-def _cells(slots: DataFrame, members: DataFrame, by: str, axis: str, stands: Column, values: Column, words: int) -> DataFrame:
-    """Members of an axis as cells (pair, {axis}_mask, _n, _count, _values): members of one mask are one cell, unless a condition reads them beside another axis."""
-    met = slots.join(members, by)
-    masks = met.groupBy("pair", "n").agg(_bits(F.coalesce(stands, F.lit(False)), words).alias("mask"), F.any_value(F.when(F.array_contains("apart", axis), values)).alias("values"))
-    alone = F.when(F.col("values").isNotNull(), F.col("n"))
-    cells = masks.groupBy("pair", "mask", alone.alias("alone")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("count"), F.any_value("values").alias("values"))
-    return cells.select("pair", *(F.col(c).alias(f"{axis}_{c}") for c in ("mask", "n", "count", "values")))
+def _key(subject: Column, attr: Column) -> Column:
+    return F.concat(subject, F.lit("."), attr)
+
+
+def _with_codes(axes: dict[str, tuple[DataFrame, list[str]]], crossings: DataFrame) -> dict[str, DataFrame]:
+    """Axes (policy_id, values, ..) with codes: array<struct<own, other, code>>; members of one code compare alike with whatever stands on the other side.
+
+    axes: members with the columns that tell them apart. crossings: distinct (policy_id, subject, attr, other), operands that conditions compare with those of
+    another axis; own and other are written subject.attr. A code is a type, and counts the other side's values below and says whether the value is one of them.
+    """
+    own = {a: crossings.where(F.col("subject") == a).join(df, "policy_id").select(*ids, _key(F.col("subject"), F.col("attr")).alias("own"), "other", F.element_at("values", F.col("attr")).alias("v")) for a, (df, ids) in axes.items()}
+    values = reduce(DataFrame.unionAll, (df.select("policy_id", "own", "v").where("v is not null").distinct() for df in own.values()))
+    values = written(values)
+    sides = crossings.select("policy_id", _key(F.col("subject"), F.col("attr")).alias("own"), "other")
+    mine, theirs = sides.join(values, ["policy_id", "own"]).withColumn("met", F.lit(0)), sides.join(values.withColumnRenamed("own", "other"), ["policy_id", "other"]).withColumn("met", F.lit(1))
+    each = mine.unionByName(theirs).groupBy("policy_id", "own", "other", "v").agg(F.max("met").alias("met"))
+    below = F.coalesce(F.sum("met").over(Window.partitionBy("policy_id", "own", "other").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # What lacks its type or its value equals nothing, and is a code of its own.
+    odd = F.col("v.t").isNull() | F.coalesce("v.s", F.col("v.i").cast("string"), F.col("v.b").cast("string")).isNull()
+    codes = written(each.select("policy_id", "own", "other", F.to_json("v").alias("k"), F.when(odd, F.to_json("v")).otherwise(F.concat_ws(" ", "v.t", 2 * below + F.col("met"))).alias("code")))
+    row = "struct<own:string,other:string,code:string>"
+
+    def coded(df: DataFrame, ids: list[str], own: DataFrame) -> DataFrame:
+        met = own.withColumn("k", F.to_json("v")).join(codes, ["policy_id", "own", "other", "k"], "left")
+        lists = met.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("own", "other", "code").cast(row))).alias("codes"))
+        return df.join(lists, ids, "left").withColumn("codes", F.coalesce("codes", F.array().cast(f"array<{row}>")))
+
+    return {a: coded(df, ids, own[a]) for a, (df, ids) in axes.items()}
+
+
+def _cells(slots: DataFrame, members: DataFrame, by: list[str], axis: str, stands: Column, words: int) -> DataFrame:
+    """Members of an axis as cells (pair, {axis}_mask, _codes, _n, _count, _values): members of one mask are one cell, unless a condition that reads them beside another axis tells them apart."""
+    apart = F.array_contains("apart", axis)
+    read = F.filter("codes", lambda c: F.array_contains("crossed", F.concat(c["own"], F.lit(" "), c["other"])))
+    masks = slots.join(members, by).groupBy("pair", "n").agg(_bits(F.coalesce(stands, F.lit(False)), words).alias("mask"), F.any_value(F.when(apart, F.struct("values", read.alias("codes")))).alias("x"))
+    cells = masks.groupBy("pair", "mask", "x.codes").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("count"), F.any_value("x.values").alias("values"))
+    return cells.select("pair", *(F.col(c).alias(f"{axis}_{c}") for c in ("mask", "codes", "n", "count", "values")))
 
 
 def disagreements(pairs: DataFrame, principals: DataFrame, actions: DataFrame, resources: DataFrame, context: DataFrame) -> DataFrame:
@@ -158,47 +191,65 @@ def disagreements(pairs: DataFrame, principals: DataFrame, actions: DataFrame, r
     blocks = lambda c: F.ceil(F.size(c) / 64)
     words = pairs.agg(F.max(blocks("gold") + blocks("given"))).first()[0] or 1
     sides = F.concat(F.transform("gold", lambda r, i: F.struct(i.cast("bigint").alias("slot"), F.lit(True).alias("of_gold"), r.alias("rule"))), F.transform("given", lambda r, i: F.struct((64 * blocks("gold") + i).cast("bigint").alias("slot"), F.lit(False).alias("of_gold"), r.alias("rule"))))
-    crossing = lambda r: F.exists(r["conditions"], lambda c: F.coalesce(_crossing(c), F.lit(False)))
-    opened = F.transform(F.filter("sides", lambda s: crossing(s["rule"])), lambda s: F.struct(s["slot"].alias("slot"), F.filter(s["rule"]["conditions"], lambda c: F.coalesce(_crossing(c), F.lit(False))).alias("tests")))
-    apart = F.array_distinct(F.flatten(F.flatten(F.transform("open", lambda o: F.transform(o["tests"], lambda c: F.array(c["left"]["subject"], c["right"]["subject"]))))))
-    whole = pairs.withColumn("sides", sides).withColumn("open", opened).withColumn("apart", apart)
-    slots = written(whole.select("pair", "policy_id", "apart", F.explode_outer("sides").alias("s")).select("pair", "policy_id", "apart", "s.slot", "s.of_gold", "s.rule"))
+    across = lambda s: F.filter(s["rule"]["conditions"], lambda c: F.coalesce(_crossing(c), F.lit(False)))
+    opened = F.filter(F.transform("sides", lambda s: F.struct(s["slot"].alias("slot"), across(s).alias("tests"))), lambda o: F.size(o["tests"]) > 0)
+    tests = F.array_distinct(F.flatten(F.transform("open", lambda o: F.transform(o["tests"], lambda c: F.struct(c["left"]["subject"].alias("a"), c["left"]["attr"].alias("x"), c["right"]["subject"].alias("b"), c["right"]["attr"].alias("y"))))))
+    both_ways = F.flatten(F.transform("crossings", lambda t: F.array(F.struct(t["a"].alias("subject"), t["x"].alias("attr"), _key(t["b"], t["y"]).alias("other")), F.struct(t["b"].alias("subject"), t["y"].alias("attr"), _key(t["a"], t["x"]).alias("other")))))
+    crossed = F.transform("ways", lambda w: F.concat(_key(w["subject"], w["attr"]), F.lit(" "), w["other"]))
+    whole = written(pairs.withColumn("sides", sides).withColumn("open", opened).withColumn("crossings", tests).withColumn("ways", F.array_distinct(both_ways)).withColumn("crossed", crossed).withColumn("apart", F.array_distinct(F.transform("ways", lambda w: w["subject"]))).drop("gold", "given", "crossings"))
+    slots = written(whole.select("pair", "policy_id", "apart", "crossed", F.explode_outer("sides").alias("s")).select("pair", "policy_id", "apart", "crossed", "s.slot", "s.of_gold", "s.rule"))
     is_ = lambda gold, effect: F.coalesce((F.col("of_gold") == gold) & (F.col("rule.effect") == effect), F.lit(False))
     effects = slots.groupBy("pair").agg(_bits(is_(True, "permit"), words).alias("gold_permits"), _bits(is_(True, "forbid"), words).alias("gold_forbids"), _bits(is_(False, "permit"), words).alias("permits"), _bits(is_(False, "forbid"), words).alias("forbids"))
 
-    r = F.col("rule")
-    within = lambda side: in_scope(r[side], F.col("key"), F.col("type"), F.col("groups")) & _holds_alone(r, side, F.col("attrs"))
-    axes = [
-        _cells(slots, who, "policy_id", "principal", within("principal"), F.col("attrs"), words),
-        _cells(slots, acts, "policy_id", "action", F.array_contains(r["actions"], F.col("action")), F.lit(None).cast(f"map<string,{VALUE}>"), words),
-        _cells(slots, what, "policy_id", "resource", within("resource"), F.col("attrs"), words),
-        _cells(slots, when, "pair", "context", _holds_alone(r, "context", F.col("context")), F.col("context"), words),
-    ]
-    names = ("principal", "action", "resource", "context")
-    cells = effects.join(whole.select("pair", "open"), "pair")
-    for axis in axes:
-        cells = cells.join(written(axis), "pair")
-        if axis is axes[0]:
-            # What is to be multiplied out is small, and would be left in one task.
-            cells = cells.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair", "principal_n")
+    none = F.lit(None).cast(f"map<string,{VALUE}>")
+    ids = ["policy_id", "n"]
+    axes = {
+        "principal": (who.withColumnRenamed("attrs", "values"), ids), "action": (acts.withColumn("values", none), ids), "resource": (what.withColumnRenamed("attrs", "values"), ids),
+        "context": (when.join(pairs.select("pair", "policy_id"), "pair").withColumnRenamed("context", "values"), ["policy_id", "pair", "n"]),
+    }
+    coded = _with_codes(axes, written(whole.select("policy_id", F.inline("ways")).distinct()))
 
+    r = F.col("rule")
+    within = lambda side: in_scope(r[side], F.col("key"), F.col("type"), F.col("groups")) & _holds_alone(r, side, F.col("values"))
+    stands = {"principal": within("principal"), "action": F.array_contains(r["actions"], F.col("action")), "resource": within("resource"), "context": _holds_alone(r, "context", F.col("values"))}
+    cells = {x: written(_cells(slots, coded[x], ["policy_id", "pair"] if x == "context" else ["policy_id"], x, stands[x], words)) for x in axes}
     both = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
-    hit = both(both(F.col("principal_mask"), F.col("action_mask")), both(F.col("resource_mask"), F.col("context_mask")))
-    values = {n: F.col(f"{n}_values") for n in ("principal", "resource", "context")}
-
-    def tested(mask: Column, o: Column) -> Column:
-        holds = F.forall(o["tests"], lambda c: F.coalesce(compare(resolve(c["left"], values), c["op"], resolve(c["right"], values)), F.lit(False)))
-        return F.when(holds, mask).otherwise(F.transform(mask, lambda w, i: F.when(i == F.floor(o["slot"] / 64), w.bitwiseAND(F.bitwise_not(_bit(o["slot"])))).otherwise(w)))
-
+    tests = whole.select("pair", "open")
+
+    def tested(hit: Column, subjects: tuple[str, ...], late: bool) -> Column:
+        """A mask without the rules of which a test of two subjects fails; late: a test that reads the context."""
+        values = {n: F.col(f"{n}_values") for n in subjects}
+        now = lambda o: F.filter(o["tests"], lambda c: ((c["left"]["subject"] == "context") | (c["right"]["subject"] == "context")) == late)
+
+        def one(mask: Column, o: Column) -> Column:
+            holds = F.forall(now(o), lambda c: F.coalesce(compare(resolve(c["left"], values), c["op"], resolve(c["right"], values)), F.lit(False)))
+            return F.when(holds, mask).otherwise(F.transform(mask, lambda w, i: F.when(i == F.floor(o["slot"] / 64), w.bitwiseAND(F.bitwise_not(_bit(o["slot"])))).otherwise(w)))
+
+        return F.aggregate("open", hit, one)
+
+    # Principals and resources first: what they leave standing is a few masks, unless the context tells them apart too. What is to be multiplied out is small, and would be left in one task.
+    spread = cells["principal"].join(tests, "pair").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair", "principal_n")
+    met = spread.join(cells["resource"], "pair")
+    # Codes and values that only principals and resources are compared by have served.
+    left = lambda x: F.filter(f"{x}_codes", lambda c: c["other"].startswith("context."))
+    masks = met.select("pair", F.inline(F.array(F.struct(tested(both(F.col("principal_mask"), F.col("resource_mask")), ("principal", "resource"), False).alias("mask")))), left("principal").alias("pc"), left("resource").alias("rc"), F.struct("principal_n", "resource_n").alias("n"), (F.col("principal_count") * F.col("resource_count")).alias("count"), "principal_values", "resource_values")
+    some_of = lambda x: F.any_value(F.col(f"{x}_values")).alias(f"{x}_values")
+    joint = written(masks.groupBy("pair", "mask", "pc", "rc").agg(F.min("n").alias("n"), F.sum("count").alias("count"), some_of("principal"), some_of("resource")))
+
+    all_ = effects.join(tests, "pair").join(joint, "pair").join(cells["action"], "pair").join(cells["context"], "pair")
+    hit = both(both(F.col("mask"), F.col("action_mask")), F.col("context_mask"))
     some = lambda mask, h: F.exists(both(h, F.col(mask)), lambda x: x != 0)
     verdict = lambda h: F.struct((some("gold_permits", h) & ~some("gold_forbids", h)).alias("want"), (some("permits", h) & ~some("forbids", h)).alias("got"))
-    n = F.col("principal_count") * F.col("action_count") * F.col("resource_count") * F.col("context_count")
+    n = F.col("count") * F.col("action_count") * F.col("context_count")
+    # In order: the least principal of a cell, and the least resource beside it.
+    at = F.struct(F.col("n.principal_n").alias("principal_n"), "action_n", F.col("n.resource_n").alias("resource_n"), "context_n")
     # A generator, or each use below would work the verdict out anew.
-    cells = cells.select("pair", n.alias("n"), F.struct(*(f"{x}_n" for x in names)).alias("cell"), F.inline(F.array(let(F.aggregate("open", hit, tested), verdict))))
+    all_ = all_.select("pair", n.alias("n"), at.alias("cell"), F.inline(F.array(let(tested(hit, ("principal", "resource", "context"), True), verdict))))
     n, at = F.col("n"), F.col("cell")
+    names = ("principal", "action", "resource", "context")
     counted = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("bigint"))
     over, under = F.col("got") & ~F.col("want"), F.col("want") & ~F.col("got")
-    found = cells.groupBy("pair").agg(F.sum(n).alias("requests"), counted(over | under).alias("differ"), counted(over).alias("over"), counted(under).alias("under"), F.min(F.when(over | under, at)).alias("at"))
+    found = all_.groupBy("pair").agg(F.sum(n).alias("requests"), counted(over | under).alias("differ"), counted(over).alias("over"), counted(under).alias("under"), F.min(F.when(over | under, at)).alias("at"))
 
     shown = found.join(pairs.select("pair", "policy_id"), "pair").select("*", *(F.col(f"at.{x}_n").alias(f"{x}_n") for x in names))
     for name, df, key in (("principal", who, "key"), ("action", acts, "action"), ("resource", what, "key")):

@@ -79,7 +79,10 @@ def conversion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = R.as_reading(F.col("own"))
     other = F.element_at(F.array(*map(F.lit, ("I cannot restate these rules.", "rules: none", '{"rules": []}'))), (F.col("k") - 6).cast("int"))
     answers = written(stated.withColumn("own", own).select("policy_id", "s_suppkey", F.when(F.col("k") > 6, other).when(F.col("k") == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text).alias("answer")))
-    read = answers.select("policy_id", "s_suppkey", R.read_reading(F.col("answer")).alias("x")).select("policy_id", "s_suppkey", "x.category", "x.rules")
+    # Texts are small and reading one is not, so tasks get them by number; suppliers who say the same are read once.
+    texts = answers.select("answer").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "answer")
+    parsed = written(texts.select("answer", R.read_reading(F.col("answer")).alias("x")).select("answer", "x.category", "x.rules"))
+    read = answers.join(parsed, "answer").select("policy_id", "s_suppkey", "category", "rules")
     wanted = every.select("policy_id", F.get("kinds", F.lit(0)).alias("rules"))
     scored = E.score_readings(wanted, read, *_world(spark, sf_dir), ["customer"], ["brand"])
     return scored.select("s_suppkey", "category", "valid", "problem", "exact", "equivalent", "requests", "differ", "over", "under", "principal", "action", "resource", "context")

@@ -149,3 +149,35 @@ def test_readings_are_read_strictly(spark):
     assert all((r["x"]["rules"] is not None) == (r["want"] == "rules") for r in got)
     back = df.select(R.read_reading(F.col("t"))["rules"].alias("back"), "rules").first()
     assert sorted(back["back"]) == sorted(back["rules"])
+
+
+def test_members_that_compare_alike_are_one_cell(spark):
+    # 4,000 levels against 300 files of three ranks, and hours of the request: cells of single members would be over a million pairs.
+    value_of = lambda kind: F.struct(F.lit("int").alias("t"), F.lit(None).cast("string").alias("s"), F.col("id").alias("i"), F.lit(None).cast("boolean").alias("b")) if kind == "int" else None
+    entity = lambda n, kind, attr_, v: spark.range(n).select(F.lit("p").alias("policy_id"), F.format_string(f"{kind}::%05d", "id").alias("key"), F.lit(kind).alias("type"), F.array(F.format_string(f"{kind}::%05d", "id")).alias("groups"), F.create_map(F.lit(attr_), v).alias("attrs"))
+    users, files = entity(4000, "user", "level", value_of("int")), entity(300, "file", "rank", value_of("int").withField("i", F.col("id") % 3 * 1000 + 500))
+    make = lambda op: [rule("a", "permit", is_scope("user"), ["view"], is_scope("file"), (attr("principal", "level"), op, attr("resource", "rank"))), rule("b", "permit", is_scope("user"), ["edit"], is_scope("file"), (attr("context", "hour"), "<=", attr("principal", "level")), (attr("context", "hour"), ">=", literal(7)))]
+    pairs = spark.createDataFrame([("x", "p", make("<"), make("<="), False)], f"pair string, policy_id string, gold array<{RULE}>, given array<{RULE}>, exact boolean")
+    actions, context = spark.createDataFrame([("p", a) for a in ACTIONS], "policy_id string, action string"), spark.createDataFrame([("p", "hour", "int")], "policy_id string, attr string, kind string")
+    got = E.disagreements(pairs, users, actions, files, context).first()
+    # The levels 500, 1500 and 2500 each meet 100 files of the same rank at three hours, of two actions.
+    assert tuple(got)[1:] == (4000 * 2 * 300 * 3, 900, 900, 0, "user::00500", "view", "file::00000", "hour=6")
+
+    crossings = spark.createDataFrame([("p", "principal", "level", "resource.rank"), ("p", "resource", "rank", "principal.level")], "policy_id string, subject string, attr string, other string")
+    axis = lambda df: (df.select("policy_id", F.col("key").alias("n"), F.col("attrs").alias("values")), ["policy_id", "n"])
+    coded = E._with_codes({"principal": axis(users), "resource": axis(files)}, crossings)
+    assert [coded[a].select("codes").distinct().count() for a in ("principal", "resource")] == [7, 3]
+
+
+def test_values_of_one_code_compare_alike(spark):
+    r = random.Random(5)
+    pool = [None, ("int", None, None, None), ("str", None, None, None), *(value(x) for x in (True, False, "a", "b", "c", "d", "", -3, 0, 1, 2, 3, 5, 8, 13))]
+    for _ in range(2):
+        mine, theirs = ([(i, r.choice(pool)) for i in range(n)] for n in (60, 5))
+        make = lambda rows: (spark.createDataFrame([("p", i, {"k": v} if v else {}) for i, v in rows], f"policy_id string, n int, values map<string,{VALUE}>"), ["policy_id", "n"])
+        crossings = spark.createDataFrame([("p", "principal", "k", "resource.k"), ("p", "resource", "k", "principal.k")], "policy_id string, subject string, attr string, other string")
+        coded = E._with_codes({"principal": make(mine), "resource": make(theirs)}, crossings)["principal"]
+        ops = F.array(*(F.coalesce(E.compare(F.col("x"), F.lit(op), F.col("y")), F.lit(False)) for op in ("==", "!=", "<", "<=", ">", ">=")))
+        others = spark.createDataFrame(theirs, f"o int, y {VALUE}")
+        told = coded.select("n", F.to_json("codes").alias("code"), F.element_at("values", F.lit("k")).alias("x")).crossJoin(others).select("code", "o", ops.alias("told")).distinct()
+        assert told.groupBy("code", "o").count().where("count > 1").count() == 0
