@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..schemas import CONDITION, RULE, SCOPE, VALUE
-from ..sources.storage import written
+from ..sources.storage import by_merge, written
 from . import equivalence, iam, policy
 
 #: What stands for a wildcard, in order of preference.
@@ -174,7 +174,7 @@ def convert(docs: DataFrame) -> DataFrame:
     kept = written(done.select("key", "excluded", "rules", "actions", "resources", "principals", "action_witnesses", "resource_witnesses", "keys", "words", "statements", "refused"))
     pairs, keys = _as_pairs(kept)
     options = equivalence.context_options(pairs, keys).groupBy(F.col("pair").alias("key")).agg(F.product(F.size("options")).alias("contexts"))
-    sized = kept.join(options, "key", "left").withColumn("requests", F.size("actions") * F.size("resources") * F.size("principals") * F.coalesce("contexts", F.lit(1.0)))
+    sized = kept.join(by_merge(options), "key", "left").withColumn("requests", F.size("actions") * F.size("resources") * F.size("principals") * F.coalesce("contexts", F.lit(1.0)))
     large = F.coalesce(F.col("requests") > MOST_REQUESTS, F.lit(False))
     return written(sized.withColumn("excluded", F.coalesce("excluded", F.when(large, "world too large"))).withColumn("rules", F.when(F.col("excluded").isNull(), F.col("rules"))).drop("contexts", "requests"))
 
@@ -197,7 +197,7 @@ def requests(converted: DataFrame) -> DataFrame:
         key = F.concat(F.lit(f"{kind}::"), safe_id(name))
         return F.struct(key.alias("key"), F.lit(kind).alias("type"), F.array(key).alias("groups"), none.alias("attrs"))
 
-    each = some.select("key", "keys", "words", "resources", "principals", F.explode("actions").alias("a")).select("*", F.explode("resources").alias("r")).select("*", F.explode("principals").alias("p")).drop("resources", "principals").join(contexts, "key")
+    each = some.select("key", "keys", "words", "resources", "principals", F.explode("actions").alias("a")).select("*", F.explode("resources").alias("r")).select("*", F.explode("principals").alias("p")).drop("resources", "principals").join(by_merge(contexts), "key")
     # Back to the document's own keys and texts.
     own_key = lambda attr: F.get(F.filter("keys", lambda k: safe_attr(k["key"]) == attr), F.lit(0))["key"]
     text = lambda key, s: F.get(F.filter(F.get(F.filter("words", lambda w: w["key"] == key), F.lit(0))["values"], lambda x: safe_id(x) == s), F.lit(0))
@@ -212,5 +212,5 @@ def faithfulness(converted: DataFrame) -> DataFrame:
     asked = written(requests(some))
     rules = some.select(F.col("key").alias("policy_id"), F.explode("rules").alias("rule"))
     ours = policy.evaluate(asked, rules).select("policy_id", F.col("decision").alias("ours"), "said.*")
-    both = iam.decide(ours.withColumnRenamed("policy_id", "key"), some.select("key", "refused", "statements"))
+    both = iam.decide(ours.withColumnRenamed("policy_id", "key"), by_merge(some.select("key", "refused", "statements")))
     return both.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("ours") == "allow").alias("allowed"), F.count_if(F.col("refused").isNull() & (F.col("ours") != F.col("decision"))).alias("mismatches"), F.count(F.col("refused")).alias("refusals"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.policy_text import normal_form
 from ..schemas import VALUE
-from ..sources.storage import written
+from ..sources.storage import by_merge, written
 from .policy import compare, in_scope, resolve
 
 UNSEEN = "__unseen__"
@@ -91,8 +91,8 @@ def context_options(pairs: DataFrame, context: DataFrame) -> DataFrame:
     sides = pairs.select("pair", F.explode(F.flatten(F.transform(F.concat("gold", "given"), lambda r: r["conditions"]))).alias("c"))
     each = sides.select("pair", F.explode(F.array(F.struct(F.col("c.left").alias("x"), F.col("c.right").alias("y")), F.struct(F.col("c.right").alias("x"), F.col("c.left").alias("y")))).alias("s"))
     seen = each.where("s.x.subject = 'context' and s.y.value is not null").groupBy("pair", F.col("s.x.attr").alias("attr")).agg(F.collect_set("s.y.value.i").alias("ints"), F.collect_set("s.y.value.s").alias("words"))
-    keys = pairs.select("pair", "policy_id").join(context, "policy_id").select("pair", "attr", "kind")
-    both = keys.join(seen, ["pair", "attr"], "left")
+    keys = pairs.select("pair", "policy_id").join(by_merge(context), "policy_id").select("pair", "attr", "kind")
+    both = keys.join(by_merge(seen), ["pair", "attr"], "left")
     none = lambda t: F.lit(None).cast(t)
     value = lambda t, s, i, b: F.struct(F.lit(t).alias("t"), s.cast("string").alias("s"), i.cast("bigint").alias("i"), b.cast("boolean").alias("b")).cast(VALUE)
     near = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("ints", F.array().cast("array<bigint>")), lambda x: F.array(x - 1, x, x + 1)))))
@@ -109,7 +109,7 @@ def context_options(pairs: DataFrame, context: DataFrame) -> DataFrame:
 def contexts(pairs: DataFrame, context: DataFrame) -> DataFrame:
     """(pair, n, context): every combination of the options, numbered with the last key (in order of name) running fastest."""
     keys = context_options(pairs, context).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("attr", "options")), lambda a, b: F.when(a["attr"] < b["attr"], -1).otherwise(1)).alias("keys"))
-    both = pairs.select("pair").join(keys, "pair", "left").withColumn("keys", F.coalesce("keys", F.array().cast(f"array<struct<attr:string,options:array<{VALUE}>>>")))
+    both = pairs.select("pair").join(by_merge(keys), "pair", "left").withColumn("keys", F.coalesce("keys", F.array().cast(f"array<struct<attr:string,options:array<{VALUE}>>>")))
     # Steps of the mixed radix: the product of the sizes of the keys after each.
     total = lambda ks: F.aggregate(ks, F.lit(1).cast("bigint"), lambda acc, k: acc * F.size(k["options"]))
     all_ = both.withColumn("total", total(F.col("keys"))).withColumn("steps", F.transform("keys", lambda k, i: total(F.slice("keys", i + 2, F.size("keys")))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..sources.storage import shared_dir
+from ..sources.storage import by_merge, shared_dir
 
 #: Rules up to which the rule table is broadcast (about 1 KB each).
 BROADCAST_RULES = 20_000
@@ -92,8 +92,8 @@ def rules_by_action(rules: DataFrame) -> DataFrame:
 def _with_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
     grouped = rules_by_action(rules)
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        grouped = F.broadcast(grouped)
-    return requests.join(grouped, ["policy_id", "action"], "left")
+        return requests.join(F.broadcast(grouped), ["policy_id", "action"], "left")
+    return requests.join(by_merge(grouped), ["policy_id", "action"], "left")
 
 
 def evaluate(requests: DataFrame, rules: DataFrame) -> DataFrame:

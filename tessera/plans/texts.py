@@ -12,6 +12,7 @@ from ..operators import access_import as AI
 from ..operators import iam as I
 from ..operators import vectors as V
 from ..schemas import bool_value, int_value, text_value
+from ..sources.storage import by_merge
 from . import fixtures as Fx
 
 #: Characters that a prefix of each source should reach.
@@ -233,10 +234,12 @@ def access_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.concat_ws(", ", *(statement(F.col("s_suppkey") * 2 + j) for j in range(2)))
     docs = own.select(F.col("s_suppkey").alias("key"), F.concat(F.lit('{"Statement": ['), body, F.lit("]}")).alias("doc"))
-    converted = AI.convert(I.statements(docs, "key", "doc"))
+    # Suppliers are a small file, and their documents are work for many tasks.
+    spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    converted = AI.convert(I.statements(spread, "key", "doc"))
     shown = converted.select("key", "excluded", F.size("rules").cast("long").alias("rules"), F.array_join(F.transform(F.concat("action_witnesses", "resource_witnesses"), lambda w: w["witness"]), ",").alias("witnesses"))
     found = AI.faithfulness(converted)
-    return shown.join(found, "key", "left").withColumn("rules", F.when(F.isnull("excluded"), F.col("rules")))
+    return shown.join(by_merge(found), "key", "left").withColumn("rules", F.when(F.isnull("excluded"), F.col("rules")))
 
 
 def vocabulary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """df for joins that sort both sides. Files of rows that are much alike are far smaller than the rows, so that Spark would take many for few and gather them in the driver."""
+    return df.hint("merge")
+
+
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, bytes, sha256, git_sha1) of every file below a folder. A file is read whole by one task; empty files are left out, as Spark's sources do."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)

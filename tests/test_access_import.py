@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import access_import as A
 from tessera.operators import iam as I
+from tessera.operators import policy as P
 
 TOKENS = A.WITNESS_TOKENS
 
@@ -157,3 +158,16 @@ def test_conditions_are_judged_in_the_order_of_the_text(spark):
     asked = spark.createDataFrame([(k, "a", "r", None, {"z": value("yes"), "b": value(2)}) for k in range(4)], f"key int, action string, resource string, principal struct<type:string,id:string>, context map<string,{VALUE}>")
     got = {r["key"]: (r["decision"], r["refused"]) for r in I.decide(asked, parsed).collect()}
     assert got == {0: ("allow", None), 1: ("deny", "context"), 2: ("allow", None), 3: ("allow", None)}
+
+
+def test_documents_are_not_gathered_in_the_driver(spark, monkeypatch):
+    # Files of documents that are much alike are small, however many the documents are; small files alone must not make Spark broadcast them.
+    monkeypatch.setattr(P, "BROADCAST_RULES", 0)
+    doc = '{"Statement": {"Effect": "Allow", "Action": "s3:Get*", "Resource": "*", "Condition": {"NumericLessThan": {"q": %d}}}}'
+    docs = spark.createDataFrame([(i, doc % (i % 3)) for i in range(40)], "key long, doc string")
+    converted = A.convert(I.statements(docs, "key", "doc"))
+    found = A.faithfulness(converted)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (found, A.requests(converted)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    assert {(r["requests"], r["mismatches"], r["refusals"]) for r in found.collect()} == {(2 * 2 * 1 * 3, 0, 0)}
