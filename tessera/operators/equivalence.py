@@ -50,7 +50,7 @@ def rule_problems(pairs: DataFrame, entities: DataFrame, attrs: DataFrame, actio
     entities (policy_id, key, type, groups), attrs (policy_id, type, attr, kind), actions (policy_id, action), context (policy_id, attr, kind). An empty rule set is well-formed.
     """
     rules = pairs.select("pair", "policy_id", F.posexplode("given").alias("place", "rule"))
-    known = entities.select("policy_id", "key", F.lit(True).alias("known"))
+    known = by_merge(entities.select("policy_id", "key", F.lit(True).alias("known")))
     types = entities.select("policy_id", "type").distinct()
     found = lambda df, problem: df.select("pair", "place", F.lit(problem).alias("problem"))
     acts = rules.select("pair", "policy_id", "place", F.explode("rule.actions").alias("action")).join(actions, ["policy_id", "action"], "left_anti")
@@ -62,7 +62,7 @@ def rule_problems(pairs: DataFrame, entities: DataFrame, attrs: DataFrame, actio
 
     every = scopes.where("s.kind = 'any'").join(types, "policy_id").select("pair", "policy_id", "place", "subject", "type")
     stated = scopes.where("s.kind in ('is', 'is_in', 'eq')").select("pair", "policy_id", "place", "subject", F.coalesce("s.type", "s.entity.type").alias("type"))
-    members = entities.select("policy_id", "type", F.explode("groups").alias("key")).distinct()
+    members = by_merge(entities.select("policy_id", "type", F.explode("groups").alias("key")).distinct())
     within = scopes.where("s.kind = 'in'").select("*", target.alias("key")).join(members, ["policy_id", "key"]).select("pair", "policy_id", "place", "subject", "type")
     reach = every.unionAll(stated).unionAll(within).distinct()
 
@@ -161,9 +161,9 @@ def _with_codes(axes: dict[str, tuple[DataFrame, list[str]]], crossings: DataFra
     row = "struct<own:string,other:string,code:string>"
 
     def coded(df: DataFrame, ids: list[str], own: DataFrame) -> DataFrame:
-        met = own.withColumn("k", F.to_json("v")).join(codes, ["policy_id", "own", "other", "k"], "left")
+        met = own.withColumn("k", F.to_json("v")).join(by_merge(codes), ["policy_id", "own", "other", "k"], "left")
         lists = met.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("own", "other", "code").cast(row))).alias("codes"))
-        return df.join(lists, ids, "left").withColumn("codes", F.coalesce("codes", F.array().cast(f"array<{row}>")))
+        return df.join(by_merge(lists), ids, "left").withColumn("codes", F.coalesce("codes", F.array().cast(f"array<{row}>")))
 
     return {a: coded(df, ids, own[a]) for a, (df, ids) in axes.items()}
 
@@ -172,7 +172,7 @@ def _cells(slots: DataFrame, members: DataFrame, by: list[str], axis: str, stand
     """Members of an axis as cells (pair, {axis}_mask, _codes, _n, _count, _values): members of one mask are one cell, unless a condition that reads them beside another axis tells them apart."""
     apart = F.array_contains("apart", axis)
     read = F.filter("codes", lambda c: F.array_contains("crossed", F.concat(c["own"], F.lit(" "), c["other"])))
-    masks = slots.join(members, by).groupBy("pair", "n").agg(_bits(F.coalesce(stands, F.lit(False)), words).alias("mask"), F.any_value(F.when(apart, F.struct("values", read.alias("codes")))).alias("x"))
+    masks = slots.join(by_merge(members), by).groupBy("pair", "n").agg(_bits(F.coalesce(stands, F.lit(False)), words).alias("mask"), F.any_value(F.when(apart, F.struct("values", read.alias("codes")))).alias("x"))
     cells = masks.groupBy("pair", "mask", "x.codes").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("count"), F.any_value("x.values").alias("values"))
     return cells.select("pair", *(F.col(c).alias(f"{axis}_{c}") for c in ("mask", "codes", "n", "count", "values")))
 
@@ -253,7 +253,7 @@ def disagreements(pairs: DataFrame, principals: DataFrame, actions: DataFrame, r
 
     shown = found.join(pairs.select("pair", "policy_id"), "pair").select("*", *(F.col(f"at.{x}_n").alias(f"{x}_n") for x in names))
     for name, df, key in (("principal", who, "key"), ("action", acts, "action"), ("resource", what, "key")):
-        shown = shown.join(df.select("policy_id", F.col("n").alias(f"{name}_n"), F.col(key).alias(name)), ["policy_id", f"{name}_n"], "left")
+        shown = shown.join(by_merge(df.select("policy_id", F.col("n").alias(f"{name}_n"), F.col(key).alias(name))), ["policy_id", f"{name}_n"], "left")
     text = lambda v: F.coalesce(v["s"], v["i"].cast("string"), v["b"].cast("string"))
     spelled = F.array_join(F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), text(e["value"]))), ",")
     shown = shown.join(when.select("pair", F.col("n").alias("context_n"), spelled.alias("context")), ["pair", "context_n"], "left")
